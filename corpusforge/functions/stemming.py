@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,7 +125,6 @@ def _step5(word: str) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     """Stem of a lower-case word."""
     if word in IRREGULAR:
@@ -136,20 +135,21 @@ def stem(word: str) -> str:
 
 
 def _stemmed(tokens: pa.Array) -> pa.Array:
-    return pa.array([stem(t) if t is not None and len(t) > 3 else t for t in tokens.to_pylist()],
-                    pa.string())
+    """Stem the values longer than three characters, each distinct one once."""
+    codes = tokens.dictionary_encode()
+    stems = pa.array([stem(t) if t is not None and len(t) > 3 else t
+                      for t in codes.dictionary.to_pylist()], pa.string())
+    return stems.take(codes.indices)
 
 
 def _nested(tokens: pa.Array) -> pa.Array:
     """Stem the innermost values and put the lists back around them."""
-    if pa.types.is_list(tokens.type) or pa.types.is_large_list(tokens.type):
-        tokens = tokens.cast(pa.list_(tokens.type.value_type))
-        filled = pa.array([0 if v is None else v for v in tokens.value_lengths().to_pylist()])
-        borders = [0]
-        for n in filled.to_pylist():
-            borders.append(borders[-1] + n)
-        return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), _nested(tokens.flatten()))
-    return _stemmed(tokens)
+    if not pa.types.is_list(tokens.type):
+        return _stemmed(tokens)
+    borders = [0]
+    for n in pc.list_value_length(tokens).to_pylist():
+        borders.append(borders[-1] + (n or 0))
+    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), _nested(tokens.flatten()))
 
 
 _stem_array = F.arrow_udf(_nested, "array<string>")

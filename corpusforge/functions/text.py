@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusforge.values import HANGUL_CLASS, KEPT_CHARS, SPACE_CLASS, URL_PATTERN
+from corpusforge.values import HANGUL_CLASS, KEPT_CHARS, SPACE_CHARS, SPACE_CLASS, URL_PATTERN
 
 # Jamo in the order the syllable block U+AC00..U+D7A3 composes them.
 LEADS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -15,7 +15,7 @@ TAILS = " ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊ
 
 def trim(col: Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(col, f"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.regexp_replace(col, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
 
 
 def keep_charset(col: Column, charset: str = KEPT_CHARS) -> Column:
@@ -33,7 +33,7 @@ def collapse_repeats(col: Column, n: int = 2) -> Column:
     Runs of white space other than line breaks become one space, ends are trimmed.
     """
     kept = F.regexp_replace(col, r"(?U)(\w)\1{2,}", "$1" * n) if n > 0 else col
-    return trim(F.regexp_replace(kept, r"(?U)[^\S\r\n]+", " "))
+    return trim(F.regexp_replace(kept, f"[{SPACE_CHARS}&&[^\\r\\n]]+", " "))
 
 
 def _jamo(index: Column, table: str) -> Column:

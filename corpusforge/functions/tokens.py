@@ -10,17 +10,17 @@ from corpusforge.values import IGNORE_LABEL, SPACE_CLASS
 
 def score_tokens(col: Column) -> Column:
     """Lower-case and split on white space. Empty strings at the ends are kept."""
-    return F.split(F.lower(col), f"(?U){SPACE_CLASS}+", -1)
+    return F.split(F.lower(col), f"{SPACE_CLASS}+", -1)
 
 
 def words(col: Column) -> Column:
     """White space tokens without empty ones."""
-    return F.filter(F.split(col, f"(?U){SPACE_CLASS}+", -1), lambda w: w != "")
+    return F.filter(F.split(col, f"{SPACE_CLASS}+", -1), lambda w: w != "")
 
 
 def sentences(col: Column, split_summaries: bool = False) -> Column:
     """Non-empty lines, or pieces after sentence punctuation."""
-    pattern = r"(?U)(?<=[.!?])\s+" if split_summaries else "\n"
+    pattern = f"(?<=[.!?]){SPACE_CLASS}+" if split_summaries else "\n"
     return F.filter(F.split(col, pattern, -1), lambda s: s != "")
 
 

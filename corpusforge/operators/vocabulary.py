@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,20 +106,22 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
     types = cut_lineage(
         df.select(F.explode(pretokens(F.col(text))).alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
         .select(symbols.alias("symbols"), "n"))
 
     rounds = 0
     while len(pieces) < vocab_size:
-        parts = F.transform(
-            F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), "><"),
-            lambda s: s.cast("int"))
-        pairs = types.select(parts.alias("s"), "n").where(F.size("s") > 1).select("n", F.explode(
-            F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1),
-                       F.slice("s", F.lit(2), F.size("s") - 1),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+        parts = F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), "><")
+        pairs = (
+            types.where(F.col("symbols").contains("><")).select(parts.alias("s"), "n")
+            .select("n", F.explode(F.arrays_zip(
+                F.slice("s", F.lit(1), F.size("s") - 1).alias("a"),
+                F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
+        )
         top = (
-            pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= max(min_frequency, 1))
+            pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= max(min_frequency, 1))
+            .select(F.col("a").cast("int"), F.col("b").cast("int"), "n")
             .orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
         )
         taken = _disjoint(top, exact)[: vocab_size - len(pieces)]
@@ -195,7 +198,7 @@ def word_encoder(vocab: DataFrame, unknown: str = "<unk>"):
 
 def _as_lists(like: pa.Array, values: list, counts: list[int] | None = None) -> pa.Array:
     """Int lists with the given lengths, by default those of ``like``."""
-    counts = counts or [n or 0 for n in pa.compute.list_value_length(like).to_pylist()]
+    counts = counts or [n or 0 for n in pc.list_value_length(like).to_pylist()]
     borders = [0]
     for n in counts:
         borders.append(borders[-1] + n)
