@@ -27,16 +27,16 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType | str,
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = (
-        spark.read.schema(full)
-        .option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-        .json(root)
-        .select("*", F.col("_metadata.file_path").alias("file"))
+    files = (
+        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).text(root)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     )
-    good = rows.where(F.col(BAD).isNull()).drop(BAD)
-    bad = rows.where(F.col(BAD).isNotNull()).select("file", F.col(BAD).alias("content"))
+    parsed = files.withColumn("_row", F.from_json("content", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    fine = F.col("_row").isNotNull() & F.col(f"_row.{BAD}").isNull()
+    good = parsed.where(fine).select("_row.*", "file").drop(BAD)
+    bad = parsed.where(~fine).select("file", "content")
     return good, bad
 
 

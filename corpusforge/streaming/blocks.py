@@ -20,24 +20,22 @@ def stream_blocks(docs: DataFrame, block_size: int = BLOCK_SIZE, lanes: int = 1)
     ``docs`` has ``source, doc_id, ids``. The state of a source is the incomplete
     block, fewer than ``block_size`` ids, and the number of blocks emitted. A
     source too busy for one task is dealt over ``lanes`` by document id; each lane
-    packs its own documents. Returns ``source, lane, block, input_ids``.
+    packs its own documents, in the order of their ids within a micro-batch (which
+    ``files_per_trigger`` of the source bounds). Returns ``source, lane, block, input_ids``.
     """
     def pack(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
         block, rest = state.get if state.exists else (0, [])
-        rest = list(rest)
-        for frame in frames:
-            done = []
-            for ids in frame.sort_values("doc_id")["ids"]:
-                rest.extend(int(i) for i in ids)
-                while len(rest) >= block_size:
-                    done.append(rest[:block_size])
-                    rest = rest[block_size:]
-            yield pd.DataFrame({
-                "source": key[0], "lane": key[1],
-                "block": range(block, block + len(done)), "input_ids": done})
-            block += len(done)
-        state.update((block, rest))
+        rest, done = list(rest), []
+        for ids in pd.concat(frames).sort_values("doc_id")["ids"]:
+            rest.extend(int(i) for i in ids)
+            full = len(rest) // block_size * block_size
+            done += [rest[i:i + block_size] for i in range(0, full, block_size)]
+            rest = rest[full:]
+        state.update((block + len(done), rest))
+        yield pd.DataFrame({
+            "source": key[0], "lane": key[1],
+            "block": range(block, block + len(done)), "input_ids": done})
 
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("lane")
     return (
