@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words with a stem of their own.
 IRREGULAR = {
@@ -152,8 +153,8 @@ def _nested(tokens: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), _nested(tokens.flatten()))
 
 
-_stem_array = F.arrow_udf(_nested, "array<string>")
-_stem_lists = F.arrow_udf(_nested, "array<array<string>>")
+_stem_array = F.arrow_udf(_nested, T.ArrayType(T.StringType()))
+_stem_lists = F.arrow_udf(_nested, T.ArrayType(T.ArrayType(T.StringType())))
 
 
 def stem_tokens(tokens: Column, nested: bool = False) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.functions.stemming import stem_tokens
 from corpusforge.functions.tokens import ngrams, score_tokens, sentences
@@ -143,13 +144,13 @@ def summary_hits(ref: Sequence[Sequence], can: Sequence[Sequence]) -> int:
     return hits
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _lcs(targets: pa.Array, predictions: pa.Array) -> pa.Array:
     return pa.array([lcs_length(t or [], p or []) for t, p in zip(
         targets.to_pylist(), predictions.to_pylist())], pa.int32())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _summary(targets: pa.Array, predictions: pa.Array) -> pa.Array:
     return pa.array([summary_hits(t or [], p or []) for t, p in zip(
         targets.to_pylist(), predictions.to_pylist())], pa.int32())

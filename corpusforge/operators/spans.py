@@ -7,12 +7,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIN = 64
 WORD = re.compile(r"\S+")
+OFFSETS = T.ArrayType(T.StructType([
+    T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-@F.arrow_udf("array<struct<begin:int,end:int>>")
+@F.arrow_udf(OFFSETS)
 def word_offsets(texts: pa.Array) -> pa.Array:
     """Character offsets of the white space words of a text; ``end`` is exclusive."""
     begins, ends, borders = [], [], [0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
 from corpusforge.operators.overlap import align_records
+from corpusforge.operators.schema import explode_documents
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, blocks_sql, ids_sql, word_ids
 from corpusforge.sources import readers as R
@@ -71,23 +72,32 @@ def text_files(spark, sf):
     return spark.read.text(f"{folder}/plain").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT doc_id, text, 'good' AS state FROM documents WHERE doc_id % 7 <> 3")
+@query("""
+SELECT doc_id // 500 AS chunk, doc_id, text FROM documents WHERE doc_id // 500 % 3 <> 1
+UNION ALL SELECT DISTINCT doc_id // 500, CAST(NULL AS BIGINT), 'broken' FROM documents
+WHERE doc_id // 500 % 3 = 1
+""")
 def json_tree(spark, sf):
-    """One JSON object per file; broken files are reported and the others read.
+    """Folders of JSON files with 500 documents each; every third file is cut off.
 
-    Every seventh document is written as half an object.
+    The documents of whole files come out, and one row per broken file.
     """
     folder = scratch(spark)
-    docs = documents(spark, sf)
-    whole = docs.select("doc_id", "source", F.to_json(F.struct("doc_id", "text")).alias("body"))
-    broken = F.col("doc_id") % 7 == 3
-    body = F.when(broken, F.substring("body", 1, 9)).otherwise(F.col("body"))
-    whole.select("source", body.alias("body")).repartition("source").write.option(
-        "maxRecordsPerFile", 1).partitionBy("source").text(f"{folder}/tree")
-    good, bad = R.read_json_tree(spark, f"{folder}/tree", "doc_id long, text string", "*.txt")
-    if bad.isEmpty():
-        raise ValueError("the broken files were not found")
-    return good.select("doc_id", "text", F.lit("good").alias("state"))
+    chunks = documents(spark, sf).groupBy(F.floor(F.col("doc_id") / 500).alias("chunk")).agg(
+        F.collect_list(F.struct("doc_id", "text")).alias("document"))
+    body = F.to_json(F.struct("chunk", "document"))
+    cut = F.when(F.col("chunk") % 3 == 1, F.substring(body, 1, 40)).otherwise(body)
+    chunks.select((F.col("chunk") % 8).alias("folder"), cut.alias("body")).write.option(
+        "maxRecordsPerFile", 1).partitionBy("folder").text(f"{folder}/tree")
+    good, bad = R.read_json_tree(
+        spark, f"{folder}/tree", "chunk long, document array<struct<doc_id long, text string>>",
+        "*.txt")
+    rows = explode_documents(good, "document", chunk=F.col("chunk"), doc_id=F.col("d.doc_id"),
+                             text=F.col("d.text"))
+    number = F.regexp_extract("content", r'"chunk":(\d+)', 1).cast("long")
+    return rows.unionByName(bad.select(
+        number.alias("chunk"), F.lit(None).cast("long").alias("doc_id"),
+        F.lit("broken").alias("text")))
 
 
 @query("SELECT item_id AS record, text, count(*) OVER () AS total FROM benchmark")
