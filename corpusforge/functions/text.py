@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusforge.values import HANGUL_CLASS, KEPT_CHARS, SPACE_CHARS, SPACE_CLASS, URL_PATTERN
+from corpusforge.functions.binding import let
+from corpusforge.values import (
+    EMOJI_CLASS,
+    HANGUL_CLASS,
+    KEPT_CHARS,
+    SPACE_CHARS,
+    SPACE_CLASS,
+    URL_PATTERN,
+)
 
 # Jamo in the order the syllable block U+AC00..U+D7A3 composes them.
 LEADS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -18,9 +26,12 @@ def trim(col: Column) -> Column:
     return F.regexp_replace(col, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
 
 
-def keep_charset(col: Column, charset: str = KEPT_CHARS) -> Column:
-    """Each run of characters outside ``charset`` becomes one space."""
-    return F.regexp_replace(col, f"[^{charset}]+", " ")
+def keep_charset(col: Column, charset: str = KEPT_CHARS, rare: str = EMOJI_CLASS) -> Column:
+    """Each run of characters outside ``charset`` and ``rare`` becomes one space.
+
+    The long list of rare ones is only looked at for characters not in the first.
+    """
+    return F.regexp_replace(col, f"[[^{charset}]&&[^{rare}]]+", " ")
 
 
 def strip_urls(col: Column) -> Column:
@@ -32,7 +43,7 @@ def collapse_repeats(col: Column, n: int = 2) -> Column:
 
     Runs of white space other than line breaks become one space, ends are trimmed.
     """
-    kept = F.regexp_replace(col, r"(?U)(\w)\1{2,}", "$1" * n) if n > 0 else col
+    kept = F.regexp_replace(col, r"([\p{L}\p{N}_])\1{2,}", "$1" * n) if n > 0 else col
     return trim(F.regexp_replace(kept, f"[{SPACE_CHARS}&&[^\\r\\n]]+", " "))
 
 
@@ -40,6 +51,28 @@ def _jamo(index: Column, table: str) -> Column:
     return F.substring(F.lit(table), index + 1, F.lit(1))
 
 
+def _unfold(window: Column) -> Column:
+    """One character with its neighbours, as ``normalize_emoticons`` rewrites it."""
+    before, char, after = window["before"], window["char"], window["after"]
+    code = F.ascii(char) - 0xAC00
+    lead = _jamo(F.floor(code / 588).cast("int"), LEADS)
+    vowel = _jamo(F.floor((code % 588) / 28).cast("int"), VOWELS)
+    tail = _jamo((code % 28).cast("int"), TAILS)
+    syllable = char.between("가", "힣")
+    consonant_before = before.between("ㄱ", "ㅎ")
+    return (
+        F.when(syllable & consonant_before & after.between("ㅏ", "ㅣ"),
+               F.when((lead == before) & (vowel == after) & (code % 28 == 0),
+                      F.concat(lead, vowel)).otherwise(char))
+        .when(syllable & after.between("ㄱ", "ㅎ"),
+              F.when(tail == after, F.concat(F.char(F.ascii(char) - code % 28), tail))
+              .otherwise(char))
+        .when(syllable & consonant_before,
+              F.when(lead == before, F.concat(lead, vowel)).otherwise(char))
+        .otherwise(char)
+    )
+
+
 def normalize_emoticons(col: Column, n: int = 2) -> Column:
     """Unfold a syllable typed into a run of jamo, then collapse the runs.
 
@@ -47,43 +80,26 @@ def normalize_emoticons(col: Column, n: int = 2) -> Column:
     it and its vowel the vowel after it, when its tail is the consonant after
     it, or when its lead is the consonant before it.
     """
-    chars = F.split(col, "")
-
-    def unfold(char: Column, at: Column) -> Column:
-        before, after = F.get(chars, at - 1), F.get(chars, at + 1)
-        code = F.ascii(char) - 0xAC00
-        syllable = char.between("가", "힣")
-        lead = _jamo(F.floor(code / 588).cast("int"), LEADS)
-        vowel = _jamo(F.floor((code % 588) / 28).cast("int"), VOWELS)
-        tail = _jamo((code % 28).cast("int"), TAILS)
-        consonant_before = before.between("ㄱ", "ㅎ")
-        consonant_after = after.between("ㄱ", "ㅎ")
-        vowel_after = after.between("ㅏ", "ㅣ")
-        return (
-            F.when(syllable & consonant_before & vowel_after,
-                   F.when((lead == before) & (vowel == after) & (code % 28 == 0),
-                          F.concat(lead, vowel)).otherwise(char))
-            .when(syllable & consonant_after,
-                  F.when(tail == after, F.concat(F.char(F.ascii(char) - code % 28), tail))
-                  .otherwise(char))
-            .when(syllable & consonant_before,
-                  F.when(lead == before, F.concat(lead, vowel)).otherwise(char))
-            .otherwise(char)
-        )
-
-    unfolded = F.when(
-        col.rlike(f"[{HANGUL_CLASS}]"), F.array_join(F.transform(chars, unfold), "")
-    ).otherwise(col)
-    return collapse_repeats(unfolded, n)
-
-
-def clean(col: Column, charset: str = KEPT_CHARS, n: int = 2) -> Column:
+    def unfolded(text: Column) -> Column:
+        windows = let(F.split(text, ""), lambda chars: F.arrays_zip(
+            F.concat(F.array(F.lit("")), chars).alias("before"),
+            chars.alias("char"),
+            F.slice(chars, F.lit(2), F.size(chars)).alias("after")))
+        named = F.filter(windows.cast("array<struct<before:string,char:string,after:string>>"),
+                         lambda w: w["char"].isNotNull())
+        return F.when(text.rlike(f"[{HANGUL_CLASS}]"),
+                      F.array_join(F.transform(named, _unfold), "")).otherwise(text)
+
+    return collapse_repeats(let(col, unfolded), n)
+
+
+def clean(col: Column, charset: str = KEPT_CHARS, rare: str = EMOJI_CLASS, n: int = 2) -> Column:
     """Character filter, URL removal, trim, repeat and emoticon collapsing, in this order.
 
     The character filter runs first, so jamo vowels outside syllables are lost
     before emoticons are looked at, and a URL ends at its first lost character.
     """
-    kept = trim(strip_urls(keep_charset(col, charset)))
+    kept = trim(strip_urls(keep_charset(col, charset, rare)))
     return normalize_emoticons(collapse_repeats(kept, n), n)
 
 

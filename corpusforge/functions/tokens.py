@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusforge.functions.binding import let
 from corpusforge.values import IGNORE_LABEL, SPACE_CLASS
 
 
@@ -34,10 +35,11 @@ def truncate(col: Column, n: int | Column, side: str = "right") -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of a token array, none for shorter arrays."""
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(
+    if n == 1:
+        return F.transform(tokens, lambda t: F.array(t))
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(tokens, i, n))
+    return let(tokens, lambda bound: F.transform(starts, lambda i: F.slice(bound, i, n)))
 
 
 def padded_length(n: int | Column, multiple: int | None) -> int | Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators.ordered import hash_key, rank_in_order
 from corpusforge.operators.overlap import PARTS
+from corpusforge.session import cut_lineage
 
 PRIME = 2**31 - 1
 EXACT_ROWS = 10_000
@@ -63,8 +64,9 @@ def replicate_means(scores: DataFrame, types: Sequence[str], key: str, n_samples
         return weighted.where(F.col("_w") > 0).groupBy("replicate").agg(*[
             (F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(n) for n in names])
 
-    rows = rank_in_order(scores.select(key, *columns), [], [key], "_row").drop(key)
-    n = rows.count()
+    kept = cut_lineage(scores.select(key, *columns))
+    rows = rank_in_order(kept, [], [key], "_row").drop(key)
+    n = kept.count()
     draws = scores.sparkSession.range(n_samples * n).select(
         F.floor(F.col("id") / n).alias("replicate"),
         F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("_row"))
@@ -84,6 +86,7 @@ def bootstrap(scores: DataFrame, types: Sequence[str], key: str, confidence: flo
     if n_samples <= 0:
         raise ValueError("n_samples must be positive")
     if method == "auto":
+        scores = cut_lineage(scores.select(key, *types))
         few = scores.select(key).limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
         method = "exact" if few else "poisson"
     means = replicate_means(scores, types, key, n_samples, seed, method)

@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.functions.binding import let
 from corpusforge.functions.text import mark_speakers, speaker_count, trim
 from corpusforge.operators.ordered import (
-    broadcast_if_small,
     natural_slices,
     previous_value,
-    rank_in_order,
+    running_total,
     running_totals,
 )
 
@@ -90,10 +90,11 @@ def merge_turns(df: DataFrame, conv: str, order: Sequence[str], speaker: str, te
 def index_speakers(df: DataFrame, scope: Sequence[str], order: Sequence[str], speaker: str,
                    out: str = "speaker_index", **options: int) -> DataFrame:
     """Number the speakers of a scope (a file) by their first appearance, from 0."""
+    slices = natural_slices(df, scope, order, **options)
     first = df.groupBy(*scope, speaker).agg(F.min(F.struct(*order)).alias("_first"))
-    first = first.select(*scope, speaker, "_first.*")
-    numbered = rank_in_order(first, scope, order, out, **options)
-    return df.join(broadcast_if_small(numbered.drop(*order)), [*scope, speaker])
+    numbered = running_total(first.select(*scope, speaker, "_first.*"), scope, order,
+                             F.lit(1).cast("long"), out, slices)
+    return df.join(numbered.drop(*order, "_slice"), [*scope, speaker])
 
 
 def render_dialog(df: DataFrame, conv: str, order: Sequence[str], speaker: str, text: str,
@@ -182,7 +183,6 @@ def split_utterances(col: Column, marks: Sequence[str], compat: bool = False) ->
     escaped = "|".join("\\Q" + m + "\\E" for m in marks)
     pieces = F.filter(F.split(col, f"(?={escaped})", -1), lambda p: p.rlike(f"^(?:{escaped})"))
     if compat:
-        last = F.size(pieces) - 1
-        pieces = F.transform(pieces, lambda p, i: F.when(
-            i == last, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p))
+        pieces = let(pieces, lambda whole: F.transform(whole, lambda p, i: F.when(
+            i == F.size(whole) - 1, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)))
     return F.filter(F.transform(pieces, trim), lambda p: p != "")

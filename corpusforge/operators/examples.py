@@ -47,14 +47,15 @@ def mask_turns(df: DataFrame, utterances: str, ids: str, bot_mark: str, max_leng
     Each utterance is cut to ``max_length``, bot utterances end with ``eos``, and
     the row is cut to ``max_length`` again.
     """
-    def turn(tokens: Column, at: Column) -> Column:
-        cut = truncate(tokens, max_length)
-        bot = F.startswith(F.get(F.col(utterances), at), F.lit(bot_mark))
+    def turn(both: Column) -> Column:
+        cut = truncate(both["ids"], max_length)
+        bot = F.startswith(both["text"], F.lit(bot_mark))
         closed = F.concat(cut, F.array(F.lit(eos)))
         return F.when(bot, F.struct(closed.alias("ids"), closed.alias("labels"))).otherwise(
             F.struct(cut.alias("ids"), ignored(cut).alias("labels")))
 
-    turns = df.withColumn("_turns", F.transform(ids, turn))
+    both = F.arrays_zip(F.col(utterances).alias("text"), F.col(ids).alias("ids"))
+    turns = df.withColumn("_turns", F.transform(both, turn))
 
     def row(field: str) -> Column:
         return truncate(F.flatten(F.transform("_turns", lambda t: t[field])), max_length)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,18 +18,26 @@ def length_profile(df: DataFrame, length: str) -> DataFrame:
 
 
 def length_histogram(df: DataFrame, length: str, bins: int = 20) -> DataFrame:
-    """Counts of equal-width bins from minimum to maximum; the last bin is closed."""
-    low, high = df.agg(F.min(length), F.max(length)).first()
-    spark = df.sparkSession
-    if low is None:
-        return spark.createDataFrame([], "bin int, begin double, end double, count long")
-    width = (high - low) or 1
-    at = F.least(F.floor((F.col(length) - low) * bins / width), F.lit(bins - 1))
-    counts = df.where(F.col(length).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(
-        F.count("*").alias("count"))
-    edges = spark.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(float(low)) + F.col("id") * width / bins).alias("begin"),
-        (F.lit(float(low)) + (F.col("id") + 1) * width / bins).alias("end"))
-    return edges.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "begin", "end", F.coalesce("count", F.lit(0)).alias("count"))
+    """Counts of equal-width bins from minimum to maximum; the last bin is closed.
+
+    The rows are counted by length first; the bins are made from those counts, as
+    many rows as there are different lengths.
+    """
+    everything = Window.partitionBy()
+    counts = (
+        df.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("n"))
+        .agg(F.count("*").alias("rows"))
+        .withColumns({"low": F.min("n").over(everything), "high": F.max("n").over(everything)})
+        .withColumn("width", F.greatest(F.col("high") - F.col("low"), F.lit(1)))
+    )
+    at = F.least(F.floor((F.col("n") - F.col("low")) * bins / F.col("width")), F.lit(bins - 1))
+    own = F.array(F.struct(at.cast("int").alias("bin"), F.col("rows").alias("rows")))
+    empty = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(
+        b.alias("bin"), F.lit(0).cast("long").alias("rows")))
+    cells = F.when(F.col("n") == F.col("low"), F.concat(own, empty)).otherwise(own)
+    edge = F.col("low") + F.col("bin") * F.col("width") / bins
+    return (
+        counts.select("low", "width", F.explode(cells).alias("c"))
+        .groupBy("low", "width", "c.bin").agg(F.sum("c.rows").alias("count"))
+        .select("bin", edge.alias("begin"), (edge + F.col("width") / bins).alias("end"), "count")
+    )

@@ -166,7 +166,11 @@ def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank", keys: Seque
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays under ``max_rows``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """``df`` as a local table with a broadcast hint, if it has at most ``max_rows`` rows.
+
+    Reads no more than that; a larger table comes back as it is, without a hint.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

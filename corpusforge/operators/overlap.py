@@ -47,8 +47,10 @@ def _ngram_scores(df: DataFrame, key: Sequence[str], ns: Sequence[int]) -> DataF
     n-grams are never shuffled.
     """
     def side(tokens: str, n: int, target: int) -> Column:
-        return F.transform(ngrams(F.col(tokens), n), lambda g: F.struct(
-            F.lit(n).alias("n"), F.array_join(g, "\x1f").alias("gram"),
+        grams = F.col(tokens) if n == 1 else F.transform(
+            ngrams(F.col(tokens), n), lambda g: F.array_join(g, "\x1f"))
+        return F.transform(grams, lambda g: F.struct(
+            F.lit(n).alias("n"), g.alias("gram"),
             F.lit(target).alias("t"), F.lit(1 - target).alias("p")))
 
     grams = F.concat(*[side(tokens, n, target) for n in ns

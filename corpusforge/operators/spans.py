@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusforge.functions.binding import let
+
 BIN = 64
 WORD = re.compile(r"\S+")
 OFFSETS = T.ArrayType(T.StructType([
@@ -35,9 +37,9 @@ def label_tokens(tokens: Column, spans: Column, threshold: float = 0.5) -> Colum
     ``tokens`` are ``{begin, end}``, ``spans`` are ``{begin, end, prob}``. Both ends
     count, so a token starting where a span ends is labelled.
     """
-    likely = F.filter(spans, lambda s: s["prob"] >= threshold)
-    return F.transform(tokens, lambda t: F.exists(
-        likely, lambda s: (t["end"] >= s["begin"]) & (t["begin"] <= s["end"])).cast("int"))
+    return let(F.filter(spans, lambda s: s["prob"] >= threshold), lambda likely: F.transform(
+        tokens, lambda t: F.exists(likely, lambda s: (
+            t["end"] >= s["begin"]) & (t["begin"] <= s["end"])).cast("int")))
 
 
 def _binned(df: DataFrame) -> DataFrame:

@@ -145,7 +145,11 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
 def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
                min_frequency: int = MIN_FREQUENCY,
                special: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
-    """Vocabulary of white space words: special tokens, then words by falling count."""
+    """Vocabulary of white space words: special tokens, then words by falling count.
+
+    A local table of at most ``vocab_size`` rows, so that using it twice does not
+    count the corpus twice.
+    """
     room = vocab_size - len(special)
     counted = (
         df.select(F.explode(words(F.col(text))).alias("piece"))
@@ -154,8 +158,8 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
     )
     place = F.row_number().over(Window.orderBy(F.desc("n"), "piece"))
     learned = counted.select((place + (len(special) - 1)).cast("int").alias("id"), "piece")
-    named = df.sparkSession.createDataFrame(list(enumerate(special)), "id int, piece string")
-    return named.unionByName(learned)
+    pieces = [*enumerate(special), *map(tuple, learned.collect())]
+    return df.sparkSession.createDataFrame(pieces, "id int, piece string")
 
 
 def add_special(vocab: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from corpusforge.functions.templates import apply_template
 from corpusforge.operators import schema as S
 from corpusforge.operators.dialog import assemble_documents
 from corpusforge.plans.registry import documents, query, table, trim_sql
-from corpusforge.values import CLASS_LABELS, KEPT_CHARS, URL_PATTERN
+from corpusforge.values import CLASS_LABELS, EMOJI_CLASS, KEPT_CHARS, URL_PATTERN
 
 LANGS = ["en", "fr", "de", "es"]
 LATIN = "a-zA-Z"
@@ -133,7 +133,7 @@ def has_supervision(spark, sf):
 
 
 @query(f"""
-SELECT doc_id, regexp_replace(text, {sql_text(f"[^{KEPT_CHARS}]+")}, ' ', 'g') AS text
+SELECT doc_id, regexp_replace(text, {sql_text(f"[^{KEPT_CHARS}{EMOJI_CLASS}]+")}, ' ', 'g') AS text
 FROM documents
 """)
 def keep_charset(spark, sf):
@@ -154,7 +154,7 @@ def strip_urls(spark, sf):
 
 COLLAPSED = r"""
 array_to_string(list_filter({chars}, lambda c, i: NOT (i > 2 AND c = {chars}[i - 1]
-    AND c = {chars}[i - 2] AND regexp_matches(c, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]'))), '')
+    AND c = {chars}[i - 2] AND regexp_matches(c, '[\p{{L}}\p{{N}}_]'))), '')
 """
 
 
@@ -170,7 +170,7 @@ def collapse_repeats(spark, sf):
 
 @query(rf"""
 WITH k AS (SELECT doc_id, {trim_sql(
-    f"regexp_replace(regexp_replace(text, {sql_text(f'[^{KEPT_CHARS}]+')}, ' ', 'g'), "
+    f"regexp_replace(regexp_replace(text, {sql_text(f'[^{KEPT_CHARS}{EMOJI_CLASS}]+')}, ' ', 'g'), "
     f"{sql_text(URL_PATTERN)}, '', 'g')")} AS text FROM documents),
 c AS (SELECT doc_id, string_split(text, '') AS chars FROM k),
 r AS (SELECT doc_id, {COLLAPSED.format(chars="chars")} AS text FROM c)
