@@ -51,6 +51,10 @@ def _jamo(index: Column, table: str) -> Column:
     return F.substring(F.lit(table), index + 1, F.lit(1))
 
 
+def _syllable(code: Column) -> Column:
+    return F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+
+
 def _unfold(window: Column) -> Column:
     """One character with its neighbours, as ``normalize_emoticons`` rewrites it."""
     before, char, after = window["before"], window["char"], window["after"]
@@ -65,7 +69,7 @@ def _unfold(window: Column) -> Column:
                F.when((lead == before) & (vowel == after) & (code % 28 == 0),
                       F.concat(lead, vowel)).otherwise(char))
         .when(syllable & after.between("ㄱ", "ㅎ"),
-              F.when(tail == after, F.concat(F.char(F.ascii(char) - code % 28), tail))
+              F.when(tail == after, F.concat(_syllable(F.ascii(char) - code % 28), tail))
               .otherwise(char))
         .when(syllable & consonant_before,
               F.when(lead == before, F.concat(lead, vowel)).otherwise(char))

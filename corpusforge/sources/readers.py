@@ -28,12 +28,12 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType | str,
         schema = T.StructType.fromDDL(schema)
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     )
-    parsed = files.withColumn("_row", F.from_json("content", full, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    row = F.from_json("content", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    # Opening an array of one row parses it once, however often it is looked at.
+    parsed = files.withColumn("_row", F.explode(F.array(row)))
     fine = F.col("_row").isNotNull() & F.col(f"_row.{BAD}").isNull()
     good = parsed.where(fine).select("_row.*", "file").drop(BAD)
     bad = parsed.where(~fine).select("file", "content")
