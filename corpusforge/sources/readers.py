@@ -22,7 +22,7 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType | str,
     """One row per JSON file below ``root`` as ``(good, bad)``.
 
     A file that does not parse goes to ``bad`` (``file``, ``content``) and the
-    job goes on.
+    job goes on. Spark does not read files of length 0, so they are in neither.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
