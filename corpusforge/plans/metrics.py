@@ -99,12 +99,12 @@ def token_metrics(spark, sf):
 def losses(spark, sf):
     events = table(spark, sf, "events")
     return events.select("event_type", F.floor(F.col("event_id") / 64).alias("batch"),
-                         (F.col("value") / 100).alias("loss"))
+                         (F.col("value") / 97.0131).alias("loss"))
 
 
 @query("""
 SELECT round(avg(loss), 6) AS loss FROM (
-  SELECT avg(value / 100) AS loss FROM events GROUP BY event_type, event_id // 64)
+  SELECT avg(value / 97.0131) AS loss FROM events GROUP BY event_type, event_id // 64)
 """)
 def mean_loss(spark, sf):
     return rounded(X.mean_loss(losses(spark, sf), ["event_type", "batch"]), "loss")
@@ -112,15 +112,15 @@ def mean_loss(spark, sf):
 
 @query("""
 SELECT round(avg(loss), 6) AS loss, round(exp(avg(loss)), 6) AS perplexity FROM (
-  SELECT avg(value / 100) AS loss FROM events GROUP BY event_type, event_id // 64)
+  SELECT avg(value / 97.0131) AS loss FROM events GROUP BY event_type, event_id // 64)
 """)
 def perplexity(spark, sf):
     return rounded(X.perplexity(losses(spark, sf), ["event_type", "batch"]), "loss", "perplexity")
 
 
 @query("""
-SELECT event_type, event_id // 64 AS batch, round(avg(value / 100), 6) AS loss,
-       round(exp(avg(value / 100)), 6) AS perplexity
+SELECT event_type, event_id // 64 AS batch, round(avg(value / 97.0131), 6) AS loss,
+       round(exp(avg(value / 97.0131)), 6) AS perplexity
 FROM events GROUP BY 1, 2
 """)
 def batch_perplexity(spark, sf):
@@ -146,13 +146,14 @@ def preference_metrics(spark, sf):
 
 
 @query("""
-SELECT 'eval/l_quantity' AS name, round(avg(l_quantity), 6) AS value, count(*) AS steps FROM lineitem
-UNION ALL SELECT 'eval/l_discount', round(avg(l_discount), 6), count(*) FROM lineitem
-UNION ALL SELECT 'eval/l_tax', round(avg(l_tax), 6), count(*) FROM lineitem
+SELECT 'eval/l_quantity' AS name, round(avg(l_quantity), 10) AS value, count(*) AS steps FROM lineitem
+UNION ALL SELECT 'eval/l_discount', round(avg(l_discount), 10), count(*) FROM lineitem
+UNION ALL SELECT 'eval/l_tax', round(avg(l_tax), 10), count(*) FROM lineitem
 """)
 def collated_metrics(spark, sf):
     steps = table(spark, sf, "lineitem")
-    return rounded(X.collate(steps, ["l_quantity", "l_discount", "l_tax"]), "value")
+    means = X.collate(steps, ["l_quantity", "l_discount", "l_tax"])
+    return means.withColumn("value", F.round("value", 10))
 
 
 @query("""

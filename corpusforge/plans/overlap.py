@@ -31,7 +31,7 @@ def pairs(spark, sf, references: int = 1):
 
 def rounded(df, *types):
     """Score structs as columns ``{type}_p``, ``{type}_r``, ``{type}_f``."""
-    return [F.round(F.col(t)[p], 6).alias(f"{t}_{p[0]}") for t in types for p in PARTS]
+    return [F.round(F.col(t)[p], 10).alias(f"{t}_{p[0]}") for t in types for p in PARTS]
 
 
 def tokens_sql(text: str) -> str:
@@ -84,8 +84,8 @@ def ngram_counts(spark, sf):
 
 @query(f"""
 WITH {pairs_sql()}, {score_sql("r1", 1)}, {score_sql("r2", 2)}
-SELECT doc_id, round(a.pr, 6) AS rouge1_p, round(a.re, 6) AS rouge1_r, round(a.f, 6) AS rouge1_f,
-       round(b.pr, 6) AS rouge2_p, round(b.re, 6) AS rouge2_r, round(b.f, 6) AS rouge2_f
+SELECT doc_id, round(a.pr, 10) AS rouge1_p, round(a.re, 10) AS rouge1_r, round(a.f, 10) AS rouge1_f,
+       round(b.pr, 10) AS rouge2_p, round(b.re, 10) AS rouge2_r, round(b.f, 10) AS rouge2_f
 FROM r1 a JOIN r2 b USING (doc_id)
 """)
 def rouge_ngrams(spark, sf):
@@ -115,8 +115,9 @@ hits AS (SELECT doc_id, len(k) AS h, len(t) AS nt, len(p) AS np
 
 @query(f"""
 WITH RECURSIVE {LCS}
-SELECT doc_id, round(h / np, 6) AS "rougeL_p", round(h / nt, 6) AS "rougeL_r",
-       round(2 * h / (np + nt), 6) AS "rougeL_f"
+SELECT doc_id, round(h / np, 10) AS "rougeL_p", round(h / nt, 10) AS "rougeL_r",
+       round(CASE WHEN h > 0 THEN 2 * (h / np) * (h / nt) / (h / np + h / nt) ELSE 0 END, 10)
+       AS "rougeL_f"
 FROM hits
 """)
 def rouge_lcs(spark, sf):
@@ -142,7 +143,7 @@ def rouge_stemmed(spark, sf):
 WITH {pairs_sql(3)}, {score_sql("r1", 1)},
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, reference) AS place
          FROM r1)
-SELECT doc_id, round(pr, 6) AS rouge1_p, round(re, 6) AS rouge1_r, round(f, 6) AS rouge1_f
+SELECT doc_id, round(pr, 10) AS rouge1_p, round(re, 10) AS rouge1_r, round(f, 10) AS rouge1_f
 FROM best WHERE place = 1
 """)
 def rouge_references(spark, sf):

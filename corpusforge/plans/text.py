@@ -182,14 +182,14 @@ def clean_text(spark, sf):
 
 
 @query(f"""
-SELECT doc_id, round(1 - length(regexp_replace(text, '[{LATIN}]+', '', 'g')) / length(text), 6)
+SELECT doc_id, round(1 - length(regexp_replace(text, '[{LATIN}]+', '', 'g')) / length(text), 10)
        AS ratio
 FROM documents
 WHERE 1 - length(regexp_replace(text, '[{LATIN}]+', '', 'g')) / length(text) > 0.75
 """)
 def script_filter(spark, sf):
     kept = S.filter_script(documents(spark, sf), 0.75, char_class=LATIN)
-    return kept.select("doc_id", F.round(T.script_ratio(F.col("text"), LATIN), 6).alias("ratio"))
+    return kept.select("doc_id", F.round(T.script_ratio(F.col("text"), LATIN), 10).alias("ratio"))
 
 
 @query(rf"""
