@@ -25,8 +25,7 @@ def length_histogram(df: DataFrame, length: str, bins: int = 20) -> DataFrame:
     """
     everything = Window.partitionBy()
     counts = (
-        df.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("n"))
-        .agg(F.count("*").alias("rows"))
+        df.groupBy(F.col(length).alias("n")).agg(F.count(length).alias("rows"))
         .withColumns({"low": F.min("n").over(everything), "high": F.max("n").over(everything)})
         .withColumn("width", F.greatest(F.col("high") - F.col("low"), F.lit(1)))
     )
@@ -38,6 +37,7 @@ def length_histogram(df: DataFrame, length: str, bins: int = 20) -> DataFrame:
     edge = F.col("low") + F.col("bin") * F.col("width") / bins
     return (
         counts.select("low", "width", F.explode(cells).alias("c"))
+        .where(F.col("c.bin").isNotNull())
         .groupBy("low", "width", "c.bin").agg(F.sum("c.rows").alias("count"))
         .select("bin", edge.alias("begin"), (edge + F.col("width") / bins).alias("end"), "count")
     )

@@ -8,8 +8,8 @@ whole, and that size is checked.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +24,7 @@ PRETOKEN = (r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
             r"|\s+(?!\S)|\s+")
 MAX_VOCAB = 1 << 20
 CANDIDATES = 512
-ROUNDS_PER_CHECKPOINT = 8
+MERGES_PER_CHECKPOINT = 64
 
 
 def byte_chars() -> dict[int, str]:
@@ -82,6 +82,30 @@ def _disjoint(candidates: list, exact: bool) -> list[tuple[int, int]]:
     return taken
 
 
+def _rewritten(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """The table after some merges, applied in their order.
+
+    The merges are one constant array, so that every round runs the same compiled plan.
+    """
+    if not merges:
+        return types
+    old, new = (" ".join(m[i] for m in merges) for i in (0, 1))
+    return types.selectExpr(
+        f"aggregate(arrays_zip(split('{old}', ' '), split('{new}', ' ')), symbols, "
+        "(s, m) -> replace(s, m.`0`, m.`1`)) AS symbols", "n")
+
+
+def _pair_counts(types: DataFrame) -> DataFrame:
+    """Adjacent symbol ids ``a, b`` with the number of their occurrences ``n``."""
+    return (
+        types.selectExpr("split(substring(symbols, 2, length(symbols) - 2), '><') AS s", "n")
+        .selectExpr(
+            "n", "explode(arrays_zip(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1))) AS p")
+        .groupBy("p.0", "p.1").agg(F.sum("n").alias("n"))
+        .selectExpr("CAST(`0` AS INT) AS a", "CAST(`1` AS INT) AS b", "n")
+    )
+
+
 def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
               min_frequency: int = MIN_FREQUENCY, special: Sequence[str] = SPECIAL_TOKENS,
               exact: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -109,33 +133,22 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
         .select(symbols.alias("symbols"), "n"))
 
-    rounds = 0
+    pending: list[tuple[str, str]] = []
     while len(pieces) < vocab_size:
-        parts = F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), "><")
-        pairs = (
-            types.where(F.col("symbols").contains("><")).select(parts.alias("s"), "n")
-            .select("n", F.explode(F.arrays_zip(
-                F.slice("s", F.lit(1), F.size("s") - 1).alias("a"),
-                F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
-        )
-        top = (
-            pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= max(min_frequency, 1))
-            .select(F.col("a").cast("int"), F.col("b").cast("int"), "n")
-            .orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
-        )
+        top = _pair_counts(_rewritten(types, pending)).where(
+            F.col("n") >= max(min_frequency, 1)
+        ).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
         taken = _disjoint(top, exact)[: vocab_size - len(pieces)]
         if not taken:
             break
-        column = F.col("symbols")
         for a, b in taken:
-            column = F.replace(column, F.lit(f"<{a}><{b}>"), F.lit(f"<{len(pieces)}>"))
+            pending.append((f"<{a}><{b}>", f"<{len(pieces)}>"))
             merges.append((a, b))
             pieces.append(pieces[a] + pieces[b])
-        types = types.select(column.alias("symbols"), "n")
-        rounds += 1
-        if rounds % ROUNDS_PER_CHECKPOINT == 0:
-            types = cut_lineage(types.where(F.col("symbols").contains("><")))
+        if len(pending) >= MERGES_PER_CHECKPOINT:
+            rewritten = _rewritten(types, pending)
+            types = cut_lineage(rewritten.where(F.col("symbols").contains("><")))
+            pending = []
 
     vocab = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")
     ranked = [(r, pieces[a], pieces[b]) for r, (a, b) in enumerate(merges)]
@@ -194,19 +207,23 @@ def word_encoder(vocab: DataFrame, unknown: str = "<unk>"):
     def lookup(tokens: pa.Array) -> pa.Array:
         known = shared.value
         other = known.get(unknown)
-        flat = [known.get(t, other) for t in tokens.flatten().to_pylist()]
-        return _as_lists(tokens, flat)
+        return _by_token(tokens, lambda t: [known.get(t, other)])
 
     return lookup
 
 
-def _as_lists(like: pa.Array, values: list, counts: list[int] | None = None) -> pa.Array:
-    """Int lists with the given lengths, by default those of ``like``."""
-    counts = counts or [n or 0 for n in pc.list_value_length(like).to_pylist()]
-    borders = [0]
-    for n in counts:
-        borders.append(borders[-1] + n)
-    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values, pa.int32()))
+def _by_token(tokens: pa.Array, encode) -> pa.Array:
+    """Ids of string lists, calling ``encode`` once per distinct token of the batch."""
+    counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    borders = np.concatenate([[0], np.cumsum(counts)])
+    codes = tokens.flatten().dictionary_encode()
+    distinct = [encode(t) for t in codes.dictionary.to_pylist()]
+    if not distinct:
+        return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array([], pa.int32()))
+    ids = pa.array(distinct, pa.list_(pa.int32())).take(codes.indices)
+    places = np.asarray(ids.offsets)
+    return pa.ListArray.from_arrays(
+        pa.array(places[borders] - places[0], pa.int32()), ids.flatten())
 
 
 def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -230,8 +247,8 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
 def bpe_encoder(vocab: DataFrame, merges: DataFrame, special: Sequence[str] = SPECIAL_TOKENS):
     """Function from a text column to an id array column.
 
-    Pre-tokens come from a column expression; each task merges a pre-token the
-    first time it meets it and remembers the ids.
+    Pre-tokens come from a column expression; each batch merges every distinct
+    pre-token once, in place, so no token is ever shuffled.
     """
     ids = {r["piece"]: r["id"] for r in _table(vocab, "id", "piece")}
     ranks = {(r["left"], r["right"]): r["rank"] for r in _table(merges, "rank", "left", "right")}
@@ -243,20 +260,13 @@ def bpe_encoder(vocab: DataFrame, merges: DataFrame, special: Sequence[str] = SP
         known, order, names = shared.value
         chars = byte_chars()
 
-        @lru_cache(maxsize=1 << 18)
         def encoded(token: str) -> list[int]:
             if token in names:
                 return [known[token]]
             symbols = [chars[b] for b in token.encode("utf-8")]
             return [known[s] for s in merge_word(symbols, order)]
 
-        values, counts = [], []
-        for row in tokens.to_pylist():
-            before = len(values)
-            for token in row or ():
-                values.extend(encoded(token))
-            counts.append(len(values) - before)
-        return _as_lists(tokens, values, counts)
+        return _by_token(tokens, encoded)
 
     return lambda text: lookup(pretokens(text, present))
 

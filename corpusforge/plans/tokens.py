@@ -96,16 +96,18 @@ def word_vocabulary(spark, sf):
 @query(f"""WITH {WORD_VOCAB},
 w AS (SELECT doc_id, unnest(tok) AS piece, unnest(range(len(tok))) AS pos
       FROM (SELECT doc_id, {words_sql("text")} AS tok FROM documents))
-SELECT w.doc_id, string_agg(coalesce(v.id, 5), ' ' ORDER BY pos) AS input_ids,
-       string_agg(coalesce(v.piece, '<unk>'), ' ' ORDER BY pos) AS decoded
-FROM w LEFT JOIN vocab v ON v.piece = w.piece GROUP BY w.doc_id
+SELECT d.doc_id, coalesce(input_ids, '') AS input_ids, coalesce(decoded, '') AS decoded
+FROM documents d LEFT JOIN (
+  SELECT w.doc_id, string_agg(coalesce(v.id, 5), ' ' ORDER BY pos) AS input_ids,
+         string_agg(coalesce(v.piece, '<unk>'), ' ' ORDER BY pos) AS decoded
+  FROM w LEFT JOIN vocab v ON v.piece = w.piece GROUP BY w.doc_id) USING (doc_id)
 """)
 def encoded_words(spark, sf):
     docs = documents(spark, sf)
     vocab = V.word_vocab(docs, vocab_size=2000)
     encode = V.word_encoder(vocab)
     ids = docs.select("doc_id", encode(K.words(F.col("text"))).alias("ids"))
-    return ids.where(F.size("ids") > 0).select(
+    return ids.select(
         "doc_id", joined("ids").alias("input_ids"),
         V.decode_words(F.col("ids"), vocab).alias("decoded"))
 
@@ -249,11 +251,11 @@ def span_labels(spark, sf):
 
 
 @query(f"""WITH {SPANS}, {WORD_PLACES}
-SELECT p.doc_id, count(DISTINCT pos) AS tokens, count(DISTINCT CASE WHEN s_begin IS NOT NULL
+SELECT d.doc_id, count(DISTINCT pos) AS tokens, count(DISTINCT CASE WHEN s_begin IS NOT NULL
        THEN pos END) AS labelled
-FROM places p LEFT JOIN spans s ON s.doc_id = p.doc_id AND prob >= 0.5
+FROM documents d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = p.doc_id AND prob >= 0.5
      AND w_end >= s_begin AND s_end >= begin
-GROUP BY p.doc_id
+GROUP BY d.doc_id
 """)
 def span_labels_in_row(spark, sf):
     """Spans that come with their text, as a field of the row (three per document)."""
@@ -263,7 +265,7 @@ def span_labels_in_row(spark, sf):
     tokens = docs.select("doc_id", N.word_offsets("text").alias("tokens"))
     labels = N.label_tokens(F.col("tokens"), F.col("spans"))
     labelled = tokens.join(spans, "doc_id").select("doc_id", labels.alias("labels"))
-    return labelled.where(F.size("labels") > 0).select(
+    return labelled.select(
         "doc_id", F.size("labels").alias("tokens"),
         F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("labelled"))
 
