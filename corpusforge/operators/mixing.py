@@ -62,16 +62,20 @@ def concat_sources(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def _repeated(ranked: DataFrame, rank: str, size: str, limit: str, out: str) -> DataFrame:
+def _repeated(ranked: DataFrame, rank: str, size: str, limit: str, out: str,
+              most: float) -> DataFrame:
     """Repeat row ``rank`` of ``size`` at ``rank, rank + size, ..`` below ``limit``.
 
-    A short source beside a long one repeats often, so the copies are made in
-    chunks that are spread over the tasks before they are opened.
+    ``most`` is the highest ``limit / size``. Where a short source beside a long one
+    repeats very often, its copies are made in chunks that are spread over the
+    tasks before they are opened.
     """
     copies = F.ceil((F.col(limit) - F.col(rank)) / F.col(size))
     chunks = ranked.withColumn("_copies", copies).where(F.col("_copies") > 0).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
                                        F.floor((F.col("_copies") - 1) / COPIES_PER_CHUNK))))
+    if most > COPIES_PER_CHUNK:
+        chunks = chunks.repartition("_chunk", rank)
     low = F.col("_chunk") * COPIES_PER_CHUNK
     high = F.least(F.col("_copies"), low + COPIES_PER_CHUNK) - 1
     return (
@@ -94,8 +98,9 @@ def interleave(df: DataFrame, source: str, order: Sequence[str], **options: int)
         source, "_size", longest.alias("_longest"), counts.alias("_sources"),
         (F.row_number().over(Window.orderBy(source)) - 1).alias("_turn"))
     ranked = rank_in_order(df, [source], order, "_rank", **options)
-    sized = ranked.join(broadcast_if_small(turns), source)
-    rounds = _repeated(sized, "_rank", "_size", "_longest", "_round")
+    turns = broadcast_if_small(turns)
+    most = turns.agg(F.max(F.col("_longest") / F.col("_size"))).first()[0] or 0
+    rounds = _repeated(ranked.join(turns, source), "_rank", "_size", "_longest", "_round", most)
     return rounds.withColumn(
         "position", F.col("_round") * F.col("_sources") + F.col("_turn")
     ).drop("_size", "_longest", "_sources", "_turn", "_rank", "_round")
@@ -132,7 +137,8 @@ def weighted_mix(df: DataFrame, source: str, key: str, weights: DataFrame, n: in
     sizes = df.groupBy(source).agg(F.count("*").alias("_size"))
     plan = broadcast_if_small(sizes.join(quotas, source))
     ranked = hash_rank(df, key, seed, "_rank", [source])
-    return _repeated(ranked.join(plan, source), "_rank", "_size", "_quota", "draw").drop(
+    most = plan.agg(F.max(F.col("_quota") / F.col("_size"))).first()[0] or 0
+    return _repeated(ranked.join(plan, source), "_rank", "_size", "_quota", "draw", most).drop(
         "_rank", "_size", "_quota")
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
-from corpusforge.operators.overlap import align_records
+from corpusforge.operators.ordered import rank_in_order
+from corpusforge.operators.overlap import align_records, rouge
 from corpusforge.operators.schema import explode_documents
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, blocks_sql, ids_sql, word_ids
@@ -100,15 +101,23 @@ def json_tree(spark, sf):
         F.lit("broken").alias("text")))
 
 
+def ordered_passages(spark, sf):
+    """Benchmark passages in files of consecutive ids."""
+    passages = table(spark, sf, "benchmark").select("item_id", "text")
+    return passages.repartitionByRange(4, "item_id").sortWithinPartitions("item_id")
+
+
 @query("SELECT item_id AS record, text, count(*) OVER () AS total FROM benchmark")
 def delimited_records(spark, sf):
     """Records of files with a delimiter of several characters, numbered across files."""
     folder = scratch(spark)
-    table(spark, sf, "benchmark").select("item_id", "text").coalesce(1).orderBy("item_id").select(
-        "text").write.option("lineSep", "<END>").text(f"{folder}/records")
+    ordered_passages(spark, sf).select("text").write.option("lineSep", "<END>").text(
+        f"{folder}/records")
     records = R.read_records(spark, f"{folder}/records/*.txt", "<END>")
     total = records.count()
-    return records.select("record", "text", F.lit(total).alias("total"))
+    ranked = rank_in_order(records.drop("path").withColumnRenamed("record", "place"), [],
+                           ["file", "place"], "record")
+    return ranked.select("record", "text", F.lit(total).alias("total"))
 
 
 @query("""
@@ -116,12 +125,14 @@ SELECT item_id AS record, text AS target, 'so: ' || text AS prediction FROM benc
 """)
 def aligned_records(spark, sf):
     folder = scratch(spark)
-    passages = table(spark, sf, "benchmark").coalesce(1).orderBy("item_id")
+    passages = ordered_passages(spark, sf).persist()
     passages.select("text").write.option("lineSep", "<END>").text(f"{folder}/a")
     passages.select(F.concat(F.lit("so: "), "text")).write.option("lineSep", "<END>").text(f"{folder}/b")
+    passages.unpersist()
     both = align_records(R.read_records(spark, f"{folder}/a/*.txt", "<END>"),
                          R.read_records(spark, f"{folder}/b/*.txt", "<END>"))
-    return both.select("record", "target", "prediction")
+    return rank_in_order(both.withColumnRenamed("record", "place"), [], ["file", "place"],
+                         "record").select("record", "target", "prediction")
 
 
 @query()
@@ -145,8 +156,6 @@ SELECT doc_id, printf('%.6f', 1.0) AS "rouge1-P" FROM documents
 """)
 def score_table(spark, sf):
     """Scores of documents against themselves, through the per-example CSV."""
-    from corpusforge.operators.overlap import rouge
-
     folder = scratch(spark)
     docs = documents(spark, sf)
     scores = rouge(docs.withColumn("copy", F.col("text")), ["rouge1"], "doc_id", "text", "copy")

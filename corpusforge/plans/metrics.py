@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusforge.functions import tokens as K
 from corpusforge.operators import metrics as X
 from corpusforge.operators.ordered import rank_in_order
-from corpusforge.plans.registry import documents, query, table, words_sql
+from corpusforge.plans.registry import documents, query, scratch, table, words_sql
+from corpusforge.streaming.ingest import stream_metrics
 
 LOGITS = "list_position(embedding[1:10], list_max(embedding[1:10])) - 1"
 PREDICTED = f"""
@@ -184,10 +185,6 @@ FROM events GROUP BY event_type
 """)
 def running_metrics(spark, sf):
     """The streaming mean of a step log, read to its end."""
-    from corpusforge.streaming.ingest import stream_metrics
-
-    from corpusforge.plans.registry import scratch
-
     folder = scratch(spark)
     log = table(spark, sf, "events").select("event_id", F.col("event_type").alias("name"), "value")
     log.write.parquet(f"{folder}/log")
