@@ -262,10 +262,13 @@ def listed(spans: Column) -> Column:
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifier_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-          for kind in KINDS],
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_disguised"),
