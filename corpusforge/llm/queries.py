@@ -1,4 +1,4 @@
 """All queries of this subpackage, by name, and their SQL."""
 
-from corpusforge.llm import pii  # noqa: F401
+from corpusforge.llm import fixity, perplexity, pii, url_lists  # noqa: F401
 from corpusforge.llm.common import QUERIES, SQL  # noqa: F401
