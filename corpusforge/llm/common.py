@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusforge.session import checkpoint_dir
 
@@ -72,3 +73,25 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     """Sums of ``values[start:end]``; zero for empty segments."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[ends] - total[starts]
+
+
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """An array of FILTER_BITS bits with the bit of every (long) key set.
+
+    Its size is fixed, 8 MB, so it may be broadcast however many keys there are. A bit can
+    be set by another key: what passes is a superset, to be joined with the keys.
+    """
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(`{column}`, {FILTER_BITS}) & 31 AS INT))")
+    words = keys.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 5, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return bits
+
+
+def in_filter(bits: np.ndarray, key: int) -> bool:
+    at = key % FILTER_BITS
+    return bool(int(bits[at >> 5]) >> (at & 31) & 1)

@@ -1,4 +1,14 @@
 """All queries of this subpackage, by name, and their SQL."""
 
-from corpusforge.llm import fixity, perplexity, pii, url_lists  # noqa: F401
+from corpusforge.llm import (  # noqa: F401
+    decontamination,
+    fixity,
+    jaccard_join,
+    line_chunks,
+    packing,
+    perplexity,
+    pii,
+    shards,
+    url_lists,
+)
 from corpusforge.llm.common import QUERIES, SQL  # noqa: F401
