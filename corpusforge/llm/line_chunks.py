@@ -130,7 +130,7 @@ def without_lines(text: pa.Array, chunks: pa.Array) -> pa.Array:
     out = []
     for body, spans in zip(strings(text), chunks.to_pylist()):
         lines = body.split("\n")
-        gone = {i for span in spans for i in range(span["first"], span["past"])}
+        gone = {i for span in spans or [] for i in range(span["first"], span["past"])}
         out.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
     return pa.array(out, pa.string())
 

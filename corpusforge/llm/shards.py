@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import free_name, query, saved, table
 
 LOTS = 1 << 14
-# A group with over 1/PIECES of all bytes, tokens or rows is cut, so at most 3 * PIECES groups are.
+# A group with over 1/WHOLE of a shard's bytes, tokens or rows is cut into pieces of 1/PIECES of all.
+WHOLE = 16
 PIECES = 1 << 12
 DIMENSIONS = ("bytes", "tokens", "rows")
 
@@ -58,11 +59,10 @@ def assign_shards(docs: DataFrame, shards: int, size: Column, key: Sequence[str]
     totals = {"bytes": F.sum("size"), "tokens": F.sum("tokens"), "rows": F.count("*")}
     sums = [total.cast("double").alias(name) for name, total in totals.items()]
     whole = narrow.agg(*sums).first()
-    limits = {d: max(1.0, (whole[d] or 0) / PIECES) for d in DIMENSIONS}
-    over = F.greatest(*[F.col(d) / limits[d] for d in DIMENSIONS])
-    # At most 3 * PIECES groups can be over a limit, so this side may be broadcast.
-    large = narrow.groupBy("group").agg(*sums).where(over > 1).select(
-        "group", F.ceil(over).cast("long").alias("pieces"))
+    share = F.greatest(*[F.col(d) / max(1.0, whole[d] or 0) for d in DIMENSIONS])
+    # At most 3 * WHOLE * shards groups are that large, so this side may be broadcast.
+    large = narrow.groupBy("group").agg(*sums).where(share * (WHOLE * shards) > 1).select(
+        "group", F.ceil(share * PIECES).cast("long").alias("pieces"))
     cut = narrow.join(F.broadcast(large), "group", "left")
     piece = F.when(F.col("pieces").isNotNull(), F.pmod("spread", F.col("pieces")))
     lot = F.pmod(F.xxhash64("group", piece), F.lit(lots)).cast("int")
