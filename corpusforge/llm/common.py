@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +95,28 @@ def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
 def in_filter(bits: np.ndarray, key: int) -> bool:
     at = key % FILTER_BITS
     return bool(int(bits[at >> 5]) >> (at & 31) & 1)
+
+
+def filtered(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys pass, for an array of 64-bit numbers."""
+    at = keys.astype(np.uint64, copy=False) & np.uint64(FILTER_BITS - 1)
+    return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int, least: int = 4096) -> Iterator[pa.Table]:
+    """Sorted batches put together so that no group of equal keys is torn."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        before = held[-1].column(key)[-1].as_py() if held else None
+        cut = int(change[-1]) if len(change) else 0 if before != keys[0] else -1
+        if held and cut >= 0 and sum(b.num_rows for b in held) + cut >= least:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

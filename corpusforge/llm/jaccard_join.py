@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, table, utf8
+from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, table, utf8, whole_groups
 from corpusforge.llm.components import components
 
 WORDS = 5
@@ -163,25 +163,6 @@ def surviving(values: np.ndarray, left: np.ndarray, right: np.ndarray, band: np.
     return open_
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: int, least: int = 4096) -> Iterator[pa.Table]:
-    """Sorted batches put together so that no group of equal keys is torn."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        before = held[-1].column(key)[-1].as_py() if held else None
-        cut = int(change[-1]) if len(change) else 0 if before != keys[0] else -1
-        if held and cut >= 0 and sum(b.num_rows for b in held) + cut >= least:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 CANDIDATES = "home long, rep long, partners array<long>"
 
 

@@ -9,6 +9,7 @@ from corpusforge.llm import (  # noqa: F401
     perplexity,
     pii,
     shards,
+    substrings,
     url_lists,
 )
 from corpusforge.llm.common import QUERIES, SQL  # noqa: F401
