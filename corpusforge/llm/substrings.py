@@ -69,7 +69,7 @@ def anchors(whole: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = np.cumsum(sizes)
     inside = np.ones(n + 1, bool)
     for k in range(1, LENGTH):
-        inside[np.maximum(ends - k, ends - sizes)] = False
+        inside[ends[sizes >= k] - k] = False
     windows = np.flatnonzero(inside[: len(least)])
     if not len(windows):
         return nothing, nothing, nothing, np.zeros(0, np.uint64)
