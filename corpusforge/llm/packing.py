@@ -25,6 +25,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 0
 LONG_TEXT = 1 << 20
+ROWS = 1024  # texts packed at a time
 
 
 def load_encoder(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Callable[[str], np.ndarray]:
@@ -89,22 +90,25 @@ def cut(example: int, length: int, loss_from: int, limits: Limits) -> list[Piece
 def fill(vectors: np.ndarray, limits: Limits, keep_back: bool) -> tuple[list[list[int]], np.ndarray]:
     """Rows of ``vectors`` as sequences, and the rows held back.
 
-    Rows are held back once what is left fills only a few sequences.
+    A row that fills a sequence has it to itself. Rows are held back once what is left
+    fills only a few sequences.
     """
     capacity = limits.vector()
+    full = vectors[:, 0] == limits.tokens
+    sequences = [[row] for row in np.flatnonzero(full).tolist()]
+    order = np.flatnonzero(~full)
+    order = order[np.argsort(-vectors[order, 0], kind="stable")]
+    vectors = vectors[order]
     shares = vectors / capacity
-    order = np.argsort(-vectors[:, 0], kind="stable")
-    vectors, shares = vectors[order], shares[order]
     rest = vectors.sum(axis=0)
-    sequences = []
     while len(order) and not (keep_back and (rest < 4 * capacity).all()):
         residual, chosen = capacity.copy(), []
         open_ = np.ones(len(order), bool)
         while True:
-            fits = open_ & (vectors <= residual).all(axis=1)
-            if not fits.any():
+            fits = np.flatnonzero(open_ & (vectors[:, 0] <= residual[0]) & (vectors[:, 2] <= residual[2]))
+            if not len(fits) or residual[1] < 1:
                 break
-            row = int(np.argmax(np.where(fits, shares @ (residual / capacity), -1.0)))
+            row = int(fits[np.argmax(shares[fits] @ (residual / capacity))])
             chosen.append(row)
             open_[row] = False
             residual -= vectors[row]
@@ -169,8 +173,8 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", prompt:
 
         def examples() -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(at, 4096)
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
                     ids, loss_from = [], []
                     asked = strings(batch.column(2)) if prompt else [""] * batch.num_rows
                     for before, body in zip(asked, strings(batch.column(1))):
