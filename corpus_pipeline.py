@@ -18,7 +18,9 @@ from corpusforge.llm.perplexity import quality_filter
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``n_chars`` brought up to date after a stage that changes texts."""
+    """``n_chars``, where there is one, brought up to date after a stage that changes texts."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
