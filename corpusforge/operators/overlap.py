@@ -20,9 +20,9 @@ PARTS = ("precision", "recall", "fmeasure")
 
 
 def check_types(types: Sequence[str]) -> None:
-    for t in types:
-        if t not in ("rougeL", "rougeLsum") and not NGRAM_TYPE.match(t):
-            raise ValueError(f"Invalid rouge type: {t}")
+    unknown = [t for t in types if t not in ("rougeL", "rougeLsum") and not NGRAM_TYPE.match(t)]
+    if unknown:
+        raise ValueError(f"unknown overlap types: {', '.join(unknown)}")
 
 
 def _score(hits: Column, target: Column, prediction: Column) -> Column:
@@ -40,35 +40,10 @@ def ngram_counts(df: DataFrame, key: Sequence[str], tokens: str, n: int) -> Data
         F.count("*").alias("count"))
 
 
-def _ngram_scores(df: DataFrame, key: Sequence[str], ns: Sequence[int]) -> DataFrame:
-    """Score structs ``rouge{n}`` per key from token arrays ``_t`` and ``_p``.
-
-    The rows are spread by key once, which both aggregations can use as it is:
-    n-grams are never shuffled.
-    """
-    def side(tokens: str, n: int, target: int) -> Column:
-        grams = F.col(tokens) if n == 1 else F.transform(
-            ngrams(F.col(tokens), n), lambda g: F.array_join(g, "\x1f"))
-        return F.transform(grams, lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("gram"),
-            F.lit(target).alias("t"), F.lit(1 - target).alias("p")))
-
-    grams = F.concat(*[side(tokens, n, target) for n in ns
-                       for tokens, target in (("_t", 1), ("_p", 0))])
-    counts = (
-        df.repartition(*key).select(*key, F.explode_outer(grams).alias("g")).select(*key, "g.*")
-        .groupBy(*key, "n", "gram").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-    )
-
-    def total(column: Column, n: int) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("n") == n, column)), F.lit(0))
-
-    sums = []
-    for n in ns:
-        sums += [total(F.least("t", "p"), n).alias(f"h{n}"), total(F.col("t"), n).alias(f"t{n}"),
-                 total(F.col("p"), n).alias(f"p{n}")]
-    return counts.groupBy(*key).agg(*sums).select(*key, *[
-        _score(F.col(f"h{n}"), F.col(f"t{n}"), F.col(f"p{n}")).alias(f"rouge{n}") for n in ns])
+def ngram_hits(target: Sequence, prediction: Sequence, n: int) -> tuple[int, int, int]:
+    """Common n-grams, each as often as on the side that has fewer, and both totals."""
+    t, p = (Counter(zip(*[side[i:] for i in range(n)])) for side in (target, prediction))
+    return (t & p).total(), t.total(), p.total()
 
 
 def lcs_length(a: Sequence, b: Sequence) -> int:
@@ -123,45 +98,58 @@ def lcs_positions(ref: Sequence, can: Sequence) -> list[int]:
 
 
 def summary_hits(ref: Sequence[Sequence], can: Sequence[Sequence]) -> int:
-    """Hits of the union LCS of each reference sentence, clipped by both token counts.
+    """Tokens of the reference sentences in a common subsequence with any candidate sentence.
 
-    Candidate sentences without a common token add nothing and are not looked at.
+    A token counts at most as often as the candidate has it. Candidate sentences without
+    a common token add nothing and are not looked at.
     """
-    left_r = Counter(t for s in ref for t in s)
-    left_c = Counter(t for s in can for t in s)
     holders: dict = defaultdict(set)
     for k, sentence in enumerate(can):
         for token in sentence:
             holders[token].add(k)
-    hits = 0
+    covered: Counter = Counter()
     for sentence in ref:
-        related = set().union(*(holders[t] for t in set(sentence) if t in holders))
-        union = set().union(*(lcs_positions(sentence, can[k]) for k in related))
-        for i in sorted(union):
-            token = sentence[i]
-            if left_c[token] > 0 and left_r[token] > 0:
-                hits += 1
-                left_c[token] -= 1
-                left_r[token] -= 1
-    return hits
-
+        related = {k for token in set(sentence) for k in holders.get(token, ())}
+        places = {i for k in related for i in lcs_positions(sentence, can[k])}
+        covered.update(sentence[i] for i in places)
+    return (covered & Counter(token for sentence in can for token in sentence)).total()
 
-@F.arrow_udf(T.IntegerType())
-def _lcs(targets: pa.Array, predictions: pa.Array) -> pa.Array:
-    return pa.array([lcs_length(t or [], p or []) for t, p in zip(
-        targets.to_pylist(), predictions.to_pylist())], pa.int32())
 
+def counts_udf(types: Sequence[str], n_columns: int) -> Callable[..., Column]:
+    """Hits, target total and prediction total of every type, one after the other.
 
-@F.arrow_udf(T.IntegerType())
-def _summary(targets: pa.Array, predictions: pa.Array) -> pa.Array:
-    return pa.array([summary_hits(t or [], p or []) for t, p in zip(
-        targets.to_pylist(), predictions.to_pylist())], pa.int32())
+    Columns: tokens of both sides and, for summaries, tokens of the sentences of both.
+    """
+    def measure(columns: Sequence[pa.Array]) -> pa.Array:
+        rows = []
+        for values in zip(*[c.to_pylist() for c in columns]):
+            t, p, *sentences_of = ([] if v is None else v for v in values)
+            row: list[int] = []
+            for name in types:
+                if name == "rougeL":
+                    row += [lcs_length(t, p), len(t), len(p)]
+                elif name == "rougeLsum":
+                    row += [summary_hits(*sentences_of), *(sum(map(len, s)) for s in sentences_of)]
+                else:
+                    row += ngram_hits(t, p, int(name[5:]))
+            rows.append(row)
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    def pair(t: pa.Array, p: pa.Array) -> pa.Array:
+        return measure([t, p])
+
+    def pair_with_sentences(t: pa.Array, p: pa.Array, ts: pa.Array, ps: pa.Array) -> pa.Array:
+        return measure([t, p, ts, ps])
+
+    counts = pair if n_columns == 2 else pair_with_sentences
+    counts.__annotations__ = dict.fromkeys([*counts.__annotations__], pa.Array)
+    return F.arrow_udf(counts, T.ArrayType(T.LongType()))
 
 
 def rouge(df: DataFrame, types: Sequence[str], key: str | Sequence[str], target: str = "target",
           prediction: str = "prediction", tokenizer: Tokenizer = score_tokens,
           stem: bool = False, split_summaries: bool = False) -> DataFrame:
-    """``key`` and one score struct per type. ``key`` must be unique.
+    """``key`` and one score struct per type, row by row: nothing is shuffled or joined.
 
     Types are ``rouge1`` to ``rouge9``, ``rougeL`` and ``rougeLsum``. Any function
     from a text column to a token array column can be the tokenizer.
@@ -169,38 +157,17 @@ def rouge(df: DataFrame, types: Sequence[str], key: str | Sequence[str], target:
     check_types(types)
     key = [key] if isinstance(key, str) else list(key)
     tokens = (lambda c: stem_tokens(tokenizer(c))) if stem else tokenizer
-    ns = [int(t[5:]) for t in types if NGRAM_TYPE.match(t)]
-    parts = []
-    if ns:
-        both = df.select(*key, tokens(F.col(target)).alias("_t"),
-                         tokens(F.col(prediction)).alias("_p"))
-        parts.append(_ngram_scores(both, key, ns))
-    rest = [t for t in types if not NGRAM_TYPE.match(t)]
-    if rest:
-        scored = df.select(*key, F.col(target).alias("_target"),
-                           F.col(prediction).alias("_prediction"))
-        if "rougeL" in rest:
-            scored = scored.withColumns(
-                {"_t": tokens(F.col("_target")), "_p": tokens(F.col("_prediction"))})
-            scored = scored.withColumn("_hits", _lcs("_t", "_p")).withColumn(
-                "rougeL", _score(F.col("_hits"), F.size("_t"), F.size("_p")))
-        if "rougeLsum" in rest:
-            def split(column: str) -> Column:
-                lines = sentences(F.col(column), split_summaries)
-                if stem:
-                    return stem_tokens(F.transform(lines, tokenizer), nested=True)
-                return F.transform(lines, tokenizer)
-
-            scored = scored.withColumns(
-                {"_ts": split("_target"), "_ps": split("_prediction")})
-            scored = scored.withColumn("_sum_hits", _summary("_ts", "_ps")).withColumn(
-                "rougeLsum", _score(F.col("_sum_hits"), F.size(F.flatten("_ts")),
-                                    F.size(F.flatten("_ps"))))
-        parts.append(scored.select(*key, *rest))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.join(part, key)
-    return result.select(*key, *types)
+
+    def lines(column: str) -> Column:
+        split = F.transform(sentences(F.col(column), split_summaries), tokenizer)
+        return stem_tokens(split, nested=True) if stem else split
+
+    columns = [tokens(F.col(target)), tokens(F.col(prediction))]
+    if "rougeLsum" in types:
+        columns += [lines(target), lines(prediction)]
+    counted = df.select(*key, counts_udf(types, len(columns))(*columns).alias("_counts"))
+    return counted.select(*key, *[
+        _score(*[F.col("_counts")[3 * i + k] for k in range(3)]).alias(t) for i, t in enumerate(types)])
 
 
 def rouge_multi(df: DataFrame, types: Sequence[str], key: str, reference: str,
