@@ -3,92 +3,130 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.ordered import hash_key, rank_in_order
 from corpusforge.operators.overlap import PARTS
-from corpusforge.session import cut_lineage
 
 PRIME = 2**31 - 1
-EXACT_ROWS = 10_000
+METHODS = ("poisson", "exact")
+DRAWN_ROWS = 1 << 16  # rows that one task of the exact method looks after
 
-# Distribution function of Poisson(1) at 0, 1, 2, ..
-POISSON = [0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532,
-           0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748, 0.9999998886]
 
+def poisson_steps() -> list[int]:
+    """The distribution function of Poisson(1), times ``PRIME``, as far as it is below it."""
+    steps, total, k = [], math.exp(-1), 0
+    while int(total * PRIME) < PRIME - 1:
+        steps.append(int(total * PRIME))
+        k += 1
+        total += math.exp(-1) / math.factorial(k)
+    return steps
 
-def _digest(text: str) -> int:
+
+POISSON = np.array(poisson_steps(), np.int64)
+
+
+def digest(text: str) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
-def _poisson_weights(key: Column, seed: int, n_samples: int) -> tuple[Column, Column]:
-    """Array of ``(replicate, k, c)`` and the weight of a row in one of them.
+def _weighted_sums(n_samples: int, seed: int):
+    """Sums of weights and weighted scores per replicate, over the rows of a task.
 
-    The weight inverts the Poisson distribution at ``(k * r + c) mod p``, with
-    ``r`` a hash of the row and ``k, c`` those of the replicate. Affine maps over a
-    prime field make any two rows independent, which is what the variance of a
-    mean depends on, and a retried task draws the same weights.
+    The weight of a row inverts the Poisson distribution at ``(k * r + c) mod p``, with
+    ``r`` a hash of the row and ``k, c`` those of the replicate. Affine maps over a prime
+    field make any two rows independent, which is what the variance of a mean depends
+    on, and a retried task draws the same weights.
     """
-    replicates = ";".join(
-        f"{b},{_digest(f'{seed}k{b}') % (PRIME - 1) + 1},{_digest(f'{seed}c{b}') % PRIME}"
-        for b in range(n_samples))
-    constants = F.transform(
-        F.split(F.lit(replicates), ";"),
-        lambda r: F.transform(F.split(r, ","), lambda x: x.cast("long")))
-    row = F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("long") % PRIME
-    draw = (F.col("_b")[1] * F.col("_r") + F.col("_b")[2]) % PRIME
-    steps = [(draw >= int(p * PRIME)).cast("int") for p in POISSON]
-    weight = steps[0]
-    for step in steps[1:]:
-        weight = weight + step
-    return F.struct(constants.alias("constants"), row.alias("row")), weight
-
-
-def replicate_means(scores: DataFrame, types: Sequence[str], key: str, n_samples: int,
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope = np.array([digest(f"{seed}k{b}") % (PRIME - 1) + 1 for b in range(n_samples)], np.int64)
+        shift = np.array([digest(f"{seed}c{b}") % PRIME for b in range(n_samples)], np.int64)
+        total = None
+        for batch in batches:
+            values = np.column_stack([
+                np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]])
+            row = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(0, len(row), 512):
+                draw = (slope[:, None] * row[at : at + 512] + shift[:, None]) % PRIME
+                weights = np.searchsorted(POISSON, draw, side="right")
+                part = weights @ values[at : at + 512]
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(n_samples)), *map(pa.array, total.T.copy())],
+                ["replicate", *(f"s{i}" for i in range(total.shape[1]))])
+
+    return sums
+
+
+def _drawn_sums(n: int, n_samples: int, seed: int):
+    """The same for draws with replacement: draw ``i`` of replicate ``b`` takes the row with
+    rank ``md5("seed:b:i") % n``. A task counts the draws that fall into its rows.
+    """
+    def sums(rows):
+        import pandas as pd
+
+        first = int(rows["_row"].min())
+        values = np.zeros((int(rows["_row"].max()) - first + 1, len(rows.columns) - 1))
+        values[rows["_row"].to_numpy() - first, 0] = 1
+        values[rows["_row"].to_numpy() - first, 1:] = rows.iloc[:, 2:].to_numpy()
+        out = []
+        for b in range(n_samples):
+            draws = np.fromiter((digest(f"{seed}:{b}:{i}") % n for i in range(n)), np.int64, n) - first
+            times = np.bincount(draws[(draws >= 0) & (draws < len(values))], minlength=len(values))
+            out.append([b, *(times @ values)])
+        return pd.DataFrame(out, columns=["replicate", *(f"s{i}" for i in range(values.shape[1]))])
+
+    return sums
+
+
+def replicate_means(scores: DataFrame, types: Sequence[str], key: str | Column, n_samples: int,
                     seed: int, method: str) -> DataFrame:
     """One row per replicate with the mean of every part of every type.
 
-    ``poisson`` weights every row independently: one pass, partial sums per
-    replicate, any number of rows. ``exact`` draws as many rows as there are.
+    ``poisson`` weights every row independently, in one pass that answers with one row per
+    task and replicate. ``exact`` draws as many rows as there are, for small tables: its work
+    grows with the rows times the replicates times the blocks of ``DRAWN_ROWS`` rows.
     """
-    columns = [F.col(t)[p].alias(f"{t}_{p}") for t in types for p in PARTS]
     names = [f"{t}_{p}" for t in types for p in PARTS]
+    columns = [F.col(t)[p].alias(f"{t}_{p}") for t in types for p in PARTS]
+    schema = ", ".join(["replicate long", *(f"s{i} double" for i in range(len(names) + 1))])
     if method == "poisson":
-        setup, weight = _poisson_weights(F.col(key), seed, n_samples)
-        rows = scores.select(*columns, setup.alias("_s")).select(
-            *names, F.col("_s.row").alias("_r"), F.explode("_s.constants").alias("_b"))
-        weighted = rows.select(*names, F.col("_b")[0].alias("replicate"), weight.alias("_w"))
-        return weighted.where(F.col("_w") > 0).groupBy("replicate").agg(*[
-            (F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(n) for n in names])
-
-    kept = cut_lineage(scores.select(key, *columns))
-    rows = rank_in_order(kept, [], [key], "_row").drop(key)
-    n = kept.count()
-    draws = scores.sparkSession.range(n_samples * n).select(
-        F.floor(F.col("id") / n).alias("replicate"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("_row"))
-    return draws.join(rows, "_row").groupBy("replicate").agg(*[
-        F.avg(name).alias(name) for name in names])
+        row = F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("long") % PRIME
+        partial = scores.select(row.alias("_row"), *columns).mapInArrow(
+            _weighted_sums(n_samples, seed), schema)
+    else:
+        kept = scores.select(key, *columns)
+        n = kept.count()
+        ranked = rank_in_order(kept, [], [key], "_row").select(
+            F.floor(F.col("_row") / DRAWN_ROWS).alias("_block"), "_row", *names)
+        partial = ranked.groupBy("_block").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
+    whole = partial.groupBy("replicate").agg(*[
+        F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names) + 1)])
+    return whole.where("s0 > 0").select("replicate", *[
+        (F.col(f"s{i + 1}") / F.col("s0")).alias(name) for i, name in enumerate(names)])
 
 
 def bootstrap(scores: DataFrame, types: Sequence[str], key: str, confidence: float = 0.95,
-              n_samples: int = 1000, seed: int = 0, method: str = "auto") -> DataFrame:
+              n_samples: int = 1000, seed: int = 0, method: str = "poisson") -> DataFrame:
     """``score_type`` with structs ``low``, ``mid`` and ``high`` of mean scores.
 
-    ``mid`` is the median of the resampled means. ``auto`` resamples exactly up to
-    ``EXACT_ROWS`` rows and weights by Poisson beyond.
+    ``mid`` is the median of the resampled means. ``method`` is "poisson", for tables of any
+    size, or "exact", which draws with replacement and suits small tables. The size of the
+    table never changes the method.
     """
     if not 0 <= confidence <= 1:
-        raise ValueError("confidence must be in range [0, 1]")
-    if n_samples <= 0:
-        raise ValueError("n_samples must be positive")
-    if method == "auto":
-        scores = cut_lineage(scores.select(key, *types))
-        few = scores.select(key).limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
-        method = "exact" if few else "poisson"
+        raise ValueError(f"confidence {confidence} is not a share")
+    if n_samples < 1:
+        raise ValueError("at least one replicate is needed")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}")
     means = replicate_means(scores, types, key, n_samples, seed, method)
     delta = (1 - confidence) / 2
     points = F.array(F.lit(delta), F.lit(0.5), F.lit(1 - delta))

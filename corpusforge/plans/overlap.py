@@ -10,23 +10,24 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.tokens import score_tokens
 from corpusforge.operators import overlap as O
-from corpusforge.operators.bootstrap import bootstrap
-from corpusforge.operators.ordered import broadcast_if_small
+from corpusforge.operators.bootstrap import POISSON, PRIME, bootstrap
+from corpusforge.operators.ordered import rank_in_order
 from corpusforge.plans.registry import WS, documents, query, table
 
 PARTS = ("precision", "recall", "fmeasure")
 
 
 def pairs(spark, sf, references: int = 1):
-    """``doc_id, reference, target, prediction``."""
+    """``doc_id, reference, target, prediction``; passages are counted by rank, gaps do no harm."""
     passages = table(spark, sf, "benchmark")
     n = passages.count()
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("prediction"))
     numbered = docs.withColumn("reference", F.explode(F.sequence(
         F.lit(0), F.lit(references - 1))))
-    wanted = numbered.withColumn("item_id", (F.col("doc_id") + F.col("reference")) % n)
-    targets = passages.select("item_id", F.col("text").alias("target"))
-    return wanted.join(broadcast_if_small(targets), "item_id").drop("item_id")
+    wanted = numbered.withColumn("place", (F.col("doc_id") + F.col("reference")) % n)
+    targets = rank_in_order(passages.select("item_id", F.col("text").alias("target")), [],
+                            ["item_id"], "place").drop("item_id")
+    return wanted.join(targets, "place").drop("place")
 
 
 def rounded(df, *types):
@@ -42,7 +43,8 @@ def pairs_sql(references: int = 1) -> str:
     return f"""
 pairs AS (SELECT doc_id, reference, {tokens_sql("b.text")} AS t, {tokens_sql("d.text")} AS p
           FROM documents d, (SELECT unnest(range({references})) AS reference)
-          JOIN benchmark b ON b.item_id = (doc_id + reference) % (SELECT count(*) FROM benchmark))
+          JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) b
+          ON place = (doc_id + reference) % (SELECT count(*) FROM benchmark))
 """
 
 
@@ -98,7 +100,8 @@ def rouge_ngrams(spark, sf):
 LCS = f"""
 pairs AS (SELECT doc_id, {tokens_sql("b.text")} AS t, {tokens_sql("d.text")} AS p
           FROM documents d
-          JOIN benchmark b ON b.item_id = doc_id % (SELECT count(*) FROM benchmark)),
+          JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) b
+          ON place = doc_id % (SELECT count(*) FROM benchmark)),
 steps AS (
   SELECT doc_id, 0 AS i, CAST([] AS BIGINT[]) AS k FROM pairs
   UNION ALL
@@ -167,17 +170,33 @@ def rouge_means(spark, sf):
     return means.select("score_type", *[F.round(c, 6).alias(c) for c in (*PARTS, "mean")])
 
 
-SAMPLES, SEED, PRIME = 200, 7, 2**31 - 1
-WEIGHTS = " + ".join(
-    f"CAST(u >= {int(p * PRIME)} AS INT)" for p in (
-        0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532,
-        0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748, 0.9999998886))
+SAMPLES, SEED = 1000, 7
+WEIGHTS = " + ".join(f"CAST(u >= {step} AS INT)" for step in POISSON.tolist())
+BOUNDS = """
+q AS (SELECT unnest(['low', 'mid', 'high']) AS bound)
+SELECT 'rouge1' AS score_type, bound, round(CASE bound WHEN 'low' THEN pl WHEN 'mid' THEN pm
+       ELSE ph END, 5) AS precision, round(CASE bound WHEN 'low' THEN rl WHEN 'mid' THEN rm
+       ELSE rh END, 5) AS recall, round(CASE bound WHEN 'low' THEN fl WHEN 'mid' THEN fm
+       ELSE fh END, 5) AS fmeasure
+FROM q, (SELECT quantile_cont(pr, 0.025) AS pl, quantile_cont(pr, 0.5) AS pm,
+                quantile_cont(pr, 0.975) AS ph, quantile_cont(re, 0.025) AS rl,
+                quantile_cont(re, 0.5) AS rm, quantile_cont(re, 0.975) AS rh,
+                quantile_cont(f, 0.025) AS fl, quantile_cont(f, 0.5) AS fm,
+                quantile_cont(f, 0.975) AS fh FROM m)
+"""
 
 
 def digest_sql(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def bounds(intervals):
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(b).alias("bound"), F.col(b).alias("s")) for b in ("low", "mid", "high")]))
+    return intervals.select("score_type", rows.alias("b")).select(
+        "score_type", "b.bound", *[F.round(F.col("b.s")[p], 5).alias(p) for p in PARTS])
+
+
 @query(f"""
 WITH {pairs_sql()}, {score_sql("r1", 1)},
 b AS (SELECT b, {digest_sql(f"'{SEED}k' || b")} % {PRIME - 1} + 1 AS k,
@@ -188,31 +207,24 @@ u AS (SELECT b, pr, re, f, (k * ({digest_sql(f"'{SEED}' || doc_id")} % {PRIME})
 w AS (SELECT b, pr, re, f, {WEIGHTS} AS w FROM u),
 m AS (SELECT b, sum(pr * w) / sum(w) AS pr, sum(re * w) / sum(w) AS re, sum(f * w) / sum(w) AS f
       FROM w GROUP BY b),
-q AS (SELECT unnest(['low', 'mid', 'high']) AS bound, unnest([0.025, 0.5, 0.975]) AS q)
-SELECT 'rouge1' AS score_type, bound, round(CASE bound WHEN 'low' THEN pl WHEN 'mid' THEN pm
-       ELSE ph END, 5) AS precision, round(CASE bound WHEN 'low' THEN rl WHEN 'mid' THEN rm
-       ELSE rh END, 5) AS recall, round(CASE bound WHEN 'low' THEN fl WHEN 'mid' THEN fm
-       ELSE fh END, 5) AS fmeasure
-FROM q, (SELECT quantile_cont(pr, 0.025) AS pl, quantile_cont(pr, 0.5) AS pm,
-                quantile_cont(pr, 0.975) AS ph, quantile_cont(re, 0.025) AS rl,
-                quantile_cont(re, 0.5) AS rm, quantile_cont(re, 0.975) AS rh,
-                quantile_cont(f, 0.025) AS fl, quantile_cont(f, 0.5) AS fm,
-                quantile_cont(f, 0.975) AS fh FROM m)
+{BOUNDS}
 """)
 def rouge_intervals(spark, sf):
     scores = O.rouge(pairs(spark, sf), ["rouge1"], "doc_id")
-    intervals = bootstrap(scores, ["rouge1"], "doc_id", 0.95, SAMPLES, SEED, "poisson")
-    bounds = F.explode(F.array(*[
-        F.struct(F.lit(b).alias("bound"), F.col(b).alias("s")) for b in ("low", "mid", "high")]))
-    return intervals.select("score_type", bounds.alias("b")).select(
-        "score_type", "b.bound", *[F.round(F.col("b.s")[p], 5).alias(p) for p in PARTS])
+    return bounds(bootstrap(scores, ["rouge1"], "doc_id", 0.95, SAMPLES, SEED))
 
 
-@query()
+@query(f"""
+WITH {pairs_sql()}, {score_sql("r1", 1)},
+ranked AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n, * FROM r1),
+draws AS (SELECT b, {digest_sql(f"'{SEED}:' || b || ':' || i")} % (SELECT count(*) FROM r1) AS r
+          FROM (SELECT unnest(range({SAMPLES})) AS b),
+               (SELECT unnest(range((SELECT count(*) FROM r1))) AS i)),
+m AS (SELECT b, avg(pr) AS pr, avg(re) AS re, avg(f) AS f FROM draws JOIN ranked USING (r)
+      GROUP BY b),
+{BOUNDS}
+""")
 def rouge_intervals_exact(spark, sf):
-    """Exact resampling of the mean overlap of the benchmark passages with documents."""
+    """Draws with replacement, as many as there are documents."""
     scores = O.rouge(pairs(spark, sf), ["rouge1"], "doc_id")
-    by_passage = scores.join(table(spark, sf, "labels"), "doc_id")
-    intervals = bootstrap(by_passage, ["rouge1"], "doc_id", 0.95, SAMPLES, SEED, "exact")
-    return intervals.select("score_type", *[
-        F.round(F.col(b)["fmeasure"], 6).alias(b) for b in ("low", "mid", "high")])
+    return bounds(bootstrap(scores, ["rouge1"], "doc_id", 0.95, SAMPLES, SEED, "exact"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.stemming import stem, stem_tokens
 from corpusforge.functions.tokens import score_tokens
+from corpusforge.operators import bootstrap as B
 from corpusforge.operators import overlap as O
 from corpusforge.operators.bootstrap import bootstrap
 
@@ -161,11 +162,11 @@ SCORES = "k int, rouge1 struct<precision:double,recall:double,fmeasure:double>"
 
 def test_bootstrap_of_three(spark):
     df = spark.createDataFrame(THREE, SCORES)
-    row = bootstrap(df, ["rouge1"], "k", 0.9, seed=123).first()
+    row = bootstrap(df, ["rouge1"], "k", 0.9, seed=123, method="exact").first()
     want = {"low": (1 / 3, 1 / 9, 1 / 6), "mid": (2 / 3, 4 / 9, 3 / 6), "high": (1, 7 / 9, 5 / 6)}
     for bound, values in want.items():
         assert tuple(row[bound]) == pytest.approx(values, abs=1e-8)
-    row = bootstrap(df, ["rouge1"], "k", 0.0, seed=123).first()
+    row = bootstrap(df, ["rouge1"], "k", 0.0, seed=123, method="exact").first()
     for bound in ("low", "mid", "high"):
         assert tuple(row[bound]) == pytest.approx(want["mid"], abs=1e-8)
 
@@ -176,6 +177,8 @@ def test_bootstrap_arguments(spark):
         bootstrap(df, ["rouge1"], "k", 1.5)
     with pytest.raises(ValueError):
         bootstrap(df, ["rouge1"], "k", n_samples=0)
+    with pytest.raises(ValueError):
+        bootstrap(df, ["rouge1"], "k", method="auto")
 
 
 def test_poisson_agrees_with_resampling(spark):
@@ -188,6 +191,20 @@ def test_poisson_agrees_with_resampling(spark):
         assert tuple(poisson[bound]) == pytest.approx(tuple(exact[bound]), abs=0.006)
 
 
+def test_the_size_of_a_block_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(k, (k / 50, k % 7 / 7, .5)) for k in range(50)], SCORES)
+    whole = bootstrap(df, ["rouge1"], "k", n_samples=100, method="exact").first()
+    monkeypatch.setattr(B, "DRAWN_ROWS", 7)
+    parts = bootstrap(df, ["rouge1"], "k", n_samples=100, method="exact").first()
+    for bound in ("low", "mid", "high"):
+        assert tuple(parts[bound]) == pytest.approx(tuple(whole[bound]))
+
+
+def test_poisson_steps():
+    assert [round(x / B.PRIME, 6) for x in B.POISSON[:4].tolist()] == [0.367879, 0.735759, 0.919699, 0.981012]
+    assert len(B.POISSON) > 10 and B.POISSON[-1] < B.PRIME - 1
+
+
 def test_means(spark):
     df = spark.createDataFrame(THREE, SCORES)
     row = O.mean_rouge(df, ["rouge1"]).first()
