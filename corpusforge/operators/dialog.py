@@ -1,8 +1,7 @@
 """Grouping lines and turns into texts.
 
-A result text is one cell, so a group of unlimited size cannot become one row.
-Groups longer than ``PART_ROWS`` rows come out as several rows numbered by
-``part``; every other group is one row with ``part`` 0.
+A result text is one cell: one row per document or conversation, whatever its size.
+A group too large for a cell (2 GB) fails in Spark's own check of array and text sizes.
 """
 
 from __future__ import annotations
@@ -21,12 +20,6 @@ from corpusforge.operators.ordered import (
     running_totals,
 )
 
-PART_ROWS = 1 << 20
-
-
-def _part(position: str, part_rows: int) -> Column:
-    return F.floor(F.col(position) / part_rows).cast("int").alias("part")
-
 
 def _joined(order: Sequence[str], text: str | Column, sep: str) -> Column:
     """Aggregate: texts in order, joined by ``sep``."""
@@ -35,13 +28,9 @@ def _joined(order: Sequence[str], text: str | Column, sep: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["_text"]), sep)
 
 
-def assemble_documents(df: DataFrame, doc: str, line: str, text: str, sep: str = "\n",
-                       part_rows: int = PART_ROWS) -> DataFrame:
-    """Join the lines of each document in order. ``line`` counts its lines from 0."""
-    return (
-        df.groupBy(doc, _part(line, part_rows))
-        .agg(_joined([line], text, sep).alias("text"))
-    )
+def assemble_documents(df: DataFrame, doc: str, line: str, text: str, sep: str = "\n") -> DataFrame:
+    """Join the lines of each document in the order of ``line``."""
+    return df.groupBy(doc).agg(_joined([line], text, sep).alias("text"))
 
 
 def turn_runs(df: DataFrame, conv: str, order: Sequence[str], speaker: str,
@@ -60,27 +49,24 @@ def turn_runs(df: DataFrame, conv: str, order: Sequence[str], speaker: str,
 
 
 def merge_runs(df: DataFrame, conv: str, order: Sequence[str], speaker: str, text: str,
-               part_rows: int = PART_ROWS, **options: int) -> DataFrame:
+               **options: int) -> DataFrame:
     """One row per run: speaker and the texts of its turns joined by a space."""
     runs = turn_runs(df, conv, order, speaker, **options)
     return (
-        runs.groupBy(conv, _part("position", part_rows), "run")
+        runs.groupBy(conv, "run")
         .agg(F.min(speaker).alias("speaker"), _joined(["position"], text, " ").alias("text"))
     )
 
 
 def merge_turns(df: DataFrame, conv: str, order: Sequence[str], speaker: str, text: str,
-                part_rows: int = PART_ROWS, **options: int) -> DataFrame:
-    """One row per conversation: runs joined by line breaks, and who spoke them.
-
-    A run cut by the border of two parts appears in both.
-    """
-    runs = merge_runs(df, conv, order, speaker, text, part_rows, **options)
+                **options: int) -> DataFrame:
+    """One row per conversation: runs joined by line breaks, and who spoke them."""
+    runs = merge_runs(df, conv, order, speaker, text, **options)
     rows = F.array_sort(F.collect_list(F.struct("run", "speaker", "text")))
     return (
-        runs.groupBy(conv, "part").agg(rows.alias("_runs"))
+        runs.groupBy(conv).agg(rows.alias("_runs"))
         .select(
-            conv, "part",
+            conv,
             F.array_join(F.transform("_runs", lambda r: r["text"]), "\n").alias("text"),
             F.transform("_runs", lambda r: r["speaker"]).alias("speakers"),
         )
@@ -98,15 +84,15 @@ def index_speakers(df: DataFrame, scope: Sequence[str], order: Sequence[str], sp
 
 
 def render_dialog(df: DataFrame, conv: str, order: Sequence[str], speaker: str, text: str,
-                  prefix: str = "", part_rows: int = PART_ROWS, **options: int) -> DataFrame:
+                  prefix: str = "", **options: int) -> DataFrame:
     """Merged turns as lines ``"{speaker}: {text}"`` with ``depth`` and a prefixed id."""
-    runs = merge_runs(df, conv, order, speaker, text, part_rows, **options)
+    runs = merge_runs(df, conv, order, speaker, text, **options)
     line = F.concat(F.col("speaker").cast("string"), F.lit(": "), F.col("text"))
     return (
-        runs.groupBy(conv, "part")
+        runs.groupBy(conv)
         .agg(_joined(["run"], line, "\n").alias("dialog"), F.count("*").alias("depth"))
         .select(F.concat(F.lit(prefix), F.col(conv).cast("string")).alias("id"),
-                "part", "dialog", "depth")
+                "dialog", "depth")
     )
 
 
@@ -126,13 +112,10 @@ def conversation_text(turns: Column, human: str = "human") -> Column:
 
 
 def render_conversation(df: DataFrame, conv: str, turn: str, role: str, text: str,
-                        human: str = "human", part_rows: int = PART_ROWS) -> DataFrame:
-    """The same from one row per turn; ``turn`` counts the turns of a conversation."""
+                        human: str = "human") -> DataFrame:
+    """The same from one row per turn, in the order of ``turn``."""
     speech = _speech(F.col(role), F.col(text), human)
-    return (
-        df.groupBy(conv, _part(turn, part_rows))
-        .agg(_joined([turn], speech, "\n\n").alias("text"))
-    )
+    return df.groupBy(conv).agg(_joined([turn], speech, "\n\n").alias("text"))
 
 
 def preference_texts(df: DataFrame) -> DataFrame:

@@ -12,14 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.operators.ordered import (
-    broadcast_if_small,
-    hash_key,
-    hash_rank,
-    rank_in_order,
-)
-
-TOP_K_LIMIT = 100_000
+from corpusforge.operators.ordered import first_in_order, hash_key, hash_rank, rank_in_order
+
 COPIES_PER_CHUNK = 10_000
 
 
@@ -33,18 +27,16 @@ def train_test_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The first ``n`` rows in hash order; small samples need no sort of the table."""
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(hash_key(key, seed), F.col(key)).limit(n)
-    return hash_rank(df, key, seed, "_rank").where(F.col("_rank") < n).drop("_rank")
+    """The first ``n`` rows in hash order; ``key`` is unique."""
+    hashed = df.withColumn("_hash", hash_key(key, seed))
+    return first_in_order(hashed, hash_rank(df.select(key), key, seed, "_rank").withColumn(
+        "_hash", hash_key(key, seed)), "_rank", ["_hash", key], n).drop("_hash")
 
 
 def head(df: DataFrame, n: int, order: Sequence[str], **options: int) -> DataFrame:
-    """The first ``n`` rows in natural order."""
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(*order).limit(n)
-    ranked = rank_in_order(df, [], order, "_rank", **options)
-    return ranked.where(F.col("_rank") < n).drop("_rank")
+    """The first ``n`` rows in natural order; ``order`` tells all rows apart."""
+    ranked = rank_in_order(df.select(*order), [], order, "_rank", **options)
+    return first_in_order(df, ranked, "_rank", order, n)
 
 
 def limit_items(df: DataFrame, n: int | None, order_by: Sequence[str], **options: int) -> DataFrame:
@@ -98,7 +90,6 @@ def interleave(df: DataFrame, source: str, order: Sequence[str], **options: int)
         source, "_size", longest.alias("_longest"), counts.alias("_sources"),
         (F.row_number().over(Window.orderBy(source)) - 1).alias("_turn"))
     ranked = rank_in_order(df, [source], order, "_rank", **options)
-    turns = broadcast_if_small(turns)
     most = turns.agg(F.max(F.col("_longest") / F.col("_size"))).first()[0] or 0
     rounds = _repeated(ranked.join(turns, source), "_rank", "_size", "_longest", "_round", most)
     return rounds.withColumn(
@@ -135,7 +126,7 @@ def weighted_mix(df: DataFrame, source: str, key: str, weights: DataFrame, n: in
     quotas = shares.select(
         source, (F.col("_floor") + F.when(place <= missing, 1).otherwise(0)).alias("_quota"))
     sizes = df.groupBy(source).agg(F.count("*").alias("_size"))
-    plan = broadcast_if_small(sizes.join(quotas, source))
+    plan = sizes.join(quotas, source)
     ranked = hash_rank(df, key, seed, "_rank", [source])
     most = plan.agg(F.max(F.col("_quota") / F.col("_size"))).first()[0] or 0
     return _repeated(ranked.join(plan, source), "_rank", "_size", "_quota", "draw", most).drop(

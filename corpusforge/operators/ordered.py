@@ -1,8 +1,9 @@
 """Ranks and running totals over groups of any size.
 
 A plain window sends every row of a group to one task, which fails when a group
-holds a third of a large table. Here the order is cut into slices. Each slice of
-each group is summed first (map-side combine), the small table of slice sums
+holds a third of a large table. Groups of up to ``ROWS_PER_SLICE`` rows take that
+way, one shuffle, however many there are. The order of a larger group is cut into
+slices. Each slice is summed first (map-side combine), the small table of slice sums
 gives every slice its starting value, and one window per (group, slice) does the
 rest. The starting value travels as a head row of its slice, so no join is
 needed, null keys stay together and the rows are shuffled once.
@@ -16,36 +17,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_SLICES = 512
 SAMPLES_PER_SLICE = 8
 ROWS_PER_SLICE = 1 << 18
 SLICE = "_slice"
 
 
-def slice_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 rows_per_slice: int = ROWS_PER_SLICE,
-                 max_slices: int = MAX_SLICES) -> list[tuple]:
-    """Values that cut ``order`` into slices of about equal numbers of rows.
+def slice_bounds(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple]:
+    """Values that cut ``order`` into ``slices`` of about equal numbers of rows.
 
-    The rows with the smallest hashes are a uniform sample that does not depend
-    on partitioning, and the largest of those hashes tells the size of the table
-    (k minimum values). Collects at most ``max_slices * SAMPLES_PER_SLICE`` rows
-    of the order columns. A small table gives no bounds: one slice.
+    The rows with the smallest hashes are a uniform sample that does not depend on
+    partitioning: ``SAMPLES_PER_SLICE`` rows of the order columns for each slice.
     """
-    k = max_slices * SAMPLES_PER_SLICE
-    names = list(dict.fromkeys([*keys, *order]))
-    sample = (
-        df.select(F.xxhash64(*names).alias("_hash"), *order).orderBy("_hash").limit(k).collect()
-    )
-    n = len(sample)
-    if n == k:
-        share = (sample[-1]["_hash"] + 2.0**63) / 2.0**64
-        n = int((k - 1) / max(share, 2.0**-63))
-    slices = min(max_slices, -(-n // rows_per_slice))
+    sample = df.select(F.xxhash64(*order).alias("_hash"), *order).orderBy("_hash").limit(
+        slices * SAMPLES_PER_SLICE).collect()
     values = sorted(tuple(r)[1:] for r in sample if None not in tuple(r)[1:])
-    if slices < 2 or not values:
-        return []
-    return sorted({values[i * len(values) // slices] for i in range(1, slices)})
+    return sorted({values[i * len(values) // slices] for i in range(1, slices)}) if values else []
 
 
 def slice_index(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Column:
@@ -133,10 +119,21 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def natural_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   **options: int) -> Column | None:
-    """Slice column for the natural order, or None where one window will do."""
-    bounds = slice_bounds(df, keys, order, **options)
-    return slice_index(df, order, bounds) if bounds else None
+                   rows_per_slice: int = ROWS_PER_SLICE) -> Column | None:
+    """Slice column for the natural order, or None where no group is large.
+
+    Reads the key columns once for the sizes of the groups. Only rows of groups with over
+    ``rows_per_slice`` rows are sliced, into slices of about that many; there are at most
+    ``rows / rows_per_slice`` such groups.
+    """
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    sizes = df.groupBy(key.alias("_key")).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > rows_per_slice).collect()
+    if not large:
+        return None
+    inside = key.isin([r["_key"] for r in large])
+    bounds = slice_bounds(df.where(inside), order, -(-sum(r["_n"] for r in large) // rows_per_slice))
+    return F.when(inside, slice_index(df, order, bounds)).otherwise(0)
 
 
 def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
@@ -153,24 +150,33 @@ def hash_key(key: str | Column, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank", keys: Sequence[str] = (),
-              digits: int = 3) -> DataFrame:
+              rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``out``: position from 0 in the seeded hash order of ``key``.
 
-    Hash values are uniform, so their leading hex digits cut any table into
-    ``16 ** digits`` equal slices without looking at it.
+    Hash values are uniform, so their leading hex digits cut any table into equal
+    slices: as many digits as the number of rows asks for.
     """
+    digits, rows = 0, df.select(key).count()
+    while rows > rows_per_slice << 4 * digits:
+        digits += 1
     hashed = df.withColumn("_hash", hash_key(key, seed))
-    ranked = running_total(hashed, keys, ["_hash", key], F.lit(1).cast(T.LongType()), out,
-                           F.substring("_hash", 1, digits))
+    slices = F.substring("_hash", 1, digits) if digits else None
+    ranked = running_total(hashed, keys, ["_hash", key], F.lit(1).cast(T.LongType()), out, slices)
     return ranked.drop("_hash", SLICE)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` as a local table with a broadcast hint, if it has at most ``max_rows`` rows.
+def first_in_order(df: DataFrame, ranked: DataFrame, rank: str, order: Sequence[str], n: int
+                   ) -> DataFrame:
+    """The rows of ``df`` up to the one that has rank ``n - 1`` in ``ranked`` (its order columns).
 
-    Reads no more than that; a larger table comes back as it is, without a hint.
+    Only order columns are ranked and one row comes to the driver; the wide rows are
+    filtered where they are. ``order`` must tell all rows apart.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    last = ranked.where(F.col(rank) == n - 1).select(*order).first()
+    if n <= 0:
+        return df.limit(0)
+    if last is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    value = F.struct(*[F.col(c).alias(c) for c in order])
+    border = F.struct(*[F.lit(v).cast(ranked.schema[c].dataType).alias(c) for c, v in zip(order, last)])
+    return df.where(value <= border)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusforge.operators.dialog import marked_dialog
 from corpusforge.operators.ordered import SLICE, natural_slices, running_total
 from corpusforge.operators.schema import min_chars
+from corpusforge.session import stored
 from corpusforge.values import BLOCK_SIZE
 
 
@@ -58,13 +59,18 @@ def pack_blocks(df: DataFrame, source: str, order: Sequence[str], ids: str,
     The place of a document in its stream is a running total of lengths, so the
     documents are shuffled once, by source and slice of the order. Blocks inside
     a slice are put together there; only the pieces of blocks that reach over a
-    slice border are shuffled again.
+    slice border are shuffled again. Where a source is large enough to be sliced,
+    the ids are written once to the checkpoint folder: sums read the lengths only,
+    and an encoder before this runs once.
     """
     kind = df.schema[ids].dataType
     lead = F.array() if bos is None else F.array(F.lit(bos).cast(kind.elementType))
-    docs = df.select(source, *order, F.concat(lead.cast(kind), F.col(ids)).alias("_ids"))
+    led = F.concat(lead.cast(kind), F.col(ids))
+    docs = df.select(source, *order, led.alias("_ids")).withColumn("_n", F.size("_ids").cast("long"))
     slices = natural_slices(df, [source], order, **options)
-    placed = running_total(docs, [source], order, F.size("_ids").cast("long"), "_start", slices)
+    if slices is not None:
+        docs = stored(docs)
+    placed = running_total(docs, [source], order, F.col("_n"), "_start", slices)
     gathered = gather_pieces(cut_pieces(placed, source, block_size), [source, SLICE, "block"])
 
     def full(blocks: DataFrame) -> DataFrame:

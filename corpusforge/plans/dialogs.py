@@ -50,7 +50,7 @@ def transcripts(spark, sf) -> DataFrame:
     turns = table(spark, sf, "conversations")
     number = F.when(F.col("role") == "user", "0").when(F.col("role") == "assistant", "1").otherwise("4")
     lines = turns.withColumn("line", F.concat(number, F.lit(" : "), "text"))
-    return D.assemble_documents(lines, "conv_id", "turn", "line").drop("part")
+    return D.assemble_documents(lines, "conv_id", "turn", "line")
 
 
 def preferences(spark, sf) -> DataFrame:
@@ -94,14 +94,14 @@ prefs AS (
 """
 
 
-@query(f"{RUNS} SELECT user_id, 0 AS part, run, speaker, text FROM runs")
+@query(f"{RUNS} SELECT user_id, run, speaker, text FROM runs")
 def merged_runs(spark, sf):
     return D.merge_runs(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type",
                         "props")
 
 
 @query(f"""{RUNS}
-SELECT user_id, 0 AS part, string_agg(text, chr(10) ORDER BY run) AS text,
+SELECT user_id, string_agg(text, chr(10) ORDER BY run) AS text,
        string_agg(speaker, ',' ORDER BY run) AS speakers
 FROM runs GROUP BY user_id
 """)
@@ -112,7 +112,7 @@ def merged_turns(spark, sf):
 
 
 @query("""
-SELECT conv_id, 0 AS part, string_agg(text, chr(10) ORDER BY turn) AS text,
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text,
        string_agg(role, ',' ORDER BY turn) AS speakers
 FROM conversations GROUP BY conv_id
 """)
@@ -129,7 +129,7 @@ def indexed_speakers(spark, sf):
 
 
 @query(f"""{RUNS}, {FIRST}
-SELECT 'dialog-' || runs.user_id AS id, 0 AS part,
+SELECT 'dialog-' || runs.user_id AS id,
        string_agg(n || ': ' || text, chr(10) ORDER BY run) AS dialog, count(*) AS depth
 FROM runs JOIN firsts ON runs.user_id = firsts.user_id AND speaker = event_type
 GROUP BY runs.user_id
@@ -152,7 +152,7 @@ def marked_dialogs(spark, sf):
 
 
 @query("""
-SELECT conv_id, 0 AS part, string_agg(CASE WHEN role = 'user' THEN 'Human: ' ELSE 'Assistant: ' END
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Human: ' ELSE 'Assistant: ' END
        || text, chr(10) || chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id
 """)
@@ -216,6 +216,5 @@ def truncated_left(spark, sf):
     """The last two turns of each conversation: an array cut on its left side."""
     turns = table(spark, sf, "conversations")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
-    rows = turns.groupBy("conv_id", F.floor(F.col("turn") / D.PART_ROWS).alias("part")).agg(
-        texts.alias("texts"))
+    rows = turns.groupBy("conv_id").agg(texts.alias("texts"))
     return rows.select("conv_id", joined(truncate(F.col("texts"), 2, "left")).alias("last_two"))

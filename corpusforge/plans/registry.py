@@ -34,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the tasks when there are fewer files than cores."""
+    """The documents, dealt out when the scan has fewer splits than there are cores.
+
+    That is a table below cores times ``spark.sql.files.maxPartitionBytes``, or one that
+    cannot be split; a large table is read as it lies.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     cores = spark.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import text as T
 from corpusforge.functions.templates import apply_template
 from corpusforge.operators import schema as S
-from corpusforge.operators.dialog import PART_ROWS, assemble_documents
+from corpusforge.operators.dialog import assemble_documents
 from corpusforge.plans.registry import documents, query, table, trim_sql
 from corpusforge.values import CLASS_LABELS, EMOJI_CLASS, KEPT_CHARS, URL_PATTERN
 
@@ -46,8 +46,7 @@ def explode_documents(spark, sf):
     turns = table(spark, sf, "conversations")
     sentences = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
                             lambda t: F.struct(t["text"].alias("sentence")))
-    part = F.floor(F.col("turn") / PART_ROWS).alias("part")
-    nested = turns.groupBy("conv_id", part).agg(sentences.alias("content")).select(
+    nested = turns.groupBy("conv_id").agg(sentences.alias("content")).select(
         F.array(F.struct(F.struct("conv_id", F.size("content").alias("sentences")).alias("metadata"),
                          F.col("content").alias("title"), "content")).alias("document"))
     text = T.join_parts(F.transform("d.content", lambda s: s["sentence"]), " ")
@@ -229,7 +228,7 @@ def parse_speaker(spark, sf):
                         T.utterance_or_note(form, F.col("text")).alias("utterance"))
 
 
-@query("SELECT doc_id, 0 AS part, text FROM documents")
+@query("SELECT doc_id, text FROM documents")
 def assembled_documents(spark, sf):
     lines = documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "form"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +35,9 @@ def get_session(app_name: str = "corpusforge", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineages.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder: executors of a cluster could not read it.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session inside one process
+    may fall back to a temporary folder, which goes when the process ends: executors of
+    a cluster could not read it.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -40,9 +45,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="corpusforge-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
@@ -51,3 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so a lost executor costs one read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the checkpoint folder and read again: later readers
+    take the columns they need, and what made them does not run again.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

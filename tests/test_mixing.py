@@ -5,7 +5,7 @@ import pytest
 
 from corpusforge.operators import mixing as M
 
-SLICED = {"rows_per_slice": 5, "max_slices": 20}
+SLICED = {"rows_per_slice": 10}
 
 
 def hashed(keys, seed=42):
@@ -19,12 +19,13 @@ def test_split(spark):
     assert tests == set(hashed(range(101))[:11]) and len(rows) == 101
 
 
-def test_sample_both_ways(spark, monkeypatch):
+def test_samples_and_heads(spark):
     df = spark.range(200).withColumnRenamed("id", "k")
     want = set(hashed(range(200))[:30])
     assert {r["k"] for r in M.sample_n(df, "k", 30).collect()} == want
-    monkeypatch.setattr(M, "TOP_K_LIMIT", 0)
-    assert {r["k"] for r in M.sample_n(df, "k", 30).collect()} == want
+    assert M.sample_n(df, "k", 0).count() == 0 and M.sample_n(df, "k", 500).count() == 200
+    plan = M.head(df, 30, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the rows themselves stay where they are
     assert {r["k"] for r in M.head(df, 30, ["k"], **SLICED).collect()} == set(range(30))
     assert {r["k"] for r in M.head_percent(df, 10, ["k"], **SLICED).collect()} == set(range(20))
     assert M.limit_items(df, None, ["k"]).count() == 200

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators import ordered
 
-SMALL = {"rows_per_slice": 7, "max_slices": 40}
+SMALL = {"rows_per_slice": 15}
 
 
 def rows_of(spark, n=600, seed=1):
@@ -65,13 +65,29 @@ def test_hash_rank(spark):
     import hashlib
     df = spark.range(500).withColumnRenamed("id", "k")
     got = {r["k"]: r["rank"] for r in ordered.hash_rank(df, "k", 42).collect()}
+    assert got == {r["k"]: r["rank"] for r in ordered.hash_rank(df, "k", 42, rows_per_slice=3).collect()}
     order = sorted(range(500), key=lambda k: hashlib.md5(f"42{k}".encode()).hexdigest())
     assert got == {k: i for i, k in enumerate(order)}
 
 
+def test_only_large_groups_are_sliced(spark):
+    rows = [("hot" if i % 2 else f"g{i}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    slices = ordered.natural_slices(df, ["g"], ["o"], rows_per_slice=50)
+    found = {r["g"]: r["n"] for r in df.groupBy("g").agg(F.count_distinct(slices).alias("n")).collect()}
+    assert found.pop("hot") >= 3 and set(found.values()) == {1}
+    assert ordered.natural_slices(df.where("g <> 'hot'"), ["g"], ["o"], rows_per_slice=50) is None
+
+
+def test_small_groups_take_one_shuffle(spark):
+    df = spark.createDataFrame([(f"g{i % 40}", i) for i in range(400)], "g string, o long")
+    ranked = ordered.rank_in_order(df, ["g"], ["o"], "r", rows_per_slice=20)
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_slices_are_even(spark):
     df = spark.range(20000).withColumnRenamed("id", "o").withColumn("g", F.lit("x"))
-    slices = ordered.natural_slices(df, ["g"], ["o"], rows_per_slice=1000, max_slices=64)
+    slices = ordered.natural_slices(df, ["g"], ["o"], rows_per_slice=1000)
     sizes = [r["count"] for r in df.groupBy(slices.alias("s")).count().collect()]
     assert 15 <= len(sizes) <= 30
     assert max(sizes) < 3 * 1000

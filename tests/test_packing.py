@@ -1,11 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusforge.functions.tokens import words
 from corpusforge.operators import packing as P
 
-SLICED = {"rows_per_slice": 6, "max_slices": 40}
+SLICED = {"rows_per_slice": 20}
 
 
 def sequential(rows, size, bos):
@@ -59,3 +60,17 @@ def test_plan_shuffles_documents_once(spark):
     plan = P.pack_blocks(df, "source", ["doc_id"], "ids", 8)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_sliced_ids_are_made_once(spark):
+    """The encoder's result is stored; sums read lengths, not ids."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def encode(n):
+        made.add(1)
+        return [n] * 3
+
+    df = spark.createDataFrame([("s", i) for i in range(60)], "source string, doc_id int")
+    got = P.pack_blocks(df.withColumn("ids", encode("doc_id")), "source", ["doc_id"], "ids", 4, rows_per_slice=10)
+    assert got.count() == 45 and made.value == 60
