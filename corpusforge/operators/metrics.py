@@ -113,13 +113,10 @@ def preference_metrics(df: DataFrame, chosen: str = "chosen", rejected: str = "r
 
 def collate(df: DataFrame, metrics: Sequence[str], prefix: str = "eval/") -> DataFrame:
     """Step rows with one column per metric as ``name, value`` means."""
-    values = F.explode(F.array(*[
-        F.struct(F.lit(prefix + m).alias("name"), F.col(m).cast("double").alias("value"))
-        for m in metrics]))
-    return (
-        df.select(values.alias("m")).select("m.*")
-        .groupBy("name").agg(F.avg("value").alias("value"), F.count("value").alias("steps"))
-    )
+    means = df.agg(*[
+        F.struct(F.lit(prefix + m).alias("name"), F.avg(F.col(m).cast("double")).alias("value"),
+                 F.count(m).alias("steps")).alias(f"_{i}") for i, m in enumerate(metrics)])
+    return means.select(F.explode(F.array(*[f"_{i}" for i in range(len(metrics))])).alias("m")).select("m.*")
 
 
 def log_points(df: DataFrame, every: int, step: str = "step") -> DataFrame:

@@ -211,7 +211,7 @@ def align_records(targets: DataFrame, predictions: DataFrame) -> DataFrame:
                            F.lit(True).alias("_p"))
     both = t.join(p, ["file", "record"], "full_outer")
     lost = F.raise_error(F.concat(
-        F.lit("different number of records in target and prediction file "), F.col("file")))
+        F.lit("a record without partner in file "), F.col("file"), F.lit(", place "), F.col("record")))
     whole = F.col("_t").isNotNull() & F.col("_p").isNotNull()
     return both.select(
         "file", "record",

@@ -15,13 +15,14 @@ def unify_text(df: DataFrame, names: Sequence[str] = TEXT_COLUMNS,
                keep_speakers: bool = False) -> DataFrame:
     """Rename the first column of the priority list to ``text``.
 
-    Speaker marks of a ``dialog`` column are removed unless ``keep_speakers``.
+    Speaker marks of a ``dialog`` column are removed unless ``keep_speakers``. A table that
+    has both such a column and a ``text`` column of its own is an error.
     """
     found = next((n for n in names if n in df.columns), None)
     if found is None:
         return df
-    if "text" in df.columns:
-        df = df.drop("text")
+    if found != "text" and "text" in df.columns:
+        raise ValueError(f"both {found} and text could be the text; drop or rename one")
     renamed = df.withColumnRenamed(found, "text")
     if found == "dialog" and not keep_speakers:
         renamed = renamed.withColumn("text", remove_speaker(F.col("text")))
@@ -55,17 +56,19 @@ def first_title(col: str = "d.title") -> Column:
 
 
 def merge_structs(df: DataFrame, cols: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """Take each field from the last struct that has it.
+    """Take each field from the last struct that has it, null or not.
 
-    ``cols`` are struct columns in file order, ``fields`` maps field to output name.
+    ``cols`` are struct columns in file order, ``fields`` maps field to output name. A struct
+    that is null itself has no fields.
     """
-    def has(col: str, field: str) -> bool:
-        return field in df.schema[col].dataType.fieldNames()
-
-    return df.select(*[
-        F.coalesce(*[F.col(c)[f] for c in reversed(cols) if has(c, f)]).alias(out)
-        for f, out in fields.items()
-    ])
+    def value(field: str) -> Column:
+        having = [c for c in cols if field in df.schema[c].dataType.fieldNames()]
+        taken = F.lit(None)
+        for c in having:
+            taken = F.when(F.col(c).isNotNull(), F.col(c)[field]).otherwise(taken)
+        return taken
+
+    return df.select(*[value(f).alias(out) for f, out in fields.items()])
 
 
 def encode_label(col: Column, classes: Sequence[str]) -> Column:

@@ -60,13 +60,18 @@ def label_spans(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id",
     Two closed intervals touch when some bin holds a common character, so both
     sides are cut into bins and joined on document and bin. Equal clipped spans
     are merged first: a bin has at most ``BIN * (BIN + 1) / 2`` of them, however
-    many spans a document has.
+    many spans a document has. A span that ends before it begins touches the tokens
+    that reach over all of it, and is met in the bin of its end.
     """
-    likely = spans.where((F.col("prob") >= threshold) & (F.col("begin") <= F.col("end")))
-    cuts = _binned(likely).select(
-        doc, "bin", F.col("low").alias("s_low"), F.col("high").alias("s_high")).distinct()
-    touch = (F.col("high") >= F.col("s_low")) & (F.col("low") <= F.col("s_high"))
-    binned = _binned(tokens).select(doc, "pos", "bin", "low", "high")
+    likely = spans.where(F.col("prob") >= threshold).select(doc, "begin", "end")
+    forward = _binned(likely.where(F.col("begin") <= F.col("end"))).select(
+        doc, "bin", F.col("low").alias("s_low"), F.col("high").alias("s_high"))
+    backward = likely.where(F.col("begin") > F.col("end")).select(
+        doc, F.floor(F.col("end") / BIN).alias("bin"), F.col("begin").cast("long").alias("s_low"),
+        F.col("end").cast("long").alias("s_high"))
+    cuts = forward.unionByName(backward).distinct()
+    touch = (F.col("end") >= F.col("s_low")) & (F.col("begin") <= F.col("s_high"))
+    binned = _binned(tokens).select(doc, "pos", "bin", "begin", "end")
     joined = binned.join(cuts, [doc, "bin"], "left")
     return joined.groupBy(doc, "pos").agg(
         F.max(F.coalesce(touch.cast("int"), F.lit(0))).alias("label"))

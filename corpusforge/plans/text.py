@@ -62,7 +62,8 @@ def merge_structs(spark, sf):
     both = documents(spark, sf).join(labels, F.col("doc_id") == F.col("label_doc"), "left")
     parts = both.select(
         F.struct("doc_id", "text", F.col("lang").alias("summary")).alias("a"),
-        F.struct(F.col("quality").cast("string").alias("summary")).alias("b"))
+        F.when(F.col("label_doc").isNotNull(), F.struct(
+            F.col("quality").cast("string").alias("summary"))).alias("b"))
     return S.merge_structs(parts, ["a", "b"], {"doc_id": "id", "text": "text", "summary": "summary"})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusforge.operators.bootstrap import bootstrap
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.operators.overlap import align_records, check_types, rouge
-from corpusforge.sources.readers import read_records
+from corpusforge.sources.readers import list_files, read_records
 from corpusforge.sources.writers import write_aggregates_csv, write_scores_csv
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -27,9 +27,9 @@ def score_files(spark: SparkSession, target_glob: str, prediction_glob: str, out
     check_types(types)
     targets = read_records(spark, target_glob, delimiter)
     predictions = read_records(spark, prediction_glob, delimiter)
-    files = [df.agg(F.max("file")).first()[0] for df in (targets, predictions)]
-    if None in files or files[0] != files[1]:
-        raise ValueError("target and prediction files must be equal in number and not none")
+    files = [len(list_files(spark, glob)) for glob in (target_glob, prediction_glob)]
+    if files[0] != files[1] or not files[0]:
+        raise ValueError(f"{files[0]} target files cannot be paired with {files[1]} prediction files")
     scores = (scorer or (lambda df: rouge(df, types, ["file", "record"])))(
         align_records(targets, predictions))
     if aggregate:

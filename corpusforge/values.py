@@ -66,10 +66,7 @@ EMOJI_CLASS = "".join(
 # Characters kept by cleaning, the URL pattern, the script counted
 # by the script share. Escapes in the form both Java and RE2 read.
 KEPT_CHARS = r" .,?!/@$%~％·∼()\x00-\x7Fㄱ-ㅎ가-힣"
-URL_PATTERN = (
-    r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
-    r"([-a-zA-Z0-9()@:%_\+.~#?&\/\/=]*)"
-)
+URL_PATTERN = r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)"
 HANGUL_CLASS = "ㄱ-ㅎ가-힣"
 
 # White space as Python's re and str.strip see it, spelled out because

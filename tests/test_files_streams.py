@@ -32,6 +32,45 @@ def test_json_tree_reports_bad_files(spark, tmp_path):
     good, bad = R.read_json_tree(spark, str(tmp_path), "id string, document array<struct<form string>>")
     assert [(r["id"], r["document"][0]["form"]) for r in good.collect()] == [("x", "가")]
     assert sorted(os.path.basename(r["file"]) for r in bad.collect()) == ["two.json"]
+    (tmp_path / "a/b/empty.json").write_text("")
+    good, bad = R.read_json_tree(spark, str(tmp_path), "id string, document array<struct<form string>>")
+    assert {os.path.basename(r["file"]): r["content"] for r in bad.collect()} == {
+        "two.json": '{"id": "y", "document": [{"form": "b"', "empty.json": ""}
+    assert good.count() == 1
+
+
+def test_own_parser_keeps_rows_before_the_error(spark, tmp_path):
+    for name, content in (("one", "1\n2\n"), ("two", "3\nx\n4"), ("none", "")):
+        (tmp_path / f"{name}.num").write_text(content)
+    good, bad = R.read_parsed(spark, str(tmp_path), lambda text: ({"n": int(x)} for x in text.split()),
+                              "n long", "*.num")
+    assert sorted((os.path.basename(r["file"]), r["n"]) for r in good.collect()) == [
+        ("one.num", 1), ("one.num", 2), ("two.num", 3)]
+    assert [os.path.basename(r["file"]) for r in bad.collect()] == ["two.num"]
+    assert "ValueError" in bad.first()["error"]
+
+
+def test_broken_line_fails(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"text": "fine"}\n{"text": broken\n')
+    with pytest.raises(Exception):
+        R.read_jsonl(spark, f"{tmp_path}/x.jsonl", "text string").collect()
+    assert R.read_jsonl(spark, f"{tmp_path}/x.jsonl", "text string", "DROPMALFORMED").count() == 1
+
+
+def test_empty_files_keep_their_rank(spark, tmp_path):
+    for side, contents in (("t", ["t1", "", "t3"]), ("p", ["p1", "p2", ""]), ("q", ["q1", "", "q3"])):
+        for name, content in zip("abc", contents):
+            (tmp_path / side).mkdir(exist_ok=True)
+            (tmp_path / side / f"{name}.txt").write_text(content)
+    read = {side: R.read_records(spark, f"{tmp_path}/{side}/*.txt") for side in "tpq"}
+    both = align_records(read["t"], read["q"])
+    assert sorted((r["file"], r["target"], r["prediction"]) for r in both.collect()) == [
+        (0, "t1", "q1"), (2, "t3", "q3")]
+    with pytest.raises(Exception):
+        align_records(read["t"], read["p"]).collect()
+    (tmp_path / "p/d.txt").write_text("p4")
+    with pytest.raises(ValueError):
+        C.score_files(spark, f"{tmp_path}/t/*.txt", f"{tmp_path}/p/*.txt", f"{tmp_path}/o", ["rouge1"])
 
 
 def test_tsv(spark, tmp_path):
@@ -39,6 +78,9 @@ def test_tsv(spark, tmp_path):
     path.write_text('a.1\t"he said ""hi"""\tz\nb.2\tplain\t\n', encoding="utf-8")
     rows = R.read_tsv(spark, str(path), ["0", "1", "2"]).collect()
     assert [tuple(r) for r in rows] == [("a.1", 'he said "hi"', "z"), ("b.2", "plain", None)]
+    path.write_text('a.1\t"line one\nline two"\tz\n', encoding="utf-8")
+    rows = R.read_tsv(spark, str(path), ["0", "1", "2"]).collect()
+    assert [tuple(r) for r in rows] == [("a.1", "line one\nline two", "z")]
 
 
 def test_jsonl_is_not_escaped(spark, tmp_path):
@@ -86,7 +128,7 @@ def test_alignment(spark):
     p = spark.createDataFrame([(0, 1, "y"), (0, 0, "x")], cols)
     rows = align_records(t, p).orderBy("record").collect()
     assert [tuple(r) for r in rows] == [(0, 0, "a", "x"), (0, 1, "b", "y")]
-    with pytest.raises(Exception, match="different number of records"):
+    with pytest.raises(Exception, match="without partner"):
         align_records(t, p.limit(1)).collect()
 
 

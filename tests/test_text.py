@@ -123,6 +123,8 @@ def test_unify_text(spark):
     assert S.unify_text(df, keep_speakers=True).first()["text"] == "1 : a"
     assert S.unify_text(df, ["none"]).columns == ["dialog", "form"]
     assert S.text_only(df).columns == ["text"]
+    with pytest.raises(ValueError):
+        S.unify_text(df.withColumn("text", F.lit("own")))
 
 
 def test_labels(spark):
@@ -144,6 +146,8 @@ def test_merge_structs(spark):
     row = S.merge_structs(df, ["a", "b", "c"], {
         "passage_id": "id", "passage": "text", "summary1": "summary"}).first()
     assert tuple(row) == ("1", "new", "s")
+    rows = spark.createDataFrame([(("old",), (None,)), (("old",), None)], "a struct<x:string>, b struct<x:string>")
+    assert [r["x"] for r in S.merge_structs(rows, ["a", "b"], {"x": "x"}).collect()] == [None, "old"]
 
 
 def test_valid_pairs(spark):
