@@ -148,6 +148,17 @@ def mark_speakers(col: Column, eos: str, speakers: int = 5) -> Column:
     return col
 
 
+# Numbered marks of a transcript and the tokens that stand for them.
+NUMBERED_MARKS = {"0 : ": "<usr> ", "1 : ": "<bot> "}
+
+
+def name_speakers(col: Column) -> Column:
+    """Numbered marks as the tokens of user and bot, wherever they stand."""
+    for mark, token in NUMBERED_MARKS.items():
+        col = F.replace(col, F.lit(mark), F.lit(token))
+    return col
+
+
 def speaker_count(marked: Column, speakers: int = 5) -> Column:
     """Highest speaker token present in text from ``mark_speakers``, at least 1."""
     found = [F.when(F.contains(marked, F.lit(f"<unused{i + 1}>")), i + 1).otherwise(1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.binding import let
@@ -157,6 +157,26 @@ def turn_pairs(df: DataFrame, conv: str, order: Sequence[str], text: str,
     )
 
 
+def earlier_turns(df: DataFrame, conv: str, order: Sequence[str], turn: Column, out: str,
+                  skip: int = 0) -> DataFrame:
+    """Add ``out``: ``turn`` of all turns before this one, in order, but for the last ``skip``.
+
+    A conversation is gathered in one task, as its longest result cell is in any case.
+    """
+    before = Window.partitionBy(conv).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 - skip)
+    return df.withColumn(out, F.collect_list(turn).over(before))
+
+
+def context_pairs(df: DataFrame, conv: str, order: Sequence[str], text: str) -> DataFrame:
+    """Each turn after the first as ``response`` to all turns before it, one per line."""
+    seen = earlier_turns(df, conv, order, F.col(text), "context")
+    return (
+        seen.where(F.size("context") > 0).withColumn("context", F.array_join("context", "\n"))
+        .withColumn("response", F.col(text))
+    )
+
+
 def split_utterances(col: Column, marks: Sequence[str], compat: bool = False) -> Column:
     """Trimmed utterances that start at a speaker mark, in order, empty ones left out.
 

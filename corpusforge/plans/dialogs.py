@@ -54,8 +54,14 @@ def transcripts(spark, sf) -> DataFrame:
 
 
 def preferences(spark, sf) -> DataFrame:
-    """Preference rows: the next conversation's turn of the same number is rejected."""
+    """Preference rows with all turns before the question as context.
+
+    The next conversation's turn of the same number is rejected.
+    """
     turns = table(spark, sf, "conversations")
+    speaker = F.when(F.col("role") == "user", "human").otherwise("gpt")
+    seen = D.earlier_turns(turns, "conv_id", ["turn"], F.struct(
+        speaker.alias("from"), F.col("text").alias("value")), "context", skip=1)
 
     def at(conv: int, turn: int, name: str) -> DataFrame:
         return turns.select((F.col("conv_id") - conv).alias("conv_id"),
@@ -64,16 +70,12 @@ def preferences(spark, sf) -> DataFrame:
     def said(who: str, name: str):
         return F.struct(F.lit(who).alias("from"), F.col(name).alias("value"))
 
-    none = F.array().cast("array<struct<from:string,value:string>>")
     return (
-        turns.where(F.col("role") == "assistant")
+        seen.where(F.col("role") == "assistant")
         .join(at(0, -1, "asked"), ["conv_id", "turn"])
-        .join(at(0, -2, "before"), ["conv_id", "turn"], "left")
         .join(at(1, 0, "other"), ["conv_id", "turn"], "left")
         .select(
-            "conv_id", "turn",
-            F.when(F.col("before").isNull(), none).otherwise(
-                F.array(said("gpt", "before"))).alias("context"),
+            "conv_id", "turn", "context",
             said("human", "asked").alias("instruction"),
             said("gpt", "text").alias("chosen"),
             F.struct(F.lit("gpt").alias("from"),
@@ -82,13 +84,16 @@ def preferences(spark, sf) -> DataFrame:
 
 
 PREFERENCES = """
+before AS (
+  SELECT a.conv_id, a.turn, coalesce(string_agg(CASE c.role WHEN 'user' THEN 'Human: '
+         ELSE 'Assistant: ' END || c.text || chr(10) || chr(10), '' ORDER BY c.turn), '') AS context
+  FROM conversations a LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn < a.turn - 1
+  WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn),
 prefs AS (
-  SELECT a.conv_id, a.turn, CASE WHEN c.text IS NULL THEN '' ELSE
-         'Assistant: ' || c.text || chr(10) || chr(10) END || 'Human: ' || b.text AS prompt,
+  SELECT a.conv_id, a.turn, context || 'Human: ' || b.text AS prompt,
          a.text AS chosen, coalesce(d.text, ' ' || chr(10)) AS rejected
-  FROM conversations a
+  FROM conversations a JOIN before USING (conv_id, turn)
   JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
-  LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
   LEFT JOIN conversations d ON d.conv_id = a.conv_id + 1 AND d.turn = a.turn
   WHERE a.role = 'assistant')
 """
@@ -181,12 +186,25 @@ def seq2seq_pairs(spark, sf):
     return D.render_seq2seq_pair(preferences(spark, sf))
 
 
+@query("""
+SELECT a.conv_id, a.turn, replace(string_agg(b.text, chr(10) ORDER BY b.turn), chr(10), '</s>') || '</s>'
+       AS prompt_text, min(a.text) AS label_text
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn < a.turn
+GROUP BY a.conv_id, a.turn
+""")
+def context_responses(spark, sf):
+    """Each turn with all turns before it."""
+    pairs = D.context_pairs(table(spark, sf, "conversations"), "conv_id", ["turn"], "text")
+    return D.context_response(pairs).select("conv_id", "turn", "prompt_text", "label_text")
+
+
 @query("""
 SELECT a.conv_id, a.turn, replace(b.text, chr(10), '</s>') || '</s>' AS prompt_text,
        a.text AS label_text
 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
 """)
-def context_responses(spark, sf):
+def turn_responses(spark, sf):
+    """Each turn with the turn before it."""
     pairs = D.turn_pairs(table(spark, sf, "conversations"), "conv_id", ["turn"], "text")
     return D.context_response(pairs).select("conv_id", "turn", "prompt_text", "label_text")
 

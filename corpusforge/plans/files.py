@@ -12,6 +12,7 @@ from corpusforge.functions import tokens as K
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.operators.overlap import align_records, rouge
 from corpusforge.operators.schema import explode_documents
+from corpusforge.plans.overlap import pairs, pairs_sql, score_sql
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, blocks_sql, ids_sql, word_ids
 from corpusforge.sources import readers as R
@@ -31,14 +32,13 @@ def jsonl_files(spark, sf):
                         "doc_id long, source string, lang string, text string")
 
 
-@query("SELECT source AS name, count(*) AS rows, sum(doc_id) AS ids FROM documents GROUP BY source")
+@query("SELECT source AS name, doc_id, text FROM documents")
 def files_by_source(spark, sf):
     folder = scratch(spark)
     named = documents(spark, sf).withColumn("source", F.concat(F.lit("team/"), "source"))
     W.write_by_source(named, f"{folder}/sources")
     back = spark.read.schema("doc_id long, text string, source string").json(f"{folder}/sources")
-    return back.groupBy(F.replace("source", F.lit("team__"), F.lit("")).alias("name")).agg(
-        F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
+    return back.select(F.replace("source", F.lit("team__"), F.lit("")).alias("name"), "doc_id", "text")
 
 
 @query("SELECT count(*) AS written FROM documents")
@@ -66,11 +66,15 @@ def tsv_lines(spark, sf):
                        F.col("line").cast("int").alias("line"), "form")
 
 
-@query("SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)")
+@query("""
+SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+GROUP BY line
+""")
 def text_files(spark, sf):
     folder = scratch(spark)
     W.write_text(documents(spark, sf), f"{folder}/plain")
-    return spark.read.text(f"{folder}/plain").agg(F.count("*").alias("lines"))
+    return spark.read.text(f"{folder}/plain").groupBy(F.col("value").alias("line")).agg(
+        F.count("*").alias("n"))
 
 
 @query("""
@@ -151,23 +155,24 @@ def score_job(spark, sf):
     return spark.read.csv(f"{folder}/scores", header=True)
 
 
-@query("""
-SELECT doc_id, printf('%.6f', 1.0) AS "rouge1-P" FROM documents
+@query(f"""
+WITH {pairs_sql()}, {score_sql("r1", 1)}
+SELECT doc_id, round(pr, 6) AS "rouge1-P", round(re, 6) AS "rouge1-R", round(f, 6) AS "rouge1-F" FROM r1
 """)
 def score_table(spark, sf):
-    """Scores of documents against themselves, through the per-example CSV."""
+    """Scores of documents against passages, through the per-example CSV of six decimals."""
     folder = scratch(spark)
-    docs = documents(spark, sf)
-    scores = rouge(docs.withColumn("copy", F.col("text")), ["rouge1"], "doc_id", "text", "copy")
+    scores = rouge(pairs(spark, sf), ["rouge1"], "doc_id")
     W.write_scores_csv(scores, "doc_id", ["rouge1"], f"{folder}/scores")
     back = spark.read.csv(f"{folder}/scores", header=True)
-    return back.select(F.col("id").cast("long").alias("doc_id"), "`rouge1-P`")
+    return back.select(F.col("id").cast("long").alias("doc_id"), *[
+        F.col(f"`rouge1-{part}`").cast("double").alias(f"rouge1-{part}") for part in "PRF"])
 
 
-@query("SELECT count(*) AS rows, min(doc_id) AS first FROM documents")
+@query("SELECT doc_id, text, (SELECT count(*) FROM documents) AS rows FROM documents ORDER BY doc_id LIMIT 3")
 def previewed(spark, sf):
     rows, top = R.preview(documents(spark, sf), 3, ["doc_id"])
-    return top.agg(F.lit(rows).alias("rows"), F.min("doc_id").alias("first"))
+    return top.select("doc_id", "text", F.lit(rows).alias("rows"))
 
 
 def corpus_folder(spark, sf) -> str:
@@ -202,12 +207,13 @@ def streamed_blocks(spark, sf):
     return blocks.select("source", "block", joined("input_ids").alias("input_ids"))
 
 
-@query("WITH n AS (SELECT source, sum(len(" + words_sql("text") + """) + 1) AS n FROM documents
-WHERE length(text) > 32 GROUP BY source)
-SELECT source, CAST(n // 128 AS BIGINT) AS blocks, CAST(n // 128 * 128 AS BIGINT) AS ids FROM n
+@query("WITH ids AS (SELECT source, list_concat([3], " + ids_sql("text") + """) AS ids FROM documents
+WHERE length(text) > 32), n AS (SELECT source, sum(len(ids)) AS n, sum(list_sum(ids)) AS s FROM ids GROUP BY source)
+SELECT source, CAST(n // 128 AS BIGINT) AS blocks, CAST(n AS BIGINT) AS ids, CAST(s AS BIGINT) AS total FROM n
 """)
 def streamed_batches(spark, sf):
-    """Packing over several micro-batches with carried tables: as many blocks as in one run."""
+    """Packing over several micro-batches with carried tables: every id is in a block or in the
+    last rest, and there are as many blocks as in one run."""
     folder = corpus_folder(spark, sf)
     stream = stream_corpus(spark, f"{folder}/corpus", PIECE, files_per_trigger=3)
     ids = stream.select("source", "doc_id", F.concat(F.array(F.lit("<s>")), K.words(F.col("text")))
@@ -216,6 +222,10 @@ def streamed_batches(spark, sf):
                           .alias("ids"))
     write_blocks(numbered, f"{folder}/out", f"{folder}/state", f"{folder}/check", BLOCK,
                  availableNow=True).awaitTermination()
-    blocks = spark.read.parquet(f"{folder}/out")
-    return blocks.groupBy("source").agg(
-        F.count("*").alias("blocks"), F.sum(F.size("input_ids")).alias("ids"))
+    blocks = spark.read.parquet(f"{folder}/out").select("source", F.lit(1).alias("full"), F.col("input_ids").alias("ids"))
+    batches = spark.read.parquet(f"{folder}/state")
+    rest = batches.where(F.col("batch") == batches.agg(F.max("batch")).first()[0]).select(
+        "source", F.lit(0).alias("full"), "ids")
+    return blocks.unionByName(rest).groupBy("source").agg(
+        F.sum("full").alias("blocks"), F.sum(F.size("ids")).cast("long").alias("ids"),
+        F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))

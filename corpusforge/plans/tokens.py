@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
 from corpusforge.functions.stemming import stem_tokens
+from corpusforge.functions.text import NUMBERED_MARKS, name_speakers
 from corpusforge.operators import examples as E
 from corpusforge.operators import lengths as L
 from corpusforge.operators import packing as P
@@ -19,7 +20,7 @@ from corpusforge.operators.dialog import assemble_documents, split_utterances
 from corpusforge.operators.schema import has_supervision
 from corpusforge.plans.dialogs import MARKED, TRANSCRIPTS, preferences, transcripts
 from corpusforge.plans.registry import WS, documents, joined, query, table, words_sql
-from corpusforge.values import SPECIAL_TOKENS
+from corpusforge.values import BLOCK_SIZE, MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 
 BLOCK = 128
 BOS, EOS, PAD = 1, 2, 0
@@ -81,10 +82,10 @@ def packed_dialogs(spark, sf):
 WORD_VOCAB = f"""
 counted AS (
   SELECT piece, count(*) AS n FROM (SELECT unnest({words_sql("text")}) AS piece FROM documents)
-  GROUP BY piece HAVING count(*) >= 5),
+  GROUP BY piece HAVING count(*) >= {MIN_FREQUENCY}),
 vocab AS (
   SELECT row_number() OVER (ORDER BY n DESC, piece) + {len(SPECIAL_TOKENS) - 1} AS id, piece
-  FROM counted QUALIFY row_number() OVER (ORDER BY n DESC, piece) <= 2000 - {len(SPECIAL_TOKENS)}
+  FROM counted QUALIFY row_number() OVER (ORDER BY n DESC, piece) <= {VOCAB_SIZE} - {len(SPECIAL_TOKENS)}
   UNION ALL
   SELECT unnest(range({len(SPECIAL_TOKENS)})), unnest({SPECIAL_TOKENS}))
 """
@@ -92,7 +93,7 @@ vocab AS (
 
 @query(f"WITH {WORD_VOCAB} SELECT CAST(id AS INT) AS id, piece FROM vocab")
 def word_vocabulary(spark, sf):
-    return V.word_vocab(documents(spark, sf), vocab_size=2000)
+    return V.word_vocab(documents(spark, sf))
 
 
 @query(f"""WITH {WORD_VOCAB},
@@ -106,7 +107,7 @@ FROM documents d LEFT JOIN (
 """)
 def encoded_words(spark, sf):
     docs = documents(spark, sf)
-    vocab = V.word_vocab(docs, vocab_size=2000)
+    vocab = V.word_vocab(docs)
     encode = V.word_encoder(vocab)
     ids = docs.select("doc_id", encode(K.words(F.col("text"))).alias("ids"))
     return ids.select(
@@ -114,6 +115,26 @@ def encoded_words(spark, sf):
         V.decode_words(F.col("ids"), vocab).alias("decoded"))
 
 
+ENCODED = """
+encoded AS (
+  SELECT source, doc_id, list(coalesce(v.id, 5) ORDER BY pos) AS ids
+  FROM (SELECT source, doc_id, unnest(tok) AS piece, unnest(range(len(tok))) AS pos
+        FROM (SELECT source, doc_id, """ + words_sql("text") + """ AS tok FROM documents
+              WHERE length(text) > 32)) w
+  LEFT JOIN vocab v ON v.piece = w.piece GROUP BY ALL)
+"""
+
+
+@query(f"WITH {WORD_VOCAB}, {ENCODED}, " + blocks_sql("SELECT * FROM encoded", "ids", BLOCK_SIZE, str(BOS)))
+def packed_encoded_blocks(spark, sf):
+    """Text to learned vocabulary to ids to blocks of 1,024 ids per source."""
+    docs = documents(spark, sf)
+    encode = V.word_encoder(V.word_vocab(docs))
+    blocks = P.pack_long_texts(docs, "source", ["doc_id"], "text", lambda text: encode(K.words(text)),
+                               BLOCK_SIZE, BOS)
+    return blocks.withColumn("input_ids", joined("input_ids"))
+
+
 @query(f"""WITH {WORD_VOCAB}
 SELECT CAST(id AS INT) AS id, piece FROM vocab
 UNION ALL SELECT CAST(m.id + i AS INT), name
@@ -121,7 +142,7 @@ FROM (SELECT max(id) AS id FROM vocab) m,
      (SELECT unnest(['<extra1>', '<extra2>']) AS name, unnest([1, 2]) AS i)
 """)
 def special_tokens_added(spark, sf):
-    vocab = V.word_vocab(documents(spark, sf), vocab_size=2000)
+    vocab = V.word_vocab(documents(spark, sf))
     return V.add_special(vocab, ["<usr>", "<extra1>", "<unused3>", "<extra2>", "<extra1>"])
 
 
@@ -196,7 +217,11 @@ def sentence_lines(spark, sf):
     return lines.select("doc_id", F.size("l").alias("lines"), joined("l", "|").alias("text"))
 
 
-@query()
+@query(rf"""
+SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS place, unnest(l) AS sentence FROM (
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]){WS}', '\1' || chr(1), 'g'), chr(1)),
+         lambda s: s <> '') AS l FROM documents)
+""")
 def sentence_split(spark, sf):
     pieces = K.sentences(F.col("text"), split_summaries=True)
     return documents(spark, sf).select("doc_id", F.posexplode(pieces).alias("place", "sentence"))
@@ -253,11 +278,12 @@ def span_labels(spark, sf):
 
 
 @query(f"""WITH {SPANS}, {WORD_PLACES}
-SELECT d.doc_id, count(DISTINCT pos) AS tokens, count(DISTINCT CASE WHEN s_begin IS NOT NULL
-       THEN pos END) AS labelled
-FROM documents d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = p.doc_id AND prob >= 0.5
-     AND w_end >= s_begin AND s_end >= begin
-GROUP BY d.doc_id
+SELECT doc_id, coalesce(string_agg(label, '' ORDER BY pos), '') AS labels FROM (
+  SELECT d.doc_id, pos, CASE WHEN count(s_begin) > 0 THEN '1' WHEN pos IS NOT NULL THEN '0' END AS label
+  FROM documents d LEFT JOIN places p ON p.doc_id = d.doc_id
+  LEFT JOIN spans s ON s.doc_id = p.doc_id AND prob >= 0.5 AND w_end >= s_begin AND s_end >= begin
+  GROUP BY d.doc_id, pos)
+GROUP BY doc_id
 """)
 def span_labels_in_row(spark, sf):
     """Spans that come with their text, as a field of the row (three per document)."""
@@ -267,9 +293,7 @@ def span_labels_in_row(spark, sf):
     tokens = docs.select("doc_id", N.word_offsets("text").alias("tokens"))
     labels = N.label_tokens(F.col("tokens"), F.col("spans"))
     labelled = tokens.join(spans, "doc_id").select("doc_id", labels.alias("labels"))
-    return labelled.select(
-        "doc_id", F.size("labels").alias("tokens"),
-        F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("labelled"))
+    return labelled.select("doc_id", joined("labels", "").alias("labels"))
 
 
 @query(f"""
@@ -291,10 +315,11 @@ def prompt_examples(spark, sf):
                                    for c in ("input_ids", "attention_mask", "labels")])
 
 
-@query(f"""
+def turns_sql(line: str) -> str:
+    """Masked examples of whole conversations from the text of each turn."""
+    return f"""
 WITH u AS (
-  SELECT conv_id, turn, role = 'assistant' AS bot,
-         {ids_sql("CASE role WHEN 'user' THEN '<usr>' WHEN 'assistant' THEN '<bot>' ELSE '<sys>' END || ' ' || text")}[:{MAX}] AS ids
+  SELECT conv_id, turn, role = 'assistant' AS bot, {ids_sql(line)}[:{MAX}] AS ids
   FROM conversations),
 v AS (SELECT conv_id, turn, CASE WHEN bot THEN list_concat(ids, [{EOS}]) ELSE ids END AS ids,
              CASE WHEN bot THEN list_concat(ids, [{EOS}])
@@ -305,18 +330,35 @@ SELECT conv_id, {joined_sql("ids")} AS input_ids,
        {joined_sql("list_transform(ids, lambda x: 1)")} AS attention_mask,
        {joined_sql("labels")} AS labels
 FROM w WHERE len(list_filter(labels, lambda x: x <> -100)) > 0
-""")
+"""
+
+
+def masked_turns(texts: DataFrame, marks: list[str], rewrite=lambda utterance: utterance) -> DataFrame:
+    """Examples from whole conversations (conv_id, text) cut at ``marks``."""
+    parts = texts.select("conv_id", F.transform(
+        split_utterances(F.col("text"), marks), rewrite).alias("utterances"))
+    ids = parts.withColumn("ids", F.transform("utterances", word_ids))
+    rows = has_supervision(E.mask_turns(ids, "utterances", "ids", "<bot>", MAX, EOS))
+    return rows.select("conv_id", *[joined(c).alias(c)
+                                    for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query(turns_sql("CASE role WHEN 'user' THEN '<usr>' WHEN 'assistant' THEN '<bot>' ELSE '<sys>' END || ' ' || text"))
 def turn_examples(spark, sf):
     mark = F.when(F.col("role") == "user", "<usr>").when(
         F.col("role") == "assistant", "<bot>").otherwise("<sys>")
     lines = table(spark, sf, "conversations").withColumn("line", F.concat(mark, F.lit(" "), "text"))
     texts = assemble_documents(lines, "conv_id", "turn", "line")
-    parts = texts.select("conv_id", split_utterances(
-        F.col("text"), ["<usr>", "<bot>", "<sys>"]).alias("utterances"))
-    ids = parts.withColumn("ids", F.transform("utterances", word_ids))
-    rows = has_supervision(E.mask_turns(ids, "utterances", "ids", "<bot>", MAX, EOS))
-    return rows.select("conv_id", *[joined(c).alias(c)
-                                    for c in ("input_ids", "attention_mask", "labels")])
+    return masked_turns(texts, ["<usr>", "<bot>", "<sys>"])
+
+
+@query(turns_sql("CASE role WHEN 'assistant' THEN '<bot> ' ELSE '<usr> ' END || text"))
+def numbered_turn_examples(spark, sf):
+    """The same from transcripts with numbered marks, which become the tokens of the speakers."""
+    number = F.when(F.col("role") == "assistant", "1 : ").otherwise("0 : ")
+    lines = table(spark, sf, "conversations").withColumn("line", F.concat(number, "text"))
+    texts = assemble_documents(lines, "conv_id", "turn", "line")
+    return masked_turns(texts, list(NUMBERED_MARKS), name_speakers)
 
 
 @query(f"""

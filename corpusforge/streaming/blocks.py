@@ -68,7 +68,7 @@ def pack_batch(docs: DataFrame, batch_id: int, out: str, state: str,
         F.col("ids").alias("_ids"), zero.alias("_base"),
     ).unionByName(rest.select(
         "source", F.lit(0).alias("_late"), zero.alias("doc_id"), F.col("ids").alias("_ids"),
-        (F.col("block") * block_size).alias("_base")))
+        (F.col("block") * block_size).alias("_base"))).persist()
     order = ["_late", "doc_id"]
     placed = running_total(rows, ["source"], order, F.size("_ids") + F.col("_base"), "_start",
                            natural_slices(rows, ["source"], order))
@@ -88,6 +88,7 @@ def pack_batch(docs: DataFrame, batch_id: int, out: str, state: str,
         F.when(F.col("b.full"), none).otherwise(F.col("b.ids")).alias("ids"),
     ).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
     blocks.unpersist()
+    rows.unpersist()
 
 
 def write_blocks(docs: DataFrame, out: str, state: str, checkpoint: str,

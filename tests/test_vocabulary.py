@@ -124,3 +124,31 @@ def test_lengths(spark):
     assert (bins[0]["begin"], bins[-1]["end"]) == (1.0, 11.0)
     same = spark.createDataFrame([(4,), (4,)], "n int")
     assert sum(r["count"] for r in L.length_histogram(same, "n", 3).collect()) == 2
+
+
+def test_merge_word_against_whole_rounds():
+    def rounds(symbols, ranks):
+        while True:
+            known = [(ranks[p], p) for p in zip(symbols, symbols[1:]) if p in ranks]
+            if not known:
+                return symbols
+            _, best = min(known)
+            merged = []
+            for s in symbols:
+                if merged and (merged[-1], s) == best:
+                    merged[-1] = best[0] + best[1] + "\0"  # closed to the next symbol
+                else:
+                    merged.append(s)
+            symbols = [s.rstrip("\0") for s in merged]
+
+    rng = random.Random(1)
+    for _ in range(1000):
+        pieces, ranks = list("abc"), {}
+        for _ in range(rng.randint(0, 8)):
+            pair = (rng.choice(pieces), rng.choice(pieces))
+            if pair not in ranks:
+                ranks[pair] = len(ranks)
+                pieces.append(pair[0] + pair[1])
+        word = [rng.choice("abc") for _ in range(rng.randint(0, 14))]
+        assert V.merge_word(word, ranks) == rounds(word, ranks)
+    V.merge_word(list("ab" * 100_000), {("a", "b"): 0, ("ab", "ab"): 1})
