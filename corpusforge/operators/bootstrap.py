@@ -16,7 +16,8 @@ from corpusforge.operators.overlap import PARTS
 
 PRIME = 2**31 - 1
 METHODS = ("poisson", "exact")
-DRAWN_ROWS = 1 << 16  # rows that one task of the exact method looks after
+DRAWN_ROWS = 1 << 16  # rows and replicates that one task of the exact method looks after
+DRAWN_REPLICATES = 50
 
 
 def poisson_steps() -> list[int]:
@@ -73,11 +74,11 @@ def _drawn_sums(n: int, n_samples: int, seed: int):
         import pandas as pd
 
         first = int(rows["_row"].min())
-        values = np.zeros((int(rows["_row"].max()) - first + 1, len(rows.columns) - 1))
+        values = np.zeros((int(rows["_row"].max()) - first + 1, len(rows.columns) - 2))
         values[rows["_row"].to_numpy() - first, 0] = 1
-        values[rows["_row"].to_numpy() - first, 1:] = rows.iloc[:, 2:].to_numpy()
-        out = []
-        for b in range(n_samples):
+        values[rows["_row"].to_numpy() - first, 1:] = rows.iloc[:, 3:].to_numpy()
+        out, low = [], int(rows["_part"].iloc[0]) * DRAWN_REPLICATES
+        for b in range(low, min(n_samples, low + DRAWN_REPLICATES)):
             draws = np.fromiter((digest(f"{seed}:{b}:{i}") % n for i in range(n)), np.int64, n) - first
             times = np.bincount(draws[(draws >= 0) & (draws < len(values))], minlength=len(values))
             out.append([b, *(times @ values)])
@@ -105,8 +106,10 @@ def replicate_means(scores: DataFrame, types: Sequence[str], key: str | Column,
         kept = scores.select(key, *columns)
         n = kept.count()
         ranked = rank_in_order(kept, [], [key], "_row").select(
-            F.floor(F.col("_row") / DRAWN_ROWS).alias("_block"), "_row", *names)
-        partial = ranked.groupBy("_block").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
+            F.floor(F.col("_row") / DRAWN_ROWS).alias("_block"),
+            F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // DRAWN_REPLICATES))).alias("_part"),
+            "_row", *names)
+        partial = ranked.groupBy("_block", "_part").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
     whole = partial.groupBy("replicate").agg(*[
         F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names) + 1)])
     return whole.where("s0 > 0").select("replicate", *[

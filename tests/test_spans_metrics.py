@@ -25,7 +25,7 @@ def test_span_labels(spark):
             at += n + rng.randint(1, 3)
         for _ in range(300 if doc == 0 else 4):
             b = rng.randint(0, at)
-            spans.append((doc, b, b + rng.randint(0, 150), rng.choice([0.2, 0.5, 0.9])))
+            spans.append((doc, b, b + rng.randint(-12, 150), rng.choice([0.2, 0.5, 0.9])))
     spans = [s for s in spans if s[0] != 5]
     t = spark.createDataFrame(tokens, "doc_id int, pos int, begin int, end int")
     s = spark.createDataFrame(spans, "doc_id int, begin int, end int, prob double")
