@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import query, strings, table
+from corpusforge.llm.common import by_slices, query, strings, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -84,7 +84,7 @@ SPELLED = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-DIGIT_OF = {word: str(d) for line in SPELLED for d, word in enumerate(line.split())}
+DIGIT_OF = {word: str(d) for line in SPELLED for d, word in enumerate(line.split())} | {"oh": "0"}
 SIGN_OF = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+", "dash": "-",
            "hyphen": "-"}
 # Letters of other scripts that look like the ASCII letter below them.
@@ -113,7 +113,9 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_word})(?:{_gap}(?:{_word}))+(?!\w)", re.
 SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_word})(?!\w)", re.IGNORECASE)
 LEAST_SPELLED = 4  # fewer digit words in a row are prose
 _open, _shut = r"[\x20\t]{0,3}[\[({<][\x20\t]{0,3}", r"[\x20\t]{0,3}[\])}>][\x20\t]{0,3}"
-_dot = rf"(?:{_open}(?:dot|punkt|punto|point|\.){_shut}|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}})"
+_bracketed = rf"{_open}(?:dot|punkt|punto|point|\.){_shut}"
+_bare = r"[\x20\t]{1,3}dot[\x20\t]{1,3}"
+_dot = rf"(?:{_bracketed}|{_bare})"
 _label = r"[A-Za-z0-9-]{1,63}"
 # Last labels that end a name disguised by bare words; prose has "at" and "dot" too.
 _last = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|eu|us|uk|de|fr|es|it|nl|ch|at|ca|au|ru|cn|jp|kr|in|br)"
@@ -123,7 +125,11 @@ AT = re.compile(
     rf"|[\x20\t]{{1,3}}(?:at|@)[\x20\t]{{1,3}}"
     rf"(?={_label}(?:(?:\.|{_dot}){_label}){{0,4}}{_dot}{_last}(?![A-Za-z0-9-])))",
     re.IGNORECASE)
-DOTTED = re.compile(rf"@{_label}(?:(?:\.|{_dot}){_label})+", re.IGNORECASE)
+# A bare "dot" belongs to the name if another dot follows or the last label is a known one.
+DOTTED = re.compile(
+    rf"@{_label}(?:(?:\.|{_bracketed}){_label}|{_bare}(?:{_label}(?=\.|{_dot})|{_last}(?![A-Za-z0-9-])))+",
+    re.IGNORECASE)
+ENTITY = re.compile(r"&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 BRACKETED_AT = re.compile(rf"{_open}(?:at|@){_shut}", re.IGNORECASE)
 # Lower case, and white space for everything that can stand around a spelled word.
 AS_WORDS = bytes(
@@ -179,6 +185,16 @@ def unmask_characters(rewritten: Rewritten) -> None:
         rewritten.replace([(i, i + 1, known[c]) for i, c in enumerate(text) if c in known])
 
 
+def unescape_entities(rewritten: Rewritten) -> None:
+    """Numeric character references of ASCII characters."""
+    changes = []
+    for found in ENTITY.finditer(rewritten.text) if "&#" in rewritten.text else ():
+        code = int(found[1], 16) if found[1] else int(found[2])
+        if 32 <= code < 127:
+            changes.append((*found.span(), chr(code)))
+    rewritten.replace(changes)
+
+
 def unspell_digits(rewritten: Rewritten) -> None:
     changes = []
     for run in SPELLED_RUN.finditer(rewritten.text):
@@ -213,6 +229,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
     base = {kind: list(find(text)) for kind, find in DETECTORS}
     found = [(kind, *span, True) for kind, spans in base.items() for span in spans]
     rewritten = Rewritten(text)
+    unescape_entities(rewritten)
     unmask_characters(rewritten)
     if may_be_disguised(rewritten.text):
         unspell_digits(rewritten)
@@ -237,8 +254,8 @@ SPANS = T.ArrayType(T.StructType([
 def spans_of(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
                                ("end", pa.int64()), ("base", pa.bool_())]))
-    return pa.array([[dict(zip(("kind", "start", "end", "base"), f)) for f in find_spans(t)]
-                     for t in strings(text)], kind)
+    return by_slices(lambda texts: pa.array(
+        [[dict(zip(("kind", "start", "end", "base"), f)) for f in find_spans(t)] for t in strings(texts)], kind), text)
 
 
 def identifier_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
