@@ -12,7 +12,7 @@ from corpusforge.functions import tokens as K
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.operators.overlap import align_records, rouge
 from corpusforge.operators.schema import explode_documents
-from corpusforge.plans.overlap import pairs, pairs_sql, score_sql
+from corpusforge.plans.overlap import pairs, pairs_sql, score_sql, tokens_sql
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, blocks_sql, ids_sql, word_ids
 from corpusforge.sources import readers as R
@@ -139,9 +139,8 @@ def aligned_records(spark, sf):
                          "record").select("record", "target", "prediction")
 
 
-@query()
-def score_job(spark, sf):
-    """Turns against the turns before them, as files, to a CSV of intervals."""
+def reply_files(spark, sf) -> str:
+    """Folder with the turns that have a reply and, aligned with them, the replies."""
     folder = scratch(spark)
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
@@ -150,11 +149,39 @@ def score_job(spark, sf):
     pairs.select("text").write.option("lineSep", "\x1e").text(f"{folder}/targets")
     pairs.select("reply").write.option("lineSep", "\x1e").text(f"{folder}/replies")
     pairs.unpersist()
+    return folder
+
+
+@query()
+def score_job(spark, sf):
+    """Turns against the turns before them, as files, to a CSV of intervals."""
+    folder = reply_files(spark, sf)
     C.score_files(spark, f"{folder}/targets/*.txt", f"{folder}/replies/*.txt", f"{folder}/scores",
                   ["rouge1", "rougeL"], "\x1e")
     return spark.read.csv(f"{folder}/scores", header=True)
 
 
+@query(f"""
+WITH pairs AS (
+  SELECT row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS doc_id, 0 AS reference,
+         {tokens_sql("a.text")} AS t, {tokens_sql("b.text")} AS p
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+{score_sql("r1", 1)}, {score_sql("r2", 2)}
+SELECT doc_id AS id, round(a.pr, 6) AS "rouge1-P", round(a.re, 6) AS "rouge1-R", round(a.f, 6) AS "rouge1-F",
+       round(b.pr, 6) AS "rouge2-P", round(b.re, 6) AS "rouge2-R", round(b.f, 6) AS "rouge2-F"
+FROM r1 a JOIN r2 b USING (doc_id)
+""")
+def score_job_rows(spark, sf):
+    """The same job without aggregation: one line per pair, numbered over all files."""
+    folder = reply_files(spark, sf)
+    types = ["rouge1", "rouge2"]
+    C.score_files(spark, f"{folder}/targets/*.txt", f"{folder}/replies/*.txt", f"{folder}/rows",
+                  types, "\x1e", aggregate=False)
+    back = spark.read.csv(f"{folder}/rows", header=True)
+    return back.select(F.col("id").cast("long").alias("id"), *[
+        F.col(f"`{t}-{part}`").cast("double").alias(f"{t}-{part}") for t in types for part in "PRF"])
+
+
 @query(f"""
 WITH {pairs_sql()}, {score_sql("r1", 1)}
 SELECT doc_id, round(pr, 6) AS "rouge1-P", round(re, 6) AS "rouge1-R", round(f, 6) AS "rouge1-F" FROM r1
