@@ -60,6 +60,22 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut smaller, so that what is made of their texts stays small as well."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+
+
+def by_slices(function: Callable[..., pa.Array], *columns: pa.Array, rows: int = 512) -> pa.Array:
+    """``function`` of equal slices of the columns, put together again."""
+    size = max(1, len(columns[0]))
+    whole = pa.concat_arrays([function(*(c.slice(at, rows) for c in columns)) for at in range(0, size, rows)])
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import free_name, query, saved, strings, table, utf8
+from corpusforge.llm.common import by_slices, free_name, query, saved, table, utf8
 
 WINDOW = 10
 # Words of items in one automaton: about 60 MB. More items take more passes.
@@ -139,14 +139,15 @@ class Automaton:
                 above = self.up[self.link[above]]
 
 
+PLACES = ("start", "end", "from", "past")
 OVERLAP = T.StructType([
     T.StructField("n_words", T.LongType()),
-    T.StructField("hits", T.ArrayType(T.StructType([
-        T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    T.StructField("hits", T.ArrayType(T.StructType([T.StructField(p, T.LongType()) for p in PLACES]))),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
-_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_spans = pa.list_(pa.struct([(p, pa.int64()) for p in PLACES]))
 _overlap = pa.struct([("n_words", pa.int64()), ("hits", _spans), ("items", pa.list_(pa.string()))])
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,6 +161,12 @@ def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def placed(spans: Iterable[tuple[int, int]], text: bytes) -> list[dict]:
+    """United spans of words, with the code points of the text they reach over."""
+    words = [m.span() for m in WORD.finditer(text.decode().translate(LOWER))] if spans else []
+    return [dict(zip(PLACES, (start, end, words[start][0], words[end - 1][1]))) for start, end in united(spans)]
+
+
 def overlap_of(texts: list[bytes], automaton: Automaton) -> list[dict]:
     split = [words_of(t) for t in texts]
     ends = np.cumsum([len(w) + 1 for w in split])
@@ -176,7 +183,7 @@ def overlap_of(texts: list[bytes], automaton: Automaton) -> list[dict]:
     nothing: tuple[set, set] = (set(), set())
     return [{
         "n_words": len(words),
-        "hits": [{"start": s, "end": e} for s, e in united(found.get(i, nothing)[0])],
+        "hits": placed(found.get(i, nothing)[0], texts[i]),
         "items": sorted(map(str, found.get(i, nothing)[1])),
     } for i, words in enumerate(split)]
 
@@ -185,10 +192,7 @@ def overlap_with(automaton: Automaton, spark: SparkSession, text: Column) -> Col
     sent = spark.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words and one item
 
     def overlap(column: pa.Array) -> pa.Array:
-        texts, rows = utf8(column), []
-        for at in range(0, len(texts), 512):
-            rows += overlap_of(texts[at : at + 512], sent.value)
-        return pa.array(rows, _overlap)
+        return by_slices(lambda texts: pa.array(overlap_of(utf8(texts), sent.value), _overlap), column)
 
     overlap.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(overlap, OVERLAP)(text)
@@ -208,9 +212,10 @@ def automata(items: DataFrame, item: str, text: str, window: int, block_words: i
 
 
 @F.arrow_udf(OVERLAP["hits"].dataType)
-def unite_hits(spans: pa.Array) -> pa.Array:
-    return pa.array([[{"start": s, "end": e} for s, e in united((x["start"], x["end"]) for x in row or [])]
-                     for row in spans.to_pylist()], _spans)
+def unite_hits(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return by_slices(lambda texts, found: pa.array([
+        placed([(s["start"], s["end"]) for s in row or []], t) for t, row in zip(utf8(texts), found.to_pylist())
+    ], _spans), text, spans)
 
 
 def item_overlap(docs: DataFrame, items: DataFrame, item: str = "item_id", items_text: str = "text",
@@ -244,29 +249,20 @@ def item_overlap(docs: DataFrame, items: DataFrame, item: str = "item_id", items
     none = F.array()
     return joined.withColumn(out, F.struct(
         F.col(f"{out}.n_words").alias("n_words"),
-        unite_hits(F.concat(f"{out}.hits", F.coalesce(hits, none.cast(OVERLAP["hits"].dataType)))).alias("hits"),
+        unite_hits(F.col(text), F.concat(f"{out}.hits", F.coalesce(hits, none.cast(OVERLAP["hits"].dataType)))).alias("hits"),
         F.array_sort(F.array_distinct(F.concat(
             f"{out}.items", F.coalesce(names, none.cast("array<string>"))))).alias("items"),
     )).drop(row, hits, names)
 
 
-def without_spans(text: str, spans: list[dict]) -> str:
-    """``text`` without the words of the spans and what stands between them."""
-    words = [m.span() for m in WORD.finditer(text.translate(LOWER))]
-    out, at = [], 0
-    for span in spans:
-        out.append(text[at : words[span["start"]][0]])
-        at = words[span["end"] - 1][1]
-    return "".join([*out, text[at:]])
-
-
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-@F.arrow_udf(T.StringType())
-def cut_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([without_spans(t, s) if s else t for t, s in zip(strings(text), spans.to_pylist())],
-                    pa.string())
+def cut_spans(text: Column, spans: Column) -> Column:
+    """The text without the words of the spans and what stands between them."""
+    start = F.transform(spans, lambda s: s["past"] + 1)
+    end = F.transform(spans, lambda s: s["from"])
+    starts = F.concat(F.array(F.lit(1).cast("long")), start)
+    ends = F.concat(end, F.array(F.char_length(text).cast("long")))
+    return F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(
+        text, p["a"].cast("int"), (p["b"] - p["a"] + 1).cast("int"))), "")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", least_words: int = WINDOW,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, strings, table, utf8
+from corpusforge.llm.common import bit_filter, by_slices, free_name, in_filter, mix64, query, saved, slices, strings, table, utf8
 
 ROLL = 2  # lines under the rolling hash
 DIVISOR = 4  # a chunk has about this many lines
@@ -66,7 +66,7 @@ KEYS = "k1 long, k2 long, row long, first int, past int"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[], [], [], [], []]
         for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             for first, past, chunk in multi_line_chunks(text):
@@ -83,7 +83,7 @@ def repeated_bytes(numbered: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 for first, _, chunk in multi_line_chunks(text):
@@ -127,12 +127,12 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 @F.arrow_udf(T.StringType())
 def without_lines(text: pa.Array, chunks: pa.Array) -> pa.Array:
-    out = []
-    for body, spans in zip(strings(text), chunks.to_pylist()):
-        lines = body.split("\n")
+    def rest(body: str, spans: list[dict] | None) -> str:
         gone = {i for span in spans or [] for i in range(span["first"], span["past"])}
-        out.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
-    return pa.array(out, pa.string())
+        return "\n".join(line for i, line in enumerate(body.split("\n")) if i not in gone)
+
+    return by_slices(lambda texts, found: pa.array(
+        map(rest, strings(texts), found.to_pylist()), pa.string()), text, chunks)
 
 
 def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text",
