@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusforge.llm.common import bit_filter, filtered, mix64, query, saved, table, utf8, whole_groups
+from corpusforge.llm.common import bit_filter, by_slices, filtered, mix64, query, saved, table, utf8, whole_groups
 
 LENGTH = 100
 ANCHOR = 24
@@ -96,6 +96,13 @@ def parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield _joined(held)
 
 
+def parts_of(column: pa.Array, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for a column of texts, without holding all of them twice."""
+    for at in range(0, len(column), rows):
+        for whole, sizes, numbers, offsets in parts(utf8(column.slice(at, rows))):
+            yield whole, sizes, numbers + at, offsets
+
+
 def _joined(held: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     pieces, numbers, offsets = zip(*held)
     return (np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]),
@@ -104,7 +111,7 @@ def _joined(held: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray,
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for whole, sizes, _, _ in parts(utf8(batch.column(0))):
+        for whole, sizes, _, _ in parts_of(batch.column(0)):
             hashes = anchors(whole, sizes)[3]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
 
@@ -136,27 +143,36 @@ def _found(batch: pa.RecordBatch, number: np.ndarray, h: np.ndarray, c: np.ndarr
         pa.array(at), pa.array(n), pa.array(first)], ["h", "c", "key", "row", "at", "n", "first"])
 
 
+class Contexts:
+    """Contexts of one part of a batch whose anchor hash passes a bit array."""
+
+    def __init__(self, bits: np.ndarray, whole: np.ndarray, sizes: np.ndarray, numbers: np.ndarray,
+                 offsets: np.ndarray):
+        first, past, place, hashes = anchors(whole, sizes)
+        keep = filtered(bits, hashes)
+        self.first, self.past, self.place, self.hashes = first[keep], past[keep], place[keep], hashes[keep]
+        text = np.searchsorted(np.cumsum(sizes), self.first, side="right")
+        self.number = numbers[text]
+        self.shift = (offsets - (np.cumsum(sizes) - sizes))[text]  # from here to places in the text
+        self.view = whole.tobytes()
+
+    def classes(self) -> np.ndarray:
+        """A hash of the bytes of each context."""
+        spans = zip(self.first.tolist(), (self.past + LENGTH - 1).tolist())
+        return np.fromiter((xxhash.xxh3_64_intdigest(self.view[a:b]) for a, b in spans), np.uint64,
+                           len(self.first)).view(np.int64)
+
+
 def _contexts(sent):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Columns row, key, text.
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], [], [], []]
-            for whole, sizes, numbers, offsets in parts(utf8(batch.column(2))):
-                first, past, _, hashes = anchors(whole, sizes)
-                keep = filtered(sent.value, hashes)
-                first, past, hashes = first[keep], past[keep], hashes[keep]
-                text = np.searchsorted(np.cumsum(sizes), first, side="right")
-                view = whole.tobytes()
-                classes = np.fromiter(
-                    (xxhash.xxh3_64_intdigest(view[a : b + LENGTH - 1]) for a, b in zip(first.tolist(), past.tolist())),
-                    np.uint64, len(first))
-                base = np.cumsum(sizes) - sizes
-                for column, values in zip(found, (
-                        numbers[text], hashes.view(np.int64), classes.view(np.int64),
-                        first - base[text] + offsets[text], past - first)):
-                    column.append(values)
-            if found[0]:
-                yield _found(batch, *(np.concatenate(column) for column in found))
+            found: list[tuple] = []
+            for part in parts_of(batch.column(2)):
+                c = Contexts(sent.value, *part)
+                found.append((c.number, c.hashes.view(np.int64), c.classes(), c.first + c.shift, c.past - c.first))
+            if found:
+                yield _found(batch, *map(np.concatenate, zip(*found)))
 
     return emit
 
@@ -165,35 +181,35 @@ def mark_of(c: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c ^ row ^ (row >> 20) ^ at
 
 
+def split_context(a: int, b: int, anchor: int) -> Iterator[tuple[int, int, int]]:
+    """Parts of the windows a to b - 1, on a grid that the anchor fixes.
+
+    (first window, last window, first byte of the core): the core, LENGTH - FINER + 1 bytes,
+    is inside every window that can fall into the part, so equal windows have equal cores.
+    """
+    for step in range((anchor - b + 1) // FINER, (anchor - a) // FINER + 1):
+        low = anchor - step * FINER
+        yield max(a, low - FINER + 1), min(b - 1, low), low
+
+
 def _bytes(multi, hot, firsts):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             out: list[tuple] = []
-            for whole, sizes, numbers, offsets in parts(utf8(batch.column(2))):
-                first, past, place, hashes = anchors(whole, sizes)
-                keep = filtered(multi.value, hashes)
-                first, past, place, hashes = first[keep], past[keep], place[keep], hashes[keep]
-                crowded = filtered(hot.value, hashes)
-                text = np.searchsorted(np.cumsum(sizes), first, side="right")
-                shift = (offsets - (np.cumsum(sizes) - sizes))[text]
-                view = whole.tobytes()
-                for a, b, p, h, many, by, number in zip(
-                        first.tolist(), past.tolist(), place.tolist(), hashes.view(np.int64).tolist(),
-                        crowded.tolist(), shift.tolist(), numbers[text].tolist()):
-                    context = view[a : b + LENGTH - 1]
-                    c = np.uint64(xxhash.xxh3_64_intdigest(context)).astype(np.int64)
-                    if not filtered(firsts.value, mark_of(c, rows[number], np.int64(a + by)).reshape(1))[0]:
-                        continue
+            for part in parts_of(batch.column(2)):
+                c = Contexts(multi.value, *part)
+                marks = mark_of(c.classes(), rows[c.number], c.first + c.shift)
+                keep = filtered(firsts.value, marks.view(np.uint64))
+                crowded = filtered(hot.value, c.hashes)
+                columns = (c.first, c.past, c.place, c.hashes.view(np.int64), crowded, c.shift, c.number)
+                for a, b, anchor, h, many, by, number in zip(*(x[keep].tolist() for x in columns)):
                     if not many:
-                        out.append((False, h, number, a + by, context))
+                        out.append((False, h, number, a + by, c.view[a : b + LENGTH - 1]))
                         continue
-                    # Parts on a grid that the anchor fixes; equal windows are in equal parts.
-                    for step in range((p - b + 1) // FINER, (p - a) // FINER + 1):
-                        low, high = max(a, p - step * FINER - FINER + 1), min(b - 1, p - step * FINER)
-                        core = view[p - step * FINER : p - step * FINER - FINER + 1 + LENGTH]
-                        out.append((True, xxhash.xxh3_64_intdigest(core, seed=1) - (1 << 63), number, low + by,
-                                    view[low : high + LENGTH]))
+                    for low, high, at in split_context(a, b, anchor):
+                        core = xxhash.xxh3_64_intdigest(c.view[at : at + LENGTH - FINER + 1], seed=1)
+                        out.append((True, core - (1 << 63), number, low + by, c.view[low : high + LENGTH]))
             if out:
                 part, k, number, at, context = zip(*out)
                 taken = pa.array(number, pa.int64())
@@ -367,6 +383,10 @@ REMOVED = T.StructType([
 
 @F.arrow_udf(REMOVED)
 def removed(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return by_slices(_removed, text, spans, rows=128)
+
+
+def _removed(text: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
     for body, found in zip(utf8(text), spans.to_pylist()):
         out, at, gone, n, begin = [], 0, 0, 0, None
