@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, table, utf8, whole_groups
+from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, slices, table, utf8, whole_groups
 from corpusforge.llm.components import components
 
 WORDS = 5
@@ -89,12 +89,6 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least ^ (least >> np.uint32(16))).astype("<u2").tobytes()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _key(shingles: np.ndarray) -> tuple[int, int]:
     digest = blake2b(shingles.tobytes(), digest_size=16).digest()
     return (int.from_bytes(digest[:8], "little", signed=True),
@@ -102,19 +96,20 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        sets = shingle_sets(utf8(batch.column(1)))
+    # Columns row, key, text.
+    for batch in slices(batches):
+        sets = shingle_sets(utf8(batch.column(2)))
         keys = [_key(s) for s in sets]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([k[0] for k in keys], pa.int64()),
+            batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()),
             pa.array([k[1] for k in keys], pa.int64()),
             pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-        ], ["row", "k1", "k2", "sig"])
+        ], ["row", "key", "k1", "k2", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(7))
-    for batch in chunks(batches, 4096):
+    for batch in slices(batches, 4096):
         reps = batch.column(0).to_numpy(zero_copy_only=False)
         values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, BANDS)
         yield pa.RecordBatch.from_arrays(
@@ -221,7 +216,7 @@ def in_homes(shared: DataFrame) -> DataFrame:
 
 def _shingles(sent):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in slices(batches):
             wanted = [i for i, mark in enumerate(batch.column(2).to_pylist()) if in_filter(sent.value, mark)]
             batch = batch.take(pa.array(wanted, pa.int64()))
             yield pa.RecordBatch.from_arrays([
@@ -303,11 +298,13 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     comparison with less than 1e-5. Per pair of blocks, work is in proportion to the pairs that
     share a band; no table grows with the square of a group.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    keys = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"))
-    profiles = saved(numbered.mapInArrow(_profile, "row long, k1 long, k2 long, sig binary"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
+                           F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    profiles = saved(numbered.mapInArrow(_profile, f"row long, key {kind}, k1 long, k2 long, sig binary"))
     classes = saved(profiles.groupBy("k1", "k2").agg(
-        F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+        F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
+        F.min(F.struct("key", "row")).alias("first")))
     bands = classes.where("sig IS NOT NULL").select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = bands.join(sizes, "band").join(classes.select("rep", "sig"), "rep")
@@ -329,17 +326,17 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     labels = components(links.select("a", F.col("root").alias("b")))
     counted = links.groupBy("a").agg(F.sum("links").alias("links"))
     grouped = saved(
-        classes.select("k1", "k2", "rep", "copies")
+        classes.select("k1", "k2", "rep", "copies", "first")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .join(counted.withColumnRenamed("a", "rep"), "rep", "left")
-        .select("k1", "k2", F.coalesce("label", "rep").alias("group"),
+        .select("k1", "k2", "first", F.coalesce("label", "rep").alias("group"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
-    rows = profiles.select("row", "k1", "k2").join(keys, "row").join(grouped, ["k1", "k2"]).select(
-        "row", "key", "group", "n_links")
-    first = rows.groupBy("group").agg(F.min(F.struct("key", "row")).alias("first"))
-    return rows.join(first, "group").select(
-        "row", "key", F.col("first.key").alias("class_id"), "n_links",
-        (F.col("row") == F.col("first.row")).alias("leader"))
+    leaders = grouped.groupBy("group").agg(F.min("first").alias("leader"))
+    # Texts meet their class by its key alone; groups are joined while copies are still one row.
+    known = saved(grouped.join(leaders, "group").select("k1", "k2", "leader", "n_links"))
+    return profiles.select("row", "key", "k1", "k2").join(known, ["k1", "k2"]).select(
+        "row", "key", F.col("leader.key").alias("class_id"), "n_links",
+        (F.col("row") == F.col("leader.row")).alias("leader"))
 
 
 def keep_leaders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,7 +346,36 @@ def keep_leaders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
 
 
-@query("op4_jaccard_join")
+JOIN_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+    FROM docs
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 5 * c >= 4 * (p.n + q.n - c)
+    UNION ALL
+    SELECT a.doc_id, b.doc_id FROM docs a JOIN docs b ON a.doc_id <> b.doc_id
+    WHERE len(a.w) = 0 AND len(b.w) = 0
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM docs
+    UNION
+    SELECT doc_id, y FROM reached JOIN links ON other = x
+)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links
+FROM (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x) USING (doc_id)
+"""
+
+
+@query("op4_jaccard_join", JOIN_SQL)
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return similar_texts(docs).select(F.col("key").alias("doc_id"), "class_id", "n_links")
