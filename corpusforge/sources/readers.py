@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +18,9 @@ BAD = "_bad"
 
 
 def file_path() -> Column:
-    """Path of a row's file, with one slash after ``file:`` whatever made it."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    """Path of a row's file, unescaped and with one slash after ``file:``, whatever made it."""
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(escaped), "^file:/+", "file:/")
 
 
 def list_files(spark: SparkSession, paths: str, pattern: str | None = None) -> list[str]:
@@ -29,14 +31,15 @@ def list_files(spark: SparkSession, paths: str, pattern: str | None = None) -> l
     reader = spark.read.format("binaryFile")
     if pattern is not None:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return sorted({re.sub("^file:/+", "file:/", f) for f in reader.load(paths).inputFiles()})
+    return sorted({re.sub("^file:/+", "file:/", unquote(f)) for f in reader.load(paths).inputFiles()})
 
 
 def missing_files(spark: SparkSession, read: DataFrame, root: str, pattern: str) -> DataFrame:
     """``file, content`` of the files that ``read`` (``file``) has no row of: empty ones."""
     files = spark.createDataFrame([(f,) for f in list_files(spark, root, pattern)], "file string")
+    empty = F.substring("file", 1, 0)  # no constant: Spark would fold what callers make of it
     return files.join(read.select("file").distinct(), "file", "left_anti").select(
-        "file", F.lit("").alias("content"))
+        "file", empty.alias("content"))
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType,

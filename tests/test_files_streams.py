@@ -40,8 +40,9 @@ def test_json_tree_reports_bad_files(spark, tmp_path):
 
 
 def test_own_parser_keeps_rows_before_the_error(spark, tmp_path):
+    (tmp_path / "a=1/b %+é").mkdir(parents=True)
     for name, content in (("one", "1\n2\n"), ("two", "3\nx\n4"), ("none", "")):
-        (tmp_path / f"{name}.num").write_text(content)
+        (tmp_path / "a=1/b %+é" / f"{name}.num").write_text(content)
     good, bad = R.read_parsed(spark, str(tmp_path), lambda text: ({"n": int(x)} for x in text.split()),
                               "n long", "*.num")
     assert sorted((os.path.basename(r["file"]), r["n"]) for r in good.collect()) == [
