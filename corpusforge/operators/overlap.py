@@ -162,7 +162,8 @@ def rouge(df: DataFrame, types: Sequence[str], key: str | Sequence[str], target:
         split = F.transform(sentences(F.col(column), split_summaries), tokenizer)
         return stem_tokens(split, nested=True) if stem else split
 
-    columns = [tokens(F.col(target)), tokens(F.col(prediction))]
+    whole = any(t != "rougeLsum" for t in types)  # else only sentences are looked at
+    columns = [tokens(F.col(c)) if whole else F.array().cast("array<string>") for c in (target, prediction)]
     if "rougeLsum" in types:
         columns += [lines(target), lines(prediction)]
     counted = df.select(*key, counts_udf(types, len(columns))(*columns).alias("_counts"))
