@@ -80,7 +80,8 @@ def judge_captures(captures: DataFrame, events: DataFrame, url: str = "url",
     keys = keys.select(at, when, "key.*", F.pmod(F.xxhash64(at, when), F.lit(salts)).alias(salt))
     intervals = validity_intervals(events).withColumn(
         salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    active = keys.join(intervals, ["kind", "pattern", salt]).where(
+    # The copies compress so well that their size on disk would pass for small: no broadcast.
+    active = keys.join(intervals.hint("merge"), ["kind", "pattern", salt]).where(
         (F.col("since") <= F.col(when)) & (F.col("until").isNull() | (F.col(when) < F.col("until"))))
     strength = F.struct(
         (F.col("kind") == "url").alias("place"), F.length("pattern").alias("length"),
