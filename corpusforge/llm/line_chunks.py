@@ -1,14 +1,14 @@
-"""Removal of multi-line chunks that occur elsewhere, with content-defined borders.
+"""Removal of multi-line passages that occur elsewhere.
 
-Lines are hashed, and a rolling hash over neighbouring line hashes decides where a chunk
-ends. A border depends on the lines next to it only, so the same passage is cut alike
-wherever it stands. Of equal chunks the first stays.
+Every two neighbouring lines with a word, and every line of over LONG_LINE words, are a
+chunk. Chunks overlap, so every repeated passage that holds one is found whole, whatever
+stands around it. A chunk depends on its own lines only. Of equal chunks the first stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import bit_filter, by_slices, free_name, in_filter, mix64, query, saved, slices, strings, table, utf8
+from corpusforge.llm.common import bit_filter, by_slices, filtered, free_name, query, saved, slices, strings, table, utf8
 
-ROLL = 2  # lines under the rolling hash
-DIVISOR = 4  # a chunk has about this many lines
 MOST_LINES = 256
-LEAST_LINES = 2  # lines with a word; shorter chunks are left alone
+LEAST_LINES = 2  # lines with a word; shorter chunks are left alone unless they are long
+LONG_LINE = 50  # words; a line of more is a passage by itself
 SALTS = 16
 
 Chunk = tuple[int, int]
 
 
 def chunk_lines(lines: list[bytes]) -> list[Chunk]:
-    """Spans of lines. A chunk ends after a line whose rolling hash is a multiple of DIVISOR."""
-    n = len(lines)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(line) for line in lines), np.uint64, n)
-    rolled = hashes.copy()
-    for k in range(1, ROLL):
-        rolled[k:] += mix64(hashes[:-k] + np.uint64(k))
-    ends = (np.flatnonzero(mix64(rolled) % np.uint64(DIVISOR) == 0) + 1).tolist()
+    """Spans of lines. One ends after each line that holds a word, and after MOST_LINES blank ones."""
+    ends = [i + 1 for i, line in enumerate(lines) if line and not line.isspace()]
     chunks, start = [], 0
-    for end in [*ends, n]:
+    for end in [*ends, len(lines)]:
         while end - start > MOST_LINES:
             chunks.append((start, start + MOST_LINES))
             start += MOST_LINES
@@ -48,54 +42,60 @@ def chunk_lines(lines: list[bytes]) -> list[Chunk]:
 
 
 def multi_line_chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, past the last, bytes) of the chunks with enough lines that hold a word."""
+    """(first line, past the last, bytes) of the chunks, from a line with a word to one with a word."""
     lines = text.split(b"\n")
-    if len(lines) < LEAST_LINES:
-        return []
-    return [(start, end, b"\n".join(lines[start:end])) for start, end in chunk_lines(lines)
-            if sum(1 for line in lines[start:end] if line.strip()) >= LEAST_LINES]
+    ends = [past for _, past in chunk_lines(lines) if lines[past - 1] and not lines[past - 1].isspace()]
+    begins = [0, *accumulate(len(line) + 1 for line in lines)]
+    least = LEAST_LINES - 1
+    chunks = [(a - 1, b, text[begins[a - 1] : begins[b] - 1]) for a, b in zip(ends, ends[least:])]
+    # A line of so many words has a byte for each and for each gap.
+    return chunks + [(a - 1, a, lines[a - 1]) for a in ends
+                     if len(lines[a - 1]) > 2 * LONG_LINE and len(lines[a - 1].split()) > LONG_LINE]
 
 
-def key_of(chunk: bytes) -> tuple[int, int]:
-    digest = blake2b(chunk, digest_size=16).digest()
-    return (int.from_bytes(digest[:8], "little", signed=True),
-            int.from_bytes(digest[8:], "little", signed=True))
-
-
-KEYS = "k1 long, k2 long, row long, first int, past int"
+def keys_of(chunks: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """Two 64-bit numbers for each chunk."""
+    digests = b"".join(xxhash.xxh3_128_digest(chunk) for _, _, chunk in chunks)
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out: list[list] = [[], [], [], [], []]
-        for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            for first, past, chunk in multi_line_chunks(text):
-                for column, value in zip(out, (*key_of(chunk), row, first, past)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.int32(),) * 2)],
-            ["k1", "k2", "row", "first", "past"])
-
-
-def repeated_bytes(numbered: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(k1, k2, row, first, chunk) of chunks whose key may be repeated, by the bit array."""
+        keys = np.concatenate([np.zeros((0, 2), np.int64), *(
+            keys_of(multi_line_chunks(text)) for text in utf8(batch.column(0)))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])) for k in (0, 1)], ["k1", "k2"])
+
+
+PLACES = "k1 long, k2 long, row long, first int, past int, chunk binary"
+
+
+def repeated_places(numbered: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(k1, k2, row, first, past, chunk) of chunks whose key may be repeated, by the bit array.
+
+    The bytes are given once for each slice of texts and null for the copies in it.
+    """
     sent = numbered.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = sent.value
         for batch in slices(batches):
-            out: list[tuple] = []
+            out: list[list] = [[], [], [], [], [], []]
+            given: set[bytes] = set()
             for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                for first, _, chunk in multi_line_chunks(text):
-                    k1, k2 = key_of(chunk)
-                    if in_filter(mask, k1):
-                        out.append((k1, k2, row, first, chunk))
-            columns = list(zip(*out)) or [()] * 5
+                chunks = multi_line_chunks(text)
+                keys = keys_of(chunks)
+                for at in np.flatnonzero(filtered(mask, keys[:, 0])).tolist():
+                    first, past, chunk = chunks[at]
+                    new = chunk not in given
+                    if new:
+                        given.add(chunk)
+                    for column, value in zip(out, (*keys[at].tolist(), row, first, past, chunk if new else None)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                ["k1", "k2", "row", "first", "chunk"])
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.int32(),) * 2 + (pa.binary(),))],
+                ["k1", "k2", "row", "first", "past", "chunk"])
 
-    return numbered.mapInArrow(emit, "k1 long, k2 long, row long, first int, chunk binary")
+    return numbered.mapInArrow(emit, PLACES)
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,26 +105,43 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     earlier means a smaller ``key``, then row, then line. Chunks are compared byte by byte:
     all chunks under one 128-bit key must be the same bytes, else none of them is removed.
     """
+    keys = docs.select(F.col(text).alias("text")).mapInArrow(_keys, "k1 long, k2 long")
+    repeated = saved(keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    chunks = saved(numbered.mapInArrow(_keys, KEYS))
-    repeated = saved(chunks.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
-    texts = repeated_bytes(numbered, bit_filter(repeated, "k1"))
+    places = saved(repeated_places(numbered, bit_filter(repeated, "k1")))
     # Grouping by the bytes is the comparison; a hot chunk is one row per task before the shuffle.
-    kinds = texts.groupBy("k1", "k2", "chunk").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(
-        F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds = 1 AND n > 1").select("k1", "k2")
+    kinds = places.where("chunk IS NOT NULL").groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy(
+        "k1", "k2").agg(F.count("*").alias("kinds")).where("kinds = 1").select("k1", "k2").join(repeated, ["k1", "k2"])
     order = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")
-    salted = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    copies = saved(
-        chunks.withColumn("salt", salt).join(salted, ["k1", "k2", "salt"]).join(order, "row")
-        .select("k1", "k2", "salt", "row", "first", "past", F.struct("key", "row", "first").alias("place")))
-    leaders = copies.groupBy("k1", "k2").agg(F.min("place").alias("leader")).withColumn(
+    copies = places.drop("chunk").join(order, "row").select(
+        "k1", "k2", salt, "row", "first", "past", F.struct("key", "row", "first").alias("place"))
+    leaders = copies.groupBy("k1", "k2").agg(F.min("place").alias("leader")).join(kinds, ["k1", "k2"]).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return copies.join(leaders, ["k1", "k2", "salt"]).where(
         (F.col("row") != F.col("leader.row")) | (F.col("first") != F.col("leader.first"))
     ).select("row", "first", "past")
 
 
+LINES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())]))
+
+
+@F.arrow_udf(LINES)
+def united(chunks: pa.Array) -> pa.Array:
+    """Sorted spans of lines, with those that meet put together."""
+    def unite(spans: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for span in spans:
+            if out and span["first"] <= out[-1]["past"]:
+                out[-1]["past"] = max(out[-1]["past"], span["past"])
+            else:
+                out.append(span)
+        return out
+
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+    return by_slices(lambda found: pa.array([unite(spans or []) for spans in found.to_pylist()], kind), chunks)
+
+
 @F.arrow_udf(T.StringType())
 def without_lines(text: pa.Array, chunks: pa.Array) -> pa.Array:
     def rest(body: str, spans: list[dict] | None) -> str:
@@ -139,13 +156,13 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
                          chunks: str | None = None) -> DataFrame:
     """``docs`` with the lines of repeated chunks taken out of the texts.
 
-    All rows and columns stay; null and empty texts and single lines are never changed.
-    Repeated rows keep their chunks once. ``docs`` must be a stored table, read in the same
+    All rows and columns stay; null and empty texts and single lines of at most LONG_LINE
+    words are never changed. Repeated rows keep their chunks once. ``docs`` must be a stored table, read in the same
     parts each time. With ``chunks`` a column of that name holds the removed spans of lines.
     """
     row, spans = free_name(docs, "row"), free_name(docs, "chunks")
     found = repeated_chunks(docs, key, text).groupBy(F.col("row").alias(row)).agg(
-        F.sort_array(F.collect_list(F.struct("first", "past"))).alias(spans))  # chunks of one text
+        united(F.sort_array(F.collect_list(F.struct("first", "past")))).alias(spans))  # chunks of one text
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
     result = joined.withColumn(text, F.when(F.col(spans).isNotNull(), without_lines(text, spans)).otherwise(F.col(text)))
     names = [c for c in docs.columns if c != chunks]

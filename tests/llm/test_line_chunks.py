@@ -62,3 +62,31 @@ def test_odd_rows(odd_documents, no_documents):
     before = sorted(str(r.text) for r in docs.collect())
     assert sorted(str(r.text) for r in cleaned.collect()) == before
     assert c.drop_repeated_chunks(no_documents).count() == 0
+
+
+def test_every_repeated_passage_is_found_whole(stored):
+    draw = random.Random(8)
+    fresh = iter(range(10**9))
+
+    def own(lines, words=12):
+        return [" ".join(f"w{next(fresh)}" for _ in range(words)) for _ in range(lines)]
+
+    shared = [own(n) for n in range(2, 41)] + [own(2, 26), own(1, 51), own(1, 300), own(4)[:2] + [""] + own(2)]
+    rows = []
+    for passage in shared:
+        for _ in range(3):
+            rows.append((len(rows), own(draw.randint(1, 6)), passage, own(draw.randint(1, 6))))
+    texts = [(key, "\n".join([*before, *passage, *after])) for key, before, passage, after in rows]
+    copy = texts[7][1]
+    cleaned = c.drop_repeated_chunks(stored([(i, t, "en", "s", 0) for i, t in [*texts, (9999, copy)]]))
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert got.pop(9999) == ""
+    for key, before, passage, after in rows:
+        assert got[key].split("\n") == [*before, *(passage if key % 3 == 0 else []), *after]
+
+
+def test_spans_of_lines_are_disjoint(stored):
+    text = "\n".join(f"line {i}" for i in range(6))
+    docs = stored([(1, text, "en", "s", 0), (2, f"own\n{text}\nend", "en", "s", 0)])
+    spans = {r.doc_id: r.spans for r in c.drop_repeated_chunks(docs, chunks="spans").collect()}
+    assert spans[1] is None and [tuple(s) for s in spans[2]] == [(1, 7)]
