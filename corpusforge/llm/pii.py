@@ -130,23 +130,30 @@ DOTTED = re.compile(
     rf"@{_label}(?:(?:\.|{_bracketed}){_label}|{_bare}(?:{_label}(?=\.|{_dot})|{_last}(?![A-Za-z0-9-])))+",
     re.IGNORECASE)
 ENTITY = re.compile(r"&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
-BRACKETED_AT = re.compile(rf"{_open}(?:at|@){_shut}", re.IGNORECASE)
-# Lower case, and white space for everything that can stand around a spelled word.
-AS_WORDS = bytes(
-    ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32
-    for b in range(256))
+BRACKETED = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|[@.])[\x20\t]{0,3}[\])}>]", re.IGNORECASE)
+# Letters that match an ASCII letter when case is ignored, and that lower() leaves alone or splits.
+FOLD = str.maketrans("ıİſ", "iis")
+# Lower case, and white space for everything that can stand around a spelled ASCII word.
+AS_WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 DOT_WORDS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point"))
-DIGIT_WORDS = frozenset(w.encode() for word in DIGIT_OF for w in (word, word.upper().lower()))
+DIGIT_WORDS = frozenset(w.encode() for w in DIGIT_OF if w.isascii())
+ACCENTED_WORDS = tuple(w for w in DIGIT_OF if not w.isascii())
+
+
+def without_case(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(FOLD).lower()
 
 
 def may_be_disguised(text: str) -> bool:
-    """Whether the rewriting of words and signs can change anything."""
-    words = text.encode().translate(AS_WORDS).split()
+    """False only if the rewriting of words and signs cannot change anything."""
+    folded = without_case(text)
+    words = folded.encode().translate(AS_WORDS).split()
     if not DOT_WORDS.isdisjoint(words):
         return True
-    if not DIGIT_WORDS.isdisjoint(words) and sum(w in DIGIT_WORDS for w in words) >= LEAST_SPELLED:
-        return True
-    return ("@" in text or b"at" in words) and BRACKETED_AT.search(text) is not None
+    spelled = 0 if DIGIT_WORDS.isdisjoint(words) else sum(w in DIGIT_WORDS for w in words)
+    if not text.isascii():
+        spelled += sum(map(folded.count, ACCENTED_WORDS))
+    return spelled >= LEAST_SPELLED or BRACKETED.search(text) is not None
 
 
 class Rewritten:
@@ -199,7 +206,7 @@ def unspell_digits(rewritten: Rewritten) -> None:
     changes = []
     for run in SPELLED_RUN.finditer(rewritten.text):
         words = list(SPELLED_WORD.finditer(rewritten.text, *run.span()))
-        signs = [DIGIT_OF.get(w.group().lower()) or SIGN_OF[w.group().lower()] for w in words]
+        signs = [DIGIT_OF.get(w) or SIGN_OF[w] for w in (without_case(w.group()) for w in words)]
         if sum(s.isdigit() for s in signs) < LEAST_SPELLED:
             continue
         last = run.start()
