@@ -118,7 +118,22 @@ _bare = r"[\x20\t]{1,3}dot[\x20\t]{1,3}"
 _dot = rf"(?:{_bracketed}|{_bare})"
 _label = r"[A-Za-z0-9-]{1,63}"
 # Last labels that end a name disguised by bare words; prose has "at" and "dot" too.
-_last = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|eu|us|uk|de|fr|es|it|nl|ch|at|ca|au|ru|cn|jp|kr|in|br)"
+_sure = """com org net edu gov mil int info biz io co eu us uk de fr es it nl ch at ca au ru cn jp kr in br
+    ac ad ae af ag ai al ao aq ar aw ax az ba bb bd bf bg bh bi bj bm bn bo bq bs bt bv bw by bz cc cd cf cg
+    ci ck cl cm cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm
+    gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im iq ir je jm jo ke kg kh ki km kn kp kw ky kz la
+    lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng
+    ni np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs rw sa sb sc sd se sg sh si sj sk
+    sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uy uz va vc ve vg vi
+    vn vu wf ws ye yt za zm zw app dev xyz tech aero coop museum mobi arpa asia gmbh blog wiki wien berlin
+    hamburg koeln paris cat swiss london"""
+# English words as well, so they must end a line, a clause or a bracket.
+_prose = """am as be do is me my no so to cloud online site shop store club page email live news world agency
+    digital solutions services systems network company center group global space website top work team media
+    design studio art games host press social support software tools today zone academy education health care
+    bank law legal finance post name pro jobs travel one fun life plus run link click help guide"""
+_clause = r"""(?=[\x20\t]{0,3}(?:[\n\r.,;:!?)\]}>"']|\Z))"""
+_last = f"(?:{'|'.join(_sure.split())}|(?:{'|'.join(_prose.split())}){_clause})"
 DOT = re.compile(_dot, re.IGNORECASE)
 AT = re.compile(
     rf"(?<=[A-Za-z0-9._%+-])(?:{_open}(?:at|@){_shut}(?=[A-Za-z0-9])"
@@ -129,13 +144,18 @@ AT = re.compile(
 DOTTED = re.compile(
     rf"@{_label}(?:(?:\.|{_bracketed}){_label}|{_bare}(?:{_label}(?=\.|{_dot})|{_last}(?![A-Za-z0-9-])))+",
     re.IGNORECASE)
+# Between digits, and before one, the detectors judge what the rewritten text is.
+DIGITS_DOT = re.compile(
+    rf"(?<=[0-9])(?:{_bracketed}|[\x20\t]{{1,3}}(?:dot|punkt|punto|point)[\x20\t]{{1,3}})(?=[0-9])", re.IGNORECASE)
+PLUS = re.compile(
+    rf"(?:[\[({{<][\x20\t]{{0,3}}(?:plus|\+){_shut}|(?<!\w)plus[\x20\t]{{1,3}})(?=\(?[0-9])", re.IGNORECASE)
 ENTITY = re.compile(r"&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
-BRACKETED = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|[@.])[\x20\t]{0,3}[\])}>]", re.IGNORECASE)
+BRACKETED = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|[@.+])[\x20\t]{0,3}[\])}>]", re.IGNORECASE)
 # Letters that match an ASCII letter when case is ignored, and that lower() leaves alone or splits.
 FOLD = str.maketrans("ıİſ", "iis")
 # Lower case, and white space for everything that can stand around a spelled ASCII word.
 AS_WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
-DOT_WORDS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point"))
+SIGN_WORDS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point", "plus"))
 DIGIT_WORDS = frozenset(w.encode() for w in DIGIT_OF if w.isascii())
 ACCENTED_WORDS = tuple(w for w in DIGIT_OF if not w.isascii())
 
@@ -148,7 +168,7 @@ def may_be_disguised(text: str) -> bool:
     """False only if the rewriting of words and signs cannot change anything."""
     folded = without_case(text)
     words = folded.encode().translate(AS_WORDS).split()
-    if not DOT_WORDS.isdisjoint(words):
+    if not SIGN_WORDS.isdisjoint(words):
         return True
     spelled = 0 if DIGIT_WORDS.isdisjoint(words) else sum(w in DIGIT_WORDS for w in words)
     if not text.isascii():
@@ -225,6 +245,8 @@ def undisguise_signs(rewritten: Rewritten) -> None:
         for domain in DOTTED.finditer(rewritten.text)
         for dot in DOT.finditer(rewritten.text, *domain.span())
     ])
+    rewritten.replace([(*m.span(), ".") for m in DIGITS_DOT.finditer(rewritten.text)])
+    rewritten.replace([(*m.span(), "+") for m in PLUS.finditer(rewritten.text)])
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, bool]]:

@@ -100,3 +100,27 @@ def test_equal_results_without_the_gate(monkeypatch):
     monkeypatch.setattr(pii, "may_be_disguised", lambda text: True)
     for text, found in zip(texts, gated):
         assert found == pii.find_spans(text), text
+
+
+@pytest.mark.parametrize("text,kind,source", [
+    ("from 192[.]168[.]0[.]1 on", "ip", "192[.]168[.]0[.]1"),
+    ("192(dot)168(dot)0(dot)1", "ip", "192(dot)168(dot)0(dot)1"),
+    ("ip 192 dot 168 dot 0 dot 1.", "ip", "192 dot 168 dot 0 dot 1"),
+    ("ip 192 Punkt 168 . 0", None, None),
+    ("call plus 49 170 1234567 now", "phone", "plus 49 170 1234567"),
+    ("call [+]49 (170) 1234567", "phone", "[+]49 (170) 1234567"),
+    ("bob at example dot pl", "email", "bob at example dot pl"),
+    ("bob at mail dot example dot cz, or", "email", "bob at mail dot example dot cz"),
+    ("bob at example dot app now", "email", "bob at example dot app"),
+    ("write bob at example dot me.", "email", "bob at example dot me"),
+    ("look at the dot is red", None, None),
+    ("2 plus 2 dot 5 and 3 point 4", None, None),
+])
+def test_signs_between_digits_and_all_last_labels(text, kind, source):
+    found = [(k, text[s:e]) for k, s, e, base in pii.find_spans(text)]
+    assert found == ([(kind, source)] if kind else [])
+
+
+@pytest.mark.parametrize("text", ["1 dot " * 40_000, "plus 1 " * 40_000, "1(.)" * 60_000, "a at b dot " * 20_000])
+def test_long_runs_of_signs_are_linear(text):
+    pii.find_spans(text)
