@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from corpusforge.llm.common import by_slices, free_name, query, saved, table, utf8
 
 WINDOW = 10
+LEAST_SPAN = 3  # words; shorter hit spans are not cut
 # Words of items in one automaton: about 60 MB. More items take more passes.
 BLOCK_WORDS = 100_000
 # On UTF-8: A-Z to lower case, every other ASCII character that is in no word to a blank.
@@ -266,18 +267,23 @@ def cut_spans(text: Column, spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", least_words: int = WINDOW,
-                  most_covered: float = 0.5, **options) -> DataFrame:
+                  most_covered: float = 0.5, window: int = WINDOW, least_span: int = LEAST_SPAN, **options) -> DataFrame:
     """Cut hit spans out of the texts and drop texts that are mostly test items.
 
-    A text goes if more than ``most_covered`` of its words are hit; else its hit spans of
-    at least ``least_words`` words are cut out. Texts without hits stay exactly as they
-    are, null texts too.
+    A text goes if more than ``most_covered`` of its words are hit; else every run of
+    ``least_words`` item words, and every whole shorter item, is cut out of it. Spans of
+    fewer than ``least_span`` words are common words rather than items and stay. Texts
+    without hits stay exactly as they are, null texts too.
     """
     out = free_name(docs, "overlap")
-    found = item_overlap(docs, items, text=text, out=out, **options)
-    hits = F.col(f"{out}.hits")
-    n_hit = hit_words(hits)
-    long = F.filter(hits, lambda s: s["end"] - s["start"] >= least_words)
+    cut = out
+    found = item_overlap(docs, items, text=text, out=out, window=window, **options)
+    if least_words != window:
+        found = saved(found)
+        cut = free_name(found, "cut")
+        found = item_overlap(found, items, text=text, out=cut, window=least_words, **options)
+    n_hit = hit_words(F.col(f"{out}.hits"))
+    long = F.filter(f"{cut}.hits", lambda s: s["end"] - s["start"] >= least_span)
     return (
         found.where(n_hit <= F.lit(most_covered) * F.col(f"{out}.n_words"))
         .withColumn(text, F.when(F.size(long) > 0, cut_spans(F.col(text), long)).otherwise(F.col(text)))

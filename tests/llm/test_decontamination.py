@@ -74,3 +74,18 @@ def test_odd_rows(odd_documents, no_documents, stored):
     assert d.item_overlap(odd_documents, nothing).where(F.size("overlap.items") > 0).count() == 0
     assert d.item_overlap(no_documents, items).count() == 0
     assert d.decontaminate(docs, items).columns == docs.columns
+
+
+def test_whole_short_items_are_cut(stored):
+    rest = "and many more words follow here so that only a small part of this text is an item"
+    items = [(1, "Who wrote the Iliad?", 0), (2, "Paris", 0), (3, " ".join(f"t{i}" for i in range(8)), 0),
+             (4, " ".join(f"u{i}" for i in range(15)), 0)]
+    rows = [(1, f"Quiz: who wrote the iliad? {rest}"), (2, f"In Paris {rest}"), (3, f"{items[2][1]} {rest}"),
+            (4, " ".join(f"t{i}" for i in range(7)) + f" {rest}"), (5, " ".join(f"u{i}" for i in range(8)) + f" {rest}")]
+    docs, tests = stored([(i, t, "en", "s", 0) for i, t in rows]), stored(items, ITEMS)
+    want = {1: f"Quiz: ? {rest}", 2: rows[1][1], 3: f" {rest}", 4: rows[3][1], 5: rows[4][1]}
+    assert {r.doc_id: r.text for r in d.decontaminate(docs, tests).collect()} == want
+    # A narrower window counts more words as hit; what is cut stays the same.
+    assert {r.doc_id: r.text for r in d.decontaminate(docs, tests, window=4).collect()} == want
+    cut = d.decontaminate(docs, tests, least_words=8).where("doc_id = 5").first()
+    assert cut.text == f" {rest}"
