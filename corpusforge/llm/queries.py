@@ -2,6 +2,7 @@
 
 from corpusforge.llm import (  # noqa: F401
     decontamination,
+    filter_audit,
     fixity,
     jaccard_join,
     line_chunks,
