@@ -1,6 +1,7 @@
 """All queries of this subpackage, by name, and their SQL."""
 
 from corpusforge.llm import (  # noqa: F401
+    conversation_trie,
     decontamination,
     filter_audit,
     fixity,
