@@ -7,6 +7,7 @@ from corpusforge.llm import (  # noqa: F401
     fixity,
     jaccard_join,
     line_chunks,
+    minmax_dedup,
     packing,
     perplexity,
     pii,
