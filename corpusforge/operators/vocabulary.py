@@ -17,15 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.tokens import words
-from corpusforge.session import cut_lineage
 from corpusforge.values import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 
 # Fixed value: pre-token pattern of byte-level BPE (GPT-2).
 PRETOKEN = (r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
             r"|\s+(?!\S)|\s+")
 MAX_VOCAB = 1 << 20
-CANDIDATES = 512
-MERGES_PER_CHECKPOINT = 64
 
 
 def byte_chars() -> dict[int, str]:
@@ -57,105 +54,6 @@ def pretokens(text: Column, special: Sequence[str] = ()) -> Column:
     return F.when(text.rlike(marks), F.flatten(parts)).otherwise(plain(text))
 
 
-def _disjoint(candidates: list, exact: bool) -> list[tuple[int, int]]:
-    """Pairs of the ranking that can be merged in one round.
-
-    Pairs without a common symbol do not change each other's counts, and a pair
-    that a merge creates is never more frequent than one it grew from, which
-    ranks below the pairs taken. So the pairs before the first conflict are just
-    those that merging one by one would take next. Without ``exact`` the pairs in
-    conflict are passed over and those at least half as frequent as the best are
-    taken as well.
-    """
-    taken, used = [], set()
-    for row in candidates:
-        a, b = row["a"], row["b"]
-        if a in used or b in used:
-            if exact:
-                break
-            continue
-        if not exact and row["n"] * 2 < candidates[0]["n"]:
-            break
-        taken.append((a, b))
-        used |= {a, b}
-        if a == b and exact:
-            break
-    return taken
-
-
-def _rewritten(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """The table after some merges, applied in their order.
-
-    The merges are one constant array, so that every round runs the same compiled plan.
-    """
-    if not merges:
-        return types
-    old, new = (" ".join(m[i] for m in merges) for i in (0, 1))
-    return types.selectExpr(
-        f"aggregate(arrays_zip(split('{old}', ' '), split('{new}', ' ')), symbols, "
-        "(s, m) -> replace(s, m.`0`, m.`1`)) AS symbols", "n")
-
-
-def _pair_counts(types: DataFrame) -> DataFrame:
-    """Adjacent symbol ids ``a, b`` with the number of their occurrences ``n``."""
-    return (
-        types.selectExpr("split(substring(symbols, 2, length(symbols) - 2), '><') AS s", "n")
-        .selectExpr(
-            "n", "explode(arrays_zip(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1))) AS p")
-        .groupBy("p.0", "p.1").agg(F.sum("n").alias("n"))
-        .selectExpr("CAST(`0` AS INT) AS a", "CAST(`1` AS INT) AS b", "n")
-    )
-
-
-def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
-              min_frequency: int = MIN_FREQUENCY, special: Sequence[str] = SPECIAL_TOKENS,
-              exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Learn a byte-level BPE vocabulary: tables ``id, piece`` and ``rank, left, right``.
-
-    The corpus is read once, into a table of distinct pre-tokens with counts.
-    Every round counts the adjacent symbol pairs of that table, takes the pairs
-    that do not touch each other from the top of the ranking (count, then smaller
-    ids) and rewrites the table. Only those few pairs come to the driver.
-    """
-    spark = df.sparkSession
-    chars = byte_chars()
-    order = sorted(chars, key=lambda b: chars[b])
-    byte_id = {b: len(special) + i for i, b in enumerate(order)}
-    pieces = [*special, *(chars[b] for b in order)]
-    merges: list[tuple[int, int]] = []
-
-    ids = F.split(F.lit(" ".join(str(byte_id[b]) for b in range(256))), " ")
-    digits = F.regexp_extract_all(F.hex(F.encode("token", "utf-8")), F.lit("(..)"), F.lit(1))
-    symbols = F.array_join(F.transform(digits, lambda d: F.concat(
-        F.lit("<"), F.get(ids, F.conv(d, 16, 10).cast("int")), F.lit(">"))), "")
-    types = cut_lineage(
-        df.select(F.explode(pretokens(F.col(text))).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("n"))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-        .select(symbols.alias("symbols"), "n"))
-
-    pending: list[tuple[str, str]] = []
-    while len(pieces) < vocab_size:
-        top = _pair_counts(_rewritten(types, pending)).where(
-            F.col("n") >= max(min_frequency, 1)
-        ).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
-        taken = _disjoint(top, exact)[: vocab_size - len(pieces)]
-        if not taken:
-            break
-        for a, b in taken:
-            pending.append((f"<{a}><{b}>", f"<{len(pieces)}>"))
-            merges.append((a, b))
-            pieces.append(pieces[a] + pieces[b])
-        if len(pending) >= MERGES_PER_CHECKPOINT:
-            rewritten = _rewritten(types, pending)
-            types = cut_lineage(rewritten.where(F.col("symbols").contains("><")))
-            pending = []
-
-    vocab = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")
-    ranked = [(r, pieces[a], pieces[b]) for r, (a, b) in enumerate(merges)]
-    return vocab, spark.createDataFrame(ranked, "rank int, left string, right string")
-
-
 def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
                min_frequency: int = MIN_FREQUENCY,
                special: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:

@@ -15,6 +15,7 @@ from corpusforge.operators import examples as E
 from corpusforge.operators import lengths as L
 from corpusforge.operators import packing as P
 from corpusforge.operators import spans as N
+from corpusforge.operators import bpe_training as B
 from corpusforge.operators import vocabulary as V
 from corpusforge.operators.dialog import assemble_documents, split_utterances
 from corpusforge.operators.schema import has_supervision
@@ -146,20 +147,54 @@ def special_tokens_added(spark, sf):
     return V.add_special(vocab, ["<usr>", "<extra1>", "<unused3>", "<extra2>", "<extra1>"])
 
 
-BPE_SIZE = len(SPECIAL_TOKENS) + 256 + 48
+# The SQL makes one merge per step, so it is given for the first merges only.
+FIRST_MERGES = 16
+BYTE_IDS = B.byte_ids(SPECIAL_TOKENS)
+PRETOKENS_SQL = r"""list_filter(regexp_extract_all(
+    regexp_replace(text, '(\s)(\s[^\s])', '\1' || chr(1) || '\2', 'g'),
+    '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+'), lambda t: t <> '')"""
+
+
+def merges_sql(merges: int) -> str:
+    """One count of all pairs and one replacement for each merge."""
+    first_id = len(SPECIAL_TOKENS) + 256
+    steps = [f"""
+t0 AS MATERIALIZED (
+  SELECT '<' || array_to_string(list_transform(regexp_extract_all(hex(encode(token)), '..'),
+         lambda h: {list(map(BYTE_IDS.get, range(256)))}[CAST('0x' || h AS INT) + 1]), '><') || '>' AS s, count(*) AS n
+  FROM (SELECT unnest({PRETOKENS_SQL}) AS token FROM documents) GROUP BY token)"""]
+    for i in range(merges):
+        steps.append(f"""
+p{i} AS MATERIALIZED (
+  SELECT a, b, sum(n) AS n FROM (
+    SELECT unnest(p[:-2]) AS a, unnest(p[2:]) AS b, n
+    FROM (SELECT list_transform(string_split(s[2:-2], '><'), lambda x: CAST(x AS INT)) AS p, n FROM t{i}) WHERE len(p) > 1)
+  GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1),
+t{i + 1} AS MATERIALIZED (
+  SELECT replace(s, '<' || a || '><' || b || '>', '<{first_id + i}>') AS s, t.n FROM t{i} t, p{i})""")
+    rows = " UNION ALL ".join(f"SELECT {i} AS rank, a, b FROM p{i}" for i in range(merges))
+    return f"WITH {','.join(steps)} SELECT CAST(rank AS INT) AS rank, a, b FROM ({rows})"
+
+
+@query(merges_sql(FIRST_MERGES))
+def bpe_first_merges(spark, sf):
+    """The pairs of piece ids that are merged first."""
+    vocab, merges = B.train_bpe(documents(spark, sf), vocab_size=len(SPECIAL_TOKENS) + 256 + FIRST_MERGES)
+    ids = [vocab.select(F.col("piece").alias(side), F.col("id").alias(name)) for side, name in (("left", "a"), ("right", "b"))]
+    return merges.join(ids[0], "left").join(ids[1], "right").select("rank", "a", "b")
 
 
 @query()
 def bpe_merges(spark, sf):
-    """A byte-level vocabulary of 48 merges over all documents."""
-    return V.train_bpe(documents(spark, sf), vocab_size=BPE_SIZE)[1]
+    """A byte-level vocabulary of 51,200 pieces, or as many as the least frequency allows."""
+    return B.train_bpe(documents(spark, sf))[1]
 
 
 @query("SELECT doc_id, text AS decoded, true AS shorter FROM documents")
 def bpe_round_trip(spark, sf):
     """Encoding and decoding gives the text back, in fewer ids than bytes."""
     docs = documents(spark, sf)
-    vocab, merges = V.train_bpe(docs, vocab_size=BPE_SIZE, exact=False)
+    vocab, merges = B.train_bpe(docs)
     ids = docs.select("doc_id", "text", V.bpe_encoder(vocab, merges)(F.col("text")).alias("ids"))
     return ids.select("doc_id", V.decode_bpe(F.col("ids"), vocab).alias("decoded"),
                       (F.size("ids") <= F.octet_length("text")).alias("shorter"))

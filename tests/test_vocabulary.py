@@ -1,11 +1,13 @@
 import random
 from collections import Counter
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
 from corpusforge.functions.tokens import words
 from corpusforge.operators import lengths as L
+from corpusforge.operators import bpe_training as B
 from corpusforge.operators import vocabulary as V
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -51,27 +53,48 @@ def corpus():
     return [" ".join(rng.choice(parts) for _ in range(30)) + "  end" for _ in range(40)]
 
 
-def test_bpe_equals_one_merge_at_a_time(spark):
+@pytest.mark.parametrize("candidates, islands", [(1 << 15, 1 << 18), (7, 1 << 18), (64, 5), (1, 1)])
+def test_bpe_equals_one_merge_at_a_time(spark, monkeypatch, candidates, islands):
+    monkeypatch.setattr(B, "CANDIDATES", candidates)
+    monkeypatch.setattr(B, "ISLANDS", islands)
     texts = corpus()
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    size = len(SPECIAL) + 256 + 45
+    size = len(SPECIAL) + 256 + (60 if candidates > 1 else 6)
     pieces, merges = brute_force(texts, size, 5)
-    vocab, ranked = V.train_bpe(df, vocab_size=size, min_frequency=5, special=SPECIAL)
+    vocab, ranked = B.train_bpe(df, vocab_size=size, min_frequency=5, special=SPECIAL)
     assert [r["piece"] for r in vocab.orderBy("id").collect()] == pieces
     assert [(r["left"], r["right"]) for r in ranked.orderBy("rank").collect()] == merges
 
 
+def test_bpe_learns_until_pairs_are_rare(spark):
+    """Random words: ties, long runs of one letter and merges of merges, to the frequency floor."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["a" * 40, "b" * 41]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(30)]
+    pieces, merges = brute_force(texts, 10_000, 3)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    vocab, ranked = B.train_bpe(df, vocab_size=10_000, min_frequency=3, special=SPECIAL)
+    assert len(merges) > 100 and [r["piece"] for r in vocab.orderBy("id").collect()] == pieces
+    assert [(r["left"], r["right"]) for r in ranked.orderBy("rank").collect()] == merges
+
+
+def test_islands_are_runs_of_candidates(spark):
+    types = spark.createDataFrame([([1, 2, 3, 9, 1, 2], 5), ([1, 2], 1), ([9, 9], 7), ([2, 3, 1], 2)], B.TYPES).coalesce(1)
+    rows = B.islands(types, [(1, 2), (2, 3)]).collect()
+    assert sorted((list(memoryview(r.island).cast("i")), r.n) for r in rows) == [([1, 2], 6), ([1, 2, 3], 5), ([2, 3], 2)]
+
+
 def test_bpe_stops_at_the_minimum_frequency(spark):
     df = spark.createDataFrame([("abab ab",)], "text string")
-    merges = V.train_bpe(df, vocab_size=1000, min_frequency=3, special=[])[1]
+    merges = B.train_bpe(df, vocab_size=1000, min_frequency=3, special=[])[1]
     assert [(r["left"], r["right"]) for r in merges.collect()] == [("a", "b")]
-    assert V.train_bpe(df, vocab_size=1000, min_frequency=9, special=[])[1].count() == 0
+    assert B.train_bpe(df, vocab_size=1000, min_frequency=9, special=[])[1].count() == 0
 
 
 def test_bpe_encode_and_decode(spark):
     texts = corpus() + ["<s>the there</s>", "", "한글 \U0001f600 <pad", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    vocab, merges = V.train_bpe(df, vocab_size=330, min_frequency=5, special=SPECIAL)
+    vocab, merges = B.train_bpe(df, vocab_size=330, min_frequency=5, special=SPECIAL)
     ids = {r["piece"]: r["id"] for r in vocab.collect()}
     encode = V.bpe_encoder(vocab, merges, SPECIAL)
     rows = df.select("i", "text", encode(F.col("text")).alias("ids"))
