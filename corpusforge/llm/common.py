@@ -42,6 +42,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain reading of files, else written and read again.
+
+    Rows of files are read in the same parts each time, so their numbers hold from one
+    reading to the next; after a shuffle they would not.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    return df if plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation") else saved(df)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
