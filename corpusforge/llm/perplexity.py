@@ -1,28 +1,37 @@
 """Quality rules: counts of words, symbols and repeats, and perplexity within bands.
 
-The language model is a modified Kneser-Ney model of order 4 over 32 folded symbols
-(white space, letters without case, digits, punctuation, three classes of other
-characters). Spark counts the 4-grams of all texts; there are at most 32 ** 4 of them
-whatever the corpus, so the model has a fixed largest size (about 17 MB) and may be
-broadcast. It is kept in arrays sorted by the hash of the n-gram.
+The language model is a modified Kneser-Ney model over runs of five characters, one for each
+language, of the texts that pass the base rules. Case, punctuation, digits and script count:
+a character is a symbol of its own, and only those above 4,095 share symbols. Spark counts the
+runs and computes probabilities and back-off weights as tables that grow with the corpus; runs
+that only one document holds give their mass to shorter ones, so no text vouches for itself.
+
+To score, the tables become arrays sorted by the hash of the run. Up to ``MODEL_ROWS`` rows
+they are broadcast at once. A larger model is cut by the hash of the context into shards of
+that size, and the texts are read once for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import by_slices, free_name, mix64, query, saved, segment_sums, slices, table, utf8
+from corpusforge.llm.common import (
+    by_slices, free_name, mix64, query, saved, segment_sums, slices, stored_rows, table, utf8,
+)
 
-ORDER = 4
-BITS = 5
-GRAMS = 1 << (ORDER * BITS)
+ORDER = 5
+BITS = 12
+SYMBOLS_KNOWN = 1 << BITS
+MODEL_ROWS = 1 << 23
+HELD = 1 << 21  # runs that a counting task holds before it passes them on
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -30,146 +39,173 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 
 
-def folded(byte: int) -> int:
-    char = chr(byte)
-    if byte >= 128:
-        return 29 + byte % 3
-    if char.isalpha():
-        return ord(char.lower()) - 96
-    return 0 if byte in SPACE else 27 if char.isdigit() else 28
-
-
-FOLD = bytes(folded(b) for b in range(256))
-LEAD = bytes(range(0xC0, 0x100))  # the following bytes tell characters apart well enough
-
-
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 4-grams that end at each symbol of each text, and where each text starts and ends.
+    """The runs that end at each character of each text, and where each text starts and ends.
 
-    A text is read after three blanks, so its first symbols have a context as well.
+    A text is read after four blanks that are no character, so its first characters have a
+    context as well. All white space is one symbol.
     """
-    parts = [b"\0\0\0" + t.translate(FOLD, LEAD) for t in texts]
-    symbols = np.frombuffer(b"".join(parts), np.uint8).astype(np.int32)
-    if len(symbols) < ORDER:
-        none = np.zeros(len(texts), np.int64)
-        return np.zeros(0, np.int32), none, none
+    lead = "\0" * (ORDER - 1)
+    parts = [lead + t.decode(errors="replace") for t in texts]
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    symbols = np.where(points < SYMBOLS_KNOWN, points, SYMBOLS_KNOWN // 2 + points * 40503 % (SYMBOLS_KNOWN // 2))
+    symbols[(points >= 9) & (points <= 13)] = 32
+    if not len(symbols):
+        return np.zeros(0, np.int64), starts, starts
     codes = symbols[: len(symbols) - ORDER + 1].copy()
     for k in range(1, ORDER):
         codes <<= BITS
         codes |= symbols[k : len(symbols) - ORDER + 1 + k]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    starts = np.cumsum(sizes) - sizes
     return codes, starts, starts + sizes - (ORDER - 1)
 
 
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of the parts with the sums of their counts."""
+    key, *counts = (np.concatenate(column) for column in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], *(np.add.reduceat(c[order], first) if len(key) else c for c in counts)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(GRAMS, np.int64)
-    for batch in slices(batches):
-        codes, starts, ends = grams_of(utf8(batch.column(0)))
-        counts += np.bincount(codes, minlength=GRAMS)
-        # Windows over the end of a text belong to no text.
-        over = (ends[:-1, None] + np.arange(ORDER - 1)).ravel()
-        counts -= np.bincount(codes[over], minlength=GRAMS)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["gram", "n"])
+    # Columns lang, text.
+    held: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
+
+    def passed_on(least: int) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            parts[:] = [summed(parts)]
+        if sum(len(parts[0][0]) for parts in held.values()) > least:
+            for lang, ((grams, n, texts),) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n), pa.array(texts)],
+                    ["lang", "gram", "n", "texts"])
+            held.clear()
+
+    waiting = 0
+    for batch in slices(batches, 256):
+        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            if not base_failed(text.split()):
+                grams, n = np.unique(grams_of([text])[0], return_counts=True)
+                held.setdefault(lang, []).append((grams, n, np.ones(len(grams), np.int64)))
+                waiting += len(grams)
+        if waiting > HELD:
+            yield from passed_on(HELD)
+            waiting = 0
+    yield from passed_on(0)
+
+
+def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n, texts): occurrences, and texts that hold it, over all texts that pass the
+    base rules; each task sums its own before anything is shuffled.
+    """
+    counted = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(
+        _count, "lang string, gram long, n long, texts long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, n) over all texts; each task sums its own before anything is shuffled."""
-    counted = docs.select(text).mapInArrow(_count, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+def discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): modified Kneser-Ney discounts from the numbers of runs counted once to
+    four times; where those are missing, halves.
+    """
+    numbers = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.expr("try_divide(n1, n1 + 2 * n2)")
+    parts = {f"d{k}": (k, y * (k + 1) * F.expr(f"try_divide(n{k + 1}, n{k})")) for k in (1, 2, 3)}
+    return counts.groupBy("lang").agg(*numbers).select("lang", *[
+        F.greatest(F.lit(0.1 * k), F.least(F.lit(0.9 * k), F.coalesce(k - share, F.lit(0.5 * k)))).alias(name)
+        for name, (k, share) in parts.items()])
 
 
-@dataclass
-class Model:
-    """Log probabilities and back-off weights of all orders, sorted by hashed key.
+def model_tables(counts: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney as rows (lang, weight, order, gram, log): the logarithm of the
+    probability of a run after its context, or (``weight``) of the back-off weight of a context.
 
-    A context that is no n-gram itself has a weight and no probability (NaN).
+    Below the highest order a run counts the different symbols before it. Runs of one document
+    count towards the total of their context but have no probability of their own.
     """
+    def context(gram: str = "gram") -> Column:
+        return F.shiftright(gram, BITS).alias("context")
 
-    keys: np.ndarray
-    log_probability: np.ndarray
-    log_backoff: np.ndarray
-    log_unseen: float  # of a symbol that never occurs
-
-    def find(self, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = mix64(grams.astype(np.uint64) | np.uint64(order << 60))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+    grams = counts.where("texts > 1").select("lang", "gram", "n")
+    totals = counts.groupBy("lang", context()).agg(F.sum("n").alias("total"))
+    levels = [(grams, totals, discounts(counts))]
+    for order in range(ORDER - 1, 0, -1):
+        grams = saved(grams.groupBy("lang", F.col("gram").bitwiseAND((1 << order * BITS) - 1).alias("gram")).agg(F.count("*").alias("n")))
+        levels.append((grams, grams.groupBy("lang", context()).agg(F.sum("n").alias("total")), discounts(grams)))
+    rows, lower = [], None
+    for order, (grams, totals, discount) in zip(range(1, ORDER + 1), reversed(levels)):
+        taken = F.col("n") - F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END")
+        reduced = grams.withColumn("context", context()).join(discount, "lang").withColumn("reduced", taken)
+        contexts = reduced.groupBy("lang", "context").agg(F.sum("reduced").alias("held")).join(totals, ["lang", "context"]).select(
+            "lang", "context", "total", F.greatest(1 - F.col("held") / F.col("total"), F.lit(1e-9)).alias("weight"))
+        found = reduced.join(contexts, ["lang", "context"])
+        if lower is None:
+            found = found.withColumn("shorter", F.lit(1.0 / SYMBOLS_KNOWN))
+        else:
+            suffix = F.col("gram").bitwiseAND((1 << (order - 1) * BITS) - 1)
+            found = found.withColumn("suffix", suffix).join(
+                lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("shorter")), ["lang", "suffix"])
+        lower = saved(found.select("lang", "gram", (F.col("reduced") / F.col("total") + F.col("weight") * F.col("shorter")).alias("p")))
+        rows.append(lower.select("lang", F.lit(False).alias("weight"), F.lit(order).alias("order"), "gram", F.log("p").alias("log")))
+        rows.append(contexts.select("lang", F.lit(True).alias("weight"), F.lit(order - 1).alias("order"), F.col("context").alias("gram"),
+                                    F.log("weight").alias("log")))
+    return saved(reduce(DataFrame.unionByName, rows))
+
+
+class Arrays:
+    """One shard of the model of one language: keys sorted by hash, with their logarithms."""
+
+    def __init__(self, weight: np.ndarray, order: np.ndarray, gram: np.ndarray, log: np.ndarray):
+        keys = mix64(gram.astype(np.uint64) | (order.astype(np.uint64) << np.uint64(60)) | (weight.astype(np.uint64) << np.uint64(63)))
+        by_key = np.argsort(keys)
+        self.keys, self.logs = keys[by_key], log[by_key].astype(np.float32)
+
+    def find(self, weight: bool, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms, and which of the runs are there."""
+        keys = mix64(grams.astype(np.uint64) | np.uint64((order << 60) | (weight << 63)))
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        found = self.keys[at] == keys if len(self.keys) else np.zeros(len(grams), bool)
+        return (self.logs[at] if len(self.keys) else np.zeros(len(grams), np.float32)), found
 
     def score(self, grams: np.ndarray) -> np.ndarray:
-        """ln P(last symbol | the others): the longest known n-gram, with back-off weights."""
+        """ln P(last symbol | the others): the longest known run, with back-off weights."""
         total, open_ = np.zeros(len(grams)), np.arange(len(grams))
         for order in range(ORDER, 0, -1):
             known = grams[open_] & ((1 << (order * BITS)) - 1)
-            at, found = self.find(order, known)
-            found &= ~np.isnan(self.log_probability[at])
-            total[open_[found]] += self.log_probability[at[found]]
+            log, found = self.find(False, order, known)
+            total[open_[found]] += log[found]
             open_, known = open_[~found], known[~found]
-            if order > 1:
-                context, seen = self.find(order - 1, known >> BITS)
-                total[open_[seen]] += self.log_backoff[context[seen]]
-        total[open_] += self.log_unseen
+            weight, seen = self.find(True, order - 1, known >> BITS)
+            total[open_[seen]] += weight[seen]
+        total[open_] -= BITS * np.log(2)
         return total
 
 
-def estimate(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """Modified Kneser-Ney from the counts of the highest order.
+def shard_of(pair: np.ndarray | Column, shards: int):
+    """The shard of the two symbols before the last of a run."""
+    return pair * 40503 % 65521 % shards
+
 
-    Below it a gram counts the different symbols seen before it. Three discounts per
-    order come from the numbers of grams counted once to four times.
+def shards_of(model: DataFrame) -> Iterator[tuple[int, int, dict[str | None, Arrays]]]:
+    """The model in arrays, in shards of about MODEL_ROWS rows, brought to the driver one by one.
+
+    A run and the contexts it backs off to have the two symbols before its last in common, so
+    they share a shard; runs of one or two symbols, and their contexts, are in every one.
     """
-    tables = {ORDER: (grams, counts)}
-    for order in range(ORDER - 1, 0, -1):
-        tables[order] = np.unique(tables[order + 1][0] & ((1 << (order * BITS)) - 1), return_counts=True)
-    keys, logs, backoffs = [], [], []
-    lower = np.full(1, 2.0**-BITS)  # below single symbols: all alike
-    weights: dict[int, np.ndarray] = {}
-    for order in range(1, ORDER + 1):
-        grams, counts = tables[order]
-        n1, n2, n3, n4 = ((counts == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / max(1, n1 + 2 * n2)
-        discount = np.clip([0, 1 - 2 * y * n2 / max(1, n1), 2 - 3 * y * n3 / max(1, n2),
-                            3 - 4 * y * n4 / max(1, n3)], 0, [0, 0.9, 1.8, 2.7])
-        taken = np.minimum(discount[np.minimum(counts, 3)], 0.95 * counts)
-        size = 1 << ((order - 1) * BITS)
-        context = grams >> BITS
-        total = np.bincount(context, counts, minlength=size)
-        held = np.bincount(context, taken, minlength=size) / np.maximum(total, 1)
-        weights[order - 1] = np.where(total > 0, np.maximum(held, 1e-9), 1.0)
-        shorter = lower[grams & (len(lower) - 1)]
-        probability = (counts - taken) / total[context] + held[context] * shorter
-        lower = np.zeros(1 << (order * BITS))
-        lower[grams] = probability
-        tables[order] = grams, probability
-    for order in range(1, ORDER + 1):
-        grams, probability = tables[order]
-        if order == ORDER:
-            contexts, weight = grams[:0], np.zeros(0)
-        else:
-            contexts = np.unique(tables[order + 1][0] >> BITS)  # some, as the start of a text, end no gram
-            weight = np.log(weights[order])
-        stored = np.union1d(grams, contexts)
-        keys.append(mix64(stored.astype(np.uint64) | np.uint64(order << 60)))
-        log = np.full(len(stored), np.nan)
-        log[np.searchsorted(stored, grams)] = np.log(probability)
-        logs.append(log)
-        backoffs.append(weight[stored] if order < ORDER else np.zeros(len(stored)))
-    key = np.concatenate(keys)
-    order_ = np.argsort(key)
-    return Model(key[order_], np.concatenate(logs)[order_].astype(np.float32),
-                 np.concatenate(backoffs)[order_].astype(np.float32),
-                 float(np.log(weights[0][0]) - BITS * np.log(2)))
-
-
-def train_model(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all texts. At most ``GRAMS`` rows come to the driver."""
-    counts = count_grams(docs, text).toArrow()
-    grams, n = (counts.column(c).to_numpy() for c in ("gram", "n"))
-    order = np.argsort(grams)
-    if not len(order):
-        return Model(np.zeros(1, np.uint64), np.zeros(1, np.float32), np.zeros(1, np.float32), 0.0)
-    return estimate(grams[order], n[order])
+    shards = max(1, -(-model.count() // MODEL_ROWS))
+    pair = F.when(F.col("weight"), F.col("gram")).otherwise(F.shiftright("gram", BITS)).bitwiseAND((1 << 2 * BITS) - 1)
+    short = F.col("order") + F.col("weight").cast("int") < 3
+    for shard in range(shards):
+        rows = model.where(short | (shard_of(pair, shards) == shard)).toArrow() if shards > 1 else model.toArrow()
+        names = rows.column("lang").combine_chunks().dictionary_encode()
+        lang = names.indices.fill_null(-1).to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
+        columns = [rows.column(c).to_numpy() for c in ("weight", "order", "gram", "log")]
+        found = {}
+        for i in np.unique(lang).tolist():
+            found[names.dictionary[i].as_py() if i >= 0 else None] = Arrays(*(c[lang == i] for c in columns))
+        yield shard, shards, found
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -209,18 +245,18 @@ def duplicate_lines(text: bytes) -> int:
 METRICS = T.StructType([
     T.StructField(name, T.LongType())
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-] + [T.StructField("base_failed", T.BooleanType()), T.StructField("n_scored", T.LongType()),
-     T.StructField("log_perplexity", T.DoubleType())])
+] + [T.StructField("base_failed", T.BooleanType()), T.StructField("n_scored", T.LongType())])
+KINDS = {"long": pa.int64(), "boolean": pa.bool_()}
+
 
+def base_failed(words: list[bytes]) -> bool:
+    return len(words) < MIN_WORDS or 100 * repeated_words(words) > MAX_REPEAT_PERCENT * len(words)
 
-def measure(texts: list[bytes], scores: np.ndarray, model: Model) -> list[dict]:
-    """Metrics of texts. ``scores`` holds the grams looked up so far and is filled in."""
-    codes, starts, ends = grams_of(texts)
-    fresh = np.flatnonzero(np.bincount(codes, minlength=GRAMS)[: GRAMS] * np.isnan(scores))
-    scores[fresh] = model.score(fresh)
-    sums = segment_sums(scores[codes], starts, ends)
+
+def measure(texts: list[bytes]) -> list[dict]:
+    """Base counts of texts; ``n_scored`` is the number of characters."""
     rows = []
-    for text, total, n in zip(texts, sums.tolist(), (ends - starts).tolist()):
+    for text in texts:
         words = text.split()
         solid = text.translate(None, SPACE)
         repeat = repeated_words(words)
@@ -229,95 +265,130 @@ def measure(texts: list[bytes], scores: np.ndarray, model: Model) -> list[dict]:
             "n_symbols": len(solid) - len(solid.translate(None, SYMBOLS)),
             "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeat,
             "base_failed": len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words),
-            "n_scored": n, "log_perplexity": -total / n if n else None,
+            "n_scored": len(text.decode()),
         })
     return rows
 
 
-def measured(docs: DataFrame, model: Model, text: str = "text", out: str = "metrics") -> DataFrame:
-    """Add ``out``: a struct of counts, ``base_failed``, ``n_scored`` and ``log_perplexity``.
+@F.arrow_udf(METRICS)
+def base_metrics(text: pa.Array) -> pa.Array:
+    kind = pa.struct([(f.name, KINDS[f.dataType.typeName()]) for f in METRICS])
+    return by_slices(lambda texts: pa.array(measure(utf8(texts)), kind), text)
 
-    Null counts as the empty text: no words, base_failed, no perplexity. Other columns
-    stay; one that is already called ``out`` is replaced.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.struct([(f.name, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-                       [f.dataType.typeName()]) for f in METRICS])
-    cache: list[np.ndarray] = []
 
-    def metrics(column: pa.Array) -> pa.Array:
-        if not cache:
-            cache.append(np.full(GRAMS, np.nan))
-        return by_slices(lambda texts: pa.array(measure(utf8(texts), cache[0], sent.value), kind), column)
+def log_sum(sent: Broadcast, shard: int, shards: int):
+    """Function from language and text to the sum of the scores of its runs in a shard."""
+    def total(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        arrays = sent.value
+        codes, starts, ends = grams_of(utf8(texts))
+        names = langs.to_pylist()
+        sums = np.zeros(len(names))
+        for lang in set(names):
+            mine = [i for i, name in enumerate(names) if name == lang]
+            parts = [codes[starts[i] : ends[i]] for i in mine]
+            whole, at = np.unique(np.concatenate(parts), return_inverse=True)
+            score = arrays[lang].score(whole) if lang in arrays else np.full(len(whole), -BITS * np.log(2))
+            if shards > 1:
+                score[shard_of((whole >> BITS) & ((1 << 2 * BITS) - 1), shards) != shard] = 0
+            stops = np.cumsum([len(p) for p in parts])
+            sums[mine] = segment_sums(score[at], np.concatenate([[0], stops[:-1]]).astype(np.int64), stops)
+        return pa.array(sums)
+
+    def scored(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        return by_slices(total, langs, texts, rows=256)
 
-    metrics.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(metrics, METRICS)(F.col(text)))
+    scored.__annotations__ = {"langs": pa.Array, "texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scored, T.DoubleType())
+
+
+def measured(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "lang", out: str = "metrics") -> DataFrame:
+    """Add ``out``: a struct of counts, ``base_failed``, ``n_scored`` and ``log_perplexity``.
+
+    Null counts as the empty text: no words, base_failed, no perplexity. Texts whose language is
+    null have a model of their own. Other columns stay; one that is already called ``out`` is
+    replaced. A model of several shards takes a reading of the texts for each; the sums, one
+    number a row, are then joined by row.
+    """
+    context = docs.sparkSession.sparkContext
+    docs, row, total = stored_rows(docs), free_name(docs, "row"), free_name(docs, "total")
+    name = F.col(lang).cast("string")
+    sums = []
+    for shard, shards, arrays in shards_of(model):
+        score = log_sum(context.broadcast(arrays), shard, shards)(name, F.col(text))
+        if shards == 1:
+            found = docs.withColumn(total, score)
+            break
+        sums.append(saved(docs.select(F.monotonically_increasing_id().alias(row), score.alias(total))))
+    else:
+        summed_ = reduce(DataFrame.unionByName, sums).groupBy(row).agg(F.sum(total).alias(total))
+        found = docs.withColumn(row, F.monotonically_increasing_id()).join(summed_, row).drop(row)
+    base = base_metrics(F.col(text))
+    return found.withColumn(out, base).withColumn(out, F.col(out).withField(
+        "log_perplexity", F.when(F.col(f"{out}.n_scored") > 0, -F.col(total) / F.col(f"{out}.n_scored")))).drop(total)
 
 
 BUCKET = 1 / 512
-LEAST_TEXTS = 30  # for quartiles of a language of its own
-SPREADS = 5.0
-SHORT_TEXT = 3.0
+SPREADS = 4.0
+SHORT_TEXT = 1.0
+FEW_TEXTS = 30.0
 
 
 def perplexity_bands(found: DataFrame, lang: str = "lang", metrics: str = "metrics") -> DataFrame:
-    """(band, middle, spread): median and quartile distance of the log perplexity per language.
+    """(band, middle, spread, texts): median and quartile distance of the log perplexity, and the
+    number of texts they come from, for each language, null among them.
 
-    Exact quantiles of values rounded to ``BUCKET``, over all texts that pass the base
-    rules. A language with fewer than ``LEAST_TEXTS`` of them has no band of its own and
-    uses the common one (null). What other languages there are changes no band but that.
+    Exact quantiles of values rounded to ``BUCKET``, over all texts that pass the base rules.
     """
     value = F.col(f"{metrics}.log_perplexity")
     passed = found.where(~F.col(f"{metrics}.base_failed") & value.isNotNull())
     counts = saved(passed.groupBy(
-        F.col(lang).alias("band"), F.round(value / BUCKET).cast("long").alias("at")).agg(F.count("*").alias("n")))
-    large = counts.where("band IS NOT NULL").groupBy("band").agg(F.sum("n").alias("size")).where(
-        F.col("size") >= LEAST_TEXTS).select("band")
-    own = counts.join(large, "band")
-    common = counts.groupBy("at").agg(F.sum("n").alias("n")).select(
-        F.lit(None).cast("string").alias("band"), "at", "n")
-    upto = Window.partitionBy("band").orderBy("at")
-    ranked = own.select("band", "at", "n").unionByName(common).withColumns({
-        "upto": F.sum("n").over(upto),
+        F.col(lang).cast("string").alias("band"), F.round(value / BUCKET).cast("long").alias("at")).agg(F.count("*").alias("n")))
+    # Buckets of one language: some thousands at most, whatever the number of its texts.
+    ranked = counts.withColumns({
+        "upto": F.sum("n").over(Window.partitionBy("band").orderBy("at")),
         "size": F.sum("n").over(Window.partitionBy("band"))})
 
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.col("size") * q, F.col("at"))) * BUCKET
 
     return ranked.groupBy("band").agg(
-        quantile(0.5).alias("middle"), (quantile(0.75) - quantile(0.25)).alias("spread"))
+        quantile(0.5).alias("middle"), (quantile(0.75) - quantile(0.25)).alias("spread"), F.sum("n").alias("texts"))
 
 
 def judged(found: DataFrame, bands: DataFrame, lang: str = "lang", metrics: str = "metrics",
            out: str = "kept") -> DataFrame:
-    """Add ``out``: false for texts that fail the base rules or lie outside their band.
+    """Add ``out``: false for texts that fail the base rules or lie outside the band of their language.
 
-    The band is ``middle`` plus or minus ``SPREADS`` quartile distances and a margin that
-    falls with the square root of the length: the mean of few symbols varies more.
+    The band is ``middle`` plus or minus ``SPREADS`` quartile distances and a margin that falls
+    with the square root of the length: the mean of few symbols varies more. Quartiles of few
+    texts are not certain, so the band is wider by the factor 1 + FEW_TEXTS / texts; there is
+    no number of texts at which another rule sets in.
     """
-    band, middle, spread = (free_name(found, n) for n in ("band", "middle", "spread"))
-    own = bands.where("band IS NOT NULL").select("band", "middle", "spread").toDF(band, middle, spread)
-    common = bands.where("band IS NULL").first() or {"middle": None, "spread": None}
+    band, middle, spread, texts = (free_name(found, n) for n in ("band", "middle", "spread", "texts"))
+    own = bands.select("band", "middle", "spread", "texts").toDF(band, middle, spread, texts)
     value, n = F.col(f"{metrics}.log_perplexity"), F.col(f"{metrics}.n_scored")
-    near = F.coalesce(middle, F.lit(common["middle"]).cast("double"))
-    width = F.coalesce(spread, F.lit(common["spread"]).cast("double")) * SPREADS + SHORT_TEXT / F.sqrt(n)
+    width = (F.col(spread) * SPREADS + SHORT_TEXT / F.sqrt(n)) * (1 + FEW_TEXTS / F.col(texts))
     return (
-        found.join(own, F.col(lang) == F.col(band), "left")
+        found.join(own, F.col(lang).cast("string").eqNullSafe(F.col(band)), "left")
         .withColumn(out, F.coalesce(
-            ~F.col(f"{metrics}.base_failed") & (value >= near - width) & (value <= near + width),
-            F.lit(False)))
-        .drop(band, middle, spread)
+            ~F.col(f"{metrics}.base_failed") & (F.abs(value - F.col(middle)) <= width), F.lit(False)))
+        .drop(band, middle, spread, texts)
     )
 
 
+def train_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The model of all texts that pass the base rules, as the table of ``model_tables``."""
+    return model_tables(saved(count_grams(docs, text, lang)))
+
+
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass; all columns and repeated rows stay, an empty table stays empty.
 
-    Reads the texts three times (counts, bands, verdict) and stores none of them.
+    Texts are read twice, to count and to score. They are stored with their metrics, so that
+    the bands and the verdict score nothing again.
     """
-    model = train_model(docs, text)
     metrics, kept = free_name(docs, "metrics"), free_name(docs, "kept")
-    found = measured(docs, model, text, metrics)
+    found = saved(measured(docs, train_model(docs, text, lang), text, lang, metrics))
     bands = saved(perplexity_bands(found, lang, metrics))
     return judged(found, bands, lang, metrics, kept).where(kept).select(*docs.columns)
 
