@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from corpusforge.functions.binding import let
 from corpusforge.functions.text import mark_speakers, speaker_count, trim
 from corpusforge.operators.ordered import (
-    natural_slices,
     previous_value,
     running_total,
     running_totals,
+    sliced,
 )
 
 
@@ -39,12 +39,11 @@ def turn_runs(df: DataFrame, conv: str, order: Sequence[str], speaker: str,
 
     A run is a stretch of turns of one speaker (gaps and islands).
     """
-    slices = natural_slices(df, [conv], order, **options)
-    seen = previous_value(df, [conv], order, F.col(speaker), "_before", slices)
+    seen = previous_value(sliced(df, [conv], order, **options), [conv], order, F.col(speaker), "_before")
     change = F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col(speaker))
     flagged = seen.withColumn("_change", change.cast("long")).drop("_before")
     counted = running_totals(flagged, [conv], order,
-                             {"position": F.lit(1).cast("long"), "run": F.col("_change")}, slices)
+                             {"position": F.lit(1).cast("long"), "run": F.col("_change")})
     return counted.withColumn("run", F.col("run") + F.col("_change") - 1).drop("_change", "_slice")
 
 
@@ -76,10 +75,9 @@ def merge_turns(df: DataFrame, conv: str, order: Sequence[str], speaker: str, te
 def index_speakers(df: DataFrame, scope: Sequence[str], order: Sequence[str], speaker: str,
                    out: str = "speaker_index", **options: int) -> DataFrame:
     """Number the speakers of a scope (a file) by their first appearance, from 0."""
-    slices = natural_slices(df, scope, order, **options)
     first = df.groupBy(*scope, speaker).agg(F.min(F.struct(*order)).alias("_first"))
-    numbered = running_total(first.select(*scope, speaker, "_first.*"), scope, order,
-                             F.lit(1).cast("long"), out, slices)
+    numbered = running_total(sliced(first.select(*scope, speaker, "_first.*"), scope, order, **options), scope, order,
+                             F.lit(1).cast("long"), out)
     return df.join(numbered.drop(*order, "_slice"), [*scope, speaker])
 
 
@@ -147,13 +145,12 @@ def context_response(df: DataFrame, context: str = "context", response: str = "r
 def turn_pairs(df: DataFrame, conv: str, order: Sequence[str], text: str,
                **options: int) -> DataFrame:
     """Each turn after the first as ``response`` to the turn before it (``context``)."""
-    slices = natural_slices(df, [conv], order, **options)
-    seen = previous_value(df, [conv], order, F.col(text), "_before", slices)
+    seen = previous_value(sliced(df, [conv], order, **options), [conv], order, F.col(text), "_before")
     return (
         seen.where(F.col("_before").isNotNull())
         .withColumn("context", F.col("_before.value"))
         .withColumn("response", F.col(text))
-        .drop("_before")
+        .drop("_before", "_slice")
     )
 
 

@@ -29,14 +29,12 @@ def train_test_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` rows in hash order; ``key`` is unique."""
     hashed = df.withColumn("_hash", hash_key(key, seed))
-    return first_in_order(hashed, hash_rank(df.select(key), key, seed, "_rank").withColumn(
-        "_hash", hash_key(key, seed)), "_rank", ["_hash", key], n).drop("_hash")
+    return first_in_order(hashed, ["_hash", key], n).drop("_hash")
 
 
 def head(df: DataFrame, n: int, order: Sequence[str], **options: int) -> DataFrame:
     """The first ``n`` rows in natural order; ``order`` tells all rows apart."""
-    ranked = rank_in_order(df.select(*order), [], order, "_rank", **options)
-    return first_in_order(df, ranked, "_rank", order, n)
+    return first_in_order(df, order, n, **options)
 
 
 def limit_items(df: DataFrame, n: int | None, order_by: Sequence[str], **options: int) -> DataFrame:

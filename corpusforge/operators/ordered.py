@@ -2,11 +2,13 @@
 
 A plain window sends every row of a group to one task, which fails when a group
 holds a third of a large table. Groups of up to ``ROWS_PER_SLICE`` rows take that
-way, one shuffle, however many there are. The order of a larger group is cut into
-slices. Each slice is summed first (map-side combine), the small table of slice sums
+way, one shuffle, however many there are. Where a group is larger, the rows are
+range partitioned by group and order, and each partition is a slice: a prefix scan.
+Each slice is summed first (map-side combine), the small table of slice sums
 gives every slice its starting value, and one window per (group, slice) does the
 rest. The starting value travels as a head row of its slice, so no join is
-needed, null keys stay together and the rows are shuffled once.
+needed and null keys stay together. Borders of slices are Spark's own affair: nothing
+about them is collected, and no plan grows with their number.
 """
 
 from __future__ import annotations
@@ -17,61 +19,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLES_PER_SLICE = 8
+from corpusforge.session import stored
+
 ROWS_PER_SLICE = 1 << 18
+FEWEST_ROWS = 1 << 16  # a head of so many rows is cut from the smallest of each task
 SLICE = "_slice"
 
 
-def slice_bounds(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple]:
-    """Values that cut ``order`` into ``slices`` of about equal numbers of rows.
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+           rows_per_slice: int = ROWS_PER_SLICE, dear: bool = False) -> DataFrame:
+    """``df`` with the slice of each row in ``_slice``, or as it is where no group is large.
 
-    The rows with the smallest hashes are a uniform sample that does not depend on
-    partitioning: ``SAMPLES_PER_SLICE`` rows of the order columns for each slice.
+    Reads the key columns once for the sizes of the groups. With a group of over
+    ``rows_per_slice`` rows the table is written once, range partitioned into parts of
+    about that many rows: which rows share a part then never changes, and what made the
+    rows does not run again. Equal places in the order are in one slice. Range partitioning
+    looks at the rows twice; ``dear`` ones are stored before, so that they are made once.
     """
-    sample = df.select(F.xxhash64(*order).alias("_hash"), *order).orderBy("_hash").limit(
-        slices * SAMPLES_PER_SLICE).collect()
-    values = sorted(tuple(r)[1:] for r in sample if None not in tuple(r)[1:])
-    return sorted({values[i * len(values) // slices] for i in range(1, slices)}) if values else []
-
-
-def slice_index(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Column:
-    """Number of bounds at or below the row's order value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in order]
-    literals = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(bound, types, order)])
-        for bound in bounds
-    ])
-    value = F.struct(*[F.col(c).alias(c) for c in order])
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(literals, at + step - 1) <= value, at + step).otherwise(at),
-    )
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    if (sizes["most"] or 0) <= rows_per_slice:
+        return df
+    parts = -(-sizes["rows"] // rows_per_slice)
+    df = stored(df) if dear else df
+    return stored(df.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    values: dict[str, Column], slices: Column | None = None) -> DataFrame:
     """Add one column per entry of ``values``: its sum over the earlier rows of the group.
 
-    ``slices`` is any column that never falls as the order rises. Without it the
-    whole group is one slice. The slice stays in the result as ``_slice``.
+    Rows that ``sliced`` has dealt out keep their slices; ``slices`` can name others, by any
+    column that never falls as the order rises. Otherwise the whole group is one slice.
+    The slice stays in the result as ``_slice``.
     """
     inner = {name: f"_value_{name}" for name in values}
     source = df.withColumns({inner[name]: value for name, value in values.items()})
     drop = [*inner.values(), "_head"]
-    if slices is None:
+    if slices is None and SLICE not in df.columns:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, -1)
         return source.withColumns({
             name: F.coalesce(F.sum(col).over(before), F.lit(0)) for name, col in inner.items()
         }).withColumn(SLICE, F.lit(0)).drop(*drop)
 
-    sliced = source.withColumn(SLICE, slices)
+    rows = source if slices is None else source.withColumn(SLICE, slices)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(c) for c in inner.values()])
+    sums = rows.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(c) for c in inner.values()])
     heads = sums.select(
         *keys, SLICE, F.lit(True).alias("_head"),
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in inner.values()],
@@ -79,7 +72,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     before = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_head"), *order).rowsBetween(
         Window.unboundedPreceding, -1)
     return (
-        sliced.withColumn("_head", F.lit(False))
+        rows.withColumn("_head", F.lit(False))
         .unionByName(heads, allowMissingColumns=True)
         .withColumns({name: F.sum(col).over(before) for name, col in inner.items()})
         .where(~F.col("_head"))
@@ -93,16 +86,17 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return running_totals(df, keys, order, {out: value}, slices)
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                   out: str, slices: Column | None = None) -> DataFrame:
-    """Add ``out``: a struct with field ``value`` of the row before, null for the first row."""
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Add ``out``: a struct with field ``value`` of the row before, null for the first row.
+
+    Slices of ``sliced`` are followed and stay in the result.
+    """
     source = df.withColumn("_value", F.struct(value.alias("value")))
-    if slices is None:
+    if SLICE not in df.columns:
         before = Window.partitionBy(*keys).orderBy(*order)
         return source.withColumn(out, F.lag("_value").over(before)).drop("_value")
 
-    sliced = source.withColumn(SLICE, slices)
-    last = sliced.groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_value"))
+    last = source.groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_value"))
     heads = (
         last.withColumn("_value", F.lag("_value").over(Window.partitionBy(*keys).orderBy(SLICE)))
         .where(F.col("_value").isNotNull())
@@ -110,37 +104,18 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     )
     before = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_head"), *order)
     return (
-        sliced.withColumn("_head", F.lit(False))
+        source.withColumn("_head", F.lit(False))
         .unionByName(heads, allowMissingColumns=True)
         .withColumn(out, F.lag("_value").over(before))
         .where(~F.col("_head"))
-        .drop("_value", "_head", SLICE)
+        .drop("_value", "_head")
     )
 
 
-def natural_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   rows_per_slice: int = ROWS_PER_SLICE) -> Column | None:
-    """Slice column for the natural order, or None where no group is large.
-
-    Reads the key columns once for the sizes of the groups. Only rows of groups with over
-    ``rows_per_slice`` rows are sliced, into slices of about that many; there are at most
-    ``rows / rows_per_slice`` such groups.
-    """
-    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
-    sizes = df.groupBy(key.alias("_key")).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > rows_per_slice).collect()
-    if not large:
-        return None
-    inside = key.isin([r["_key"] for r in large])
-    bounds = slice_bounds(df.where(inside), order, -(-sum(r["_n"] for r in large) // rows_per_slice))
-    return F.when(inside, slice_index(df, order, bounds)).otherwise(0)
-
-
 def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
                   **options: int) -> DataFrame:
     """Add ``out``: the position of the row in its group, from 0."""
-    slices = natural_slices(df, keys, order, **options)
-    return running_total(df, keys, order, F.lit(1).cast(T.LongType()), out, slices).drop(SLICE)
+    return running_total(sliced(df, keys, order, **options), keys, order, F.lit(1).cast(T.LongType()), out).drop(SLICE)
 
 
 def hash_key(key: str | Column, seed: int) -> Column:
@@ -165,16 +140,17 @@ def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank", keys: Seque
     return ranked.drop("_hash", SLICE)
 
 
-def first_in_order(df: DataFrame, ranked: DataFrame, rank: str, order: Sequence[str], n: int
-                   ) -> DataFrame:
-    """The rows of ``df`` up to the one that has rank ``n - 1`` in ``ranked`` (its order columns).
+def first_in_order(df: DataFrame, order: Sequence[str], n: int, **options: int) -> DataFrame:
+    """The first ``n`` rows in order; ``order`` must tell all rows apart.
 
-    Only order columns are ranked and one row comes to the driver; the wide rows are
-    filtered where they are. ``order`` must tell all rows apart.
+    Up to FEWEST_ROWS rows are the first of the first rows of every task, in one pass. For more,
+    order columns alone are ranked and one row comes to the driver; the wide rows are filtered
+    where they are.
     """
-    last = ranked.where(F.col(rank) == n - 1).select(*order).first()
-    if n <= 0:
-        return df.limit(0)
+    if n <= FEWEST_ROWS:
+        return df.orderBy(*order).limit(max(n, 0))
+    ranked = rank_in_order(df.select(*order), [], order, "_rank", **options)
+    last = ranked.where(F.col("_rank") == n - 1).select(*order).first()
     if last is None:
         return df
     value = F.struct(*[F.col(c).alias(c) for c in order])

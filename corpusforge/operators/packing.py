@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.dialog import marked_dialog
-from corpusforge.operators.ordered import SLICE, natural_slices, running_total
+from corpusforge.operators.ordered import SLICE, running_total, sliced
 from corpusforge.operators.schema import min_chars
-from corpusforge.session import stored
 from corpusforge.values import BLOCK_SIZE
 
 
@@ -67,17 +66,15 @@ def pack_blocks(df: DataFrame, source: str, order: Sequence[str], ids: str,
     lead = F.array() if bos is None else F.array(F.lit(bos).cast(kind.elementType))
     led = F.concat(lead.cast(kind), F.col(ids))
     docs = df.select(source, *order, led.alias("_ids")).withColumn("_n", F.size("_ids").cast("long"))
-    slices = natural_slices(df, [source], order, **options)
-    if slices is not None:
-        docs = stored(docs)
-    placed = running_total(docs, [source], order, F.col("_n"), "_start", slices)
+    docs = sliced(docs, [source], order, dear=True, **options)
+    placed = running_total(docs, [source], order, F.col("_n"), "_start")
     gathered = gather_pieces(cut_pieces(placed, source, block_size), [source, SLICE, "block"])
 
     def full(blocks: DataFrame) -> DataFrame:
         return blocks.where(F.col("_size") == block_size).select(
             source, "block", join_pieces(F.col("_pieces")).alias("input_ids"))
 
-    if slices is None:
+    if SLICE not in docs.columns:
         return full(gathered)
     borders = (
         gathered.where(F.col("_size") < block_size).groupBy(source, "block")

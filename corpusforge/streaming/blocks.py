@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusforge.operators.ordered import natural_slices, running_total
+from corpusforge.operators.ordered import running_total, sliced
 from corpusforge.operators.packing import cut_pieces, gather_pieces, join_pieces
 from corpusforge.values import BLOCK_SIZE
 
@@ -70,8 +70,7 @@ def pack_batch(docs: DataFrame, batch_id: int, out: str, state: str,
         "source", F.lit(0).alias("_late"), zero.alias("doc_id"), F.col("ids").alias("_ids"),
         (F.col("block") * block_size).alias("_base"))).persist()
     order = ["_late", "doc_id"]
-    placed = running_total(rows, ["source"], order, F.size("_ids") + F.col("_base"), "_start",
-                           natural_slices(rows, ["source"], order))
+    placed = running_total(sliced(rows, ["source"], order), ["source"], order, F.size("_ids") + F.col("_base"), "_start")
     placed = placed.withColumn("_start", F.col("_start") + F.col("_base"))
     blocks = gather_pieces(cut_pieces(placed, "source", block_size), ["source", "block"]).select(
         "source", "block", join_pieces(F.col("_pieces")).alias("ids"),

@@ -19,10 +19,9 @@ def rows_of(spark, n=600, seed=1):
 @pytest.mark.parametrize("options", [{}, SMALL])
 def test_rank_and_total(spark, options):
     rows, df = rows_of(spark)
-    slices = ordered.natural_slices(df, ["g"], ["o"], **options)
-    assert (slices is None) == (not options)
-    got = ordered.running_totals(
-        df, ["g"], ["o"], {"t": F.col("v"), "r": F.lit(1)}, slices).collect()
+    rows_ = ordered.sliced(df, ["g"], ["o"], **options)
+    assert (ordered.SLICE in rows_.columns) == bool(options)
+    got = ordered.running_totals(rows_, ["g"], ["o"], {"t": F.col("v"), "r": F.lit(1)}).collect()
     want, rank, total = {}, {}, {}
     for g, o, v in sorted(rows, key=lambda r: r[1]):
         want[o] = (total.get(g, 0), rank.get(g, 0))
@@ -34,8 +33,7 @@ def test_rank_and_total(spark, options):
 @pytest.mark.parametrize("options", [{}, SMALL])
 def test_previous_value(spark, options):
     rows, df = rows_of(spark)
-    slices = ordered.natural_slices(df, ["g"], ["o"], **options)
-    got = ordered.previous_value(df, ["g"], ["o"], F.col("v"), "p", slices).collect()
+    got = ordered.previous_value(ordered.sliced(df, ["g"], ["o"], **options), ["g"], ["o"], F.col("v"), "p").collect()
     last, want = {}, {}
     for g, o, v in sorted(rows, key=lambda r: r[1]):
         want[o] = last.get(g)
@@ -73,10 +71,30 @@ def test_hash_rank(spark):
 def test_only_large_groups_are_sliced(spark):
     rows = [("hot" if i % 2 else f"g{i}", i) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, o long")
-    slices = ordered.natural_slices(df, ["g"], ["o"], rows_per_slice=50)
-    found = {r["g"]: r["n"] for r in df.groupBy("g").agg(F.count_distinct(slices).alias("n")).collect()}
+    cut = ordered.sliced(df, ["g"], ["o"], rows_per_slice=50)
+    found = {r["g"]: r["n"] for r in cut.groupBy("g").agg(F.count_distinct("_slice").alias("n")).collect()}
     assert found.pop("hot") >= 3 and set(found.values()) == {1}
-    assert ordered.natural_slices(df.where("g <> 'hot'"), ["g"], ["o"], rows_per_slice=50) is None
+    assert ordered.SLICE not in ordered.sliced(df.where("g <> 'hot'"), ["g"], ["o"], rows_per_slice=50).columns
+
+
+def test_plans_do_not_grow_with_the_slices(spark):
+    df = spark.range(4000).select(F.col("id").alias("o"), F.lit("x").alias("g"))
+
+    def plan(rows):
+        return len(ordered.rank_in_order(df, ["g"], ["o"], rows_per_slice=rows)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(plan(2000) - plan(20)) < 200
+    got = ordered.rank_in_order(df, ["g"], ["o"], rows_per_slice=20)
+    assert got.where("rank <> o").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 77, 500, 900])
+def test_first_rows_in_both_ways(spark, monkeypatch, n):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("o"), (F.col("id") % 3).alias("a"))
+    few = sorted(ordered.first_in_order(df, ["a", "o"], n).collect())
+    monkeypatch.setattr(ordered, "FEWEST_ROWS", 0)
+    assert sorted(ordered.first_in_order(df, ["a", "o"], n, rows_per_slice=30).collect()) == few
+    assert [(r.a, r.o) for r in sorted(few, key=lambda r: (r.a, r.o))] == sorted((r.a, r.o) for r in df.collect())[:n]
 
 
 def test_small_groups_take_one_shuffle(spark):
@@ -87,7 +105,7 @@ def test_small_groups_take_one_shuffle(spark):
 
 def test_slices_are_even(spark):
     df = spark.range(20000).withColumnRenamed("id", "o").withColumn("g", F.lit("x"))
-    slices = ordered.natural_slices(df, ["g"], ["o"], rows_per_slice=1000)
-    sizes = [r["count"] for r in df.groupBy(slices.alias("s")).count().collect()]
+    cut = ordered.sliced(df, ["g"], ["o"], rows_per_slice=1000)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
     assert 15 <= len(sizes) <= 30
     assert max(sizes) < 3 * 1000
