@@ -16,8 +16,9 @@ from corpusforge.operators.overlap import PARTS
 
 PRIME = 2**31 - 1
 METHODS = ("poisson", "exact")
-DRAWN_ROWS = 1 << 16  # rows and replicates that one task of the exact method looks after
+CELL = 1 << 16  # rows and replicates that one task of the exact method looks after
 DRAWN_REPLICATES = 50
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def poisson_steps() -> list[int]:
@@ -66,22 +67,48 @@ def _weighted_sums(n_samples: int, seed: int):
     return sums
 
 
-def _drawn_sums(n: int, n_samples: int, seed: int):
-    """The same for draws with replacement: draw ``i`` of replicate ``b`` takes the row with
-    rank ``md5("seed:b:i") % n``. A task counts the draws that fall into its rows.
+def seed_of(*parts: int) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:16], 16)
+
+
+def draws_of_cell(n: int, cell: int, seed: int, replicate: int) -> int:
+    """How many of ``n`` draws from ``n`` rows fall into a cell of CELL rows.
+
+    The number follows the path of a tree from all cells to this one: each node deals its
+    draws to its halves by a binomial draw of its own seed. So the cells of a replicate share
+    out exactly ``n`` draws, and a cell takes as many steps as the tree has levels.
     """
+    low, high, count = 0, -(-n // CELL), n
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, all_ = (middle - low) * CELL, min(high * CELL, n) - low * CELL
+        dealt = int(np.random.Generator(np.random.Philox(key=seed_of(seed, replicate, low, high))).binomial(count, left / all_))
+        low, high, count = (low, middle, dealt) if cell < middle else (middle, high, count - dealt)
+    return count
+
+
+def drawn(count: int, size: int, seed: int, replicate: int, cell: int) -> np.ndarray:
+    """``count`` draws from ``size`` places: SplitMix64 with a seed for the replicate and the cell."""
+    z = np.uint64(seed_of(seed, replicate, cell)) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(GOLDEN)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
+
+
+def _drawn_sums(n: int, n_samples: int, seed: int):
+    """The same for draws with replacement, over the rows of one cell."""
     def sums(rows):
         import pandas as pd
 
-        first = int(rows["_row"].min())
-        values = np.zeros((int(rows["_row"].max()) - first + 1, len(rows.columns) - 2))
-        values[rows["_row"].to_numpy() - first, 0] = 1
-        values[rows["_row"].to_numpy() - first, 1:] = rows.iloc[:, 3:].to_numpy()
+        cell = int(rows["_cell"].iloc[0])
+        values = np.zeros((min(CELL, n - cell * CELL), len(rows.columns) - 2))
+        at = rows["_row"].to_numpy() - cell * CELL
+        values[at, 0] = 1
+        values[at, 1:] = rows.iloc[:, 3:].to_numpy()
         out, low = [], int(rows["_part"].iloc[0]) * DRAWN_REPLICATES
         for b in range(low, min(n_samples, low + DRAWN_REPLICATES)):
-            draws = np.fromiter((digest(f"{seed}:{b}:{i}") % n for i in range(n)), np.int64, n) - first
-            times = np.bincount(draws[(draws >= 0) & (draws < len(values))], minlength=len(values))
-            out.append([b, *(times @ values)])
+            draws = drawn(draws_of_cell(n, cell, seed, b), len(values), seed, b, cell)
+            out.append([b, *(np.bincount(draws, minlength=len(values)) @ values)])
         return pd.DataFrame(out, columns=["replicate", *(f"s{i}" for i in range(values.shape[1]))])
 
     return sums
@@ -92,8 +119,8 @@ def replicate_means(scores: DataFrame, types: Sequence[str], key: str | Column,
     """One row per replicate with the mean of every part of every type.
 
     ``poisson`` weights every row independently, in one pass that answers with one row per
-    task and replicate. ``exact`` draws as many rows as there are, for small tables: its work
-    grows with the rows times the replicates times the blocks of ``DRAWN_ROWS`` rows.
+    task and replicate. ``exact`` draws as many rows as there are, with replacement: a task
+    draws for its own cell of rows alone, so the work is rows times replicates, shared out.
     """
     names = [f"{t}_{p}" for t in types for p in PARTS]
     columns = [F.col(t)[p].alias(f"{t}_{p}") for t in types for p in PARTS]
@@ -106,10 +133,10 @@ def replicate_means(scores: DataFrame, types: Sequence[str], key: str | Column,
         kept = scores.select(key, *columns)
         n = kept.count()
         ranked = rank_in_order(kept, [], [key], "_row").select(
-            F.floor(F.col("_row") / DRAWN_ROWS).alias("_block"),
+            F.floor(F.col("_row") / CELL).alias("_cell"),
             F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // DRAWN_REPLICATES))).alias("_part"),
             "_row", *names)
-        partial = ranked.groupBy("_block", "_part").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
+        partial = ranked.groupBy("_cell", "_part").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
     whole = partial.groupBy("replicate").agg(*[
         F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names) + 1)])
     return whole.where("s0 > 0").select("replicate", *[
@@ -120,9 +147,9 @@ def bootstrap(scores: DataFrame, types: Sequence[str], key: str, confidence: flo
               n_samples: int = 1000, seed: int = 0, method: str = "poisson") -> DataFrame:
     """``score_type`` with structs ``low``, ``mid`` and ``high`` of mean scores.
 
-    ``mid`` is the median of the resampled means. ``method`` is "poisson", for tables of any
-    size, or "exact", which draws with replacement and suits small tables. The size of the
-    table never changes the method.
+    ``mid`` is the median of the resampled means. ``method`` is "poisson", one pass over the
+    scores, or "exact", which draws with replacement and ranks them first. The size of the table
+    never changes the method.
     """
     if not 0 <= confidence <= 1:
         raise ValueError(f"confidence {confidence} is not a share")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.tokens import score_tokens
 from corpusforge.operators import overlap as O
-from corpusforge.operators.bootstrap import POISSON, PRIME, bootstrap
+from corpusforge.operators.bootstrap import GOLDEN, POISSON, PRIME, bootstrap
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.plans.registry import WS, documents, query, table
 
@@ -217,14 +217,17 @@ def rouge_intervals(spark, sf):
 @query(f"""
 WITH {pairs_sql()}, {score_sql("r1", 1)},
 ranked AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n, * FROM r1),
-draws AS (SELECT b, {digest_sql(f"'{SEED}:' || b || ':' || i")} % (SELECT count(*) FROM r1) AS r
-          FROM (SELECT unnest(range({SAMPLES})) AS b),
-               (SELECT unnest(range((SELECT count(*) FROM r1))) AS i)),
+z0 AS (SELECT b, (CAST('0x' || substr(md5('{SEED}:' || b || ':0'), 1, 16) AS UHUGEINT) + i::UHUGEINT * {GOLDEN}::UHUGEINT) % {1 << 64}::UHUGEINT AS z
+       FROM (SELECT unnest(range({SAMPLES})) AS b),
+            (SELECT unnest(range(1, (SELECT count(*) FROM r1) + 1)) AS i)),
+z1 AS (SELECT b, xor(z::UBIGINT, z::UBIGINT >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % {1 << 64}::UHUGEINT AS z FROM z0),
+z2 AS (SELECT b, xor(z::UBIGINT, z::UBIGINT >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT % {1 << 64}::UHUGEINT AS z FROM z1),
+draws AS (SELECT b, CAST(xor(z::UBIGINT, z::UBIGINT >> 31) % CAST((SELECT count(*) FROM r1) AS UBIGINT) AS BIGINT) AS r FROM z2),
 m AS (SELECT b, avg(pr) AS pr, avg(re) AS re, avg(f) AS f FROM draws JOIN ranked USING (r)
       GROUP BY b),
 {BOUNDS}
 """)
 def rouge_intervals_exact(spark, sf):
-    """Draws with replacement, as many as there are documents."""
+    """Draws with replacement, as many as there are documents; the SQL has one cell of draws."""
     scores = O.rouge(pairs(spark, sf), ["rouge1"], "doc_id")
     return bounds(bootstrap(scores, ["rouge1"], "doc_id", 0.95, SAMPLES, SEED, "exact"))

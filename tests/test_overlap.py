@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,13 +192,28 @@ def test_poisson_agrees_with_resampling(spark):
         assert tuple(poisson[bound]) == pytest.approx(tuple(exact[bound]), abs=0.006)
 
 
-def test_the_size_of_a_block_changes_nothing(spark, monkeypatch):
+def test_cells_share_out_all_draws(spark, monkeypatch):
     df = spark.createDataFrame([(k, (k / 50, k % 7 / 7, .5)) for k in range(50)], SCORES)
-    whole = bootstrap(df, ["rouge1"], "k", n_samples=100, method="exact").first()
-    monkeypatch.setattr(B, "DRAWN_ROWS", 7)
-    parts = bootstrap(df, ["rouge1"], "k", n_samples=100, method="exact").first()
+    whole = bootstrap(df, ["rouge1"], "k", n_samples=400, method="exact").first()
+    monkeypatch.setattr(B, "CELL", 7)
+    for b in range(200):
+        counts = [B.draws_of_cell(50, cell, 3, b) for cell in range(8)]
+        assert sum(counts) == 50 and min(counts) >= 0
+    shares = np.array([[B.draws_of_cell(50, cell, 3, b) for cell in range(8)] for b in range(2000)])
+    sizes = np.array([7] * 7 + [1]) / 50  # multinomial: mean 50 p, variance 50 p (1 - p)
+    assert shares.mean(axis=0) == pytest.approx(50 * sizes, rel=.06)
+    assert shares.var(axis=0) == pytest.approx(50 * sizes * (1 - sizes), rel=.15)
+    assert np.cov(shares[:, 0], shares[:, 5])[0, 1] == pytest.approx(-50 * sizes[0] * sizes[5], abs=.3)
+    parts = bootstrap(df, ["rouge1"], "k", n_samples=400, method="exact").first()
     for bound in ("low", "mid", "high"):
-        assert tuple(parts[bound]) == pytest.approx(tuple(whole[bound]))
+        assert tuple(parts[bound]) == pytest.approx(tuple(whole[bound]), abs=.03)
+
+
+def test_draws_are_even():
+    draws = B.drawn(100_000, 10, 1, 2, 3)
+    assert np.bincount(draws) == pytest.approx(np.full(10, 10_000), rel=.04)
+    assert np.corrcoef(draws[:-1], draws[1:])[0, 1] == pytest.approx(0, abs=.01)
+    assert (B.drawn(5, 10, 1, 2, 3) == draws[:5]).all() and (B.drawn(5, 10, 1, 3, 3) != draws[:5]).any()
 
 
 def test_poisson_steps():
