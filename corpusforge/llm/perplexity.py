@@ -30,7 +30,7 @@ from corpusforge.llm.common import (
 ORDER = 5
 BITS = 12
 SYMBOLS_KNOWN = 1 << BITS
-MODEL_ROWS = 1 << 23
+MODEL_ROWS = 1 << 22
 HELD = 1 << 21  # runs that a counting task holds before it passes them on
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"

@@ -84,7 +84,7 @@ def corpus_of(stored, extra=()):
     return stored([(i, t, "en", "s", 0) for i, t in enumerate([*TEXTS, *extra])])
 
 
-@pytest.mark.parametrize("most", [1 << 23, 40])
+@pytest.mark.parametrize("most", [1 << 22, 40])
 def test_equals_plain_kneser_ney(stored, monkeypatch, most):
     """In one shard or in many, scores are those of dictionaries."""
     monkeypatch.setattr(p, "MODEL_ROWS", most)
