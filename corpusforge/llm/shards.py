@@ -1,11 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Equal texts form a group. Groups are gathered into a fixed number of lots by the hash of
-their text; a group too large for a lot is cut into lots of its own by the hash of its row
-keys. The lots, a few thousand vectors whatever the size of the corpus, are placed on the
-driver: largest first, each on the shard where its dot product with the residual capacity
-is highest. All rows of a lot share a shard, so equal texts stay together unless their
-group was cut.
+Equal texts form a group. A group with over 1/LOTS of all bytes, tokens or rows is a vector of
+its own; the light rest is gathered into lots by the hash of the text. These vectors, at most
+4 * LOTS whatever the size of the corpus, are placed on the driver: largest first, each on the
+shard where its dot product with the residual capacity is highest. All rows of a group share a
+shard. Only a group that is larger than a whole shard is cut, by the hash of its row keys.
 """
 
 from __future__ import annotations
@@ -13,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import free_name, query, saved, table
+from corpusforge.operators.ordered import SLICE, running_total
 
 LOTS = 1 << 14
-# A group with over 1/WHOLE of a shard's bytes, tokens or rows is cut into pieces of 1/PIECES of all.
-WHOLE = 16
-PIECES = 1 << 12
+PIECES = 1 << 12  # a group that is cut goes to pieces of 1/PIECES of all
+ROWS_PER_WINDOW = 1 << 16
+SLACK = 0.002
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
@@ -29,14 +29,16 @@ def place(lots: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each lot (rows: bytes, tokens, rows).
 
     Vectors are scaled by the whole, so each shard starts with a residual of 1/shards in
-    every dimension. Lots go in order of their largest share.
+    every dimension. Lots go in order of their largest share, to a shard that they fit if there
+    is one; SLACK of a shard is left to the last lots, which fit nowhere exactly.
     """
     whole = np.maximum(lots.sum(axis=0), 1)
     vectors = lots / whole
     residual = np.full((shards, lots.shape[1]), 1 / shards)
     chosen = np.zeros(len(lots), np.int64)
     for lot in np.argsort(-vectors.max(axis=1), kind="stable"):
-        best = int(np.argmax(residual @ vectors[lot]))
+        fits = (residual + SLACK / shards >= vectors[lot]).all(axis=1)
+        best = int(np.argmax(np.where(fits | ~fits.any(), residual @ vectors[lot], -np.inf)))
         chosen[lot] = best
         residual[best] -= vectors[lot]
     return chosen
@@ -48,7 +50,7 @@ def assign_shards(docs: DataFrame, shards: int, size: Column, key: Sequence[str]
 
     A null text weighs as an empty one and forms a group with it; repeated rows are rows of
     their own; an empty table gives no rows. Other columns are not returned. Slots follow
-    the lots of a shard and, inside a lot, the key.
+    the lots of a shard; the rows of a lot are numbered by as many tasks as their number asks for.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = saved(docs.select(
@@ -60,30 +62,31 @@ def assign_shards(docs: DataFrame, shards: int, size: Column, key: Sequence[str]
     sums = [total.cast("double").alias(name) for name, total in totals.items()]
     whole = narrow.agg(*sums).first()
     share = F.greatest(*[F.col(d) / max(1.0, whole[d] or 0) for d in DIMENSIONS])
-    # At most 3 * WHOLE * shards groups are that large, so this side may be broadcast.
-    large = narrow.groupBy("group").agg(*sums).where(share * (WHOLE * shards) > 1).select(
-        "group", F.ceil(share * PIECES).cast("long").alias("pieces"))
-    cut = narrow.join(F.broadcast(large), "group", "left")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod("spread", F.col("pieces")))
-    lot = F.pmod(F.xxhash64("group", piece), F.lit(lots)).cast("int")
-    spread = cut.withColumn("lot", lot)
-    sizes = spread.groupBy("lot").agg(*sums).collect()  # at most ``lots`` rows
-    numbers = np.array([[row[d] for d in DIMENSIONS] for row in sizes]).reshape(-1, len(DIMENSIONS))
+    # At most 3 * lots groups are that heavy, so this side may be broadcast.
+    heavy = narrow.groupBy("group").agg(*sums).where(share * lots > 1).select(
+        "group", F.when(share * shards > 1, F.ceil(share * PIECES)).otherwise(1).cast("long").alias("pieces"))
+    known = narrow.join(F.broadcast(heavy), "group", "left")
+    # A heavy group has a lot of its own, named by its hash; a cut one has one for each piece.
+    own = F.when(F.col("pieces") > 1, F.xxhash64("group", F.pmod("spread", F.col("pieces")))).otherwise(F.col("group"))
+    lot = F.struct(F.col("pieces").isNotNull().alias("heavy"),
+                   F.coalesce(F.when(F.col("pieces").isNotNull(), own), F.pmod(F.xxhash64("group"), F.lit(lots))).alias("name"))
+    spread = known.withColumn("lot", lot)
+    sizes = spread.groupBy("lot").agg(*sums).select("lot.*", *DIMENSIONS).toArrow()  # a few times ``lots`` rows
+    numbers = np.column_stack([sizes.column(d).to_numpy() for d in DIMENSIONS]).reshape(-1, len(DIMENSIONS))
+    names = list(zip(sizes.column("heavy").to_pylist(), sizes.column("name").to_pylist()))
     placed = place(numbers, shards)
-    order = sorted(range(len(sizes)), key=lambda i: (placed[i], sizes[i]["lot"]))
     rows, at = [], [0] * shards
-    for i in order:
-        rows.append((sizes[i]["lot"], int(placed[i]), at[placed[i]]))
-        at[placed[i]] += int(sizes[i]["rows"])
-    plan = docs.sparkSession.createDataFrame(rows, "lot int, shard int, first long")
-    inside = Window.partitionBy("lot").orderBy(*key, "text_crc32", "size")
-    slot = free_name(docs, "inside")
-    return (
-        spread.withColumn(slot, F.row_number().over(inside) - 1)
-        .join(F.broadcast(plan), "lot")
-        .select(*key, "size", "tokens", "text_crc32", "shard",
-                (F.col("first") + F.col(slot)).cast("long").alias("slot"))
-    )
+    for i in sorted(range(len(names)), key=lambda i: (placed[i], names[i])):
+        n = int(numbers[i, DIMENSIONS.index("rows")])
+        rows.append((names[i], int(placed[i]), at[placed[i]], -(-n // ROWS_PER_WINDOW)))
+        at[placed[i]] += n
+    plan = docs.sparkSession.createDataFrame(rows, "lot struct<heavy: boolean, name: long>, shard int, first long, parts long")
+    part, inside = (free_name(docs, n) for n in ("part", "inside"))
+    dealt = spread.join(F.broadcast(plan), "lot").withColumn(part, F.pmod("spread", F.col("parts")))
+    order = [part, *key, "text_crc32", "size"]
+    ranked = running_total(dealt, ["lot"], order, F.lit(1).cast("long"), inside, F.col(part))
+    return ranked.select(*key, "size", "tokens", "text_crc32", "shard",
+                         (F.col("first") + F.col(inside)).cast("long").alias("slot")).drop(SLICE)
 
 
 SHARDS = 8

@@ -1,8 +1,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from corpusforge.llm import shards as shards_of
 from corpusforge.llm.shards import assign_shards, place
 
 
@@ -24,12 +26,39 @@ def test_balance_and_groups(stored):
     for value in (lambda r: r.size, lambda r: r.tokens, lambda r: 1):
         sums = [sum(value(r) for r in out if r.shard == s) for s in range(4)]
         assert max(sums) - min(sums) <= 0.03 * sum(sums) / 4
+    whole_groups(out)
+    texts = {i: t for i, t, *_ in rows}
+    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out)
+
+
+def whole_groups(rows):
     at = {}
-    for r in out:
+    for r in rows:
         at.setdefault((r.text_crc32, r.size), set()).add(r.shard)
     assert all(len(s) == 1 for s in at.values())
-    texts = {i: t for i, t, *_ in rows}
-    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out)
+
+
+@pytest.mark.parametrize("lots", [1 << 14, 50])
+def test_groups_stay_whole(stored, monkeypatch, lots):
+    """Groups of every size up to a shard: some with a lot of their own, some in a common one."""
+    monkeypatch.setattr(shards_of, "ROWS_PER_WINDOW", 40)
+    sizes = [900, 500, 200, 120, 60, 30, *[9] * 40, *[2] * 200]
+    rows = [(0, f"group {g} " * (g % 9 + 1), "en", "s", 0) for g, n in enumerate(sizes) for _ in range(n)]
+    rows += [(0, f"single {i}", "en", "s", 0) for i in range(1500)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    out = shard(stored(rows), lots=lots)
+    check_slots(out, 4)
+    whole_groups(out)
+    # Nine hundred equal short texts leave no room for rows in their shard, only for bytes.
+    assert len(out) == len(rows)
+    for value, most in ((lambda r: r.size, 1.05), (lambda r: 1, 1.25)):
+        sums = [sum(value(r) for r in out if r.shard == s) for s in range(4)]
+        assert max(sums) <= (most if lots > 50 else 1.25) * sum(sums) / 4
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_group_of_the_tables_is_torn(spark, sf):
+    whole_groups(shards_of.vector_shards(spark, f"/root/testdata/{sf}").collect())
 
 
 def test_a_hot_group_is_cut(stored):
