@@ -29,8 +29,9 @@ def place(lots: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each lot (rows: bytes, tokens, rows).
 
     Vectors are scaled by the whole, so each shard starts with a residual of 1/shards in
-    every dimension. Lots go in order of their largest share, to a shard that they fit if there
-    is one; SLACK of a shard is left to the last lots, which fit nowhere exactly.
+    every dimension. Lots go in order of their largest share, to one of the shards that they fit
+    (but for SLACK of a shard). A lot that fits nowhere goes where the most bytes are free: large
+    groups can make an even share of everything impossible, and bytes come first.
     """
     whole = np.maximum(lots.sum(axis=0), 1)
     vectors = lots / whole
@@ -38,7 +39,7 @@ def place(lots: np.ndarray, shards: int) -> np.ndarray:
     chosen = np.zeros(len(lots), np.int64)
     for lot in np.argsort(-vectors.max(axis=1), kind="stable"):
         fits = (residual + SLACK / shards >= vectors[lot]).all(axis=1)
-        best = int(np.argmax(np.where(fits | ~fits.any(), residual @ vectors[lot], -np.inf)))
+        best = int(np.argmax(np.where(fits, residual @ vectors[lot], -np.inf) if fits.any() else residual[:, 0]))
         chosen[lot] = best
         residual[best] -= vectors[lot]
     return chosen
