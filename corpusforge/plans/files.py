@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
+from corpusforge.operators import vocabulary as V
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.operators.overlap import align_records, rouge
 from corpusforge.operators.schema import explode_documents
 from corpusforge.plans.overlap import pairs, pairs_sql, score_sql, tokens_sql
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
-from corpusforge.plans.tokens import BLOCK, blocks_sql, ids_sql, word_ids
+from corpusforge.plans.tokens import BLOCK, ENCODED, WORD_VOCAB, blocks_sql, ids_sql
 from corpusforge.sources import readers as R
 from corpusforge.sources import scoring as C
 from corpusforge.sources import writers as W
-from corpusforge.streaming.blocks import stream_blocks, write_blocks
-from corpusforge.streaming.ingest import stream_corpus
+from corpusforge.streaming.blocks import write_blocks
+from corpusforge.streaming.ingest import stream_corpus, stream_lines, write_corpus
 
 PIECE = "source string, doc_id long, text string"
 
@@ -218,22 +219,48 @@ def streamed_corpus(spark, sf):
     return spark.read.schema(PIECE).parquet(f"{folder}/out")
 
 
-@query("WITH " + blocks_sql("SELECT * FROM documents WHERE length(text) > 32", ids_sql("text"),
-                            BLOCK, "1"))
+def deliveries(spark, sf, folder: str, parts: int = 6) -> None:
+    """The documents as ``parts`` deliveries, one after the other in the order of their ids."""
+    docs = documents(spark, sf).select("source", "doc_id", "text")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = (high - low) // parts + 1
+    for part in range(parts):
+        begin = low + part * width
+        W.write_jsonl(docs.where(F.col("doc_id").between(begin, begin + width - 1)).coalesce(1), f"{folder}/in/{part}")
+
+
+@query(f"WITH {WORD_VOCAB}, {ENCODED}, " + blocks_sql("SELECT * FROM encoded", "ids", BLOCK, "1"))
 def streamed_blocks(spark, sf):
-    """Packing in one micro-batch with state, in document order as the batch packer."""
-    folder = corpus_folder(spark, sf)
-    stream = stream_corpus(spark, f"{folder}/corpus", PIECE, files_per_trigger=1 << 30)
-    ids = stream.select("source", "doc_id", F.concat(F.array(F.lit(1)), word_ids(F.col("text")))
-                        .alias("ids"))
-    stream_blocks(ids, BLOCK).writeStream.format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/check").trigger(availableNow=True).start() \
-        .awaitTermination()
-    blocks = spark.read.schema("source string, lane int, block long, input_ids array<int>").parquet(
-        f"{folder}/out")
+    """Packing over six micro-batches gives the blocks of the batch packer: a batch is sliced like
+    any table, and hands over one incomplete block per source.
+    """
+    folder = scratch(spark)
+    deliveries(spark, sf, folder)
+    encode = V.word_encoder(V.word_vocab(documents(spark, sf)))
+    stream = stream_corpus(spark, f"{folder}/in/*", PIECE, files_per_trigger=1)
+    ids = stream.select("source", "doc_id", F.concat(F.array(F.lit(1)), encode(K.words(F.col("text")))).alias("ids"))
+    write_blocks(ids, f"{folder}/out", f"{folder}/state", f"{folder}/check", BLOCK, availableNow=True).awaitTermination()
+    blocks = spark.read.parquet(f"{folder}/out")
     return blocks.select("source", "block", joined("input_ids").alias("input_ids"))
 
 
+@query("""
+SELECT 'row' AS kind, source || ':' || doc_id AS content FROM documents WHERE lang <> 'de' AND length(text) > 32
+UNION ALL SELECT 'line', substr('{"source":"' || source || '","doc_id":', 1, 20) FROM documents WHERE lang = 'de'
+""")
+def rejected_lines(spark, sf):
+    """Lines that broke off on the way are set aside; the others arrive."""
+    folder = scratch(spark)
+    line = F.to_json(F.struct("source", "doc_id", "text"))
+    sent = documents(spark, sf).select(F.when(F.col("lang") == "de", F.substring(line, 1, 20)).otherwise(line))
+    W.write_text(sent.toDF("text"), f"{folder}/in")
+    lines = stream_lines(spark, f"{folder}/in", PIECE, files_per_trigger=2)
+    write_corpus(lines, f"{folder}/out", f"{folder}/rejects", f"{folder}/check", availableNow=True).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out").select(
+        F.lit("row").alias("kind"), F.concat_ws(":", "source", "doc_id").alias("content"))
+    return rows.unionByName(spark.read.parquet(f"{folder}/rejects").select(F.lit("line").alias("kind"), F.col("line").alias("content")))
+
+
 @query("WITH ids AS (SELECT source, list_concat([3], " + ids_sql("text") + """) AS ids FROM documents
 WHERE length(text) > 32), n AS (SELECT source, sum(len(ids)) AS n, sum(list_sum(ids)) AS s FROM ids GROUP BY source)
 SELECT source, CAST(n // 128 AS BIGINT) AS blocks, CAST(n AS BIGINT) AS ids, CAST(s AS BIGINT) AS total FROM n

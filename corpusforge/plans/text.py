@@ -178,7 +178,7 @@ r AS (SELECT doc_id, {COLLAPSED.format(chars="chars")} AS text FROM c)
 SELECT doc_id, {trim_sql(r"regexp_replace(text, '[^\S\r\n]+', ' ', 'g')")} AS text FROM r
 """)
 def clean_text(spark, sf):
-    """Full cleaning. The fixtures hold no Hangul, so emoticons are left to the unit tests."""
+    """Full cleaning. The fixtures hold no Hangul; ``emoticons`` looks at that step."""
     return documents(spark, sf).select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
@@ -309,3 +309,22 @@ def plain_template(spark, sf):
     return apply_template(documents(spark, sf), "plain").select("doc_id", "text")
 
 
+@query("""
+WITH n AS (SELECT doc_id, lang, length(text) % 4 + 1 AS k, length(text) % 3 + 1 AS v FROM documents)
+SELECT doc_id, lang || ' ' || repeat('ㅋ', CASE WHEN k + 1 >= 3 THEN 2 ELSE k + 1 END)
+  || repeat('ㅜ', CASE WHEN v + 1 >= 3 THEN 2 ELSE v + 1 END)
+  || ' 아' || repeat('ㅋ', CASE WHEN k + 1 >= 3 THEN 2 ELSE k + 1 END)
+  || ' ' || repeat('ㅎ', CASE WHEN k + 1 >= 3 THEN 2 ELSE k + 1 END) || 'ㅏ! '
+  || repeat('ㅋ', CASE WHEN k >= 3 THEN 2 ELSE k END) || '가' || repeat('ㅠ', CASE WHEN v >= 3 THEN 2 ELSE v END) AS text
+FROM n
+""")
+def emoticons(spark, sf):
+    """Syllables typed into runs of jamo yield to them: by lead and vowel, by tail, by lead alone.
+    One that fits neither neighbour stays.
+    """
+    k, v = F.length("text") % 4 + 1, F.length("text") % 3 + 1
+    typed = F.concat(
+        F.col("lang"), F.lit(" "), F.repeat(F.lit("ㅋ"), k), F.lit("쿠"), F.repeat(F.lit("ㅜ"), v),
+        F.lit(" 앜"), F.repeat(F.lit("ㅋ"), k), F.lit(" "), F.repeat(F.lit("ㅎ"), k), F.lit("하! "),
+        F.repeat(F.lit("ㅋ"), k), F.lit("가"), F.repeat(F.lit("ㅠ"), v))
+    return documents(spark, sf).select("doc_id", T.normalize_emoticons(typed).alias("text"))

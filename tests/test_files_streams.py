@@ -10,6 +10,7 @@ from corpusforge.sources import readers as R
 from corpusforge.sources import scoring as C
 from corpusforge.sources import writers as W
 from corpusforge.streaming import blocks as B
+from corpusforge.streaming import ingest as I
 from corpusforge.streaming.ingest import stream_corpus, stream_metrics
 from tests.test_packing import sequential
 
@@ -224,6 +225,52 @@ def test_pack_batch_keeps_sources_that_pause(spark, tmp_path):
                    ("b", 0): [1, 2, 3, 4], ("b", 1): [5, 6, 7, 8]}
 
 
+def test_blocks_continue_after_a_restart(spark, tmp_path):
+    """Five micro-batches in two runs of one checkpoint, the last batch again: the blocks of one run."""
+    rows, kept = stream_rows()
+
+    def run():
+        docs = stream_corpus(spark, f"{tmp_path}/in", SCHEMA, files_per_trigger=1)
+        query = B.write_blocks(docs, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/check", 8, availableNow=True)
+        query.awaitTermination()
+        return len([p for p in query.recentProgress if p["numInputRows"]])
+
+    write_batches(spark, f"{tmp_path}/in", rows[:36], 2)
+    assert run() == 2
+    for g, part in enumerate((rows[36:54], rows[54:72], rows[72:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        for name in os.listdir(f"{tmp_path}/in"):
+            path = f"{tmp_path}/in/{name}"
+            if name.endswith(".json") and os.path.getmtime(path) > 1e9:
+                os.utime(path, (9000 + g, 9000 + g))
+    assert run() == 3
+    got = {(r["source"], r["block"]): r["input_ids"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == sequential(kept, 8, None)
+
+
+def test_rejected_lines_are_kept_once(spark, tmp_path):
+    good = [f'{{"source":"s","doc_id":{i},"text":"{"x" * 40}"}}' for i in range(6)]
+    bad = ["{broken", '{"source":"s","doc_id":"no number","text":"t"}', "[1, 2"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n".join([*good[:3], bad[0]]))
+
+    def run():
+        lines = I.stream_lines(spark, f"{tmp_path}/in", files_per_trigger=1)
+        I.write_corpus(lines, f"{tmp_path}/out", f"{tmp_path}/rejects", f"{tmp_path}/check", availableNow=True).awaitTermination()
+        return (sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()),
+                sorted((r.file, r.line) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()))
+
+    assert run() == ([0, 1, 2], [("a.json", bad[0])])
+    (tmp_path / "in/b.json").write_text("\n".join([bad[1], *good[3:], bad[2], '{"source":"s","doc_id":9,"text":"short"}']))
+    want = [0, 1, 2, 3, 4, 5], sorted([("a.json", bad[0]), ("b.json", bad[1]), ("b.json", bad[2])])
+    assert run() == want
+    # A batch that runs again replaces its own rows.
+    schema = "source string, doc_id long, text string, _line string"
+    again = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(f"{tmp_path}/in/b.json").withColumn("_file", F.lit("b.json"))
+    I.keep_batch(again, 1, f"{tmp_path}/out", f"{tmp_path}/rejects")
+    assert run() == want
+
+
 def test_lanes_split_a_source(spark, tmp_path):
     rows, kept = stream_rows()
     write_batches(spark, f"{tmp_path}/in", rows, 1)
