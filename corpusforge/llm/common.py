@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from corpusforge.session import checkpoint_dir
 
@@ -97,6 +98,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_sets(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words of each list of words.
+
+    Each word is hashed by itself and a run by mixing the hashes of its words, so texts made of
+    one another's letters have nothing in common. Fewer words are a single run; none have none.
+    """
+    counts = [len(words) for words in texts]
+    hashes = np.fromiter((xxh3_64_intdigest(w) for words in texts for w in words), np.uint64, sum(counts))
+    places = mix64(np.arange(2 * size, dtype=np.uint64) + np.uint64(99)) | np.uint64(1)
+    runs = hashes[:0]
+    for place in range(size if len(hashes) >= size else 0):
+        later = hashes[place : len(hashes) - size + 1 + place]
+        runs = mix64((runs if place else np.uint64(0)) ^ (later * places[place]))
+    sets, end = [], 0
+    for count in counts:
+        end += count
+        if count >= size:
+            sets.append(np.unique(runs[end - count : end - size + 1]))
+        elif count:
+            whole = np.zeros(1, np.uint64)
+            for place in range(count):
+                whole = mix64(whole ^ (hashes[end - count + place : end - count + place + 1] * places[size + place]))
+            sets.append(mix64(whole + np.uint64(count)))
+        else:
+            sets.append(hashes[:0])
+    return sets
+
+
 def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of ``values[start:end]``; zero for empty segments."""
     total = np.concatenate([[0], np.cumsum(values)])

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import bit_filter, free_name, in_filter, mix64, query, saved, slices, table, utf8, whole_groups
+from corpusforge.llm.common import (
+    bit_filter, free_name, in_filter, mix64, query, run_sets, saved, slices, stored_rows, table, utf8, whole_groups,
+)
 from corpusforge.llm.components import components
 
 WORDS = 5
@@ -33,48 +35,17 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 1024
-FACTOR = np.uint64(0x100000001B3)
 _seeds = mix64(np.arange(2 * HASHES, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
 MULTIPLIERS, OFFSETS = _seeds[:HASHES] | np.uint32(1), _seeds[HASHES:]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of FACTOR modulo 2**64 and their inverses."""
-    inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
-    out = []
-    for factor in (FACTOR, inverse):
-        steps = np.full(n + 1, factor, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps))
-    return out[0], out[1]
-
-
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the five-word runs of each text.
 
     A text of one to four words is a single run; a text without words has none. Words are
-    what white space separates. All runs of all texts are hashed at once, as differences of
-    one rolling hash over the bytes.
+    what white space separates.
     """
-    parts = [b" ".join(t.split()) for t in texts]
-    whole = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    power, inverse = powers(len(whole))
-    rolled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-        (whole.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-    ends = np.flatnonzero((whole == 32) | (whole == 10))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    text_of = np.cumsum(np.concatenate([[0], whole[ends[:-1]] == 10]))
-    solid = ends > starts
-    starts, ends, text_of = starts[solid], ends[solid], text_of[solid]
-    counts = np.bincount(text_of, minlength=len(texts))
-    firsts = np.cumsum(counts) - counts
-    sets = []
-    for first, count in zip(firsts.tolist(), counts.tolist()):
-        run = min(WORDS, count)
-        begin = starts[first : first + count - run + 1] if count else starts[:0]
-        end = ends[first + run - 1 : first + count] if count else ends[:0]
-        sets.append(np.unique(mix64((rolled[end] - rolled[begin]) * inverse[begin])))
-    return sets
+    return run_sets([t.split() for t in texts], WORDS)
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -291,12 +262,14 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     the connected group of linked texts, ``n_links`` the number of other rows whose set of
     five-word runs has at least ``threshold`` similarity, copies included. One row of each
     group, the one with the smallest key, is its ``leader``. Null and empty texts have the
-    same, empty set: they are copies of each other and like nothing else. ``docs`` must be a
-    stored table.
+    same, empty set: they are copies of each other and like nothing else. ``row`` holds for a
+    plain reading of files; what is more than that must be stored first, as ``keep_leaders`` does.
 
     At the threshold itself a pair shares no band with a chance of 5e-8 and fails a
-    comparison with less than 1e-5. Per pair of blocks, work is in proportion to the pairs that
-    share a band; no table grows with the square of a group.
+    comparison with less than 1e-5. Within a band every two classes are compared, in blocks, for
+    every link counts in ``n_links``: a band of n near copies costs n^2 / BLOCK signatures and
+    has a list of partners for each class. Runs are 64-bit hashes of whole words; that two of the
+    corpus clash in one compared pair is left to chance (some 1e-13 for sets of 1,000).
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
                            F.col(text).alias("text"))
@@ -341,7 +314,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_leaders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of similar texts; all columns stay."""
-    row = free_name(docs, "row")
+    docs, row = stored_rows(docs), free_name(docs, "row")
     gone = saved(similar_texts(docs, key, text).where(~F.col("leader")).select(F.col("row").alias(row)))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
 

@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from corpusforge.llm.common import bit_filter, filtered, mix64, query, saved, slices, table, utf8, whole_groups
+from corpusforge.llm.common import bit_filter, filtered, mix64, query, run_sets, saved, slices, table, utf8, whole_groups
 from corpusforge.llm.components import components
 
 WORDS = 3
@@ -40,7 +39,6 @@ TOLERANCE = 1e-9
 _seeds = mix64(np.arange(2 * PERMUTATIONS, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
 MULTIPLIERS, OFFSETS = _seeds[:PERMUTATIONS] | np.uint32(1), _seeds[PERMUTATIONS:]
 _salts = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(7))
-_places = mix64(np.arange(2 * WORDS, dtype=np.uint64) + np.uint64(99)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -49,26 +47,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     Words are what white space separates; each is hashed by itself and a run by mixing the
     hashes of its words. A text of one or two words is a single run; one without words has none.
     """
-    split = [t.lower().split() for t in texts]
-    counts = [len(words) for words in split]
-    hashes = np.fromiter((xxh3_64_intdigest(w) for words in split for w in words), np.uint64, sum(counts))
-    ends = np.cumsum(counts, dtype=np.int64)
-    sets = []
-    runs = hashes[:0]
-    for place in range(WORDS):
-        later = hashes[place : len(hashes) - WORDS + 1 + place] if len(hashes) >= WORDS else hashes[:0]
-        runs = mix64((runs if place else np.uint64(0)) ^ (later * _places[place])) if len(later) else later
-    for end, count in zip(ends.tolist(), counts):
-        if count >= WORDS:
-            sets.append(np.unique(runs[end - count : end - WORDS + 1]))
-        elif count:
-            whole = np.zeros(1, np.uint64)
-            for place in range(count):
-                whole = mix64(whole ^ (hashes[end - count + place : end - count + place + 1] * _places[WORDS + place]))
-            sets.append(mix64(whole + np.uint64(count)))
-        else:
-            sets.append(hashes[:0])
-    return sets
+    return run_sets([t.lower().split() for t in texts], WORDS)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:

@@ -67,6 +67,15 @@ def test_shingles_are_sets_of_word_runs():
             assert len(a & b) == len(sets_of(x) & sets_of(y))
 
 
+def test_texts_whose_letters_hash_alike_stay_apart(stored):
+    """Thue-Morse words agree in every polynomial hash modulo 2**64; they are different texts."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = stored([(1, a, "en", "s", 0), (2, b, "en", "s", 0), (3, a, "en", "s", 0)])
+    assert sorted((r.key, r.class_id, r.n_links) for r in j.similar_texts(docs).collect()) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
+    assert sorted(r.doc_id for r in j.keep_leaders(docs.repartition(2, "text")).collect()) == [1, 2]
+
+
 def test_least_matches():
     least = j.least_matches(Fraction(4, 5), 1e-6)
     assert len(least) == j.HASHES // j.STEP and sorted(least) == least
