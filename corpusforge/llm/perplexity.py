@@ -13,6 +13,7 @@ that size, and the texts are read once for each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -138,8 +139,8 @@ def model_tables(counts: DataFrame) -> DataFrame:
     for order, (grams, totals, discount) in zip(range(1, ORDER + 1), reversed(levels)):
         taken = F.col("n") - F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END")
         reduced = grams.withColumn("context", context()).join(discount, "lang").withColumn("reduced", taken)
-        contexts = reduced.groupBy("lang", "context").agg(F.sum("reduced").alias("held")).join(totals, ["lang", "context"]).select(
-            "lang", "context", "total", F.greatest(1 - F.col("held") / F.col("total"), F.lit(1e-9)).alias("weight"))
+        contexts = saved(reduced.groupBy("lang", "context").agg(F.sum("reduced").alias("held")).join(totals, ["lang", "context"]).select(
+            "lang", "context", "total", F.greatest(1 - F.col("held") / F.col("total"), F.lit(1e-9)).alias("weight")))
         found = reduced.join(contexts, ["lang", "context"])
         if lower is None:
             found = found.withColumn("shorter", F.lit(1.0 / SYMBOLS_KNOWN))
@@ -151,16 +152,16 @@ def model_tables(counts: DataFrame) -> DataFrame:
         rows.append(lower.select("lang", F.lit(False).alias("weight"), F.lit(order).alias("order"), "gram", F.log("p").alias("log")))
         rows.append(contexts.select("lang", F.lit(True).alias("weight"), F.lit(order - 1).alias("order"), F.col("context").alias("gram"),
                                     F.log("weight").alias("log")))
-    return saved(reduce(DataFrame.unionByName, rows))
+    return reduce(DataFrame.unionByName, rows)  # of stored tables
 
 
 class Arrays:
     """One shard of the model of one language: keys sorted by hash, with their logarithms."""
 
-    def __init__(self, weight: np.ndarray, order: np.ndarray, gram: np.ndarray, log: np.ndarray):
-        keys = mix64(gram.astype(np.uint64) | (order.astype(np.uint64) << np.uint64(60)) | (weight.astype(np.uint64) << np.uint64(63)))
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        keys = mix64(keys.view(np.uint64))
         by_key = np.argsort(keys)
-        self.keys, self.logs = keys[by_key], log[by_key].astype(np.float32)
+        self.keys, self.logs = keys[by_key], logs[by_key]
 
     def find(self, weight: bool, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logarithms, and which of the runs are there."""
@@ -188,8 +189,14 @@ def shard_of(pair: np.ndarray | Column, shards: int):
     return pair * 40503 % 65521 % shards
 
 
-def shards_of(model: DataFrame) -> Iterator[tuple[int, int, dict[str | None, Arrays]]]:
-    """The model in arrays, in shards of about MODEL_ROWS rows, brought to the driver one by one.
+def number_of(lang: str | None) -> int:
+    """A number for each language, the same as ``shards_of`` gives it in Spark."""
+    return zlib.crc32(b"" if lang is None else b"=" + lang.encode()) - (1 << 31)
+
+
+def shards_of(model: DataFrame) -> Iterator[tuple[int, int, dict[int, Arrays]]]:
+    """The model in arrays by language, in shards of about MODEL_ROWS rows, brought to the driver
+    one by one: 16 bytes a row.
 
     A run and the contexts it backs off to have the two symbols before its last in common, so
     they share a shard; runs of one or two symbols, and their contexts, are in every one.
@@ -197,14 +204,21 @@ def shards_of(model: DataFrame) -> Iterator[tuple[int, int, dict[str | None, Arr
     shards = max(1, -(-model.count() // MODEL_ROWS))
     pair = F.when(F.col("weight"), F.col("gram")).otherwise(F.shiftright("gram", BITS)).bitwiseAND((1 << 2 * BITS) - 1)
     short = F.col("order") + F.col("weight").cast("int") < 3
+    name = F.crc32(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).cast("binary")) - (1 << 31)
+    key = F.col("gram").bitwiseOR(F.shiftleft(F.col("order").cast("long"), 60)).bitwiseOR(
+        F.when(F.col("weight"), F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long")))
+    compact = [name.cast("int").alias("lang"), key.alias("key"), F.col("log").cast("float").alias("log")]
     for shard in range(shards):
-        rows = model.where(short | (shard_of(pair, shards) == shard)).toArrow() if shards > 1 else model.toArrow()
-        names = rows.column("lang").combine_chunks().dictionary_encode()
-        lang = names.indices.fill_null(-1).to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
-        columns = [rows.column(c).to_numpy() for c in ("weight", "order", "gram", "log")]
+        mine = model.where(short | (shard_of(pair, shards) == shard)) if shards > 1 else model
+        rows = mine.select(*compact).toArrow()
+        lang, keys, logs = (rows.column(c).to_numpy() for c in ("lang", "key", "log"))
+        del rows
         found = {}
-        for i in np.unique(lang).tolist():
-            found[names.dictionary[i].as_py() if i >= 0 else None] = Arrays(*(c[lang == i] for c in columns))
+        for number in np.unique(lang).tolist():
+            own = lang == number
+            found[number] = Arrays(keys[own], logs[own])
+        del lang, keys, logs
+        pa.default_memory_pool().release_unused()
         yield shard, shards, found
 
 
@@ -287,7 +301,8 @@ def log_sum(sent: Broadcast, shard: int, shards: int):
             mine = [i for i, name in enumerate(names) if name == lang]
             parts = [codes[starts[i] : ends[i]] for i in mine]
             whole, at = np.unique(np.concatenate(parts), return_inverse=True)
-            score = arrays[lang].score(whole) if lang in arrays else np.full(len(whole), -BITS * np.log(2))
+            model = arrays.get(number_of(lang))
+            score = model.score(whole) if model else np.full(len(whole), -BITS * np.log(2))
             if shards > 1:
                 score[shard_of((whole >> BITS) & ((1 << 2 * BITS) - 1), shards) != shard] = 0
             stops = np.cumsum([len(p) for p in parts])

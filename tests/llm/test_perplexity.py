@@ -100,7 +100,7 @@ def test_equals_plain_kneser_ney(stored, monkeypatch, most):
 
 
 def test_probabilities_sum_to_one(stored):
-    shard = list(p.shards_of(p.train_model(corpus_of(stored))))[0][2]["en"]
+    shard = list(p.shards_of(p.train_model(corpus_of(stored))))[0][2][p.number_of("en")]
     codes = np.unique(p.grams_of([t.encode() for t in TEXTS])[0] >> p.BITS)[:60].tolist()
     for context in [*codes, 123456789]:
         grams = (context & ((1 << 4 * p.BITS) - 1)) << p.BITS | np.arange(p.SYMBOLS_KNOWN)
