@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
 from corpusforge.operators import vocabulary as V
+from corpusforge.operators.bootstrap import bootstrap
 from corpusforge.operators.ordered import rank_in_order
 from corpusforge.operators.overlap import align_records, rouge
 from corpusforge.operators.schema import explode_documents
-from corpusforge.plans.overlap import pairs, pairs_sql, score_sql, tokens_sql
+from corpusforge.plans.overlap import REPLICATES, SAMPLES, SEED, pairs, pairs_sql, score_sql, tokens_sql
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, ENCODED, WORD_VOCAB, blocks_sql, ids_sql
 from corpusforge.sources import readers as R
@@ -162,12 +163,34 @@ def score_job(spark, sf):
     return spark.read.csv(f"{folder}/scores", header=True)
 
 
-@query(f"""
-WITH pairs AS (
+REPLIES = f"""pairs AS (
   SELECT row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS doc_id, 0 AS reference,
          {tokens_sql("a.text")} AS t, {tokens_sql("b.text")} AS p
-  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
-{score_sql("r1", 1)}, {score_sql("r2", 2)}
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+
+
+@query(f"""
+WITH {REPLIES}, {score_sql("r1", 1)}, {REPLICATES},
+q AS (SELECT 'P' AS part, quantile_cont(pr, [0.025, 0.5, 0.975]) AS q FROM m
+      UNION ALL SELECT 'R', quantile_cont(re, [0.025, 0.5, 0.975]) FROM m
+      UNION ALL SELECT 'F', quantile_cont(f, [0.025, 0.5, 0.975]) FROM m)
+SELECT 'rouge1-' || part AS score_type, round(q[1], 4) AS low, round(q[2], 4) AS mid, round(q[3], 4) AS high FROM q
+""")
+def score_job_intervals(spark, sf):
+    """The job with a scorer and an aggregator of its own: pairs are numbered over all files."""
+    folder = reply_files(spark, sf)
+
+    def intervals(scores):
+        return bootstrap(rank_in_order(scores, [], ["file", "record"], "pair"), ["rouge1"], "pair", 0.95, SAMPLES, SEED)
+
+    C.score_files(spark, f"{folder}/targets/*.txt", f"{folder}/replies/*.txt", f"{folder}/intervals", ["rouge1"], "\x1e",
+                  scorer=lambda df: rouge(df, ["rouge1"], ["file", "record"]), aggregator=intervals)
+    back = spark.read.csv(f"{folder}/intervals", header=True)
+    return back.select("score_type", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("low", "mid", "high")])
+
+
+@query(f"""
+WITH {REPLIES}, {score_sql("r1", 1)}, {score_sql("r2", 2)}
 SELECT doc_id AS id, round(a.pr, 6) AS "rouge1-P", round(a.re, 6) AS "rouge1-R", round(a.f, 6) AS "rouge1-F",
        round(b.pr, 6) AS "rouge2-P", round(b.re, 6) AS "rouge2-R", round(b.f, 6) AS "rouge2-F"
 FROM r1 a JOIN r2 b USING (doc_id)

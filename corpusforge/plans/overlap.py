@@ -197,8 +197,8 @@ def bounds(intervals):
         "score_type", "b.bound", *[F.round(F.col("b.s")[p], 5).alias(p) for p in PARTS])
 
 
-@query(f"""
-WITH {pairs_sql()}, {score_sql("r1", 1)},
+# Weighted means of each replicate, of scores r1 numbered by doc_id.
+REPLICATES = f"""
 b AS (SELECT b, {digest_sql(f"'{SEED}k' || b")} % {PRIME - 1} + 1 AS k,
              {digest_sql(f"'{SEED}c' || b")} % {PRIME} AS c
       FROM (SELECT unnest(range({SAMPLES})) AS b)),
@@ -206,7 +206,13 @@ u AS (SELECT b, pr, re, f, (k * ({digest_sql(f"'{SEED}' || doc_id")} % {PRIME})
       FROM r1, b),
 w AS (SELECT b, pr, re, f, {WEIGHTS} AS w FROM u),
 m AS (SELECT b, sum(pr * w) / sum(w) AS pr, sum(re * w) / sum(w) AS re, sum(f * w) / sum(w) AS f
-      FROM w GROUP BY b),
+      FROM w GROUP BY b)
+"""
+
+
+@query(f"""
+WITH {pairs_sql()}, {score_sql("r1", 1)},
+{REPLICATES},
 {BOUNDS}
 """)
 def rouge_intervals(spark, sf):
