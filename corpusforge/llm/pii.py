@@ -88,8 +88,8 @@ DIGIT_OF = {word: str(d) for line in SPELLED for d, word in enumerate(line.split
 SIGN_OF = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+", "dash": "-",
            "hyphen": "-"}
 # Letters of other scripts that look like the ASCII letter below them.
-LOOK_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο‐‑‒–−․",
-                      "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXo-----."))
+LOOK_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο‐‑‒–−․。｡．",
+                      "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXo-----...."))
 INVISIBLE = "­​‌‍⁠﻿"
 
 
@@ -103,7 +103,8 @@ def plain(char: str) -> str | None:
     if unicodedata.category(char) == "Nd":
         return str(unicodedata.decimal(char))
     folded = unicodedata.normalize("NFKC", char)
-    wide = unicodedata.decomposition(char).startswith(("<wide>", "<font>", "<small>", "<narrow>"))
+    kind = unicodedata.decomposition(char)
+    wide = kind.startswith(("<wide>", "<font>", "<small>", "<narrow>")) or kind.startswith("<circle>") and folded.isdigit()
     return folded if wide and len(folded) == 1 and folded.isascii() else None
 
 
@@ -114,7 +115,7 @@ SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_word})(?!\w)", re.IGNORECASE)
 LEAST_SPELLED = 4  # fewer digit words in a row are prose
 _open, _shut = r"[\x20\t]{0,3}[\[({<][\x20\t]{0,3}", r"[\x20\t]{0,3}[\])}>][\x20\t]{0,3}"
 _bracketed = rf"{_open}(?:dot|punkt|punto|point|\.){_shut}"
-_bare = r"[\x20\t]{1,3}dot[\x20\t]{1,3}"
+_bare = r"[\x20\t]{1,3}(?:dot|punkt|punto|point)[\x20\t]{1,3}"
 _dot = rf"(?:{_bracketed}|{_bare})"
 _label = r"[A-Za-z0-9-]{1,63}"
 # Last labels that end a name disguised by bare words; prose has "at" and "dot" too.
@@ -135,11 +136,24 @@ _prose = """am as be do is me my no so to cloud online site shop store club page
 _clause = r"""(?=[\x20\t]{0,3}(?:[\n\r.,;:!?)\]}>"']|\Z))"""
 _last = f"(?:{'|'.join(_sure.split())}|(?:{'|'.join(_prose.split())}){_clause})"
 DOT = re.compile(_dot, re.IGNORECASE)
+_ends = r"(?![A-Za-z0-9-])"
+_dotted = rf"{_label}(?:(?:\.|{_dot}){_label}){{0,4}}(?:\.|{_dot}){_last}{_ends}"
+_at = "at|arroba|arobase"
 AT = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?:{_open}(?:at|@){_shut}(?=[A-Za-z0-9])"
-    rf"|[\x20\t]{{1,3}}(?:at|@)[\x20\t]{{1,3}}"
-    rf"(?={_label}(?:(?:\.|{_dot}){_label}){{0,4}}{_dot}{_last}(?![A-Za-z0-9-])))",
+    rf"(?<=[A-Za-z0-9._%+-])(?:{_open}(?:{_at}|@){_shut}(?=[A-Za-z0-9])"
+    rf"|{_open}a{_shut}(?={_dotted})"
+    rf"|(?:[\x20\t]{{1,3}}@[\x20\t]{{0,3}}|@[\x20\t]{{1,3}}|[\x20\t]{{1,3}}(?:arroba|arobase)[\x20\t]{{1,3}})(?={_dotted})"
+    rf"|[\x20\t]{{1,3}}at[\x20\t]{{1,3}}"
+    rf"(?={_label}(?:(?:\.|{_dot}){_label}){{0,4}}{_dot}{_last}{_ends}))",
     re.IGNORECASE)
+# "at" before a plain name is prose ("see us at example.com") unless the word before it looks like a
+# mailbox or mail is spoken of.
+PLAIN_AT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}})([\x20\t]{{1,3}}at[\x20\t]{{1,3}})"
+    rf"(?={_label}(?:\.{_label}){{0,4}}\.{_last}{_ends})", re.IGNORECASE)
+MAILBOX = re.compile(r"[A-Za-z0-9][._%+-]+[A-Za-z0-9]|[A-Za-z][0-9]")
+SPOKEN_OF = re.compile(
+    r"(?<!\w)(?:e-?mail|mail|mailto|contact|kontakt|correo|courriel|write[\x20\t]to)[\x20\t]{0,3}[:=-]?[\x20\t]{0,3}(?:is[\x20\t])?\Z", re.IGNORECASE)
 # A bare "dot" belongs to the name if another dot follows or the last label is a known one.
 DOTTED = re.compile(
     rf"@{_label}(?:(?:\.|{_bracketed}){_label}|{_bare}(?:{_label}(?=\.|{_dot})|{_last}(?![A-Za-z0-9-])))+",
@@ -149,12 +163,15 @@ DIGITS_DOT = re.compile(
     rf"(?<=[0-9])(?:{_bracketed}|[\x20\t]{{1,3}}(?:dot|punkt|punto|point)[\x20\t]{{1,3}})(?=[0-9])", re.IGNORECASE)
 PLUS = re.compile(
     rf"(?:[\[({{<][\x20\t]{{0,3}}(?:plus|\+){_shut}|(?<!\w)plus[\x20\t]{{1,3}})(?=\(?[0-9])", re.IGNORECASE)
-ENTITY = re.compile(r"&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
-BRACKETED = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|[@.+])[\x20\t]{0,3}[\])}>]", re.IGNORECASE)
+ENTITY = re.compile(r"&(?:#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}))|(commat|period|plus|lowbar|hyphen));")
+NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
+BRACKETED = re.compile(rf"[\[({{<][\x20\t]{{0,3}}(?:{_at}|a|[@.+])[\x20\t]{{0,3}}[\])}}>]", re.IGNORECASE)
+SPACED_AT = re.compile(r"[\x20\t]@|@[\x20\t]")
 # Letters that match an ASCII letter when case is ignored, and that lower() leaves alone or splits.
 FOLD = str.maketrans("ıİſ", "iis")
 # Lower case, and white space for everything that can stand around a spelled ASCII word.
 AS_WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+AT_WORDS = frozenset(w.encode() for w in _at.split("|"))
 SIGN_WORDS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point", "plus"))
 DIGIT_WORDS = frozenset(w.encode() for w in DIGIT_OF if w.isascii())
 ACCENTED_WORDS = tuple(w for w in DIGIT_OF if not w.isascii())
@@ -173,7 +190,9 @@ def may_be_disguised(text: str) -> bool:
     spelled = 0 if DIGIT_WORDS.isdisjoint(words) else sum(w in DIGIT_WORDS for w in words)
     if not text.isascii():
         spelled += sum(map(folded.count, ACCENTED_WORDS))
-    return spelled >= LEAST_SPELLED or BRACKETED.search(text) is not None
+    return (spelled >= LEAST_SPELLED or BRACKETED.search(text) is not None
+            or not AT_WORDS.isdisjoint(words) and (PLAIN_AT.search(text) or AT.search(text)) is not None
+            or SPACED_AT.search(text) is not None)
 
 
 class Rewritten:
@@ -213,9 +232,12 @@ def unmask_characters(rewritten: Rewritten) -> None:
 
 
 def unescape_entities(rewritten: Rewritten) -> None:
-    """Numeric character references of ASCII characters."""
+    """Numeric character references of ASCII characters, and the names of signs of an address."""
     changes = []
-    for found in ENTITY.finditer(rewritten.text) if "&#" in rewritten.text else ():
+    for found in ENTITY.finditer(rewritten.text) if "&" in rewritten.text else ():
+        if found[3]:
+            changes.append((*found.span(), NAMED[found[3]]))
+            continue
         code = int(found[1], 16) if found[1] else int(found[2])
         if 32 <= code < 127:
             changes.append((*found.span(), chr(code)))
@@ -240,6 +262,9 @@ def unspell_digits(rewritten: Rewritten) -> None:
 
 def undisguise_signs(rewritten: Rewritten) -> None:
     rewritten.replace([(*m.span(), "@") for m in AT.finditer(rewritten.text)])
+    rewritten.replace([
+        (*m.span(2), "@") for m in PLAIN_AT.finditer(rewritten.text)
+        if MAILBOX.search(m[1]) or SPOKEN_OF.search(rewritten.text[max(0, m.start() - 24) : m.start()])])
     rewritten.replace([
         (*dot.span(), ".")
         for domain in DOTTED.finditer(rewritten.text)

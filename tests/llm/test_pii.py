@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,39 @@ def test_signs_between_digits_and_all_last_labels(text, kind, source):
 @pytest.mark.parametrize("text", ["1 dot " * 40_000, "plus 1 " * 40_000, "1(.)" * 60_000, "a at b dot " * 20_000])
 def test_long_runs_of_signs_are_linear(text):
     pii.find_spans(text)
+
+
+AT_SIGNS = [" at ", " AT ", "(at)", " [at] ", "{at}", " @ ", "@ ", " @", "(a)", " arroba ", " arobase ", "&commat;", "&#64;", "\uff20", "(@)"]
+DOTS = [".", "(dot)", " [dot] ", " dot ", " punkt ", " punto ", " point ", "{.}", "\u3002", "&period;", "\u2024"]
+CLEAN = """See us at example.com for more. Look at this page at news.example.org, all day long.
+The price is 5 @ 10 each. We met at the point of no return, at dot five. Ein Punkt am Ende. El punto es claro.
+Available at shop.example.com or at the store (a) first, (b) second. a point on the map is at home."""
+
+
+def test_recall_of_disguises_and_clean_prose():
+    """Every way to write the sign with every way to write the dot, in several languages and surroundings."""
+    draw = random.Random(9)
+    found = total = 0
+    for at in AT_SIGNS:
+        for dot in DOTS:
+            for local, domain in (("john.smith", ("example", "com")), ("mary_1", ("mail", "example", "de")), ("juan", ("ejemplo", "es"))):
+                if at.strip().lower() == "at" and dot in (".", "\u3002", "\u2024", "&period;") and local == "juan":
+                    local = "E-Mail: juan" if draw.random() < .5 else "write to juan"
+                text = f"Before, {local}{at}{dot.join(domain)} after it."
+                start = text.index(local.split(" ")[-1])
+                total += 1
+                found += any(k == "email" and s == start and text[s:e].endswith(domain[-1]) for k, s, e, _ in pii.find_spans(text))
+    assert found >= .95 * total, (found, total)
+    assert not [x for x in pii.find_spans(CLEAN) if x[0] == "email"]
+
+
+@pytest.mark.parametrize("text", ["a @ " * 20_000, "x at y." * 20_000, "(a)" * 30_000, "a.b at " * 20_000, "&" * 50_000, "e-mail at " * 20_000])
+def test_long_runs_of_disguises_are_linear(text):
+    start = time.perf_counter()
+    pii.find_spans(text)
+    assert time.perf_counter() - start < 5
+
+
+def test_circled_digits():
+    text = "call +49 \u2460\u2461\u2462 \u2463\u2464\u2465\u2466\u2467 now"
+    assert [(k, text[s:e]) for k, s, e, _ in pii.find_spans(text)] == [("phone", text[5:18])]
