@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import free_name, query, table
+from corpusforge.operators.ordered import ROWS_PER_SLICE, running_totals, sliced
 
 ENTRY = ("list", "kind", "pattern", "category")
 VERDICT = ("n_active", "categories", "decided_by", "rejected")
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*?)\.?(?:[:/?#]|$)"
 PLACE = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^?#]*)"
-SALTS = 32
+ENTRIES = ["kind", "pattern", "category"]
 
 
 def host_of(url: Column) -> Column:
+    """The host in lower case, without a closing dot; IPv6 addresses keep their brackets."""
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
@@ -58,38 +60,56 @@ def url_keys(url: Column) -> Column:
     return F.concat(F.array(place), domains)
 
 
+def changes(intervals: DataFrame, when: str) -> DataFrame:
+    """+1 where an interval begins and -1 where it ends, with the date in ``when``."""
+    step = lambda date, change: F.struct(F.col(date).alias(when), F.lit(change).cast("long").alias("change"))
+    return intervals.select(
+        *ENTRIES, F.coalesce(F.col("list") == "allow", F.lit(False)).alias("allow"),
+        F.inline(F.array(step("since", 1), step("until", -1))),
+    ).where(F.col(when).isNotNull())
+
+
 def judge_captures(captures: DataFrame, events: DataFrame, url: str = "url",
-                   fetched: str = "fetched", salts: int = SALTS) -> DataFrame:
+                   fetched: str = "fetched", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add n_active, categories, decided_by and rejected to every capture.
 
     Of the entries active at ``fetched`` the most specific decides: a place before a
-    domain, a longer pattern before a shorter one, "allow" before "block". A capture with
-    no active entry, no URL or no date is not rejected. All rows and columns stay, repeated
-    rows too; columns that already have one of the new names are replaced.
-
-    A verdict depends on URL and date only, so each such pair is judged once. A host with a
-    large share of the captures is spread over ``salts`` copies of its intervals.
+    domain, a longer pattern before a shorter one, "allow" before any other list. A capture
+    with no active entry, no URL or no date is not rejected. All rows and columns stay,
+    repeated rows too; columns that already have one of the new names are replaced. Empty
+    tables are allowed on either side; URLs may have any length, a text that is no URL
+    matches nothing.
+
+    The as-of join is one running sum: beginnings and ends of the intervals and the captures
+    of a pattern stand in one order of dates, and what has begun and not ended before a
+    capture is active. No capture meets the past of its pattern row by row, however often
+    that was listed and delisted. Patterns with over ``rows_per_slice`` rows are cut into
+    slices of dates, so a host with a third of the captures takes several tasks. A verdict
+    depends on URL and date only, so each such pair is judged once.
     """
     captures = captures.drop(*VERDICT)
-    at, when, salt = (free_name(captures, n) for n in ("url_key", "fetched_key", "salt"))
+    at, when, strongest = (free_name(captures, n) for n in ("url_key", "fetched_key", "strongest"))
     seen = (
         captures.where(F.col(url).isNotNull() & F.col(fetched).isNotNull())
         .select(F.col(url).alias(at), F.col(fetched).alias(when)).distinct()
     )
     keys = seen.select(at, when, F.explode(F.array_distinct(url_keys(F.col(at)))).alias("key"))
-    keys = keys.select(at, when, "key.*", F.pmod(F.xxhash64(at, when), F.lit(salts)).alias(salt))
-    intervals = validity_intervals(events).withColumn(
-        salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    # The copies compress so well that their size on disk would pass for small: no broadcast.
-    active = keys.join(intervals.hint("merge"), ["kind", "pattern", salt]).where(
-        (F.col("since") <= F.col(when)) & (F.col("until").isNull() | (F.col(when) < F.col("until"))))
+    intervals = validity_intervals(events)
+    spots = keys.select(at, when, "key.*").join(intervals.select(*ENTRIES).distinct(), ["kind", "pattern"])
+    line = spots.unionByName(changes(intervals, when), allowMissingColumns=True).withColumns({
+        "capture": F.col(at).isNotNull(), "change": F.coalesce("change", F.lit(0).cast("long"))})
+    order = [when, "capture"]
+    active = running_totals(
+        sliced(line, ENTRIES, order, rows_per_slice), ENTRIES, order,
+        {"n": F.col("change"), "n_allow": F.when(F.col("allow"), F.col("change")).otherwise(0)},
+    ).where("capture AND n > 0")
     strength = F.struct(
         (F.col("kind") == "url").alias("place"), F.length("pattern").alias("length"),
-        (F.col("list") == "allow").alias("allowed"), F.col("pattern").alias("pattern"))
+        (F.col("n_allow") > 0).alias("allowed"), F.col("pattern").alias("pattern"))
     verdicts = active.groupBy(at, when).agg(
-        F.count("*").alias("n_active"),
+        F.sum("n").alias("n_active"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
-        F.max(strength).alias("strongest"),
+        F.max(strength).alias(strongest),
     )
     judged = captures.join(
         verdicts, (F.col(url) == F.col(at)) & (F.col(fetched) == F.col(when)), "left")
@@ -97,8 +117,8 @@ def judge_captures(captures: DataFrame, events: DataFrame, url: str = "url",
         *captures.columns,
         F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"),
         F.coalesce("categories", F.lit("")).alias("categories"),
-        F.col("strongest.pattern").alias("decided_by"),
-        F.coalesce(~F.col("strongest.allowed"), F.lit(False)).alias("rejected"),
+        F.col(f"{strongest}.pattern").alias("decided_by"),
+        F.coalesce(~F.col(f"{strongest}.allowed"), F.lit(False)).alias("rejected"),
     )
 
 
