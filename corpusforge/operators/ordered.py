@@ -13,7 +13,7 @@ about them is collected, and no plan grows with their number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +45,13 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   values: dict[str, Column], slices: Column | None = None) -> DataFrame:
+                   values: dict[str, Column], slices: Column | None = None,
+                   aggregate: Callable[[Column], Column] = F.sum, start: int | None = 0) -> DataFrame:
     """Add one column per entry of ``values``: its sum over the earlier rows of the group.
 
+    ``aggregate`` can be another one that may be taken in parts, such as ``F.max``; ``start`` is
+    its value of no rows.
+
     Rows that ``sliced`` has dealt out keep their slices; ``slices`` can name others, by any
     column that never falls as the order rises. Otherwise the whole group is one slice.
     The slice stays in the result as ``_slice``.
@@ -59,22 +63,22 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, -1)
         return source.withColumns({
-            name: F.coalesce(F.sum(col).over(before), F.lit(0)) for name, col in inner.items()
+            name: F.coalesce(aggregate(F.col(col)).over(before), F.lit(start)) for name, col in inner.items()
         }).withColumn(SLICE, F.lit(0)).drop(*drop)
 
     rows = source if slices is None else source.withColumn(SLICE, slices)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(c) for c in inner.values()])
+    sums = rows.groupBy(*keys, SLICE).agg(*[aggregate(F.col(c)).alias(c) for c in inner.values()])
     heads = sums.select(
         *keys, SLICE, F.lit(True).alias("_head"),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in inner.values()],
+        *[F.coalesce(aggregate(F.col(c)).over(earlier), F.lit(start)).alias(c) for c in inner.values()],
     )
     before = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_head"), *order).rowsBetween(
         Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_head", F.lit(False))
         .unionByName(heads, allowMissingColumns=True)
-        .withColumns({name: F.sum(col).over(before) for name, col in inner.items()})
+        .withColumns({name: aggregate(F.col(col)).over(before) for name, col in inner.items()})
         .where(~F.col("_head"))
         .drop(*drop)
     )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.binding import let
+from corpusforge.operators.ordered import running_totals, sliced
 
-BIN = 64
 WORD = re.compile(r"\S+")
 OFFSETS = T.ArrayType(T.StructType([
     T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -42,36 +42,30 @@ def label_tokens(tokens: Column, spans: Column, threshold: float = 0.5) -> Colum
             t["end"] >= s["begin"]) & (t["begin"] <= s["end"])).cast("int")))
 
 
-def _binned(df: DataFrame) -> DataFrame:
-    """One row per bin of ``BIN`` characters an interval reaches, clipped to the bin."""
-    bins = F.sequence(F.floor(F.col("begin") / BIN), F.floor(F.col("end") / BIN))
-    low = F.col("bin") * BIN
-    return df.withColumn("bin", F.explode(bins)).withColumns({
-        "low": F.greatest(F.col("begin").cast("long"), low),
-        "high": F.least(F.col("end").cast("long"), low + (BIN - 1)),
-    })
-
-
 def label_spans(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id",
-                threshold: float = 0.5) -> DataFrame:
+                threshold: float = 0.5, rows_per_slice: int | None = None) -> DataFrame:
     """The same with the spans in a table of their own.
 
-    ``tokens``: ``doc, pos, begin, end``; ``spans``: ``doc, begin, end, prob``.
-    Two closed intervals touch when some bin holds a common character, so both
-    sides are cut into bins and joined on document and bin. Equal clipped spans
-    are merged first: a bin has at most ``BIN * (BIN + 1) / 2`` of them, however
-    many spans a document has. A span that ends before it begins touches the tokens
-    that reach over all of it, and is met in the bin of its end.
+    ``tokens``: ``doc, pos, begin, end``; ``spans``: ``doc, begin, end, prob``. A sweep over
+    the places of a document: spans stand at their begin, tokens at their end, and the
+    furthest end of the spans before a token says whether one of them touches it. A span is
+    one row, however long, and those with one begin are reduced before they move, so
+    a document has no more rows than tokens and characters. One shuffle, no join. A span
+    that ends before it begins touches the tokens that reach over all of it. Tokens without
+    a place or a document are labelled 0.
+
+    ``rows_per_slice`` is for documents that are no single text: those with more rows are
+    swept in slices that carry the furthest end on.
     """
-    likely = spans.where(F.col("prob") >= threshold).select(doc, "begin", "end")
-    forward = _binned(likely.where(F.col("begin") <= F.col("end"))).select(
-        doc, "bin", F.col("low").alias("s_low"), F.col("high").alias("s_high"))
-    backward = likely.where(F.col("begin") > F.col("end")).select(
-        doc, F.floor(F.col("end") / BIN).alias("bin"), F.col("begin").cast("long").alias("s_low"),
-        F.col("end").cast("long").alias("s_high"))
-    cuts = forward.unionByName(backward).distinct()
-    touch = (F.col("end") >= F.col("s_low")) & (F.col("begin") <= F.col("s_high"))
-    binned = _binned(tokens).select(doc, "pos", "bin", "begin", "end")
-    joined = binned.join(cuts, [doc, "bin"], "left")
-    return joined.groupBy(doc, "pos").agg(
-        F.max(F.coalesce(touch.cast("int"), F.lit(0))).alias("label"))
+    likely = (
+        spans.where((F.col("prob") >= threshold) & F.col(doc).isNotNull() & F.col("begin").isNotNull())
+        .groupBy(doc, F.col("begin").alias("_at")).agg(F.max("end").alias("_reach"))
+    )
+    places = tokens.select(doc, "pos", "begin", F.col("end").alias("_at"), F.lit(True).alias("_token"))
+    line = places.unionByName(likely.withColumn("_token", F.lit(False)), allowMissingColumns=True)
+    order = ["_at", "_token"]
+    if rows_per_slice:
+        line = sliced(line, [doc], order, rows_per_slice, dear=True)
+    swept = running_totals(line, [doc], order, {"_furthest": F.col("_reach")}, aggregate=F.max, start=None)
+    touched = F.coalesce(F.col("_furthest") >= F.col("begin"), F.lit(False))
+    return swept.where("_token").select(doc, "pos", touched.cast("int").alias("label"))

@@ -33,6 +33,8 @@ def test_span_labels(spark):
             for d, p, a, e in tokens}
     got = {(r["doc_id"], r["pos"]): r["label"] for r in N.label_spans(t, s).collect()}
     assert got == want
+    parts = N.label_spans(t, s, rows_per_slice=50)
+    assert {(r["doc_id"], r["pos"]): r["label"] for r in parts.collect()} == want
     nested = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(
         F.struct("begin", "end"))).alias("tokens")).join(
         s.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "prob")).alias("spans")),
@@ -48,6 +50,16 @@ def test_touching_ends_count(spark):
     assert {r["pos"]: r["label"] for r in N.label_spans(t, s).collect()} == {0: 1, 1: 0}
 
 
+def test_long_spans_and_tokens_without_a_place(spark):
+    t = spark.createDataFrame([(0, 0, 5, 9), (0, 1, 999_000, 999_003), (0, 2, 1_000_002, 1_000_004), (0, 3, None, None),
+                               (None, 0, 1, 2)], "doc_id int, pos int, begin int, end int")
+    s = spark.createDataFrame([(0, 7, 1_000_000, 0.9), (0, 7, None, 0.9), (0, None, 9, 0.9), (None, 0, 9, 0.9)],
+                              "doc_id int, begin int, end int, prob double")
+    got = {(r["doc_id"], r["pos"]): r["label"] for r in N.label_spans(t, s).collect()}
+    assert got == {(0, 0): 1, (0, 1): 1, (0, 2): 0, (0, 3): 0, (None, 0): 0}
+    assert {r["label"] for r in N.label_spans(t, s.where("prob > 1")).collect()} == {0}
+
+
 def test_classification(spark):
     rows = [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (0, 3)]
     df = spark.createDataFrame(rows, "label int, prediction int")
