@@ -17,6 +17,7 @@ from corpusforge.operators.schema import explode_documents
 from corpusforge.plans.overlap import REPLICATES, SAMPLES, SEED, pairs, pairs_sql, score_sql, tokens_sql
 from corpusforge.plans.registry import documents, joined, query, scratch, table, words_sql
 from corpusforge.plans.tokens import BLOCK, ENCODED, WORD_VOCAB, blocks_sql, ids_sql
+from corpusforge.sources import json_arrays as J
 from corpusforge.sources import readers as R
 from corpusforge.sources import scoring as C
 from corpusforge.sources import writers as W
@@ -107,6 +108,29 @@ def json_tree(spark, sf):
         F.lit("broken").alias("text")))
 
 
+@query("""
+WITH d AS (SELECT doc_id, text, doc_id // 50 AS part,
+                  doc_id = max(doc_id) OVER (PARTITION BY doc_id // 50) AND doc_id // 50 % 3 = 1 AS is_open FROM documents)
+SELECT part, doc_id, text FROM d WHERE NOT is_open
+UNION ALL SELECT part, NULL, unnest(['the file ends inside a bracket', 'the file ends inside an element']) FROM d WHERE is_open
+""")
+def json_arrays(spark, sf):
+    """Files of 50 documents that are one array each, read by byte ranges; every third lacks its last bracket."""
+    folder = scratch(spark)
+    lines = documents(spark, sf).select(F.floor(F.col("doc_id") / 50).alias("part"), "doc_id",
+                                        F.to_json(F.struct("doc_id", "text")).alias("value"))
+    first = lines.groupBy("part").agg(F.min("doc_id").alias("first"))
+    ends = first.where("part % 3 <> 1").select("part", F.lit(None).cast("long").alias("doc_id"), F.lit("]").alias("value"))
+    marked = lines.join(first, "part").select("part", "doc_id", F.concat(
+        F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), "value").alias("value"))
+    marked.unionByName(ends).repartition("part").sortWithinPartitions(
+        "part", F.asc_nulls_last("doc_id")).select("part", "value").write.partitionBy("part").text(f"{folder}/arrays")
+    good, bad = J.read_json_arrays(spark, f"{folder}/arrays", "doc_id long, text string", pattern="*.txt", range_bytes=1 << 15)
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+    return good.select(part, "doc_id", "text").unionByName(
+        bad.select(part, F.lit(None).cast("long").alias("doc_id"), F.col("error").alias("text")))
+
+
 def ordered_passages(spark, sf):
     """Benchmark passages in files of consecutive ids."""
     passages = table(spark, sf, "benchmark").select("item_id", "text")
