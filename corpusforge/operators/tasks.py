@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.functions.binding import let
 from corpusforge.functions.templates import apply_template
 from corpusforge.functions.tokens import ignored, ones, truncate
 from corpusforge.operators import examples as E
@@ -84,12 +85,13 @@ def _turns(df: DataFrame, task: Task, encoder: Encoder) -> DataFrame:
     parts = df.withColumn("_u", split_utterances(F.col(task.texts[0]), list(task.marks)))
     words = parts.withColumn("_w", F.transform("_u", encoder.words))
     flat = words.withColumn("_flat", encoder.lookup(F.flatten("_w")))
-    ends = F.transform(F.sequence(F.lit(0), F.size("_w")), lambda i: F.aggregate(
-        F.slice("_w", F.lit(1), i), F.lit(0), lambda total, w: total + F.size(w)))
-    ids = F.transform("_w", lambda w, i: F.slice("_flat", F.get("_ends", i) + 1, F.size(w)))
-    cut = flat.withColumn("_ends", ends).withColumn("_ids", ids)
+    # Bound by ``let``: as a column of its own Spark would put the sums into the function below.
+    ends = F.aggregate(F.transform("_w", F.size), F.array(F.lit(0)), lambda sums, n: F.concat(
+        sums, F.array(F.element_at(sums, -1) + n)))
+    cut = flat.withColumn("_ids", let(ends, lambda e: F.transform(
+        F.col("_w"), lambda w, i: F.slice("_flat", F.get(e, i) + 1, F.size(w)))))
     rows = E.mask_turns(cut, "_u", "_ids", task.bot, task.max_length, encoder.eos)
-    return has_supervision(rows).drop("_u", "_w", "_flat", "_ends", "_ids")
+    return has_supervision(rows).drop("_u", "_w", "_flat", "_ids")
 
 
 def _classes(df: DataFrame, task: Task, encoder: Encoder) -> DataFrame:

@@ -48,3 +48,12 @@ def test_empty_table_and_unknown_shape(spark):
         assert prepare(none, Task(shape, marks=("<usr>",)), LENGTHS).count() == 0
     with pytest.raises(ValueError, match="no shape"):
         Task("other")
+
+
+def test_places_of_utterances_are_summed_once(spark):
+    """The sums over all utterances were made again for each of them."""
+    rows = spark.createDataFrame([(1, "<usr> a bb <bot> ccc d <usr> e")], "k int, text string")
+    made = prepare(rows, Task("turns", marks=("<usr>", "<bot>"), max_length=16), LENGTHS)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(slice(" not in plan
+    assert made.first()["labels"][:9] == [-100, -100, -100, 5, 3, 1, 2, -100, -100]
