@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from corpusforge.values import (
     EMOJI_CLASS,
     HANGUL_CLASS,
     KEPT_CHARS,
-    SPACE_CHARS,
     SPACE_CLASS,
     URL_PATTERN,
 )
@@ -29,9 +30,32 @@ def trim(col: Column) -> Column:
 def keep_charset(col: Column, charset: str = KEPT_CHARS, rare: str = EMOJI_CLASS) -> Column:
     """Each run of characters outside ``charset`` and ``rare`` becomes one space.
 
-    The long list of rare ones is only looked at for characters not in the first.
+    Java tries the members of a class one by one. So ASCII is left out first where ``charset``
+    names all of it, and the long list of rare ones is only looked at for characters that are
+    in none of the first and lie near a rare one.
     """
-    return F.regexp_replace(col, f"[[^{charset}]&&[^{rare}]]+", " ")
+    near = _near(rare)
+    out = f"[[^{near}][^{rare}]]" if near else f"[^{rare}]"
+    first = "[^\\x00-\\x7F]&&" if "\\x00-\\x7F" in charset else ""
+    return F.regexp_replace(col, f"[{first}[^{charset}]&&{out}]+", " ")
+
+
+RARE_ITEM = r"\\x\{([0-9A-F]+)\}(?:-\\x\{([0-9A-F]+)\})?"
+GAP = 1 << 10  # code points between rare ones that are not near each other
+
+
+def _near(rare: str) -> str:
+    """A short class that holds the class ``rare``; empty if it is not made of ``\\x{..}`` alone."""
+    if not re.fullmatch(f"(?:{RARE_ITEM})+", rare):
+        return ""
+    spans = sorted((int(a, 16), int(b or a, 16)) for a, b in re.findall(RARE_ITEM, rare))
+    near = [list(spans[0])]
+    for first, last in spans[1:]:
+        if first - near[-1][1] <= GAP:
+            near[-1][1] = max(near[-1][1], last)
+        else:
+            near.append([first, last])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in near)
 
 
 def strip_urls(col: Column) -> Column:
@@ -44,7 +68,7 @@ def collapse_repeats(col: Column, n: int = 2) -> Column:
     Runs of white space other than line breaks become one space, ends are trimmed.
     """
     kept = F.regexp_replace(col, r"([\p{L}\p{N}_])\1{2,}", "$1" * n) if n > 0 else col
-    return trim(F.regexp_replace(kept, f"[{SPACE_CHARS}&&[^\\r\\n]]+", " "))
+    return trim(F.regexp_replace(kept, f"[{SPACE_CLASS}&&[^\\r\\n]]+", " "))
 
 
 def _jamo(index: Column, table: str) -> Column:
@@ -84,17 +108,18 @@ def normalize_emoticons(col: Column, n: int = 2) -> Column:
     it and its vowel the vowel after it, when its tail is the consonant after
     it, or when its lead is the consonant before it.
     """
-    def unfolded(text: Column) -> Column:
-        windows = let(F.split(text, ""), lambda chars: F.arrays_zip(
-            F.concat(F.array(F.lit("")), chars).alias("before"),
-            chars.alias("char"),
-            F.slice(chars, F.lit(2), F.size(chars)).alias("after")))
-        named = F.filter(windows.cast("array<struct<before:string,char:string,after:string>>"),
-                         lambda w: w["char"].isNotNull())
-        return F.when(text.rlike(f"[{HANGUL_CLASS}]"),
-                      F.array_join(F.transform(named, _unfold), "")).otherwise(text)
+    return collapse_repeats(let(col, _unfolded), n)
+
 
-    return collapse_repeats(let(col, unfolded), n)
+def _unfolded(text: Column) -> Column:
+    windows = let(F.split(text, ""), lambda chars: F.arrays_zip(
+        F.concat(F.array(F.lit("")), chars).alias("before"),
+        chars.alias("char"),
+        F.slice(chars, F.lit(2), F.size(chars)).alias("after")))
+    named = F.filter(windows.cast("array<struct<before:string,char:string,after:string>>"),
+                     lambda w: w["char"].isNotNull())
+    return F.when(text.rlike(f"[{HANGUL_CLASS}]"),
+                  F.array_join(F.transform(named, _unfold), "")).otherwise(text)
 
 
 def clean(col: Column, charset: str = KEPT_CHARS, rare: str = EMOJI_CLASS, n: int = 2) -> Column:
@@ -104,7 +129,9 @@ def clean(col: Column, charset: str = KEPT_CHARS, rare: str = EMOJI_CLASS, n: in
     before emoticons are looked at, and a URL ends at its first lost character.
     """
     kept = trim(strip_urls(keep_charset(col, charset, rare)))
-    return normalize_emoticons(collapse_repeats(kept, n), n)
+    # What is collapsed stays as it is when collapsed again; only unfolding makes new runs.
+    once = collapse_repeats(kept, n)
+    return F.when(col.rlike(f"[{HANGUL_CLASS}]"), normalize_emoticons(once, n)).otherwise(once)
 
 
 def script_ratio(col: Column, char_class: str = HANGUL_CLASS) -> Column:

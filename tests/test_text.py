@@ -154,3 +154,24 @@ def test_valid_pairs(spark):
     df = spark.createDataFrame([("a", "b"), ("a", " 　\n"), ("", "b")],
                                "chosen string, rejected string")
     assert S.valid_pairs(df).count() == 1
+
+
+def test_characters_near_rare_ones_are_a_short_class(spark):
+    """Characters far from all rare ones are not compared with each of them."""
+    import re
+
+    from corpusforge.functions import text as X
+    from corpusforge.values import EMOJI_CLASS, KEPT_CHARS
+
+    near = X._near(EMOJI_CLASS)
+    assert near.count("-") < 10
+    spans = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"x\{(\w+)\}-.x\{(\w+)\}", near)]
+    assert all(any(a <= int(p, 16) <= b for a, b in spans) for p in re.findall(r"x\{(\w+)\}", EMOJI_CLASS))
+    assert X._near("a-z") == ""
+    texts = [(chr(c) + "x" + chr(c + 1),) for c in [*range(0, 0x3400, 2), *range(0x1F000, 0x1FB00, 2), 0xAC00, 0xFE0E]]
+    df = spark.createDataFrame(texts, "t string")
+    old = F.regexp_replace("t", f"[[^{KEPT_CHARS}]&&[^{EMOJI_CLASS}]]+", " ")
+    assert df.where(~old.eqNullSafe(X.keep_charset(F.col("t")))).count() == 0
+    # Texts without Hangul are collapsed once.
+    plan = df.select(X.clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(t#" in plan
