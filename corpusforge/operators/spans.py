@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusforge.functions.batches import by_slices
 from corpusforge.functions.binding import let
 from corpusforge.operators.ordered import running_totals, sliced
 
@@ -20,15 +23,19 @@ OFFSETS = T.ArrayType(T.StructType([
 @F.arrow_udf(OFFSETS)
 def word_offsets(texts: pa.Array) -> pa.Array:
     """Character offsets of the white space words of a text; ``end`` is exclusive."""
-    begins, ends, borders = [], [], [0]
+    return by_slices(_offsets, texts)
+
+
+def _offsets(texts: pa.Array) -> pa.Array:
+    begins, ends, borders = array("i"), array("i"), array("i", [0])
     for text in texts.to_pylist():
         for match in WORD.finditer(text or ""):
             begins.append(match.start())
             ends.append(match.end())
         borders.append(len(begins))
     words = pa.StructArray.from_arrays(
-        [pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["begin", "end"])
-    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), words)
+        [pa.array(np.array(places, np.int32)) for places in (begins, ends)], names=["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.array(borders, np.int32)), words)
 
 
 def label_tokens(tokens: Column, spans: Column, threshold: float = 0.5) -> Column:

@@ -111,3 +111,15 @@ def test_sample_table_limits_before_the_shuffle(spark):
     table = X.sample_table(df, "c", "s", "id", 2)
     assert {(r["c"], r["id"]) for r in table.collect()} == {(0, 98), (0, 96), (1, 99), (1, 97)}
     assert "WindowGroupLimit" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_words_are_made_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from corpusforge.operators import spans as S
+
+    sizes, offsets = [], S._offsets
+    monkeypatch.setattr(S, "_offsets", lambda texts: sizes.append(len(texts)) or offsets(texts))
+    got = S.word_offsets.func(pa.array([" a bb", None, ""] * 500)).to_pylist()
+    assert max(sizes) <= 512
+    assert got == [[{"begin": 1, "end": 2}, {"begin": 3, "end": 5}], [], []] * 500
