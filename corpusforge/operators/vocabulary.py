@@ -8,6 +8,7 @@ whole, and that size is checked.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusforge.functions.batches import by_slices
 from corpusforge.functions.tokens import words
 from corpusforge.values import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 
@@ -23,6 +25,7 @@ from corpusforge.values import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 PRETOKEN = (r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
             r"|\s+(?!\S)|\s+")
 MAX_VOCAB = 1 << 20
+KEPT_TOKENS = 1 << 16  # pre-tokens whose ids a task keeps
 
 
 def byte_chars() -> dict[int, str]:
@@ -51,7 +54,10 @@ def pretokens(text: Column, special: Sequence[str] = ()) -> Column:
     names = F.array(*[F.lit(s) for s in special])
     parts = F.transform(pieces, lambda p: F.when(
         F.array_contains(names, p), F.array(p)).otherwise(plain(p)))
-    return F.when(text.rlike(marks), F.flatten(parts)).otherwise(plain(text))
+    # Looking for the first characters alone passes over the other places of a text at once.
+    begins = "".join(f"\\x{{{ord(c):X}}}" for c in sorted({s[0] for s in special if s}))
+    found = text.rlike(f"(?=[{begins}])(?:{marks})") if all(special) else text.rlike(marks)
+    return F.when(found, F.flatten(parts)).otherwise(plain(text))
 
 
 def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE,
@@ -112,7 +118,11 @@ def word_encoder(vocab: DataFrame, unknown: str = "<unk>"):
 
 
 def _by_token(tokens: pa.Array, encode) -> pa.Array:
-    """Ids of string lists, calling ``encode`` once per distinct token of the batch."""
+    """Ids of string lists, calling ``encode`` once per distinct token of a slice of the batch."""
+    return by_slices(lambda part: _ids_of(part, encode), tokens)
+
+
+def _ids_of(tokens: pa.Array, encode) -> pa.Array:
     counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
     borders = np.concatenate([[0], np.cumsum(counts)])
     codes = tokens.flatten().dictionary_encode()
@@ -156,26 +166,33 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
 def bpe_encoder(vocab: DataFrame, merges: DataFrame, special: Sequence[str] = SPECIAL_TOKENS):
     """Function from a text column to an id array column.
 
-    Pre-tokens come from a column expression; each batch merges every distinct
-    pre-token once, in place, so no token is ever shuffled.
+    Pre-tokens come from a column expression; a task merges a pre-token once while it is
+    among the last ``KEPT_TOKENS`` it met, in place, so no token is ever shuffled.
     """
     ids = {r["piece"]: r["id"] for r in _table(vocab, "id", "piece")}
     ranks = {(r["left"], r["right"]): r["rank"] for r in _table(merges, "rank", "left", "right")}
     shared = vocab.sparkSession.sparkContext.broadcast((ids, ranks, frozenset(special)))
     present = [s for s in special if s in ids]
+    kept: dict = {}  # in each task, the function that remembers what it has encoded
 
-    @F.arrow_udf("array<int>")
-    def lookup(tokens: pa.Array) -> pa.Array:
+    def encoder():
         known, order, names = shared.value
         chars = byte_chars()
 
+        @lru_cache(KEPT_TOKENS)
         def encoded(token: str) -> list[int]:
             if token in names:
                 return [known[token]]
             symbols = [chars[b] for b in token.encode("utf-8")]
             return [known[s] for s in merge_word(symbols, order)]
 
-        return _by_token(tokens, encoded)
+        return encoded
+
+    @F.arrow_udf("array<int>")
+    def lookup(tokens: pa.Array) -> pa.Array:
+        if not kept:
+            kept["encoded"] = encoder()
+        return _by_token(tokens, kept["encoded"])
 
     return lambda text: lookup(pretokens(text, present))
 

@@ -175,3 +175,34 @@ def test_merge_word_against_whole_rounds():
         word = [rng.choice("abc") for _ in range(rng.randint(0, 14))]
         assert V.merge_word(word, ranks) == rounds(word, ranks)
     V.merge_word(list("ab" * 100_000), {("a", "b"): 0, ("ab", "ab"): 1})
+
+
+def test_ids_are_made_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    sizes, ids_of = [], V._ids_of
+    monkeypatch.setattr(V, "_ids_of", lambda part, encode: sizes.append(len(part)) or ids_of(part, encode))
+    lists = [["a", "bb"], None, [], ["ccc"]] * 400
+    got = V._by_token(pa.array(lists, pa.list_(pa.string())), lambda t: [len(t)] * len(t))
+    assert max(sizes) <= 512
+    assert got.to_pylist() == [[1, 2, 2], [], [], [3, 3, 3]] * 400
+
+
+def test_special_tokens_are_looked_for_by_their_first_characters(spark):
+    df = spark.createDataFrame([("a < b <s>c",), ("no mark",), (None,)], "t string")
+    made = df.select(V.pretokens(F.col("t"), ["<s>", "[x]"]).alias("p"))
+    assert "(?=[\\x{3C}\\x{5B}])" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["p"] for r in made.collect()] == [["a", " <", " b", " ", "<s>", "c"], ["no", " mark"], None]
+
+
+def test_training_starts_with_few_candidates(spark, monkeypatch):
+    """The first round asked for islands of all pairs, which are whole words."""
+    from corpusforge.operators import bpe_training as B
+
+    asked, islands = [], B.islands
+    monkeypatch.setattr(B, "islands", lambda types, pairs: asked.append(len(pairs)) or islands(types, pairs))
+    texts = [("".join(chr(97 + (i * 7 + j * j) % 26) for j in range(9)),) for i in range(400)]
+    merges = B.train_bpe(spark.createDataFrame(texts, "text string"), vocab_size=72 + 256 + 60, min_frequency=2)[1].collect()
+    assert asked[0] <= B.FIRST_CANDIDATES
+    monkeypatch.setattr(B, "FIRST_CANDIDATES", 1 << 15)
+    assert B.train_bpe(spark.createDataFrame(texts, "text string"), vocab_size=72 + 256 + 60, min_frequency=2)[1].collect() == merges
