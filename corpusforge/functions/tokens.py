@@ -21,7 +21,8 @@ def words(col: Column) -> Column:
 
 def sentences(col: Column, split_summaries: bool = False) -> Column:
     """Non-empty lines, or pieces after sentence punctuation."""
-    pattern = f"(?<=[.!?]){SPACE_CLASS}+" if split_summaries else "\n"
+    # Only at white space is it worth looking back.
+    pattern = f"(?={SPACE_CLASS})(?<=[.!?]){SPACE_CLASS}+" if split_summaries else "\n"
     return F.filter(F.split(col, pattern, -1), lambda s: s != "")
 
 

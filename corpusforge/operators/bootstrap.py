@@ -17,7 +17,8 @@ from corpusforge.operators.overlap import PARTS
 PRIME = 2**31 - 1
 METHODS = ("poisson", "exact")
 CELL = 1 << 16  # rows and replicates that one task of the exact method looks after
-DRAWN_REPLICATES = 50
+DRAWN_REPLICATES = 50  # at least so many replicates are drawn by one task
+DRAWING_TASKS = 512
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -95,7 +96,7 @@ def drawn(count: int, size: int, seed: int, replicate: int, cell: int) -> np.nda
     return ((z ^ (z >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
 
 
-def _drawn_sums(n: int, n_samples: int, seed: int):
+def _drawn_sums(n: int, n_samples: int, seed: int, share: int = DRAWN_REPLICATES):
     """The same for draws with replacement, over the rows of one cell."""
     def sums(rows):
         import pandas as pd
@@ -105,8 +106,8 @@ def _drawn_sums(n: int, n_samples: int, seed: int):
         at = rows["_row"].to_numpy() - cell * CELL
         values[at, 0] = 1
         values[at, 1:] = rows.iloc[:, 3:].to_numpy()
-        out, low = [], int(rows["_part"].iloc[0]) * DRAWN_REPLICATES
-        for b in range(low, min(n_samples, low + DRAWN_REPLICATES)):
+        out, low = [], int(rows["_part"].iloc[0]) * share
+        for b in range(low, min(n_samples, low + share)):
             draws = drawn(draws_of_cell(n, cell, seed, b), len(values), seed, b, cell)
             out.append([b, *(np.bincount(draws, minlength=len(values)) @ values)])
         return pd.DataFrame(out, columns=["replicate", *(f"s{i}" for i in range(values.shape[1]))])
@@ -132,11 +133,16 @@ def replicate_means(scores: DataFrame, types: Sequence[str], key: str | Column,
     else:
         kept = scores.select(key, *columns)
         n = kept.count()
-        ranked = rank_in_order(kept, [], [key], "_row").select(
+        # Rows are copied for each share of the replicates: as often as keeps DRAWING_TASKS busy.
+        share = max(DRAWN_REPLICATES, -(-n_samples * -(-n // CELL) // DRAWING_TASKS))
+        ranked = rank_in_order(kept, [], [key], "_row", dear=True).select(
             F.floor(F.col("_row") / CELL).alias("_cell"),
-            F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // DRAWN_REPLICATES))).alias("_part"),
+            F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // share))).alias("_part"),
             "_row", *names)
-        partial = ranked.groupBy("_cell", "_part").applyInPandas(_drawn_sums(n, n_samples, seed), schema)
+        # Ranks may come from one task and drawing is heavy for its bytes, so the tasks are numbered here.
+        tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partial = ranked.repartition(tasks, "_cell", "_part").groupBy("_cell", "_part").applyInPandas(
+            _drawn_sums(n, n_samples, seed, share), schema)
     whole = partial.groupBy("replicate").agg(*[
         F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names) + 1)])
     return whole.where("s0 > 0").select("replicate", *[

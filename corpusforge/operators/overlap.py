@@ -6,12 +6,15 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.functions.stemming import stem_tokens
+from corpusforge.functions.batches import by_slices
+from corpusforge.functions.stemming import stemmed
 from corpusforge.functions.tokens import ngrams, score_tokens, sentences
 
 Tokenizer = Callable[[Column], Column]
@@ -40,10 +43,28 @@ def ngram_counts(df: DataFrame, key: Sequence[str], tokens: str, n: int) -> Data
         F.count("*").alias("count"))
 
 
-def ngram_hits(target: Sequence, prediction: Sequence, n: int) -> tuple[int, int, int]:
-    """Common n-grams, each as often as on the side that has fewer, and both totals."""
-    t, p = (Counter(zip(*[side[i:] for i in range(n)])) for side in (target, prediction))
-    return (t & p).total(), t.total(), p.total()
+def ngram_hits(tokens: np.ndarray, targets: np.ndarray, predictions: np.ndarray, n: int) -> np.ndarray:
+    """Per pair, its common n-grams, each as often as on the side that has fewer, and both totals.
+
+    ``tokens`` are the numbers of the tokens of all targets, then of all predictions, whose
+    sizes follow. An n-gram gets a number from that of the n-gram a token shorter.
+    """
+    pairs, sizes = len(targets), np.concatenate([targets, predictions])
+    side, left = np.repeat(np.arange(2 * pairs), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))
+    grams, kinds = tokens, int(tokens.max(initial=0)) + 1
+    for k in range(1, n):
+        grams = np.unique(grams[: max(len(tokens) - k, 0)] * kinds + tokens[k:], return_inverse=True)[1]
+    begins = left[: len(grams)] >= n
+    grams, side = grams[begins], side[: len(begins)][begins]
+    kinds, first = int(grams.max(initial=0)) + 1, np.searchsorted(side, pairs)
+    keys = side % max(pairs, 1) * kinds + grams
+    wanted, often = np.unique(keys[:first], return_counts=True)
+    hits = np.zeros(pairs, np.int64)
+    if len(wanted):
+        at = np.minimum(np.searchsorted(wanted, keys[first:]), len(wanted) - 1)
+        met = np.bincount(at[wanted[at] == keys[first:]], minlength=len(wanted))
+        np.add.at(hits, wanted // kinds, np.minimum(often, met))
+    return np.stack([hits, np.maximum(targets - n + 1, 0), np.maximum(predictions - n + 1, 0)])
 
 
 def lcs_length(a: Sequence, b: Sequence) -> int:
@@ -115,31 +136,58 @@ def summary_hits(ref: Sequence[Sequence], can: Sequence[Sequence]) -> int:
     return (covered & Counter(token for sentence in can for token in sentence)).total()
 
 
-def counts_udf(types: Sequence[str], n_columns: int) -> Callable[..., Column]:
+def _numbered(*sides: pa.Array) -> np.ndarray:
+    """A number for each token of the sides, the same for equal ones."""
+    filled = [side for side in sides if len(side)]  # empty ones may lack the offsets they are joined by
+    if not filled:
+        return np.zeros(0, np.int64)
+    tokens = pa.concat_arrays(filled).dictionary_encode(null_encoding="encode")
+    return tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _cut(values: list, sizes: np.ndarray) -> list[list]:
+    ends = np.cumsum(sizes).tolist()
+    return [values[end - size : end] for end, size in zip(ends, sizes.tolist())]
+
+
+def counts_udf(types: Sequence[str], n_columns: int, stem: bool = False) -> Callable[..., Column]:
     """Hits, target total and prediction total of every type, one after the other.
 
     Columns: tokens of both sides and, for summaries, tokens of the sentences of both.
     """
-    def measure(columns: Sequence[pa.Array]) -> pa.Array:
-        rows = []
-        for values in zip(*[c.to_pylist() for c in columns]):
-            t, p, *sentences_of = ([] if v is None else v for v in values)
-            row: list[int] = []
-            for name in types:
-                if name == "rougeL":
-                    row += [lcs_length(t, p), len(t), len(p)]
-                elif name == "rougeLsum":
-                    row += [summary_hits(*sentences_of), *(sum(map(len, s)) for s in sentences_of)]
-                else:
-                    row += ngram_hits(t, p, int(name[5:]))
-            rows.append(row)
-        return pa.array(rows, pa.list_(pa.int64()))
+    def measure(*columns: pa.Array) -> pa.Array:
+        if stem:
+            columns = tuple(map(stemmed, columns))
+        t, p, *lines = columns
+        tokens, sizes = _numbered(t.flatten(), p.flatten()), [_sizes(t), _sizes(p)]
+        counts = []
+        for name in types:
+            if name == "rougeL":
+                pairs = _cut(tokens.tolist(), np.concatenate(sizes))
+                hits = [lcs_length(a, b) for a, b in zip(pairs[: len(t)], pairs[len(t) :])]
+                counts += [np.array(hits, np.int64), *sizes]
+            elif name == "rougeLsum":
+                words = _numbered(*[c.flatten().flatten() for c in lines]).tolist()
+                parts = _cut(words, np.concatenate([_sizes(c.flatten()) for c in lines]))
+                texts = _cut(parts, np.concatenate([_sizes(c) for c in lines]))
+                pairs = list(zip(texts[: len(t)], texts[len(t) :]))
+                counts += [np.array([summary_hits(*pair) for pair in pairs], np.int64), *[
+                    np.array([sum(map(len, pair[i])) for pair in pairs], np.int64) for i in (0, 1)]]
+            else:
+                counts += [*ngram_hits(tokens, *sizes, int(name[5:]))]
+        table = np.stack(counts, axis=1)
+        borders = np.arange(len(t) + 1, dtype=np.int32) * table.shape[1]
+        return pa.ListArray.from_arrays(pa.array(borders), pa.array(table.reshape(-1)))
 
     def pair(t: pa.Array, p: pa.Array) -> pa.Array:
-        return measure([t, p])
+        return by_slices(measure, t, p)
 
     def pair_with_sentences(t: pa.Array, p: pa.Array, ts: pa.Array, ps: pa.Array) -> pa.Array:
-        return measure([t, p, ts, ps])
+        return by_slices(measure, t, p, ts, ps)
 
     counts = pair if n_columns == 2 else pair_with_sentences
     counts.__annotations__ = dict.fromkeys([*counts.__annotations__], pa.Array)
@@ -156,17 +204,15 @@ def rouge(df: DataFrame, types: Sequence[str], key: str | Sequence[str], target:
     """
     check_types(types)
     key = [key] if isinstance(key, str) else list(key)
-    tokens = (lambda c: stem_tokens(tokenizer(c))) if stem else tokenizer
 
     def lines(column: str) -> Column:
-        split = F.transform(sentences(F.col(column), split_summaries), tokenizer)
-        return stem_tokens(split, nested=True) if stem else split
+        return F.transform(sentences(F.col(column), split_summaries), tokenizer)
 
     whole = any(t != "rougeLsum" for t in types)  # else only sentences are looked at
-    columns = [tokens(F.col(c)) if whole else F.array().cast("array<string>") for c in (target, prediction)]
+    columns = [tokenizer(F.col(c)) if whole else F.array().cast("array<string>") for c in (target, prediction)]
     if "rougeLsum" in types:
         columns += [lines(target), lines(prediction)]
-    counted = df.select(*key, counts_udf(types, len(columns))(*columns).alias("_counts"))
+    counted = df.select(*key, counts_udf(types, len(columns), stem)(*columns).alias("_counts"))
     return counted.select(*key, *[
         _score(*[F.col("_counts")[3 * i + k] for k in range(3)]).alias(t) for i, t in enumerate(types)])
 

@@ -227,3 +227,40 @@ def test_means(spark):
     assert row["precision"] == pytest.approx(2 / 3)
     both = O.mean_rouge(df, ["rouge1"], per_part=False).first()
     assert both["mean"] == pytest.approx((2 + 4 / 3 + 3 / 2) / 9)
+
+
+def test_words_are_stemmed_once_in_a_task(monkeypatch):
+    import pyarrow as pa
+
+    from corpusforge.functions import stemming as S
+
+    seen = []
+    monkeypatch.setattr(S, "STEMS", {})
+    monkeypatch.setattr(S, "stem", lambda word: seen.append(word) or stem(word))
+    for _ in range(3):
+        assert S.stemmed(pa.array(["running", "cat", None, "relational"])).to_pylist() == ["run", "cat", None, "relat"]
+    assert sorted(seen) == ["relational", "running"]
+
+
+def test_ngram_hits_of_many_pairs():
+    rng = random.Random(3)
+    for _ in range(50):
+        sides = [[[rng.randrange(3) for _ in range(rng.randrange(8))] for _ in range(4)] for _ in range(2)]
+        flat = np.array([x for side in sides for row in side for x in row], np.int64)
+        for n in (1, 2, 3):
+            wanted = []
+            for pair in zip(*sides):
+                t, p = (Counter(zip(*[row[i:] for i in range(n)])) for row in pair)
+                wanted.append([(t & p).total(), t.total(), p.total()])
+            sizes = [np.array([len(row) for row in side]) for side in sides]
+            assert O.ngram_hits(flat, *sizes, n).T.tolist() == wanted
+
+
+def test_draws_are_shared_out(spark):
+    """Ranks of a small table come from one task; the draws from its rows must not."""
+    scores = spark.range(50).select("id", F.struct(*[(F.col("id") / 50).alias(p) for p in O.PARTS]).alias("rouge1"))
+    means = B.replicate_means(scores, ["rouge1"], "id", 1000, 7, "exact")
+    plan = means._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInPandas"):]
+    assert "RepartitionByExpression" in means._jdf.queryExecution().optimizedPlan().toString() or "REPARTITION_BY_NUM" in below
+    assert means.count() == 1000
