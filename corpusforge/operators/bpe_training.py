@@ -34,6 +34,7 @@ from corpusforge.session import cut_lineage
 from corpusforge.values import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 
 CANDIDATES = 1 << 15
+FIRST_CANDIDATES = 1 << 7  # while pieces are bytes, more make whole words of the islands
 ISLANDS = 1 << 18
 ROOM = 1 << 31  # above all ids
 TYPES = "symbols array<int>, n long"
@@ -76,6 +77,13 @@ def _codes(symbols: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0], codes
 
 
+def _known(codes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which codes are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(codes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)] == codes
+
+
 def islands(types: DataFrame, candidates: Sequence[Pair]) -> DataFrame:
     """(island, n): the longest runs of candidate pairs, as packed ids, with their counts."""
     spark = types.sparkSession
@@ -84,7 +92,7 @@ def islands(types: DataFrame, candidates: Sequence[Pair]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, starts, codes = _codes(batch.column(0))
-            inside = np.concatenate([[False], np.isin(codes, sent.value), [False]])
+            inside = np.concatenate([[False], _known(codes, sent.value), [False]])
             first = np.flatnonzero(inside[1:] & ~inside[:-1])
             last = np.flatnonzero(inside[:-1] & ~inside[1:])
             raw = flat.astype("<i4").tobytes()
@@ -170,18 +178,22 @@ def applied(types: DataFrame, merges: Sequence[Pair], next_id: int) -> DataFrame
         in_order, ranks, codes = sent.value
         for batch in batches:
             _, starts, pairs = _codes(batch.column(0))
-            touched = np.unique(np.searchsorted(starts, np.flatnonzero(np.isin(pairs, codes)), "right") - 1)
-            words = batch.column(0).to_pylist()
-            for i in touched.tolist():
-                word = words[i]
+            same = np.ones(batch.num_rows, bool)
+            same[np.searchsorted(starts, np.flatnonzero(_known(pairs, codes)), "right") - 1] = False
+            kind = pa.list_(pa.int32())
+            kept = batch.filter(pa.array(same & (np.diff(starts) > 1)))
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays([kept.column(0).cast(kind), kept.column(1)], ["symbols", "n"])
+            words, counts = [], []
+            touched = batch.filter(pa.array(~same))
+            for word, n in zip(touched.column(0).to_pylist(), touched.column(1).to_pylist()):
                 while found := [ranks[p] for p in zip(word, word[1:]) if p in ranks]:
                     # What a merge makes was learned after it, so the earliest merge goes first.
                     word = replaced(word, in_order[min(found)], next_id + min(found))
-                words[i] = word
-            keep = [i for i, word in enumerate(words) if len(word) > 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words[i] for i in keep], pa.list_(pa.int32())), batch.column(1).take(pa.array(keep, pa.int64()))],
-                ["symbols", "n"])
+                if len(word) > 1:
+                    words.append(word)
+                    counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(words, kind), pa.array(counts, pa.int64())], ["symbols", "n"])
 
     return types.mapInArrow(rewrite, TYPES)
 
@@ -200,7 +212,7 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE, m
     pieces = [*special, *(chars[b] for b in sorted(ids, key=ids.get))]
     merges: list[Pair] = []
     types = cut_lineage(word_types(df, text, special).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    most, done = CANDIDATES, False
+    most, done = min(CANDIDATES, FIRST_CANDIDATES), False
     while len(pieces) < vocab_size and not done:
         top = ranked_pairs(types, min_frequency, most + 1)
         if not top:
@@ -223,7 +235,7 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE, m
             parts = [np.frombuffer(x, "<i4").tolist() for x in rows.column("island").to_pylist()]
             found = merges_within(parts, rows.column("n").to_pylist(), last, next_id, room)
             if rows.num_rows * 4 < ISLANDS:
-                most = min(CANDIDATES, most * 2)
+                most = min(CANDIDATES, most * (4 if rows.num_rows * 64 < ISLANDS else 2))
         next_id = len(pieces)
         merges += found
         for a, b in found:
