@@ -192,7 +192,10 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = repeated_chunks(docs, key, text).groupBy(F.col("row").alias(row)).agg(
         united(F.sort_array(F.collect_list(F.struct("first", "past")))).alias(spans))  # chunks of one text
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
-    result = joined.withColumn(text, F.when(F.col(spans).isNotNull(), without_lines(text, spans)).otherwise(F.col(text)))
+    # A text that keeps all its lines goes to no Python worker.
+    changed = F.col(spans).isNotNull()
+    result = joined.withColumn(text, F.when(
+        changed, without_lines(F.when(changed, F.col(text)), spans)).otherwise(F.col(text)))
     names = [c for c in docs.columns if c != chunks]
     return result.select(*names, *([F.col(spans).alias(chunks)] if chunks else []))
 

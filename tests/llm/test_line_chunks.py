@@ -121,3 +121,12 @@ def test_shuffled_input_is_stored_first(stored):
     docs = stored([(i, t, "en", "s", 0) for i, t in rows], parts=4)
     plain = sorted((r.doc_id, str(r.text)) for r in c.drop_repeated_chunks(docs).collect())
     assert sorted((r.doc_id, str(r.text)) for r in c.drop_repeated_chunks(docs.repartition(7, "text")).collect()) == plain
+
+
+def test_texts_that_stay_go_to_no_worker(spark):
+    from corpusforge.llm.line_chunks import drop_repeated_chunks
+
+    rows = [(1, "a b\nc d\ne f"), (2, "x\na b\nc d\ne f\ny"), (3, "one\ntwo"), (4, None)]
+    made = drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "without_lines(CASE WHEN" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["text"] for r in made.collect()} == {1: rows[0][1], 2: "x\ny", 3: rows[2][1], 4: None}
