@@ -196,7 +196,9 @@ def overlap_with(automaton: Automaton, spark: SparkSession, text: Column) -> Col
         return by_slices(lambda texts: pa.array(overlap_of(utf8(texts), sent.value), _overlap), column)
 
     overlap.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(overlap, OVERLAP)(text)
+    # Else a condition on the result would be pushed below it and every text looked through
+    # twice, by two Python workers for each task.
+    return F.arrow_udf(overlap, OVERLAP).asNondeterministic()(text)
 
 
 def automata(items: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Automaton]:
@@ -250,7 +252,8 @@ def item_overlap(docs: DataFrame, items: DataFrame, item: str = "item_id", items
     none = F.array()
     return joined.withColumn(out, F.struct(
         F.col(f"{out}.n_words").alias("n_words"),
-        unite_hits(F.col(text), F.concat(f"{out}.hits", F.coalesce(hits, none.cast(OVERLAP["hits"].dataType)))).alias("hits"),
+        unite_hits.asNondeterministic()(F.col(text), F.concat(
+            f"{out}.hits", F.coalesce(hits, none.cast(OVERLAP["hits"].dataType)))).alias("hits"),
         F.array_sort(F.array_distinct(F.concat(
             f"{out}.items", F.coalesce(names, none.cast("array<string>"))))).alias("items"),
     )).drop(row, hits, names)

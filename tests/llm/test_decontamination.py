@@ -89,3 +89,21 @@ def test_whole_short_items_are_cut(stored):
     assert {r.doc_id: r.text for r in d.decontaminate(docs, tests, window=4).collect()} == want
     cut = d.decontaminate(docs, tests, least_words=8).where("doc_id = 5").first()
     assert cut.text == f" {rest}"
+
+
+@pytest.mark.parametrize("block_words,passes", [(100_000, 1), (12, 3)])
+def test_texts_are_looked_through_once_in_a_pass(stored, tmp_path, monkeypatch, block_words, passes):
+    texts = [f"{'abc'[i % 3]} text that is like no item {i}" for i in range(40)]
+    docs = stored([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    items = stored([(i, " ".join(f"{c}{k}" for k in range(12)), 0) for i, c in enumerate("pqr")], ITEMS)
+    seen, look = str(tmp_path / "seen"), d.overlap_of
+
+    def looked(found, automaton):
+        with open(seen, "ab") as file:
+            file.write(b"t" * len(found))
+        return look(found, automaton)
+
+    monkeypatch.setattr(d, "overlap_of", looked)
+    kept = d.decontaminate(docs, items, block_words=block_words)
+    assert {r.doc_id: r.text for r in kept.collect()} == dict(enumerate(texts))
+    assert (tmp_path / "seen").stat().st_size == passes * len(texts)
