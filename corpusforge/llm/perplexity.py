@@ -33,6 +33,8 @@ BITS = 12
 SYMBOLS_KNOWN = 1 << BITS
 MODEL_ROWS = 1 << 22
 HELD = 1 << 21  # runs that a counting task holds before it passes them on
+FRESH = 1 << 18  # runs of single texts that wait, at least, before they are added to those
+PASSED = 1 << 16  # runs passed on in one batch, which stands in the executor's memory as well
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -73,29 +75,37 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # Columns lang, text.
-    held: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
-
-    def passed_on(least: int) -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            parts[:] = [summed(parts)]
-        if sum(len(parts[0][0]) for parts in held.values()) > least:
-            for lang, ((grams, n, texts),) in held.items():
+    held: dict[str | None, tuple[np.ndarray, ...]] = {}
+    fresh: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
+
+    def add() -> int:
+        for lang, parts in fresh.items():
+            held[lang] = summed([held[lang], *parts] if lang in held else parts)
+        fresh.clear()
+        return sum(len(grams) for grams, *_ in held.values())
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for lang, columns in held.items():
+            for at in range(0, len(columns[0]), PASSED):
+                grams, n, texts = (pa.array(c[at : at + PASSED]) for c in columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n), pa.array(texts)],
-                    ["lang", "gram", "n", "texts"])
-            held.clear()
+                    [pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, n, texts], ["lang", "gram", "n", "texts"])
+        held.clear()
 
-    waiting = 0
+    waiting = size = 0
     for batch in slices(batches, 256):
         for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             if not base_failed(text.split()):
                 grams, n = np.unique(grams_of([text])[0], return_counts=True)
-                held.setdefault(lang, []).append((grams, n, np.ones(len(grams), np.int64)))
+                fresh.setdefault(lang, []).append((grams, n, np.ones(len(grams), np.int64)))
                 waiting += len(grams)
-        if waiting > HELD:
-            yield from passed_on(HELD)
-            waiting = 0
-    yield from passed_on(0)
+        if waiting > min(HELD, max(FRESH, size)):  # as many wait as are held: each is sorted a few times
+            waiting, size = 0, add()
+            if size > HELD:
+                yield from passed_on()
+                size = 0
+    add()
+    yield from passed_on()
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,25 @@ def test_counts_and_batches(stored, monkeypatch):
     assert counts == {g: (runs[g], holders[g]) for g in runs}
 
 
+def test_counts_are_passed_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(p, "FRESH", 30, raising=False)
+    monkeypatch.setattr(p, "PASSED", 7, raising=False)
+    texts = [f"one two three four five six seven eight nine ten {i} {i * i}" for i in range(600)]
+    langs = [["en", None, "de"][i % 3] for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts)], ["lang", "text"])
+    runs, holders, got = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0, 0])
+    for lang, text in zip(langs, texts):
+        own = p.grams_of([text.encode()])[0].tolist()
+        runs.update((lang, g) for g in own)
+        holders.update((lang, g) for g in set(own))
+    for out in p._count(iter([batch])):
+        assert 0 < out.num_rows <= 7
+        for lang, gram, n, held in zip(*(c.to_pylist() for c in out.columns)):
+            got[lang, gram][0] += n
+            got[lang, gram][1] += held
+    assert got == {g: [runs[g], holders[g]] for g in runs}
+
+
 def prose(draw, words, n):
     sentences = []
     while n > 0:
