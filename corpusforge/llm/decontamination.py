@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import by_slices, free_name, query, saved, table, utf8
+from corpusforge.llm.common import by_slices, free_name, query, saved, small_batches, table, utf8
 
 WINDOW = 10
 LEAST_SPAN = 3  # words; shorter hit spans are not cut
@@ -232,6 +232,7 @@ def item_overlap(docs: DataFrame, items: DataFrame, item: str = "item_id", items
     ``block_words`` item words. With several passes ``docs`` must be a stored table.
     """
     spark, first, later = docs.sparkSession, None, []
+    small_batches(spark)
     row = free_name(docs, "row")
     for automaton in automata(items, item, items_text, window, block_words):
         overlap = overlap_with(automaton, spark, F.col(text))

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import (
-    bit_filter, free_name, in_filter, mix64, query, run_sets, saved, slices, stored_rows, table, utf8, whole_groups,
+    bit_filter, free_name, in_filter, mix64, query, run_sets, saved, slices, small_batches, stored_rows, table, utf8,
+    whole_groups,
 )
 from corpusforge.llm.components import components
 
@@ -271,6 +272,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     has a list of partners for each class. Runs are 64-bit hashes of whole words; that two of the
     corpus clash in one compared pair is left to chance (some 1e-13 for sets of 1,000).
     """
+    small_batches(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
                            F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.llm.common import (
-    bit_filter, by_slices, filtered, free_name, mix64, query, saved, slices, stored_rows, strings, table, utf8,
+    bit_filter, by_slices, filtered, free_name, mix64, query, saved, slices, small_batches, stored_rows, strings, table,
+    utf8,
 )
 
 LONG_LINE = 50  # words; a line of more is a passage by itself
@@ -187,6 +188,7 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
     whole, one of two lines if a border falls on it. Repeated rows keep their chunks once. With
     ``chunks`` a column of that name holds the removed spans of lines.
     """
+    small_batches(docs.sparkSession)
     docs = stored_rows(docs)
     row, spans = free_name(docs, "row"), free_name(docs, "chunks")
     found = repeated_chunks(docs, key, text).groupBy(F.col("row").alias(row)).agg(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusforge.llm.common import query, strings, table
+from corpusforge.llm.common import query, small_batches, strings, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -166,22 +166,28 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", prompt:
     rows are packed as often as they come; other columns are not returned. Sequence ids
     are unique, not gapless: each task numbers its own.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer, ranks)
 
         def examples() -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
+            keys, ids, loss_from = [], [], []
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
-                    ids, loss_from = [], []
                     asked = strings(batch.column(2)) if prompt else [""] * batch.num_rows
-                    for before, body in zip(asked, strings(batch.column(1))):
+                    for k, before, body in zip(batch.column(0).to_pylist(), asked, strings(batch.column(1))):
                         head = encode(before)
+                        keys.append({key: k})
                         ids.append(np.concatenate([head, encode(body), np.array([END], "<u4")]))
                         loss_from.append(len(head))
-                    yield [{key: k} for k in batch.column(0).to_pylist()], ids, loss_from
+                        if len(ids) == ROWS:  # however many rows a batch has
+                            yield keys, ids, loss_from
+                            keys, ids, loss_from = [], [], []
+            if ids:
+                yield keys, ids, loss_from
 
         first = TaskContext.get().partitionId() << 40
         for rows in pack_rows(examples(), limits, first):

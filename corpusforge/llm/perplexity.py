@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.llm.common import (
-    by_slices, free_name, mix64, query, saved, segment_sums, slices, stored_rows, table, utf8,
+    by_slices, free_name, mix64, query, saved, segment_sums, slices, small_batches, stored_rows, table, utf8,
 )
 
 ORDER = 5
@@ -112,6 +112,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """(lang, gram, n, texts): occurrences, and texts that hold it, over all texts that pass the
     base rules; each task sums its own before anything is shuffled.
     """
+    small_batches(docs.sparkSession)
     counted = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(
         _count, "lang string, gram long, n long, texts long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
@@ -334,6 +335,7 @@ def measured(docs: DataFrame, model: DataFrame, text: str = "text", lang: str =
     replaced. A model of several shards takes a reading of the texts for each; the sums, one
     number a row, are then joined by row.
     """
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     docs, row, total = stored_rows(docs), free_name(docs, "row"), free_name(docs, "total")
     name = F.col(lang).cast("string")

@@ -86,3 +86,15 @@ def test_prompts_bear_no_loss(stored):
 def test_limits_are_positive():
     with pytest.raises(ValueError):
         Limits(10, 0, 10)
+
+
+def test_sequences_do_not_depend_on_the_size_of_batches(spark, stored):
+    docs = stored([(i, f"{i} " + "word " * (7 * i % 900), "en", "a", 1) for i in range(1500)], parts=1)
+    setting, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for rows in ("10000", "90"):
+        spark.conf.set(setting, rows)
+        try:
+            found.append(sorted(map(tuple, pack_texts(docs).drop("ids").collect())))
+        finally:
+            spark.conf.unset(setting)
+    assert found[0] == found[1]

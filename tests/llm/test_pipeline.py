@@ -1,9 +1,16 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from corpusforge.llm import common
 from corpusforge.llm.common import saved
+from corpusforge.llm.decontamination import decontaminate
+from corpusforge.llm.jaccard_join import keep_leaders
+from corpusforge.llm.line_chunks import drop_repeated_chunks
+from corpusforge.llm.packing import pack_texts
+from corpusforge.llm.perplexity import quality_filter
 from corpusforge.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +60,29 @@ def test_stages_on_odd_and_empty_tables(spark, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, SF))
         assert "sequence_id" in docs.columns
+
+
+def test_texts_reach_python_in_small_batches(spark, stored, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 18)
+    docs = stored([(i, f"{i} " + "word " * 1000, "en", "a", 1) for i in range(400)], parts=1)
+    before = spark.conf.getAll.get(common.BATCH_SETTING)
+    spark.conf.unset(common.BATCH_SETTING)
+
+    def largest():
+        return docs.select("text").mapInArrow(lambda batches: (
+            pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+
+    try:
+        assert largest() == 400
+        spark.conf.set(common.BATCH_SETTING, "2m")  # the session's own size
+        quality_filter(docs)
+        assert spark.conf.get(common.BATCH_SETTING) == "2m" and largest() > 300
+        for step in (quality_filter, drop_repeated_chunks, keep_leaders, pack_texts,
+                     lambda d: decontaminate(d, docs.selectExpr("doc_id AS item_id", "text").limit(1))):
+            spark.conf.unset(common.BATCH_SETTING)
+            step(docs)
+            assert 1 < largest() < 100
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(common.BATCH_SETTING, before)
