@@ -277,7 +277,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
     digest = F.md5(F.concat(F.col("k"), F.lit(":"), F.col("doc_id").cast("string")).cast("binary"))
     h = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
     rows = docs.select("doc_id", "text", keys).withColumn("h", h)
-    begin = F.col("h") % F.length("text")
+    begin = F.col("h") % F.nullif(F.length("text"), F.lit(0))  # an empty text has no place for a span
     return rows.select(
         "doc_id", begin.alias("begin"),
         (begin + F.floor(F.col("h") / 7) % 90).alias("end"),

@@ -1,11 +1,15 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusforge.operators import metrics as X
 from corpusforge.operators import spans as N
+from tests.oracle import compare, connect
 
 
 def test_word_offsets(spark):
@@ -123,3 +127,16 @@ def test_places_of_words_are_made_in_slices(monkeypatch):
     got = S.word_offsets.func(pa.array([" a bb", None, ""] * 500)).to_pylist()
     assert max(sizes) <= 512
     assert got == [[{"begin": 1, "end": 2}, {"begin": 3, "end": 5}], [], []] * 500
+
+
+@pytest.mark.parametrize("name", ["span_labels"])
+def test_spans_of_empty_texts(spark, tmp_path, name):
+    """The place of a span was a remainder by the length of its text."""
+    texts = ["one two  three", *[""] * 12, None, " \n", "five"]
+    pq.write_table(pa.table({
+        "doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["en"] * len(texts),
+        "source": ["s"] * len(texts), "n_chars": pa.array([len(t or "") for t in texts], pa.int64()),
+    }), tmp_path / "documents.parquet")
+    con = connect(str(tmp_path))
+    con.execute("SET error_on_division_by_zero = false")  # a remainder by zero is null
+    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) is None
