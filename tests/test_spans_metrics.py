@@ -129,7 +129,7 @@ def test_places_of_words_are_made_in_slices(monkeypatch):
     assert got == [[{"begin": 1, "end": 2}, {"begin": 3, "end": 5}], [], []] * 500
 
 
-@pytest.mark.parametrize("name", ["span_labels", "span_labels_in_row"])
+@pytest.mark.parametrize("name", ["span_labels", "span_labels_in_row", "task_span_tokens"])
 def test_spans_of_empty_texts(spark, tmp_path, name):
     """The place of a span was a remainder by the length of its text."""
     texts = ["one two  three", *[""] * 12, None, " \n", "five"]
