@@ -6,6 +6,7 @@ folder and reads them back.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import tokens as K
@@ -119,12 +120,12 @@ def json_arrays(spark, sf):
     folder = scratch(spark)
     lines = documents(spark, sf).select(F.floor(F.col("doc_id") / 50).alias("part"), "doc_id",
                                         F.to_json(F.struct("doc_id", "text")).alias("value"))
-    first = lines.groupBy("part").agg(F.min("doc_id").alias("first"))
-    ends = first.where("part % 3 <> 1").select("part", F.lit(None).cast("long").alias("doc_id"), F.lit("]").alias("value"))
-    marked = lines.join(first, "part").select("part", "doc_id", F.concat(
-        F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), "value").alias("value"))
-    marked.unionByName(ends).repartition("part").sortWithinPartitions(
-        "part", F.asc_nulls_last("doc_id")).select("part", "value").write.partitionBy("part").text(f"{folder}/arrays")
+    place = Window.partitionBy("part").orderBy("doc_id")
+    first = F.col("doc_id") == F.first("doc_id").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = F.lead(F.lit(True)).over(place).isNull() & (F.col("part") % 3 != 1)
+    marked = lines.where("part IS NOT NULL").repartition("part").select("part", "doc_id", F.concat(
+        F.when(first, "[").otherwise(","), "value", F.when(ends, "\n]").otherwise("")).alias("value"))
+    marked.sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(f"{folder}/arrays")
     good, bad = J.read_json_arrays(spark, f"{folder}/arrays", "doc_id long, text string", pattern="*.txt", range_bytes=1 << 15)
     part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
     return good.select(part, "doc_id", "text").unionByName(

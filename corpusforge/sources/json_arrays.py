@@ -3,7 +3,8 @@
 A byte range does not tell whether it begins inside a string or how deep it lies. So
 each range is scanned first for both cases, a running sum over the ranges of a file gives
 every range its true beginning, and then each range gives out the elements that begin in
-it. A task holds one range and one element, whatever the size of the file.
+it. A task holds one range and one element, whatever the size of the file. It takes
+many short ranges one after another, so short files and ranges do not make short tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.session import stored
-from corpusforge.sources.readers import list_files
+from corpusforge.sources.readers import input_paths
 
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 BAD = "_bad"
 QUOTE, SLASH, COMMA, OPEN, CLOSE = 34, 92, 44, 91, 93  # " \ , [ ]
 OPEN_OBJECT, CLOSE_OBJECT = 123, 125
@@ -106,6 +108,7 @@ def key_before(data: bytes, at: int, file: pa.NativeFile, base: int) -> str:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Quotes of each range and its change of depth, if it begins outside and inside a string."""
     for batch in batches:
+        scanned = []
         for row in batch.to_pylist():
             with open_file(row["file"]) as file:
                 escaped = begins_escaped(file, row["start"])
@@ -113,13 +116,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = file.read(row["size"])
             both = [marks(data, escaped, inside) for inside in (False, True)]
             out, in_ = (int(m.depth[-1]) if len(m.depth) else 0 for m in both)
-            yield pa.RecordBatch.from_pylist([row | {
-                "escaped": escaped, "quotes": both[0].quotes, "d_out": out, "d_in": in_}])
+            scanned.append(row | {"escaped": escaped, "quotes": both[0].quotes, "d_out": out, "d_in": in_})
+        if scanned:
+            yield pa.RecordBatch.from_pylist(scanned)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The key of the last value of the outer object that opens in each range ("" for objects)."""
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("key", pa.string())])
     for batch in batches:
+        keys = []
         for row in batch.to_pylist():
             with open_file(row["file"]) as file:
                 file.seek(row["start"])
@@ -131,8 +137,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = opens[-1]
                     key = "" if found.byte[last] == OPEN_OBJECT else key_before(
                         data, int(found.place[last]), file, row["start"])
-            yield pa.RecordBatch.from_pylist([{"file": row["file"], "start": row["start"], "key": key}],
-                                             pa.schema([("file", pa.string()), ("start", pa.int64()), ("key", pa.string())]))
+            keys.append({"file": row["file"], "start": row["start"], "key": key})
+        yield pa.RecordBatch.from_pylist(keys, schema)
 
 
 def _elements(field: str | None, size: int):
@@ -180,22 +186,33 @@ def _elements(field: str | None, size: int):
             escaped = begins_escaped(file, at)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 with open_file(row["file"]) as file:
-                    held, weight = [], 0
                     for element in of_range(file, row):
                         held.append(element)
-                        weight += len(element["element"])
+                        weight += len(element["element"]) + 64  # empty elements have places, too
                         if weight > 1 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, weight = [], 0
-                    if held:
-                        yield pa.RecordBatch.from_pylist(held, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return elements
 
 
+def list_below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """The files below ``root``, listed at once. Spark would ask for each folder, up to 10,000, by a task of its own."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(usual), max(32, 4 * spark.sparkContext.defaultParallelism))))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    finally:
+        spark.conf.set(key, usual)
+
+
 def read_json_arrays(spark: SparkSession, root: str, schema: T.StructType | str, field: str | None = None,
                      pattern: str = "*.json", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """The elements of the array in each JSON file below ``root``, as ``(good, bad)``.
@@ -204,20 +221,20 @@ def read_json_arrays(spark: SparkSession, root: str, schema: T.StructType | str,
     ``good`` has the columns of ``schema``, ``file`` and ``offset``, the byte after the mark
     before the element. ``bad`` (file, offset, element, error) has elements that do not parse,
     and files that end too early, close too much or are empty. Elements before
-    an error stay; one that is open where the file ends is bad. A file is read by ranges of ``range_bytes`` in as many tasks as there are.
+    an error stay; one that is open where the file ends is bad. A file is read by ranges of
+    ``range_bytes``; a task takes as many of them as come to about ``TASK_BYTES``.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .load(root).select(F.col("path").alias("file"), "length")
-    )
+    found = list_below(spark, root, pattern)
+    lengths = [tuple(r) for r in found.select("path", "length").collect()]
+    files = spark.createDataFrame(lengths, "file string, length long")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = files.select("file", F.explode(starts).alias("start"), "length").select(
         "file", "start", F.least(F.lit(range_bytes), F.col("length") - F.col("start")).alias("size"))
-    size = ranges.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    n = sum(max(1, -(-length // range_bytes)) for _, length in lengths)
     # An own number: the rows are so few bytes that Spark would put all ranges into one task.
-    tasks = max(1, min(size["n"], max(spark.sparkContext.defaultParallelism, -(-size["bytes"] // range_bytes))))
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-sum(length for _, length in lengths) // TASK_BYTES))))
     scanned = stored(ranges.repartition(tasks, "file", "start").mapInArrow(
         _scan, "file string, start long, size long, escaped boolean, quotes long, d_out long, d_in long"))
 
@@ -239,13 +256,15 @@ def read_json_arrays(spark: SparkSession, root: str, schema: T.StructType | str,
         _elements(field, range_bytes), "file string, offset long, element string, error string")
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     row = F.from_json("element", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
-    parsed = stored(elements.withColumn("_row", F.explode(F.array(row))))
+    parsed = elements.withColumn("_row", F.explode(F.array(row)))
     fine = F.col("error").isNull() & F.col("_row").isNotNull() & F.col(f"_row.{BAD}").isNull()
-    good = parsed.where(fine).select("_row.*", "file", "offset").drop(BAD)
-    broken = parsed.where(~fine).select("file", "offset", "element", F.coalesce("error", F.lit("no such row")).alias("error"))
+    parsed = stored(parsed.select("file", "offset", "_row", fine.alias("_fine"), "error",
+                                  F.when(~fine, F.col("element")).alias("element")))
+    good = parsed.where("_fine").select("_row.*", "file", "offset").drop(BAD)
+    broken = parsed.where("NOT _fine").select("file", "offset", "element", F.coalesce("error", F.lit("no such row")).alias("error"))
     ends = placed.groupBy("file").agg(
         F.sum("size").alias("offset"), F.sum("change").alias("open"), (F.sum("quotes") % 2).alias("quoted"))
-    listed = spark.createDataFrame([(f,) for f in list_files(spark, root, pattern)], "file string")
+    listed = spark.createDataFrame([(f,) for f in input_paths(found)], "file string")
     unfinished = listed.join(ends, "file", "left").withColumn("error", F.when(
         F.col("offset").isNull(), "an empty file").when(F.col("quoted") == 1, "the file ends inside a string").when(
         F.col("open") > 0, "the file ends inside a bracket").when(F.col("open") < 0, "more brackets close than open"))

@@ -24,14 +24,19 @@ def file_path() -> Column:
 
 
 def list_files(spark: SparkSession, paths: str, pattern: str | None = None) -> list[str]:
-    """Sorted paths of the files a glob names, empty ones too, as `file_path` has them.
-
-    Spark lists the files of a scan on the driver in any case; its readers skip empty ones.
-    """
+    """Sorted paths of the files a glob names, empty ones too, as `file_path` has them."""
     reader = spark.read.format("binaryFile")
     if pattern is not None:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return sorted({re.sub("^file:/+", "file:/", unquote(f)) for f in reader.load(paths).inputFiles()})
+    return input_paths(reader.load(paths))
+
+
+def input_paths(read: DataFrame) -> list[str]:
+    """Sorted paths of the files of a scan, as `file_path` has them.
+
+    Spark lists them on the driver in any case; its readers skip empty ones.
+    """
+    return sorted({re.sub("^file:/+", "file:/", unquote(f)) for f in read.inputFiles()})
 
 
 def missing_files(spark: SparkSession, read: DataFrame, root: str, pattern: str) -> DataFrame:

@@ -56,6 +56,20 @@ def test_rows_before_an_error_stay(spark, tmp_path):
     assert [e[0] for e in errors] == ["cut.json", "cut.json", "empty.json", "odd.json", "odd.json"]
 
 
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """Each range was a task of its own, which took longer to start than to read it."""
+    items = rows(60, 4)
+    for i in range(3):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}/a.json").write_text(json.dumps(items[i * 20 : i * 20 + 20], ensure_ascii=False))
+    usual = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    good, bad = read_json_arrays(spark, str(tmp_path), SCHEMA, range_bytes=50)
+    assert values(good) == wanted(items)
+    assert bad.count() == 0
+    assert len(good.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == usual
+
+
 def test_marks_against_a_plain_scan():
     draw = random.Random(5)
     for _ in range(300):
