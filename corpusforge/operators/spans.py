@@ -68,11 +68,13 @@ def label_spans(tokens: DataFrame, spans: DataFrame, doc: str = "doc_id",
         spans.where((F.col("prob") >= threshold) & F.col(doc).isNotNull() & F.col("begin").isNotNull())
         .groupBy(doc, F.col("begin").alias("_at")).agg(F.max("end").alias("_reach"))
     )
-    places = tokens.select(doc, "pos", "begin", F.col("end").alias("_at"), F.lit(True).alias("_token"))
+    # Sizes of tokens are few, so they take less of the shuffle than their begins.
+    size = (F.col("end").cast("long") - F.col("begin")).alias("_size")
+    places = tokens.select(doc, "pos", size, F.col("end").alias("_at"), F.lit(True).alias("_token"))
     line = places.unionByName(likely.withColumn("_token", F.lit(False)), allowMissingColumns=True)
     order = ["_at", "_token"]
     if rows_per_slice:
         line = sliced(line, [doc], order, rows_per_slice, dear=True)
     swept = running_totals(line, [doc], order, {"_furthest": F.col("_reach")}, aggregate=F.max, start=None)
-    touched = F.coalesce(F.col("_furthest") >= F.col("begin"), F.lit(False))
+    touched = F.coalesce(F.col("_furthest") >= F.col("_at") - F.col("_size"), F.lit(False))
     return swept.where("_token").select(doc, "pos", touched.cast("int").alias("label"))
